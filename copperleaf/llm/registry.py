@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from copperleaf.llm.line_rules import OP4_SQL, op4_line_frequency
+from copperleaf.llm.simhash import op2_simhash
 
 
 def queries() -> dict:
     return {
+        "op2_simhash": op2_simhash,
         "op4_line_frequency": op4_line_frequency,
     }
 
