@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from copperleaf.llm.line_rules import OP4_SQL, op4_line_frequency
+from copperleaf.llm.quality_model import op1_quality
 from copperleaf.llm.simhash import op2_simhash
 
 
 def queries() -> dict:
     return {
+        "op1_quality": op1_quality,
         "op2_simhash": op2_simhash,
         "op4_line_frequency": op4_line_frequency,
     }
