@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from copperleaf.llm.line_rules import OP4_SQL, op4_line_frequency
+from copperleaf.llm.mixing import OP8_SQL, op8_mixing
 from copperleaf.llm.quality_model import op1_quality
 from copperleaf.llm.simhash import op2_simhash
 
@@ -12,10 +13,12 @@ def queries() -> dict:
         "op1_quality": op1_quality,
         "op2_simhash": op2_simhash,
         "op4_line_frequency": op4_line_frequency,
+        "op8_mixing": op8_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_frequency": OP4_SQL,
+        "op8_mixing": OP8_SQL,
     }
