@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from copperleaf.llm.bpe import op9_bpe
 from copperleaf.llm.line_rules import OP4_SQL, op4_line_frequency
 from copperleaf.llm.mixing import OP8_SQL, op8_mixing
 from copperleaf.llm.quality_model import op1_quality
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op2_simhash": op2_simhash,
         "op4_line_frequency": op4_line_frequency,
         "op8_mixing": op8_mixing,
+        "op9_bpe": op9_bpe,
     }
 
 
