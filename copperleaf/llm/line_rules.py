@@ -129,35 +129,35 @@ def line_frequency_rules(
     min_docs: int = 20,
     max_share: float = 0.01,
     max_removed: float = 0.5,
-    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of ``docs``: ``keep``, the id, counts, removed_words, base_failed, kept.
+    """(id, key, counts, removed_words, base_failed, kept): one row per row of ``docs``.
 
-    ``keep`` names columns of ``docs`` to carry along; they are given as a struct ``carried``.
+    The counts are written to a table before anything is decided by them: a filter on them would
+    else be moved below and make Spark compute the arrays anew for each element.
     """
     key = document_key(id_col, text_col, host_col)
-    slim = docs.select(
-        F.col(id_col).alias("_id"), key.alias("_key"), F.col(text_col).alias("_text"), *([F.struct(*[F.col(c) for c in keep]).alias("carried")] if keep else [])
-    )
+    slim = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("_text"))
+    counts = materialise(base_counts(slim, "_text"), "base-counts")
     removed = removed_words(docs, id_col, text_col, host_col, min_docs, max_share)
-    removed = removed.withColumnsRenamed({"_id": "_rid", "_key": "_rkey"})
-    joined = base_counts(slim, "_text").join(removed, (F.col("_key") == F.col("_rkey")) & F.col("_id").eqNullSafe(F.col("_rid")), "left")
+    joined = counts.join(removed, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left")
     judged = joined.withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long"))).withColumn("base_failed", base_failed())
     kept = ~F.col("base_failed") & (F.col("removed_words") <= max_removed * F.col("n_words"))
     return judged.select(
-        *(["carried"] if keep else []), F.col("_id").alias("id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", kept.alias("kept")
+        "id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", kept.alias("kept")
     )
 
 
 def op4_line_frequency(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return line_frequency_rules(docs).withColumnRenamed("id", "doc_id")
+    return line_frequency_rules(docs).withColumnRenamed("id", "doc_id").drop("key")
 
 
 def keep_good_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the rules keep, with the columns they came with."""
-    judged = line_frequency_rules(docs, keep=tuple(docs.columns))
-    return judged.filter("kept").select(*[F.col("carried")[c].alias(c) for c in docs.columns])
+    judged = line_frequency_rules(docs).filter(~F.col("kept")).select(F.col("id").alias("_rejected_id"), F.col("key").alias("_rejected_key")).distinct()
+    judged = materialise(judged, "rejected")
+    same = (document_key("doc_id", "text", "source") == F.col("_rejected_key")) & F.col("doc_id").eqNullSafe(F.col("_rejected_id"))
+    return docs.join(judged, same, "left_anti")
 
 
 OP4_SQL = r"""

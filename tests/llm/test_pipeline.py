@@ -57,7 +57,7 @@ def test_run_equals_the_plain_version(spark):
 
 def test_stages_keep_the_columns_of_documents_and_pass_odd_rows(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"kept": F.lit("x"), "score": F.lit(1), "size": F.lit(2.0), "carried": F.lit(None).cast("string")})
-    null = spark.createDataFrame([(None,) * len(docs.columns)], docs.schema)
+    null = docs.limit(1).select(*[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes])
     for rows in (docs.limit(60).unionByName(docs.limit(5)).unionByName(null).unionByName(null), docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, rows, SF)
