@@ -7,6 +7,7 @@ from copperleaf.llm.line_rules import OP4_SQL, op4_line_frequency
 from copperleaf.llm.mixing import OP8_SQL, op8_mixing
 from copperleaf.llm.quality_model import op1_quality
 from copperleaf.llm.simhash import op2_simhash
+from copperleaf.llm.warc import OP5_SQL, op5_arc_to_warc
 
 
 def queries() -> dict:
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op1_quality": op1_quality,
         "op2_simhash": op2_simhash,
         "op4_line_frequency": op4_line_frequency,
+        "op5_arc_to_warc": op5_arc_to_warc,
         "op8_mixing": op8_mixing,
         "op9_bpe": op9_bpe,
     }
@@ -22,5 +24,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_frequency": OP4_SQL,
+        "op5_arc_to_warc": OP5_SQL,
         "op8_mixing": OP8_SQL,
     }
