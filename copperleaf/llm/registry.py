@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from copperleaf.llm.bpe import op9_bpe
+from copperleaf.llm.hnsw import op7_hnsw
 from copperleaf.llm.line_rules import OP4_SQL, op4_line_frequency
 from copperleaf.llm.mixing import OP8_SQL, op8_mixing
 from copperleaf.llm.quality_model import op1_quality
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op2_simhash": op2_simhash,
         "op4_line_frequency": op4_line_frequency,
         "op5_arc_to_warc": op5_arc_to_warc,
+        "op7_hnsw": op7_hnsw,
         "op8_mixing": op8_mixing,
         "op9_bpe": op9_bpe,
     }
