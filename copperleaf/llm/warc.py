@@ -44,6 +44,8 @@ ARC_NAMES = {
 WARC_VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_END = "\r\n\r\n"
+#: Spark's text writer as archives need it; the fast level costs some bytes and saves half of the time.
+GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 
 
 def sha1_base32(data: bytes) -> str:
@@ -192,7 +194,7 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
     ordered = rows.repartition(archives, "archive").sortWithinPartitions("archive", "part", "id")
-    ordered.mapInArrow(task, "record binary").select(F.col("record").cast("string")).write.option("compression", "gzip").option("lineSep", "\n").text(path)
+    ordered.mapInArrow(task, "record binary").select(F.col("record").cast("string")).write.options(**GZIP).option("lineSep", "\n").text(path)
 
 
 ARC_ROWS = "page_id long, url string, ip string, date string, version int, head binary, payload binary, digest string, record_id string"
@@ -236,7 +238,7 @@ def convert(spark, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
     joined = records.join(held, F.col("digest") == F.col("_digest"), "left")
     holder = F.when(F.col("_holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_page")), F.col("_holder"))
     rows = joined.select(*[x.split()[0] for x in ARC_ROWS.split(", ")], holder.alias("holder"))
-    rows.mapInArrow(task, "record binary").select(F.col("record").cast("string")).write.option("compression", "gzip").option("lineSep", RECORD_END).text(warc_path)
+    rows.mapInArrow(task, "record binary").select(F.col("record").cast("string")).write.options(**GZIP).option("lineSep", RECORD_END).text(warc_path)
 
 
 WARC_ROWS = "page_id long, record_id string, record_type string, url string, date string, payload_bytes long, payload_digest string, refers_to_id string"
