@@ -2,9 +2,9 @@
 
 A shard is the set of hashes with a common prefix. Splitting starts with one shard of prefix length 0; only
 a shard over ``limit`` bytes is split, on its next bit, until all fit. The sizes come from sums by
-prefix on the map side, eight bits at a time: a round sums only rows in shards that are still too large, so there
-are about log2(bytes / limit) / 8 rounds, and what a round looks at is sums, never documents. The directory of a
-round has an entry for each prefix of its eight bits, pointing to the shard; documents find their
+prefix on the map side, 14 bits at a time: a round sums only rows in shards that are still too large, so there
+are about log2(bytes / limit) / 14 rounds, and what a round looks at is sums, never documents. The directory of a
+round has an entry for each prefix of its 14 bits, pointing to the shard; documents find their
 shard in it by an equi-join on that prefix.
 
 Equal hashes cannot be split by bits: they belong to rows with one id and size. Such a bucket is cut into pages
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from copperleaf.cluster import materialise
 from copperleaf.llm.mixing import _hash60
 
-BITS, STEP, DEEPEST = 60, 8, 56
+BITS, STEP, DEEPEST = 60, 14, 56
 
 
 def _prefix(bits: int):
@@ -59,7 +59,7 @@ def extendible_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             break
         active, base = active.join(large, _prefix(base + STEP) == F.col("_large"), "left_semi"), base + STEP
     depth, held = F.coalesce(*[F.col(d) for d, _ in found]), F.coalesce(*[F.col(b) for _, b in found])
-    out = placed.select("id", "bytes", "h", depth.alias("depth"), held.alias("shard_bytes"))
+    out = materialise(placed.select("id", "bytes", "h", depth.alias("depth"), held.alias("shard_bytes")), "placed")
     fits = out.filter("depth IS NOT NULL").withColumn("page", F.lit(0).cast("long"))
     per_page = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("bytes"))).cast("long")
     row = F.row_number().over(W.partitionBy("h").orderBy("id"))
