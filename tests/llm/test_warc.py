@@ -35,7 +35,7 @@ def test_round_trip_of_odd_pages(spark):
 def test_payloads_come_back_whole(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     arc, out = warc.scratch_path(spark, "arc"), warc.scratch_path(spark, "warc")
-    warc.write_arc(df, arc, archive_bytes=50)
+    warc.write_arc(df, arc, archive_bytes=1 << 17)
     warc.convert(spark, arc, out, min_bytes=6)
     got = {r["page_id"]: r for r in warc.read_warc(spark, out, with_payload=True).collect() if r["page_id"]}
     assert bytes(got[5]["payload"]) == PAGES[4][2].encode()
