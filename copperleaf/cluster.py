@@ -5,9 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 FALLBACK_DIR = "/tmp/checkpoints"
+#: Rows of a few numbers each that are broadcast at most: some 50 MB.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +44,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of keys, marked for broadcast if it has at most ``most`` rows.
+
+    A larger one comes back as it is; the planner then shuffles both sides by the key.
+    """
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def drop_scratch(spark: SparkSession) -> bool:
     """Delete all tables that ``materialise`` has written; only between jobs."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/copperleaf")
