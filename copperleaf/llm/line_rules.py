@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copperleaf.cluster import materialise
+from copperleaf.cluster import broadcast_if_small, materialise
 from copperleaf.llm.textcols import SPACE, ascii_lower, row_key, words
 
 SYMBOLS = "#*$%&|<>"
@@ -153,9 +153,12 @@ def op4_line_frequency(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep, with the columns they came with."""
+    """Pipeline stage: the documents that the rules keep, with the columns they came with.
+
+    What is rejected is known by two numbers a row, so the texts are shuffled only where those are many.
+    """
     judged = line_frequency_rules(docs).filter(~F.col("kept")).select(F.col("id").alias("_rejected_id"), F.col("key").alias("_rejected_key")).distinct()
-    judged = materialise(judged, "rejected")
+    judged = broadcast_if_small(materialise(judged, "rejected"))
     same = (document_key("doc_id", "text", "source") == F.col("_rejected_key")) & F.col("doc_id").eqNullSafe(F.col("_rejected_id"))
     return docs.join(judged, same, "left_anti")
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copperleaf.cluster import materialise
+from copperleaf.cluster import broadcast_if_small, materialise
 from copperleaf.llm.components import connected_components
 
 BITS = 64
@@ -231,11 +231,12 @@ def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat that id leave one row, the smallest by its columns; rows without an id are
     no one's copies and stay.
     """
-    kept = simhash_components(docs).filter(F.col("id") == F.col("component")).select(F.col("id").alias("_kept")).distinct()
-    kept = materialise(kept, "kept")
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    named_first = simhash_components(docs).groupBy(F.col("id").alias("_copy")).agg(F.bool_or(F.col("id") == F.col("component")).alias("_first"))
+    copies = named_first.filter("_copy IS NOT NULL AND NOT _first").select("_copy")
+    copies = broadcast_if_small(materialise(copies, "copies"))
+    named = docs.filter(F.col("doc_id").isNotNull()).join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
     twice = named.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_twice"))
-    twice = materialise(twice, "repeated")
+    twice = broadcast_if_small(materialise(twice, "repeated"))
     once = named.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti")
     one = named.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row"))
     return once.unionByName(one.select(*[F.col("_row")[c].alias(c) for c in docs.columns])).unionByName(docs.filter(F.col("doc_id").isNull()))
