@@ -46,11 +46,16 @@ def survivability(ads: DataFrame) -> DataFrame:
     return joined.withColumn("survivability", F.coalesce("_own", "_every")).drop("_days", "_p", "_d", "_own", "_e", "_every")
 
 
+def six_digits(x: Column) -> Column:
+    """Rounded in doubles, half up, so that a tie falls alike in every engine."""
+    return F.floor(x * 1e6 + 0.5) / 1e6
+
+
 def weighted_mean(weights: dict[str, float]) -> Column:
     """Over the signals that are there, clamped to 0..1; 0.5 without any."""
     top = sum((F.coalesce(F.col(k) * w, F.lit(0.0)) for k, w in weights.items()), F.lit(0.0))
     bottom = sum((F.when(F.col(k).isNotNull(), w).otherwise(0.0) for k, w in weights.items()), F.lit(0.0))
-    return F.when(bottom > 0, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), top / bottom)), 6)).otherwise(0.5)
+    return F.when(bottom > 0, six_digits(F.greatest(F.lit(0.0), F.least(F.lit(1.0), top / bottom)))).otherwise(0.5)
 
 
 def weak() -> Column:

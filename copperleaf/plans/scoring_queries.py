@@ -20,7 +20,7 @@ def pct_sql(v: str, part: str = "") -> str:
 def mean_sql(weights: dict[str, float]) -> str:
     top = " + ".join(f"coalesce({k} * {w}::DOUBLE, 0)" for k, w in weights.items())
     bottom = " + ".join(f"CASE WHEN {k} IS NULL THEN 0 ELSE {w}::DOUBLE END" for k, w in weights.items())
-    return f"CASE WHEN ({bottom}) > 0 THEN round(greatest(0, least(1, ({top}) / ({bottom}))), 6) ELSE 0.5 END"
+    return f"CASE WHEN ({bottom}) > 0 THEN floor(greatest(0, least(1, ({top}) / ({bottom}))) * 1000000::DOUBLE + 0.5::DOUBLE) / 1000000::DOUBLE ELSE 0.5 END"
 
 
 KM_SQL = f"""{ADS_SQL}, ev AS (
@@ -79,9 +79,9 @@ def km_survivability(spark, d):
     return scoring.survivability(features(spark, d)).select("ad_id", F.round("survivability", 9).alias("survivability"))
 
 
-@query("score_v3", f"WITH {V3_SQL} SELECT ad_id, survivability_pct, volume_pct, velocity_pct, round(score, 5) AS score FROM scored")
+@query("score_v3", f"WITH {V3_SQL} SELECT ad_id, survivability_pct, volume_pct, velocity_pct, score FROM scored")
 def score_v3(spark, d):
-    return scoring.score_v3(features(spark, d)).select("ad_id", "survivability_pct", "volume_pct", "velocity_pct", F.round("score", 5).alias("score"))
+    return scoring.score_v3(features(spark, d)).select("ad_id", "survivability_pct", "volume_pct", "velocity_pct", "score")
 
 
 @query("score_v1", f"""WITH {ADS_SQL}, raw AS (
