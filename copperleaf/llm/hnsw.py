@@ -4,8 +4,8 @@ Equal vectors are merged first and stand for their number. The distinct ones are
 about ``shard_rows`` (eight at least), and each shard's graph is built in one task and written as one row
 of a table. Every block of queries then searches every shard: a greedy descent through the upper
 layers, then a beam on the lowest. A beam is widened in two ways: for a whole block and shard until an
-audit of up to 512 of its queries against brute force reaches ``recall`` of their links, and for a single query as
-long as all of its beam is within the threshold, so that a crowd of any size is found whole.
+audit of up to 512 of its queries against brute force reaches ``recall`` of their links and of their four nearest,
+which every query has, and for a single query as long as all of its beam is within the threshold, so that a crowd of any size is found whole.
 What is within reach by single precision is verified by cosine in double precision. A task returns the number
 of links of each query, and a spanning forest of the links instead of all pairs; the
 components are united over all tasks.
@@ -33,8 +33,8 @@ from copperleaf.llm.simhash import _unite
 
 #: Neighbours of a node in the upper layers and in the lowest, and the beam while building.
 M, M0, EF_BUILD = 12, 24, 48
-#: Queries in lock step, nodes that each beam opens at once, queries of an audit.
-BATCH, OPEN, AUDIT = 256, 4, 512
+#: Queries in lock step, nodes that each beam opens at once, queries of an audit, nearest nodes of each that it asks for.
+BATCH, OPEN, AUDIT, NEAREST = 256, 4, 512, 4
 #: Margin of single precision around the threshold; what is within is verified in double.
 SLACK = 1e-4
 
@@ -198,15 +198,17 @@ class Graph:
 
 def audited_beam(graph: Graph, q: np.ndarray, own: np.ndarray, threshold: float, recall: float, start: int = 32) -> int:
     """The narrowest beam, doubled from ``start``, with which some queries find, in all, ``recall`` of their
-    neighbours within the threshold. own: each query's node, or -1."""
+    neighbours within the threshold and of their ``NEAREST`` whatever their cosine. own: each query's node, or -1."""
     pick = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
     true: list[np.ndarray] = []
     for i in pick:
-        within = np.flatnonzero(graph.x @ q[i] >= threshold)
-        true.append(within[within != own[i]])
-    with_links = np.array([len(t) > 0 for t in true])
-    pick, true, ef = pick[with_links], [t for t in true if len(t)], start
-    while len(pick) and ef < len(graph.x):
+        sims = graph.x @ q[i]
+        if own[i] >= 0:
+            sims[own[i]] = -np.inf
+        near = np.argsort(-sims, kind="stable")[:NEAREST]
+        true.append(np.union1d(np.flatnonzero(sims >= threshold), near[near != own[i]]))
+    ef = start
+    while ef < len(graph.x):
         nodes = search(graph, q[pick], ef, threshold)
         got = sum(len(np.intersect1d(t, n)) for t, n in zip(true, nodes, strict=True))
         if got >= recall * sum(map(len, true)):

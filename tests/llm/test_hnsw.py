@@ -63,3 +63,18 @@ def test_odd_vectors(spark):
     got = sorted(((r["id"], r["n_links"], r["component"]) for r in hnsw.embedding_components(df).collect()), key=str)
     assert got == sorted(brute([i for i, _ in rows], [v for _, v in rows]), key=str)
     assert hnsw.embedding_components(df.limit(0)).count() == 0
+
+
+def graph_of(x):
+    return hnsw.Graph.build(x, np.minimum((-np.log(np.random.default_rng(1).random(len(x))) / np.log(hnsw.M)).astype(int), 6))
+
+
+def test_audit_widens_where_no_query_has_a_link():
+    x = hnsw.unit(np.random.default_rng(3).normal(size=(3000, 64))).astype(np.float32)
+    sims = x @ x.T
+    np.fill_diagonal(sims, -np.inf)
+    assert sims.max() < 0.95
+    near, graph = np.argsort(-sims, axis=1)[:, :4], graph_of(x)
+    got = lambda ef: np.mean([np.isin(n, f).mean() for n, f in zip(near, graph.beam(x, ef)[0])])
+    assert got(32) < 0.97
+    assert got(hnsw.audited_beam(graph, x, np.arange(len(x)), 0.95, 0.99)) >= 0.98
