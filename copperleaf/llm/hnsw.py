@@ -35,6 +35,8 @@ from copperleaf.llm.simhash import _unite
 M, M0, EF_BUILD = 12, 24, 48
 #: Queries in lock step, nodes that each beam opens at once, queries of an audit, nearest nodes of each that it asks for.
 BATCH, OPEN, AUDIT, NEAREST = 256, 4, 512, 4
+#: Similarities held at once where all vectors are compared.
+CELLS = 1 << 22
 #: Margin of single precision around the threshold; what is within is verified in double.
 SLACK = 1e-4
 
@@ -196,44 +198,75 @@ class Graph:
         return cls(x, [np.frombuffer(b, "<i4").reshape(n, -1).astype(np.int64) for b in layers], entry)
 
 
-def audited_beam(graph: Graph, q: np.ndarray, own: np.ndarray, threshold: float, recall: float, start: int = 32) -> int:
-    """The narrowest beam, doubled from ``start``, with which some queries find, in all, ``recall`` of their
-    neighbours within the threshold and of their ``NEAREST`` whatever their cosine. own: each query's node, or -1."""
-    pick = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
-    true: list[np.ndarray] = []
-    for i in pick:
+def _finds(graph: Graph, q: np.ndarray, own: np.ndarray, ef: int, threshold: float, recall: float) -> bool:
+    """Whether a beam finds ``recall`` of what brute force finds: in the mean over all queries, of each
+    one's ``NEAREST``; and in the mean over those with 1 link, 2 to 3, 4 to 7 and so on, of each one's links."""
+    nodes, shares, kinds = search(graph, q, ef, threshold), [], []
+    for i, found in enumerate(nodes):
         sims = graph.x @ q[i]
         if own[i] >= 0:
             sims[own[i]] = -np.inf
-        near = np.argsort(-sims, kind="stable")[:NEAREST]
-        true.append(np.union1d(np.flatnonzero(sims >= threshold), near[near != own[i]]))
+        hit = np.zeros(len(sims), bool)
+        hit[found] = True
+        k = min(NEAREST, len(sims))
+        near = np.argpartition(-sims, k - 1)[:k]
+        near = near[near != own[i]]
+        links = np.flatnonzero(sims >= threshold)
+        for kind, true in ((0, near), (len(links).bit_length(), links)):
+            if len(true):
+                shares.append(hit[true].mean())
+                kinds.append(kind)
+    means = np.bincount(kinds, shares) / np.maximum(np.bincount(kinds), 1)
+    return bool((means[np.bincount(kinds) > 0] >= recall).all())
+
+
+def audited_beam(graph: Graph, q: np.ndarray, own: np.ndarray, threshold: float, recall: float, start: int = 32) -> int:
+    """The narrowest beam, doubled from ``start``, that passes an audit of some queries. Where none does that
+    compares fewer vectors than there are, the number of nodes: ``search`` then compares with all.
+    own: each query's node, or -1."""
+    pick = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
     ef = start
     while ef < len(graph.x):
-        nodes = search(graph, q[pick], ef, threshold)
-        got = sum(len(np.intersect1d(t, n)) for t, n in zip(true, nodes, strict=True))
-        if got >= recall * sum(map(len, true)):
-            break
-        ef *= 2
-    return ef
+        if _finds(graph, q[pick], own[pick], ef, threshold, recall):
+            return ef
+        ef = _wider(graph, ef, 2)
+    return len(graph.x)
+
+
+def _wider(graph: Graph, ef: int, times: int) -> int:
+    """A beam opens each of its nodes and compares their neighbours: from some width on that is no less than all."""
+    return ef * times if ef * times * M0 < len(graph.x) else len(graph.x)
 
 
 def search(graph: Graph, q: np.ndarray, ef: int, threshold: float) -> list[np.ndarray]:
-    """The nodes of each query's beam; one that is full of nodes within the threshold is widened."""
+    """The nodes of each query's beam; one that is full of nodes within the threshold is widened. A beam as wide
+    as the graph is none: all vectors are compared, and those within reach of the threshold returned."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
     todo = np.arange(len(q))
-    while len(todo):
+    while len(todo) and ef < len(graph.x):
         full = []
         for lo in range(0, len(todo), BATCH):
             part = todo[lo : lo + BATCH]
             nodes, sims = graph.beam(q[part], ef)
-            more = (sims[:, -1] >= threshold - SLACK) if ef < len(graph.x) else np.zeros(len(part), bool)
+            more = sims[:, -1] >= threshold - SLACK
             for i, n in zip(part[~more], nodes[~more], strict=True):
                 out[i] = n[n >= 0]
             full.append(part[more])
-        todo, ef = np.concatenate(full), ef * 4
+        todo, ef = np.concatenate(full), _wider(graph, ef, 4)
+    step = max(1, CELLS // max(1, len(graph.x)))
+    for lo in range(0, len(todo), step):
+        part = todo[lo : lo + step]
+        r, c = np.nonzero(q[part] @ graph.x.T >= threshold - SLACK)
+        for i, n in zip(part, np.split(c, np.searchsorted(r, np.arange(1, len(part)))), strict=True):
+            out[i] = n
     return out
 
 
+def _dots(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of rows i of a with rows j of b, in pieces."""
+    return np.concatenate([np.einsum("kd,kd->k", a[i[k : k + 65536]], b[j[k : k + 65536]]) for k in range(0, len(i), 65536)] or [np.zeros(0)])
+
+
 def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
@@ -285,13 +318,14 @@ def search_shards(nodes: DataFrame, shards: DataFrame, threshold: float, recall:
         every = np.union1d(ids, asked)
         of_shard, of_query = np.searchsorted(every, ids), np.searchsorted(every, asked)
         root, links = np.arange(len(every)), np.zeros(len(asked), np.int64)
-        for lo in range(0, len(q), 4 * BATCH):
-            found = search(graph, q[lo : lo + 4 * BATCH], ef, threshold)
+        step = 4 * BATCH if ef < len(ids) else max(1, min(4 * BATCH, CELLS // len(ids)))
+        for lo in range(0, len(q), step):
+            found = search(graph, q[lo : lo + step], ef, threshold)
             i = np.repeat(np.arange(len(found)) + lo, [len(f) for f in found])
             j = np.concatenate(found)
-            close = (np.einsum("kd,kd->k", q[i], graph.x[j]) >= threshold - SLACK) & (own[i] != j)
+            close = (_dots(q, i, graph.x, j) >= threshold - SLACK) & (own[i] != j)
             i, j = i[close], j[close]
-            sure = np.concatenate([np.einsum("kd,kd->k", q64[i[k : k + 65536]], exact[j[k : k + 65536]]) >= threshold for k in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+            sure = _dots(q64, i, exact, j) >= threshold
             i, j = i[sure], j[sure]
             np.add.at(links, i, weights[j])
             root = _unite(root, of_query[i], of_shard[j])
