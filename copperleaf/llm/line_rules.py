@@ -6,7 +6,8 @@ since copies are the business of deduplication, not of boilerplate removal. A li
 a host when it is in more than ``min_docs`` of its documents and in more than ``max_share`` of
 them. Frequent lines are removed from every document but the first (smallest id) that holds
 them in that host; a document that loses more than ``max_removed`` of its words is depleted and
-rejected.
+rejected. ``clean_texts`` gives the texts without those lines; a line that stays is as it was. The first holder
+keeps each of its copies of the line.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its
 own; a null id never counts as the first holder of a line; rows that repeat an id and text
@@ -22,6 +23,8 @@ from copperleaf.cluster import broadcast_if_small, materialise
 from copperleaf.llm.textcols import SPACE, ascii_lower, row_key, words
 
 SYMBOLS = "#*$%&|<>"
+#: Documents with lines to remove whose hashes are broadcast at most.
+CLEANED_ROWS = 100_000
 
 
 def base_counts(df: DataFrame, text: str) -> DataFrame:
@@ -71,7 +74,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     parts = F.filter(
         F.transform(F.split(ascii_lower(F.coalesce(F.col("_text"), F.lit(""))), "\n"), words), lambda w: F.size(w) > 0
     )
-    hashed = F.transform(parts, lambda w: F.struct(F.xxhash64(F.array_join(w, " ")).alias("line"), F.size(w).alias("n")))
+    hashed = F.transform(parts, lambda w: F.struct(_line_hash(w).alias("line"), F.size(w).alias("n")))
     exploded = docs.select("_id", "_key", "_host", "_copy", F.explode(hashed).alias("_l"))
     return exploded.select("_id", "_key", "_host", "_copy", F.col("_l.line").alias("_line"), F.col("_l.n").cast("long").alias("_n"))
 
@@ -89,13 +92,12 @@ def frequent_lines(lines: DataFrame, docs: DataFrame, min_docs: int, max_share:
     return often.join(hosts, often["_host"].eqNullSafe(hosts["_host"])).filter(F.col("_docs") > max_share * F.col("_host_docs")).select(often["_host"], "_line", "_first", "_docs")
 
 
-def removed_words(
+def frequent_hits(
     docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, max_share: float
-) -> DataFrame:
-    """(_id, _key, removed): words of each document that stand in frequent lines.
+) -> tuple[DataFrame, DataFrame]:
+    """Of ``docs`` (_id, _key, _host, _copy, _text), and (_id, _key, _line, _n) of each line to remove.
 
-    Rows that repeat a document are merged: the words are an average over its rows. The frequent
-    lines are written to a table first; the planner broadcasts them only if that table is small,
+    The frequent lines are written to a table first; the planner broadcasts them only if that table is small,
     and else joins by (host, line) with Spark's split of skewed partitions.
     """
     slim = docs.select(
@@ -108,8 +110,15 @@ def removed_words(
     lines = _lines(slim)
     often = materialise(frequent_lines(lines, slim, min_docs, max_share), "frequent-lines").withColumnsRenamed({"_host": "_h", "_line": "_l"})
     hit = lines.join(often, (F.col("_line") == F.col("_l")) & F.col("_host").eqNullSafe(F.col("_h")))
+    return slim, hit.filter(~F.coalesce(F.col("_id") == F.col("_first"), F.lit(False))).select("_id", "_key", "_line", "_n")
+
+
+def removed_words(slim: DataFrame, hit: DataFrame) -> DataFrame:
+    """(_id, _key, removed): words of each document that stand in frequent lines.
+
+    Rows that repeat a document are merged: the words are an average over its rows.
+    """
     # rows that repeat a document hold each of its lines as often as there are rows
-    hit = hit.filter(~F.coalesce(F.col("_id") == F.col("_first"), F.lit(False)))
     per_key = hit.groupBy("_id", "_key").agg(F.sum("_n").alias("_sum"))
     rows = slim.select("_id", "_key").groupBy("_id", "_key").agg(F.count("*").alias("_rows")).filter("_rows > 1")
     rows = rows.withColumnsRenamed({"_id": "_id2", "_key": "_key2"})
@@ -117,6 +126,23 @@ def removed_words(
     return joined.select("_id", "_key", (F.col("_sum") / F.coalesce("_rows", F.lit(1))).cast("long").alias("removed_words"))
 
 
+def clean_texts(docs: DataFrame, hit: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """``docs`` with the lines in ``hit`` taken out of the text; its columns and rows are the same.
+
+    Only hashes of lines are grouped, by document; documents without any keep their text untouched.
+    """
+    gone = hit.groupBy("_id", "_key").agg(F.collect_set("_line").alias("_gone"))
+    gone = broadcast_if_small(materialise(gone, "removed-lines"), CLEANED_ROWS)
+    same = (document_key(id_col, text_col, host_col) == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id"))
+    stays = F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains("_gone", _line_hash(words(ascii_lower(x)))))
+    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(stays, "\n"))
+    return docs.join(gone, same, "left").select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
+
+def _line_hash(line_words: Column) -> Column:
+    return F.xxhash64(F.array_join(line_words, " "))
+
+
 def document_key(id_col: str, text_col: str, host_col: str) -> Column:
     return row_key(F.col(id_col), F.col(host_col), F.col(text_col))
 
@@ -130,7 +156,15 @@ def line_frequency_rules(
     max_share: float = 0.01,
     max_removed: float = 0.5,
 ) -> DataFrame:
-    """(id, key, counts, removed_words, base_failed, kept): one row per row of ``docs``.
+    """(id, key, counts, removed_words, base_failed, kept): one row per row of ``docs``."""
+    return _judged(docs, id_col, text_col, host_col, min_docs, max_share, max_removed)[0]
+
+
+def _judged(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+    min_docs: int = 20, max_share: float = 0.01, max_removed: float = 0.5, write_hits: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``line_frequency_rules``, and the lines to remove; written once where both are used.
 
     The counts are written to a table before anything is decided by them: a filter on them would
     else be moved below and make Spark compute the arrays anew for each element.
@@ -138,13 +172,16 @@ def line_frequency_rules(
     key = document_key(id_col, text_col, host_col)
     slim = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("_text"))
     counts = materialise(base_counts(slim, "_text"), "base-counts")
-    removed = removed_words(docs, id_col, text_col, host_col, min_docs, max_share)
+    docs_slim, hit = frequent_hits(docs, id_col, text_col, host_col, min_docs, max_share)
+    hit = materialise(hit, "frequent-hits") if write_hits else hit
+    removed = removed_words(docs_slim, hit)
     joined = counts.join(removed, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left")
     judged = joined.withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long"))).withColumn("base_failed", base_failed())
     kept = ~F.col("base_failed") & (F.col("removed_words") <= max_removed * F.col("n_words"))
-    return judged.select(
+    rows = judged.select(
         "id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", kept.alias("kept")
     )
+    return rows, hit
 
 
 def op4_line_frequency(spark, sf_dir: str) -> DataFrame:
@@ -153,14 +190,15 @@ def op4_line_frequency(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep, with the columns they came with.
+    """Pipeline stage: the documents that the rules keep, with the columns they came with and without their frequent lines.
 
     What is rejected is known by two numbers a row, so the texts are shuffled only where those are many.
     """
-    judged = line_frequency_rules(docs).filter(~F.col("kept")).select(F.col("id").alias("_rejected_id"), F.col("key").alias("_rejected_key")).distinct()
+    judged, hit = _judged(docs, write_hits=True)
+    judged = judged.filter(~F.col("kept")).select(F.col("id").alias("_rejected_id"), F.col("key").alias("_rejected_key")).distinct()
     judged = broadcast_if_small(materialise(judged, "rejected"))
     same = (document_key("doc_id", "text", "source") == F.col("_rejected_key")) & F.col("doc_id").eqNullSafe(F.col("_rejected_id"))
-    return docs.join(judged, same, "left_anti")
+    return clean_texts(docs.join(judged, same, "left_anti"), hit)
 
 
 OP4_SQL = r"""

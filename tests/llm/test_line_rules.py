@@ -51,3 +51,15 @@ def test_verdict_takes_effect_in_the_stage(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     kept = {r["id"] for r in line_rules.line_frequency_rules(docs).filter("kept").collect()}
     assert {r["doc_id"] for r in line_rules.keep_good_lines(spark, docs, "").collect()} == kept
+
+
+def test_stage_removes_frequent_lines_from_all_but_the_first(spark):
+    body = lambda k: "\n".join(f"Own {k} {j} " + " ".join(f"w{k}x{j}y{z}" for z in range(20)) for j in range(4))
+    often = "Shared  LINE of the site"
+    rows = [(k, body(k) + "\n" + (often if k % 2 else often.lower()) + "\n\n  end " + str(k), "a") for k in range(30)]
+    rows += [(k, body(k) + "\n" + often, "b") for k in range(40, 44)] + [(None, body(50) + "\n" + often, "a"), rows[7], (60, often, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n", F.lit(1))
+    clean = lambda r: r[1] if r[0] == 0 or r[2] == "b" else "\n".join(x for x in r[1].split("\n") if not x.lower().startswith("shared"))
+    got = line_rules.keep_good_lines(spark, df, "")
+    assert got.columns == df.columns
+    assert Counter(map(tuple, got.select("doc_id", "text", "source").collect())) == Counter((r[0], clean(r), r[2]) for r in rows if r[0] != 60)
