@@ -94,3 +94,22 @@ def test_pairs_out_of_reach_are_found_beside_a_crowd():
     found = hnsw.search(graph, x, hnsw.audited_beam(graph, x, np.arange(len(x)), 0.95, 0.99), 0.95)
     assert all(b in found[a] and a in found[b] for a, b in pairs)
     assert all(set(np.flatnonzero(true[i])) <= {*f, i} for i, f in enumerate(found))
+
+
+def test_pairs_and_groups_across_shards_and_blocks(spark):
+    rng = np.random.default_rng(7)
+    x, at = rng.normal(size=(2400, 32)), 0
+    sizes = [2] * 100 + [5] * 20 + [200]
+    for size in sizes:
+        x[at : at + size] = x[at] + 0.1 * np.linalg.norm(x[at]) / np.sqrt(32) * rng.normal(size=(size, 32))
+        at += size
+    x = x.astype(np.float32)
+    u = hnsw.unit(x.astype(float))
+    true = (u @ u.T >= 0.95).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    rows = hnsw.embedding_components(df, shard_rows=300, block_rows=800).collect()
+    got = np.array([n for _, n in sorted((r["id"], r["n_links"]) for r in rows)])
+    share, kind = got / np.maximum(true, 1), np.minimum(true, 9)
+    assert len(got) == len(true) and (got <= true).all()
+    for some in (kind == 1, (kind > 1) & (kind < 9), kind == 9):
+        assert some.sum() > 50 and share[some].mean() >= 0.99
