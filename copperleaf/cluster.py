@@ -11,19 +11,23 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 FALLBACK_DIR = "/tmp/checkpoints"
 #: Rows of a few numbers each that are broadcast at most: some 50 MB.
 BROADCAST_ROWS = 1_000_000
+#: A key with more than this share of all rows is hot; so there are at most 10,000 hot keys.
+HOT_SHARE = 1e-4
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset
-    (a local session, a test) is a local folder used and set as checkpoint folder.
+    It is the one the cluster names in ``spark.checkpoint.dir``, else the session's checkpoint
+    folder. Only where neither is set in a local session (a test) is a local folder used and set.
     """
-    named = spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    context = spark.sparkContext
+    named = context.getConf().get(CHECKPOINT_KEY) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} names no folder that the driver and all executors share")
         named = FALLBACK_DIR
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(named)
+        context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -52,6 +56,19 @@ def broadcast_if_small(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame
     return F.broadcast(keys) if keys.count() <= most else keys
 
 
+def join_counted(left: DataFrame, left_key: str, right: DataFrame, right_key: str, rows: str) -> DataFrame:
+    """Inner join with a written table of unique keys that says in ``rows`` how many rows of ``left`` each key has.
+
+    Hot keys, at most 1 / HOT_SHARE of them, are broadcast and so joined where their rows lie; the rows of
+    the others are shuffled, and none of those keys has more than HOT_SHARE of all rows.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot = F.broadcast(right.filter(F.col(rows) > total * HOT_SHARE))
+    rest = right.filter(F.col(rows) <= total * HOT_SHARE)
+    same = F.col(left_key) == F.col(right_key)
+    return left.join(hot, same).unionByName(left.join(hot.select(right_key), same, "left_anti").join(rest, same))
+
+
 def drop_scratch(spark: SparkSession) -> bool:
     """Delete all tables that ``materialise`` has written; only between jobs."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/copperleaf")
