@@ -7,11 +7,13 @@ highest quotients target / (2k - 1). A source is dealt to shards of about ``shar
 a hash of its documents, so a source of any size is spread over tasks; its blocks are apportioned
 to its shards in the same way, by their words. In a shard the documents stand in seeded order, cut
 into equal blocks; a quota takes whole passes over the shard and then a run of blocks from a seeded
-start. What a document gives is its overlap with them.
+start. What a document gives is its overlap with them. A source has at most ``MOST_SHARDS`` shards, which then
+grow with it, so that the window over a source's shards is bounded.
 
 Defined results: a null or empty text has size 0 and gives nothing; null sources are one source;
 rows that repeat an id are documents of their own; equal quotients go to the earlier source or
-shard; an empty table gives an empty table. The sums of sources and shards pass through windows of
+shard; a text of any length counts whole; an empty table gives an empty table; other columns are never read,
+whatever their names. The sums of sources and shards pass through windows of
 one row for each source or shard, never of one for each document.
 """
 
@@ -22,8 +24,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from copperleaf.cluster import fresh, materialise
+from copperleaf.llm.simhash import one_of
 from copperleaf.llm.textcols import count_words, row_key
 
+MOST_SHARDS = 1 << 16
+
 
 def _hash60(*parts: Column) -> Column:
     """60 bits of the MD5 of the parts as text."""
@@ -78,7 +83,7 @@ def mix(
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     house = F.floor(F.sum("target").over(W.partitionBy()) / block_words + 0.5).cast("long")
     sources = sainte_lague(source_targets(sizes, weights, share, most).withColumn("_house", house), [], "src", "target", "_house")
-    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")
+    shards = F.least(F.lit(MOST_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("long")
     sources = materialise(sources.select("source", "source_size", "src", "target", "seats", shards.alias("_shards")), "sources")
     named = sources.withColumnRenamed("source", "_source")
     dealt = slim.join(named, slim["source"].eqNullSafe(named["_source"])).withColumn("shard", F.col("_h") % F.col("_shards"))
@@ -109,15 +114,14 @@ def repeat_by_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat a document are taken together; a document without words is not taken.
     """
-    key, copies = fresh(docs, "_mix_key", "_mix_copies")
+    key, copies, ident, there, rows = fresh(docs, "_mix_key", "_mix_copies", "_mix_id", "_mix_k", "_mix_rows")
     mixed = mix(docs).filter("size > 0").withColumn("_n", F.floor(F.col("taken") / F.col("size") + 0.5))
-    plan = mixed.groupBy("id", "key").agg(F.sum("_n").cast("int").alias(copies), F.count("*").alias("_rows")).filter(F.col(copies) > 0)
-    plan = materialise(plan.select(F.col("id").alias("_mix_id"), F.col("key").alias("_mix_k"), copies, "_rows"), "mix")
+    plan = mixed.groupBy("id", "key").agg(F.sum("_n").cast("int").alias(copies), F.count("*").alias(rows)).filter(F.col(copies) > 0)
+    plan = materialise(plan.select(F.col("id").alias(ident), F.col("key").alias(there), copies, rows), "mix")
     keyed = docs.withColumn(key, row_key(*[F.col(c) for c in ("doc_id", "source", "text")]))
-    same = (F.col(key) == F.col("_mix_k")) & F.col("doc_id").eqNullSafe(F.col("_mix_id"))
-    once = keyed.join(plan.filter("_rows = 1"), same).select(*docs.columns, copies)
-    several = keyed.join(plan.filter("_rows > 1"), same).groupBy("_mix_id", "_mix_k").agg(F.min(F.struct(*docs.columns)).alias("_row"), F.first(copies).alias(copies))
-    several = several.select(*[F.col("_row")[c].alias(c) for c in docs.columns], copies)
+    same = (F.col(key) == F.col(there)) & F.col("doc_id").eqNullSafe(F.col(ident))
+    once = keyed.join(plan.filter(F.col(rows) == 1), same).select(*docs.columns, copies)
+    several = one_of(keyed.join(plan.filter(F.col(rows) > 1), same), [ident, there], [*docs.columns, copies])
     return once.unionByName(several).withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).drop(copies)
 
 
@@ -154,7 +158,7 @@ WITH d AS (
   SELECT src, target AS v, CAST(floor(sum(target) OVER () / 32 + 0.5) AS BIGINT) AS house FROM t
 ), seat AS ({_SEATS.format(keys="src", part="", tie="src", table="a")}
 ), p AS (
-  SELECT h.*, t.src, t.source_size, t.target, coalesce(seat.seats, 0) AS seats, h.h % CAST(greatest(1, ceil(t.source_size / 1048576)) AS BIGINT) AS shard
+  SELECT h.*, t.src, t.source_size, t.target, coalesce(seat.seats, 0) AS seats, h.h % CAST(least({MOST_SHARDS}, greatest(1, ceil(t.source_size / 1048576))) AS BIGINT) AS shard
   FROM h JOIN t ON h.source IS NOT DISTINCT FROM t.source LEFT JOIN seat ON seat.src = t.src
 ), b AS (
   SELECT src, shard, CAST(sum(size) AS BIGINT) AS words, CAST(sum(size) AS DOUBLE) AS v, max(seats) AS house FROM p GROUP BY src, shard

@@ -11,8 +11,9 @@ fingerprints is spread over tasks too. Every group returns a spanning forest of
 one edge per fingerprint, which keeps all components.
 
 Defined results: null or empty text has fingerprint 0, linked like any other; a null id is never
-a component's name (null if a component has no other); rows that repeat an id are one document;
-an empty table gives an empty table; columns other than id and text are never read.
+a component's name (null if a component has no other); rows that repeat an id are all returned, and are
+linked by their fingerprints like any others; a text of any length is taken whole, in pieces of shingles; an
+empty table gives an empty table; columns other than id and text are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copperleaf.cluster import broadcast_if_small, materialise
+from copperleaf.cluster import broadcast_if_small, fresh, join_counted, materialise
 from copperleaf.llm.components import connected_components
 
 BITS = 64
@@ -51,15 +52,19 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp) of each row."""
+    """(id, fp, copy) of each row; copy is a hash of the text that tells different texts of one id apart."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(x.as_py(), width) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], ["id", "fp"])
+            made = [fingerprint(x.as_py(), width) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64()), batch.column(1)], ["id", "fp", "copy"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(task, "id long, fp long")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("copy"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(task, "id long, fp long, copy long")
+
+
+def text_hash(text_col: str):
+    return F.xxhash64(F.col(text_col).isNull(), F.col(text_col))
 
 
 def _branch(lo: np.ndarray, hi: np.ndarray, path: np.ndarray) -> np.ndarray:
@@ -148,7 +153,7 @@ def _dealt(rows: DataFrame, depth: int, parts: int) -> DataFrame:
     """Each row once for each block of the bits after ``depth``, that block turned to the front."""
     low = BITS - depth
     width = low // parts
-    turns = F.array(*[F.struct((F.col("tag") * 8 + i + 1).alias("tag"), _turned(F.col("path"), i * width, width, low).alias("path")) for i in range(parts)])
+    turns = F.array(*[F.struct((F.col("tag") * (parts + 1) + i + 1).alias("tag"), _turned(F.col("path"), i * width, width, low).alias("path")) for i in range(parts)])
     return rows.select("fp", F.explode(turns).alias("t")).select("fp", "t.tag", "t.path", F.lit(depth + width).alias("depth"))
 
 
@@ -156,11 +161,22 @@ def _prefix(depth: int):
     return F.shiftrightunsigned("path", BITS - depth)
 
 
+def _depths(parts: int, rounds: int = 2) -> list[int]:
+    """The bits at the front that agree after each of the first dealings, while enough are left for another."""
+    out: list[int] = []
+    while len(out) < rounds:
+        at = out[-1] if out else 0
+        out.append(at + (BITS - at) // parts)
+        if BITS - out[-1] < parts:
+            return out[:-1]
+    return out
+
+
 def spanning_links(fps: DataFrame, budget: int = 3, max_group: int = 4096) -> DataFrame:
     """(a, b): links between distinct fingerprints that keep all components at ``budget`` bits."""
     rows = _dealt(fps.select("fp", F.lit(0).cast("long").alias("tag"), F.col("fp").alias("path")), 0, budget + 1)
     ready = []
-    for depth in (16, 28) if budget == 3 else ():
+    for depth in _depths(budget + 1):
         sizes = rows.groupBy("tag", _prefix(depth).alias("prefix")).agg(F.count("*").alias("n")).filter(F.col("n") > max_group)
         large = sizes.select(F.col("tag").alias("t"), F.col("prefix").alias("p"))
         on = (F.col("tag") == F.col("t")) & (_prefix(depth) == F.col("p"))
@@ -207,15 +223,16 @@ def _group_links(rows: np.ndarray, budget: int) -> pa.RecordBatch:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3, max_group: int = 4096) -> DataFrame:
-    """(id, fp, component): each row's fingerprint and the smallest id that links reach from it."""
+    """(id, fp, copy, component, root): each row's fingerprint, the smallest id that links reach from it, and the
+    smallest fingerprint that they reach, which names the component also where no row has an id."""
     fps = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    first = materialise(fps.groupBy("fp").agg(F.min("id").alias("first")), "first-of-fingerprint")
+    first = materialise(fps.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("rows")), "first-of-fingerprint")
     found = connected_components(spanning_links(first.select("fp"), budget, max_group))
     found = found.join(first, found["node"] == first["fp"]).select("node", "root", "first")
-    names = found.groupBy("root").agg(F.min("first").alias("component"))
-    named = found.join(names, "root").select(F.col("node").alias("fp"), "component")
-    every = first.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
-    return fps.join(every, "fp").select("id", "fp", "component")
+    names = found.groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("component"), F.count("*").alias("nodes"))
+    named = join_counted(found, "root", materialise(names, "components"), "_root", "nodes").select(F.col("node").alias("_node"), "root", "component")
+    every = first.join(named, F.col("fp") == F.col("_node"), "left").select(F.col("fp").alias("_fp"), "rows", F.coalesce("component", "first").alias("component"), F.coalesce("root", "fp").alias("root"))
+    return join_counted(fps, "fp", materialise(every, "named-fingerprints"), "_fp", "rows").select("id", "fp", "copy", "component", "root")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
@@ -226,17 +243,27 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id.
-
-    Rows that repeat that id leave one row, the smallest by its columns; rows without an id are
-    no one's copies and stay.
+    """Pipeline stage: of each component one row, that with the smallest id and hash of the text; rows without an
+    id come last. Rows that repeat both leave one row, the smallest by a hash of all their columns.
     """
-    named_first = simhash_components(docs).groupBy(F.col("id").alias("_copy")).agg(F.bool_or(F.col("id") == F.col("component")).alias("_first"))
-    copies = named_first.filter("_copy IS NOT NULL AND NOT _first").select("_copy")
-    copies = broadcast_if_small(materialise(copies, "copies"))
-    named = docs.filter(F.col("doc_id").isNotNull()).join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
-    twice = named.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_twice"))
-    twice = broadcast_if_small(materialise(twice, "repeated"))
-    once = named.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti")
-    one = named.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return once.unionByName(one.select(*[F.col("_row")[c].alias(c) for c in docs.columns])).unionByName(docs.filter(F.col("doc_id").isNull()))
+    rows = materialise(simhash_components(docs).withColumn("place", F.struct(F.col("id").isNull().alias("none"), "id", "copy")).select("root", "place"), "placed")
+    least = rows.groupBy(F.col("root").alias("_root")).agg(F.min("place").alias("best"), F.count("*").alias("rows"))
+    told = join_counted(rows, "root", materialise(least, "best-of-component"), "_root", "rows")
+    ident, copy = fresh(docs, "_copy_id", "_copy_hash")
+    same = (text_hash("text") == F.col(copy)) & F.col("doc_id").cast("long").eqNullSafe(F.col(ident))
+
+    def known(some: DataFrame, name: str) -> DataFrame:
+        return broadcast_if_small(materialise(some.select(F.col("place.id").alias(ident), F.col("place.copy").alias(copy)), name))
+
+    losers = known(told.filter("place <> best").select("place").distinct(), "copies")
+    repeated = known(rows.groupBy("place").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
+    kept = docs.join(losers, same, "left_anti")
+    once, several = kept.join(repeated, same, "left_anti"), kept.join(repeated, same)
+    return once.unionByName(one_of(several, [ident, copy], docs.columns))
+
+
+def one_of(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Of the rows of each key the smallest by a hash of its columns as JSON; columns of any type."""
+    (row,) = fresh(rows, "_row")
+    every = F.struct(*columns)
+    return rows.groupBy(*keys).agg(F.min_by(every, F.sha2(F.to_json(every), 256)).alias(row)).select(*[F.col(row)[c].alias(c) for c in columns])

@@ -98,14 +98,52 @@ def test_components_of_odd_rows(spark):
     assert simhash.simhash_components(df.limit(0)).count() == 0
 
 
+HELPERS = ("component", "root", "copy", "_copy_id", "_copy_hash", "_row", "_root", "place", "fp", "id")
+
+
 def test_stage_leaves_one_of_each(spark):
-    df = spark.createDataFrame(ROWS, "doc_id long, text string").withColumn("component", F.lit("kept"))
+    df = spark.createDataFrame(ROWS, "doc_id long, text string").withColumns({c: F.lit("kept") for c in HELPERS} | {"tags": F.create_map(F.lit("a"), F.lit(1))})
     out = simhash.keep_one_of_each(spark, df, "")
     assert out.columns == df.columns
-    assert sorted(str(r["doc_id"]) for r in out.collect()) == ["3", "4", "7", "9", "None", "None"]
+    # the text without an id that is a copy goes, that without copies stays
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == ["3", "4", "7", "9", "None"]
     assert simhash.keep_one_of_each(spark, df.limit(0), "").count() == 0
 
 
+def test_texts_that_share_an_id_are_told_apart(spark):
+    alone, near = "a text of its own that nobody else in this table has", ROWS[0][1]
+    df = spark.createDataFrame([(1, near), (1, alone), (2, near), (None, alone), (None, "x y z"), (None, "x y z")], "doc_id long, text string").withColumn("n", F.rand(1))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in simhash.keep_one_of_each(spark, df, "").collect()) == sorted([("1", near), ("1", alone), ("None", "x y z")])
+
+
+def test_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    fp = {i: brute_fp(t) for i, t in texts.items()}
+    component = brute_components(fp)
+    got = {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.op2_simhash(spark, sf).collect()}
+    assert got == {(i, f"{x:016x}", component[i]) for i, x in fp.items()} and len(got) == len(texts)
+
+
+@pytest.mark.parametrize("budget", [0, 1, 5])
+def test_links_at_other_budgets(spark, budget):
+    fps = crowd(random.Random(6), 200)
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    got = {r["node"]: r["root"] for r in connected_components(simhash.spanning_links(df, budget, max_group=3)).collect()}
+    near = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= budget
+    want = {}
+    for x in fps:
+        reach, todo = {x}, [x]
+        while todo:
+            y = todo.pop()
+            new = {z for z in fps if z not in reach and near(y, z)}
+            reach |= new
+            todo += new
+        if len(reach) > 1:
+            want[x] = min(reach)
+    assert got == want
+
+
 def test_components_of_a_long_path_and_no_edges(spark):
     path = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = connected_components(path).collect()
