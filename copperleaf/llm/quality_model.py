@@ -6,15 +6,16 @@ one sign, and a pair of equal words is marked, so that spelled-out junk is recog
 training never saw. Both groups are scaled to length 1 and hashed into ``2 ** bits`` weights. Ids, labels, language
 and source are never features.
 
-Training takes a bounded sample: at most ``max_train`` labelled rows, the first by a hash of the
-id, dealt to ``shards`` groups by another hash. Each group runs FTRL updates over its rows in hash
-order, ``epochs`` times, in one task of bounded size, and the groups' weights are averaged. Everything
+Training takes a bounded sample: at most ``max_train`` labelled rows and ``max_bytes`` of their whole texts, the
+first by a hash of the id, dealt to ``shards`` groups by another hash. Each group runs FTRL updates over its rows in hash
+order, ``epochs`` times, in one task of bounded size, and the groups' weights are averaged by their rows. Everything
 else runs over all rows: scoring is a sparse dot product with the broadcast weights, whose size
 is ``2 ** bits`` numbers whatever the input.
 
 Defined results: null and empty texts have no features and score by the bias alone; null labels
 and null ids are not learned from; several labels of an id count as their mean; a table without
-labels gives every text 0.5; repeated rows score alike.
+labels gives every text 0.5; repeated rows score alike; texts of any length are scored whole, one at a time; of an id's
+different texts the smallest is learned from; extra columns are passed through by ``score``, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from copperleaf.cluster import fresh, materialise
@@ -98,7 +100,7 @@ def in_held_out(id_col: Column) -> Column:
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    bits: int = 18, max_train: int = 20000, shards: int = 8, epochs: int = 5,
+    bits: int = 18, max_train: int = 20000, max_bytes: int = 1 << 29, shards: int = 8, epochs: int = 5,
 ) -> np.ndarray:
     """The averaged weights, ``2 ** bits`` and the bias."""
     marked = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~in_held_out(F.col(id_col)))
@@ -110,21 +112,28 @@ def train(
     sample = materialise(sample, "sample")  # at most max_train ids: that bounds what is broadcast
     rows = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_label").alias("_label"))
     rows = rows.withColumn("_shard", F.pmod(F.xxhash64(F.lit("shard"), "_id"), F.lit(shards)).cast("int")).withColumn("_order", order)
+    rows = materialise(rows.withColumn("_bytes", F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long")), "sample-texts")
+    # a window over at most max_train rows of three numbers
+    before = F.sum("_bytes").over(W.orderBy("_order", "_id").rowsBetween(W.unboundedPreceding, 0))
+    fits = F.broadcast(rows.select("_order", "_id", "_bytes").withColumn("_sum", before).filter(F.col("_sum") <= max_bytes).select(F.col("_id").alias("_fits")))
+    rows = rows.join(fits, F.col("_id") == F.col("_fits"), "left_semi")
     size = (1 << bits) + 1
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["_order", "_id"])
         w = ftrl([(*features(t, bits), y) for t, y in zip(part["_text"], part["_label"], strict=True)], size, epochs)
         at = np.flatnonzero(w)
-        return pd.DataFrame({"at": at, "w": w[at]})
+        return pd.DataFrame({"at": np.r_[-1, at], "w": np.r_[1.0, w[at]] * len(part)})
 
-    parts = rows.groupBy("_shard").applyInPandas(learn, "at long, w double")
-    n = shards
-    weights = np.zeros(size)
+    parts = rows.groupBy("_shard").applyInPandas(learn, "at long, w double").groupBy("at").agg(F.sum("w").alias("w"))
+    sums, total = np.zeros(size), 1.0
     # at most 2 ** bits rows, a bound of the model and not of the data
-    for at, w in parts.groupBy("at").agg((F.sum("w") / n).alias("w")).toPandas().itertuples(index=False):
-        weights[at] = w
-    return weights
+    for at, w in parts.toPandas().itertuples(index=False):
+        if at < 0:
+            total = w
+        else:
+            sums[at] = w
+    return sums / total
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out: str = "score") -> DataFrame:
