@@ -10,7 +10,7 @@ from copperleaf.llm.preferences import OP10_SQL, op10_preferences
 from copperleaf.llm.quality_model import op1_quality
 from copperleaf.llm.sharding import OP6_SQL, op6_extendible_hashing
 from copperleaf.llm.simhash import op2_simhash
-from copperleaf.llm.token_rollup import OP3_SQL, op3_token_rollup
+from copperleaf.llm.token_rollup import op3_token_rollup
 from copperleaf.llm.warc import OP5_SQL, op5_arc_to_warc
 
 
@@ -31,7 +31,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op3_token_rollup": OP3_SQL,
         "op4_line_frequency": OP4_SQL,
         "op5_arc_to_warc": OP5_SQL,
         "op6_extendible_hashing": OP6_SQL,

@@ -2,24 +2,37 @@
 
 A batch is a table of deltas: an insert adds a document and its tokens, a delete takes both away, a
 revised count takes away the old tokens and adds the new. A commit sums a batch on the map side to one row for each
-key and writes it to a folder of the batch's own; the writer's success mark is the commit. A batch that is
-committed already is not written again, and one whose writer died is written anew, so replays never count
-twice. Totals are the sum over committed batches; ``compact`` replaces them by their sum.
+key, writes it to a folder of its own and moves that to the batch's place; the move fails where the place is taken,
+so of several writers of a batch one commits, and replays never count twice. Totals are the sum over committed batches.
 
-Defined results: null source, language or version is a key of its own; null counts are 0; repeated rows count
-as often as they are there; an empty batch commits and changes nothing; keys with no documents and tokens left
-are not in the totals.
+``compact`` replaces batches by their sum in steps that may each be the last: the sum is written to a new
+folder, a numbered manifest that names it and the ids in it is moved into place, and only then are old folders
+deleted. A reader goes by the highest manifest, which lists every id that was ever folded in, so ids stay committed.
+
+A tokenizer's version is its name and the start of the SHA-256 of its file. Counts are made in Arrow batches, a
+document at a time, with the tokenizer loaded once for each worker.
+
+Defined results: null source, language or version is a key of its own; null texts and counts are 0 tokens; texts of any
+length are counted whole; repeated rows count as often as they are there; an empty batch commits and changes nothing;
+keys with no documents and tokens left are not in the totals; other columns are never read, whatever their names.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import uuid
+from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import quote, unquote
 
+import pyarrow as pa
+import tiktoken
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copperleaf.cluster import materialise, scratch_path
-from copperleaf.llm.textcols import count_words
+from copperleaf.cluster import join_counted, materialise, scratch_path
 
 KEYS = ["source", "lang", "version"]
 SCHEMA = "source string, lang string, version string, n_docs long, n_tokens long"
@@ -42,93 +55,180 @@ def revisions(docs: DataFrame, version: str, old: Column, new: Column) -> DataFr
     return deltas(docs, version, 0, F.coalesce(new.cast("long"), F.lit(0)) - F.coalesce(old.cast("long"), F.lit(0)))
 
 
+def _summed(rows: DataFrame) -> DataFrame:
+    sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    return sums.filter("n_docs <> 0 OR n_tokens <> 0")
+
+
 class Rollup:
-    """A folder of committed batches, in any file system that Spark writes to."""
+    """A folder of committed batches, in any file system that Spark writes to and that renames at once."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    # -- files
+
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _exists(self, path: str) -> bool:
+    def _names(self, folder: str) -> list[str]:
+        fs, p = self._fs(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _move(self, source: str, target: str) -> bool:
+        """Whether ``source`` is at ``target`` now; False, and nothing moved, where the target is taken."""
+        jvm = self.spark._jvm
+        paths = [self._fs(x)[1] for x in (source, target)]
+        fs = self._fs(source)[0]
+        fs.mkdirs(paths[1].getParent())
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(paths[0]).toUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            files.rename(*[fs.makeQualified(p) for p in paths], none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                fs.delete(paths[0], True)
+                return False
+            raise
+        return True
+
+    def _delete(self, path: str) -> None:
         fs, p = self._fs(path)
-        return fs.exists(p)
+        fs.delete(p, True)
+
+    # -- state
 
-    def _folder(self, batch_id: str) -> str:
-        return f"{self.path}/batch={quote(batch_id, safe='')}"
+    def _place(self, batch_id: str) -> str:
+        return f"{self.path}/batches/{quote(batch_id, safe='')}"
+
+    def _manifest(self) -> tuple[int, str | None, set[str]]:
+        """Number of the highest manifest, the folder of its sum, and the ids in that sum."""
+        found = self._names(f"{self.path}/manifests")
+        if not found:
+            return 0, None, set()
+        # ids of batches, which are as many as commits and not as documents
+        lines = [r["value"] for r in self.spark.read.text(f"{self.path}/manifests/{found[-1]}").collect()]
+        base = next(x[5:] for x in lines if x.startswith("base="))
+        return int(found[-1]), base, {unquote(x[3:]) for x in lines if x.startswith("id=")}
 
     def batches(self) -> list[str]:
-        """Ids of the committed batches that are not compacted."""
-        fs, p = self._fs(self.path)
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(unquote(n[6:]) for n in names if n.startswith("batch=") and self._exists(f"{self.path}/{n}/_SUCCESS"))
+        """Ids of the committed batches that are not folded into a sum."""
+        folded = self._manifest()[2]
+        return sorted(b for b in map(unquote, self._names(f"{self.path}/batches")) if b not in folded)
 
     def committed(self, batch_id: str) -> bool:
-        return self._exists(f"{self._folder(batch_id)}/_SUCCESS") or self._exists(f"{self.path}/compacted/{quote(batch_id, safe='')}")
+        fs, p = self._fs(self._place(batch_id))
+        return fs.exists(p) or batch_id in self._manifest()[2]
+
+    # -- changes
 
     def commit(self, batch_id: str, batch: DataFrame) -> bool:
-        """Whether the batch was written; False if it was committed before."""
+        """Whether this call committed the batch; False if it was committed before, or by another writer."""
         if self.committed(batch_id):
             return False
-        sums = batch.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums.filter("n_docs <> 0 OR n_tokens <> 0").write.mode("overwrite").parquet(self._folder(batch_id))
-        return True
+        made = f"{self.path}/writing/{uuid.uuid4().hex}"
+        _summed(batch).write.parquet(made)
+        return self._move(made, self._place(batch_id))
 
     def totals(self) -> DataFrame:
-        paths = [self._folder(b) for b in self.batches()]
-        rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
-        sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.filter("n_docs <> 0 OR n_tokens <> 0")
-
-    def compact(self, batch_id: str) -> None:
-        """Replace the committed batches by one. Between commits only; its sum is committed
-        under a name that holds no batch, the old ids are marked first, and then their folders go."""
-        old = self.batches()
-        total = materialise(self.totals(), "rollup")
-        for b in old:
-            fs, p = self._fs(f"{self.path}/compacted/{quote(b, safe='')}")
-            fs.create(p).close()
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(b)), True)
-        total.write.mode("overwrite").parquet(self._folder(batch_id))
+        base = self._manifest()[1]
+        paths = [self._place(b) for b in self.batches()] + ([f"{self.path}/sums/{base}"] if base else [])
+        return _summed(self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA))
+
+    def compact(self) -> bool:
+        """Fold the committed batches into one sum; False if another call did so meanwhile."""
+        number, _, folded = self._manifest()
+        base = self._write_sum()
+        return self._switch(number + 1, base, folded | set(self.batches())) and self._sweep()
+
+    def _write_sum(self) -> str:
+        base = uuid.uuid4().hex
+        self.totals().write.parquet(f"{self.path}/sums/{base}")
+        return base
+
+    def _switch(self, number: int, base: str, ids: set[str]) -> bool:
+        made = f"{self.path}/writing/{uuid.uuid4().hex}"
+        lines = [f"base={base}", *(f"id={quote(i, safe='')}" for i in sorted(ids))]
+        self.spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(made)
+        return self._move(made, f"{self.path}/manifests/{number:012d}")
+
+    def _sweep(self) -> bool:
+        """Delete what the highest manifest has made needless; after a death the next call does it."""
+        _, base, folded = self._manifest()
+        for b in map(unquote, self._names(f"{self.path}/batches")):
+            if b in folded:
+                self._delete(self._place(b))
+        for s in self._names(f"{self.path}/sums"):
+            if s != base:
+                self._delete(f"{self.path}/sums/{s}")
+        for m in self._names(f"{self.path}/manifests")[:-1]:
+            self._delete(f"{self.path}/manifests/{m}")
+        return True
+
+
+# -- counting
+
+
+@lru_cache(maxsize=4)
+def _encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+
+def version_of(path: str) -> str:
+    with open(path, "rb") as f:
+        return f"{path.rpartition('/')[2]}@{hashlib.sha256(f.read()).hexdigest()[:12]}"
+
+
+def with_token_counts(rows: DataFrame, texts: list[str], paths: dict[str, str], pattern: str) -> DataFrame:
+    """``rows`` without the columns ``texts``, with ``<text>_<name>`` for each of them and each tokenizer file.
+
+    The files are read on the driver and broadcast: their size is that of the vocabulary.
+    """
+    files = {}
+    for name, path in paths.items():
+        with open(path, "rb") as f:
+            files[name] = f.read()
+    shared = rows.sparkSession.sparkContext.broadcast(files)
+    carried = [c for c in rows.columns if c not in texts]
+    made = [f"{t}_{n}" for t in texts for n in paths]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {n: _encoding(x, pattern) for n, x in shared.value.items()}
+        for batch in batches:
+            counts = []
+            for t in texts:
+                column = batch.column(batch.schema.get_field_index(t))
+                counts += [pa.array([len(e.encode_ordinary(x.as_py())) if x.is_valid else None for x in column], pa.int64()) for e in known.values()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in carried], *counts], names=[*carried, *made])
+
+    return rows.mapInArrow(task, rows.select(*carried, *[F.lit(None).cast("long").alias(c) for c in made]).schema)
 
 
 def op3_token_rollup(spark, sf_dir: str) -> DataFrame:
-    """A feed over all documents: inserts, a second tokenizer version, a replay, revised counts, and
-    deletes of every document whose text a smaller id has too."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    import public_tokenizers
+
+    paths = {"a": public_tokenizers.path("byte_bpe_50k.tiktoken"), "b": public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}
+    return feed(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), paths, public_tokenizers.PATTERN)
+
+
+def feed(spark, docs: DataFrame, paths: dict[str, str], pattern: str) -> DataFrame:
+    """A feed over all documents: inserts, a second tokenizer version, a replay of it, revised counts of the documents whose
+    bars are taken out, deletes of every document whose text a smaller id has too, and a compaction."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    marks = F.length(text) - F.length(F.translate(text, ".,!?;:", ""))
-    bars = F.length(text) - F.length(F.translate(text, "|", ""))
-    counted = docs.select("doc_id", "source", "lang", F.md5(text).alias("digest"), count_words(F.col("text")).alias("words"), marks.alias("marks"), bars.alias("bars"))
-    counted = materialise(counted, "counts")
-    first = counted.groupBy("digest").agg(F.min("doc_id").alias("_first")).withColumnRenamed("digest", "_digest")
-    copies = counted.join(first, F.col("digest") == F.col("_digest")).filter("doc_id > _first")
-    old, new, second = F.col("words"), F.greatest(F.lit(0), F.col("words") - F.col("bars")), F.col("words") + F.col("marks")
+    slim = docs.select("doc_id", "source", "lang", F.md5(text).alias("digest"), text.alias("old"), F.when(text.contains("|"), F.translate(text, "|", "")).alias("new"))
+    counted = materialise(with_token_counts(slim, ["old", "new"], paths, pattern), "counts")
+    first = counted.groupBy(F.col("digest").alias("_digest")).agg(F.min("doc_id").alias("_first"), F.count("*").alias("_rows"))
+    copies = materialise(join_counted(counted, "digest", materialise(first, "firsts"), "_digest", "_rows").filter("doc_id > _first"), "copies")
     rollup = Rollup(spark, scratch_path(spark, "rollup"))
-    rollup.commit("1 insert", inserts(counted, "words-1", old))
-    rollup.commit("2 version", inserts(counted, "words-2", second))
-    rollup.commit("2 version", inserts(counted, "words-2", second))
-    rollup.commit("3 revise", revisions(counted.filter("bars > 0"), "words-1", old, new))
-    rollup.commit("4 delete", deletes(copies, "words-1", new).unionByName(deletes(copies, "words-2", second)))
+    versions = {n: version_of(p) for n, p in paths.items()}
+    for n, v in versions.items():
+        rollup.commit(f"insert {v}", inserts(counted, v, F.col(f"old_{n}")))
+    rollup.commit(f"insert {v}", inserts(counted, v, F.col(f"old_{n}")))
+    revised = counted.filter("new_a IS NOT NULL")
+    for n, v in versions.items():
+        rollup.commit(f"revise {v}", revisions(revised, v, F.col(f"old_{n}"), F.col(f"new_{n}")))
+        rollup.commit(f"delete {v}", deletes(copies, v, F.coalesce(f"new_{n}", f"old_{n}")))
+    rollup.compact()
     return rollup.totals()
-
-
-OP3_SQL = r"""
-WITH c AS (
-  SELECT source, lang, doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id,
-    CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS words,
-    length(coalesce(text, '')) - length(translate(coalesce(text, ''), '.,!?;:', '')) AS marks,
-    length(coalesce(text, '')) - length(translate(coalesce(text, ''), '|', '')) AS bars
-  FROM documents
-), k AS (
-  SELECT * FROM c WHERE NOT coalesce(doc_id > first_id, false)
-), v AS (
-  SELECT source, lang, 'words-1' AS version, greatest(0, words - bars) AS n FROM k
-  UNION ALL SELECT source, lang, 'words-2', words + marks FROM k
-)
-SELECT source, lang, version, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM v GROUP BY ALL
-"""

@@ -21,23 +21,96 @@ def test_rollup_commits_once_and_keeps_odd_keys(spark):
     assert store.commit("delete", tr.deletes(docs.filter("doc_id = 3"), "v1", F.col("n")))
     want = {w for w in want if w[0] != "b"}
     assert set(map(tuple, store.totals().collect())) == want
-    store.compact("base")
-    assert set(map(tuple, store.totals().collect())) == want and store.batches() == ["base"]
-    assert not store.commit("revise", tr.inserts(docs, "v1", F.col("n")))
+    assert store.compact()
+    assert set(map(tuple, store.totals().collect())) == want and store.batches() == []
+    assert not store.commit("revise", tr.inserts(docs, "v1", F.col("n"))) and not store.commit("day 1/a", tr.inserts(docs, "v1", F.col("n")))
+    assert store.commit("more", tr.inserts(docs.limit(1), "v2", F.col("n"))) and store.compact()
+    assert set(map(tuple, store.totals().collect())) == want | {("a", "en", "v2", 1, 5)}
 
 
-def test_a_dead_writer_is_written_anew(spark):
+class Dead(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["_write_sum", "_move", "_switch", "_delete", "_sweep"])
+@pytest.mark.parametrize("after", [False, True])
+def test_totals_outlive_a_death_at_any_step_of_compact(spark, monkeypatch, step, after):
+    path = scratch_path(spark, "rollup")
+    docs = spark.createDataFrame([(1, "a", "en", 5), (2, "b", "fr", 7)], DOC)
+    store = tr.Rollup(spark, path)
+    for b in ("x", "y"):
+        store.commit(b, tr.inserts(docs, "v1", F.col("n")))
+    want = sorted(map(tuple, store.totals().collect()))
+    real = getattr(tr.Rollup, step)
+
+    def dies(self, *args):
+        if after:
+            real(self, *args)
+        raise Dead
+
+    with monkeypatch.context() as m:
+        m.setattr(tr.Rollup, step, dies)
+        with pytest.raises(Dead):
+            store.compact()
+    store = tr.Rollup(spark, path)
+    for _ in range(2):
+        assert sorted(map(tuple, store.totals().collect())) == want
+        assert not store.commit("x", tr.inserts(docs, "v1", F.col("n")))
+        assert store.compact()
+
+
+def test_a_dead_writer_leaves_nothing_and_of_two_one_commits(spark, monkeypatch):
     path = scratch_path(spark, "rollup")
     store = tr.Rollup(spark, path)
     docs = spark.createDataFrame([(1, "a", "en", 5)], DOC)
-    tr.inserts(docs, "v1", F.col("n")).withColumn("n_docs", F.lit(9)).write.parquet(f"{path}/batch=b")
-    fs, p = store._fs(f"{path}/batch=b/_SUCCESS")
-    fs.delete(p, False)
-    assert store.totals().count() == 0
-    assert store.commit("b", tr.inserts(docs, "v1", F.col("n")))
+    with monkeypatch.context() as m:
+        m.setattr(tr.Rollup, "_move", lambda *a: (_ for _ in ()).throw(Dead()))
+        with pytest.raises(Dead):
+            store.commit("b", tr.inserts(docs, "v1", F.col("n")))
+    assert store.totals().count() == 0 and not store.committed("b")
+    with monkeypatch.context() as m:  # both writers have looked before either commits
+        m.setattr(tr.Rollup, "committed", lambda self, b: False)
+        assert [store.commit("b", tr.inserts(docs, "v1", F.col("n"))) for _ in range(2)] == [True, False]
     assert [tuple(r) for r in store.totals().collect()] == [("a", "en", "v1", 1, 5)]
 
 
+def test_query_counts_as_the_library_does(spark):
+    import base64
+    from collections import Counter
+
+    import public_tokenizers
+    import tiktoken
+
+    sf, want = "/root/testdata/sf0.001", Counter()
+    rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    for file in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"):
+        path, seen = public_tokenizers.path(file), set()
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        real = tiktoken.Encoding("real", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        for r in rows:
+            if (r["text"] or "") not in seen:
+                seen.add(r["text"] or "")
+                want[r["source"], r["lang"], tr.version_of(path), "docs"] += 1
+                want[r["source"], r["lang"], tr.version_of(path), "tokens"] += len(real.encode_ordinary((r["text"] or "").replace("|", "")))
+    got = Counter()
+    for r in tr.op3_token_rollup(spark, sf).collect():
+        got[r["source"], r["lang"], r["version"], "docs"] += r["n_docs"]
+        got[r["source"], r["lang"], r["version"], "tokens"] += r["n_tokens"]
+    assert got == want
+
+
+def test_feed_of_odd_rows(spark):
+    import public_tokenizers
+
+    paths = {"a": public_tokenizers.path("byte_bpe_50k.tiktoken")}
+    rows = [(1, "x | y", None, None), (2, "x | y", "s", "en"), (None, "x | y", "s", "en"), (3, None, "s", "en"), (4, "", "s", "en"), (5, "word " * 200000, "s", "fr"), (5, "other", "s", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumns({c: F.lit(1) for c in ("old", "new", "digest", "_digest", "_rows", "version", "n_docs")})
+    got = {tuple(r)[:2] + (r["n_docs"],): r["n_tokens"] for r in tr.feed(spark, df, paths, public_tokenizers.PATTERN).collect()}
+    assert {k[:2]: k[2] for k in got} == {(None, None): 1, ("s", "en"): 2, ("s", "fr"): 2} and got["s", "fr", 2] > 200000
+    assert tr.feed(spark, df.limit(0), paths, public_tokenizers.PATTERN).count() == 0
+
+
 def test_shards_fit_and_split_no_more_than_needed(spark):
     rows = [(i, "x" * (i % 90)) for i in range(3000)] + [(7, "same")] * 500 + [(None, None), (None, ""), (-1, "y" * 5000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h": F.lit(1), "shard": F.lit("z"), "bytes": F.lit(0)})
