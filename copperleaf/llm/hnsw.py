@@ -1,21 +1,30 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one per shard.
 
-Equal vectors are merged first and stand for their number. The distinct ones are dealt to shards of at most
-about ``shard_rows`` (eight at least), and each shard's graph is built in one task and written as one row
+Equal vectors are merged first and stand for their number. A distinct vector is numbered by its hash, and dealt by
+that to shards of at most about ``shard_rows`` vectors and ``shard_bytes`` bytes (eight at least), so that reruns and other
+partitionings build the same graphs. Each shard's graph is built in one task and written as one row
 of a table. Every block of queries then searches every shard: a greedy descent through the upper
 layers, then a beam on the lowest. A beam is widened in two ways: for a whole block and shard until an
-audit of up to 512 of its queries against brute force reaches ``recall`` of their links and of their four nearest,
-which every query has, and for a single query as long as all of its beam is within the threshold, so that a crowd of any size is found whole.
+audit passes, and for a single query as long as all of its beam is within the threshold, so that a crowd of any size is found whole.
+
+The audit of a block and shard is against known truth and leaves none out. It asks for ``recall`` of the links that
+brute force finds for up to 512 of the block's queries, and of up to 512 planted neighbours: nodes of the shard, each turned by a
+random angle to just within the threshold, so that a shard is audited on the hardest links there can be also where no
+sampled query has one. What share of those queries' four nearest is found, whatever their cosine, is measured too and
+returned with the rest, but asks for nothing: in random directions they are far from any link.
+
 What is within reach by single precision is verified by cosine in double precision. A task returns the number
 of links of each query, and a spanning forest of the links instead of all pairs; the
 components are united over all tasks.
 
-Searches go in lock step: numpy handles a batch of queries at a time, one step of all beams at once.
+Searches go in lock step: numpy handles a batch of queries at a time, one step of all beams at once. A task holds one
+shard and one block of queries, both bounded in rows and bytes. Each block meets each shard, so what is
+shuffled is about n * n * (1 / block rows + 1 / shard rows) vectors; larger shards and blocks make it less.
 
 Defined results: null, empty or zero vectors and those with null or non-finite components have no links;
 vectors of different lengths have no links; equal vectors are linked, whatever the graph; a null id
 is never a component's name, and its row is never kept; repeated rows are vectors of their own; an empty table
-gives an empty table.
+gives an empty table; other columns are never read, whatever their names; a vector of any length is taken whole.
 """
 
 from __future__ import annotations
@@ -27,16 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copperleaf.cluster import materialise
+from copperleaf.cluster import join_counted, materialise
 from copperleaf.llm.components import connected_components
 from copperleaf.llm.simhash import _unite
 
 #: Neighbours of a node in the upper layers and in the lowest, and the beam while building.
 M, M0, EF_BUILD = 12, 24, 48
-#: Queries in lock step, nodes that each beam opens at once, queries of an audit, nearest nodes of each that it asks for.
+#: Queries in lock step, nodes that each beam opens at once, queries of an audit, nearest nodes of each that it looks for.
 BATCH, OPEN, AUDIT, NEAREST = 256, 4, 512, 4
 #: Similarities held at once where all vectors are compared.
 CELLS = 1 << 22
+#: How far within the threshold an audit's neighbours are planted.
+PLANTED = 1e-3
 #: Margin of single precision around the threshold; what is within is verified in double.
 SLACK = 1e-4
 
@@ -198,39 +209,56 @@ class Graph:
         return cls(x, [np.frombuffer(b, "<i4").reshape(n, -1).astype(np.int64) for b in layers], entry)
 
 
-def _finds(graph: Graph, q: np.ndarray, own: np.ndarray, ef: int, threshold: float, recall: float) -> bool:
-    """Whether a beam finds ``recall`` of what brute force finds: in the mean over all queries, of each
-    one's ``NEAREST``; and in the mean over those with 1 link, 2 to 3, 4 to 7 and so on, of each one's links."""
-    nodes, shares, kinds = search(graph, q, ef, threshold), [], []
-    for i, found in enumerate(nodes):
+def planted(graph: Graph, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, the node that each is to find): each node turned in a random direction to just within the threshold."""
+    x = graph.x.astype(np.float64)
+    at = np.linspace(0, len(x) - 1, min(AUDIT, len(x))).astype(int)
+    if x.shape[1] < 2:
+        return graph.x[:0], at[:0]
+    away = np.random.default_rng(len(x)).normal(size=(len(at), x.shape[1]))
+    away = unit(away - (away * x[at]).sum(axis=1, keepdims=True) * x[at])
+    cosine = min(1.0, threshold + PLANTED)
+    return (cosine * x[at] + np.sqrt(1 - cosine * cosine) * away).astype(np.float32), at
+
+
+def _audit(graph: Graph, q: np.ndarray, own: np.ndarray, ef: int, threshold: float) -> tuple[float, float]:
+    """The least of the recalls of links and planted neighbours, and the recall of the nearest nodes, at a beam.
+
+    Links are told apart by their number, 1, 2 to 3, 4 to 7 and so on, and averaged by query, so that crowds do not outvote pairs.
+    """
+    shares, kinds, nearest = [], [], []
+    for i, found in enumerate(search(graph, q, ef, threshold)):
         sims = graph.x @ q[i]
         if own[i] >= 0:
             sims[own[i]] = -np.inf
         hit = np.zeros(len(sims), bool)
         hit[found] = True
         k = min(NEAREST, len(sims))
-        near = np.argpartition(-sims, k - 1)[:k]
-        near = near[near != own[i]]
+        nearest.append(hit[np.argpartition(-sims, k - 1)[:k]].mean())
         links = np.flatnonzero(sims >= threshold)
-        for kind, true in ((0, near), (len(links).bit_length(), links)):
-            if len(true):
-                shares.append(hit[true].mean())
-                kinds.append(kind)
-    means = np.bincount(kinds, shares) / np.maximum(np.bincount(kinds), 1)
-    return bool((means[np.bincount(kinds) > 0] >= recall).all())
-
-
-def audited_beam(graph: Graph, q: np.ndarray, own: np.ndarray, threshold: float, recall: float, start: int = 32) -> int:
-    """The narrowest beam, doubled from ``start``, that passes an audit of some queries. Where none does that
-    compares fewer vectors than there are, the number of nodes: ``search`` then compares with all.
+        if len(links):
+            shares.append(hit[links].mean())
+            kinds.append(len(links).bit_length())
+    probes, at = planted(graph, threshold)
+    shares += [float(a in found) for a, found in zip(at, search(graph, probes, ef, threshold), strict=True)]
+    kinds += [0] * len(at)
+    count = np.bincount(kinds)
+    means = np.bincount(kinds, shares)[count > 0] / count[count > 0]
+    return float(means.min(initial=1.0)), float(np.mean(nearest)) if nearest else 1.0
+
+
+def audited_beam(graph: Graph, q: np.ndarray, own: np.ndarray, threshold: float, recall: float, start: int = 16) -> tuple[int, int, float, float]:
+    """(beam, queries audited, recall of links and planted neighbours, recall of the nearest): the narrowest beam, doubled
+    from ``start``, that passes. One that compares as many vectors as there are is the whole shard, which ``search`` compares at once.
     own: each query's node, or -1."""
     pick = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
     ef = start
     while ef < len(graph.x):
-        if _finds(graph, q[pick], own[pick], ef, threshold, recall):
-            return ef
+        found, nearest = _audit(graph, q[pick], own[pick], ef, threshold)
+        if found >= recall:
+            return ef, len(pick), found, nearest
         ef = _wider(graph, ef, 2)
-    return len(graph.x)
+    return len(graph.x), len(pick), 1.0, 1.0
 
 
 def _wider(graph: Graph, ef: int, times: int) -> int:
@@ -291,15 +319,19 @@ def build_shards(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("dim", "shard").applyInArrow(task, "dim int, shard long, nodes binary, weights binary, vectors binary, layers array<binary>, entry long")
 
 
-def search_shards(nodes: DataFrame, shards: DataFrame, threshold: float, recall: float, block_rows: int) -> DataFrame:
-    """(a, b, n, ef): with b, a link that keeps components; without, n links of query a in one shard."""
-    blocks = max(1, -(-nodes.count() // block_rows))
-    block = F.pmod(F.xxhash64("node"), F.lit(blocks))
+FOUND = "a long, b long, n long, shard long, block long, ef long, audited long, recall double, nearest double"
+
+
+def search_shards(nodes: DataFrame, shards: DataFrame, threshold: float, recall: float, block_rows: int, block_bytes: int) -> DataFrame:
+    """With b: a link (a, b) that keeps components. With n: n links of query a in one shard. With audited: a block and shard's audit."""
+    rows = F.greatest(F.lit(1), F.least(F.lit(block_rows), F.floor(F.lit(block_bytes) / (8 * F.col("dim")))))
+    blocks = F.greatest(F.lit(1), F.ceil(F.lit(nodes.count()) / rows)).cast("long")
     targets = shards.select(F.col("dim").alias("_d"), F.col("shard").alias("_s"))
-    queries = nodes.select("dim", "node", "embedding", block.alias("block")).join(targets, F.col("dim") == F.col("_d"))
+    queries = nodes.select("dim", "node", "embedding", F.pmod(F.xxhash64("node"), blocks).alias("block")).join(targets, F.col("dim") == F.col("_d"))
     queries = queries.select("dim", F.col("_s").alias("shard"), "block", "node", "embedding")
-    graphs = shards.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("ef", pa.int64())])
+    graphs = shards.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    names = [x.split()[0] for x in FOUND.split(", ")]
+    kinds = pa.schema([(n, pa.float64() if n in ("recall", "nearest") else pa.int64()) for n in names])
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -314,7 +346,7 @@ def search_shards(nodes: DataFrame, shards: DataFrame, threshold: float, recall:
         q = q64.astype(np.float32)
         place = np.minimum(np.searchsorted(ids, asked), len(ids) - 1)
         own = np.where(ids[place] == asked, place, -1)
-        ef = audited_beam(graph, q, own, threshold, recall)
+        ef, audited, found_share, near_share = audited_beam(graph, q, own, threshold, recall)
         every = np.union1d(ids, asked)
         of_shard, of_query = np.searchsorted(every, ids), np.searchsorted(every, asked)
         root, links = np.arange(len(every)), np.zeros(len(asked), np.int64)
@@ -330,12 +362,12 @@ def search_shards(nodes: DataFrame, shards: DataFrame, threshold: float, recall:
             np.add.at(links, i, weights[j])
             root = _unite(root, of_query[i], of_shard[j])
         tied, some = np.flatnonzero(root != np.arange(len(every))), np.flatnonzero(links)
-        a = np.r_[every[tied], asked[some]]
-        b = pa.array(np.r_[every[root[tied]], np.zeros(len(some), np.int64)], mask=np.r_[np.zeros(len(tied), bool), np.ones(len(some), bool)])
-        n = np.r_[np.zeros(len(tied), np.int64), links[some]]
-        return pa.table([pa.array(a, pa.int64()), b.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(np.full(len(a), ef), pa.int64())], schema=kinds)
+        made = [{"a": a, "b": b} for a, b in zip(every[tied].tolist(), every[root[tied]].tolist(), strict=True)]
+        made += [{"a": a, "n": n} for a, n in zip(asked[some].tolist(), links[some].tolist(), strict=True)]
+        made.append({"shard": row["shard"], "block": left["block"][0].as_py(), "ef": ef, "audited": audited, "recall": found_share, "nearest": near_share})
+        return pa.Table.from_pylist(made, schema=kinds)
 
-    return queries.groupBy("dim", "shard", "block").cogroup(graphs.groupBy("dim", "shard", "block")).applyInArrow(task, "a long, b long, n long, ef long")
+    return queries.groupBy("dim", "shard", "block").cogroup(graphs.groupBy("dim", "shard", "block")).applyInArrow(task, FOUND)
 
 
 def usable(vector: str):
@@ -344,31 +376,47 @@ def usable(vector: str):
     return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def numbered(merged: DataFrame) -> DataFrame:
+    """``merged`` with the column node, a hash of the vector v; of the first seed under which no two are equal."""
+    count, seed = merged.count(), 0
+    while merged.select(F.xxhash64(F.lit(seed), "v").alias("node")).distinct().count() < count:
+        seed += 1
+    return merged.withColumn("node", F.xxhash64(F.lit(seed), "v"))
+
+
 def embedding_components(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, recall: float = 0.99,
-    min_shards: int = 8, shard_rows: int = 65536, block_rows: int = 1 << 18,
+    min_shards: int = 8, shard_rows: int = 1 << 16, shard_bytes: int = 1 << 28, block_rows: int = 1 << 18, block_bytes: int = 1 << 28,
 ) -> DataFrame:
-    """(id, n_links, component, kept): a row for each row of ``vectors``."""
+    """(id, n_links, component, kept, audited, recall, nearest, beam): a row for each row of ``vectors``.
+
+    The last four are of the whole run: queries audited, the least recall of links and planted neighbours that any
+    block and shard was searched with, the mean recall of the nearest, and the widest beam.
+    """
     slim = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), usable(vector_col).alias("ok"))
-    merged = slim.filter("ok").groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("weight"))
-    merged = materialise(merged.withColumn("node", F.monotonically_increasing_id()), "vectors")  # written once, so the numbers stay
-    count = merged.count()
-    n_shards = max(min_shards, -(-count // shard_rows))
-    nodes = merged.select("node", "weight", F.size("v").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(n_shards)).alias("shard"), F.col("v").alias("embedding"))
+    merged = materialise(slim.filter("ok").groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("weight")), "vectors")
+    merged = numbered(merged)
+    rows = F.greatest(F.lit(1), F.least(F.lit(shard_rows), F.floor(F.lit(shard_bytes) / (8 * F.size("v")))))
+    n_shards = F.greatest(F.lit(min_shards), F.ceil(F.lit(merged.count()) / rows)).cast("long")
+    nodes = merged.select("node", "weight", F.size("v").alias("dim"), F.pmod(F.xxhash64("node"), n_shards).alias("shard"), F.col("v").alias("embedding"))
     shards = materialise(build_shards(nodes), "hnsw")
-    found = materialise(search_shards(nodes, shards, threshold, recall, block_rows), "hnsw-links")
+    found = materialise(search_shards(nodes, shards, threshold, recall, block_rows, block_bytes), "hnsw-links")
     roots = connected_components(found.filter("b IS NOT NULL"))
     named = merged.select(F.col("node").alias("_node"), "first")
-    roots = roots.join(named, F.col("node") == F.col("_node")).select("node", "root", "first")
-    names = roots.groupBy("root").agg(F.min("first").alias("component"))
-    roots = roots.join(names, "root").select(F.col("node").alias("_r"), "component")
-    links = found.filter("b IS NULL").groupBy(F.col("a").alias("_l")).agg(F.sum("n").alias("_n"))
+    roots = materialise(roots.join(named, F.col("node") == F.col("_node")).select("node", "root", "first"), "hnsw-roots")
+    names = roots.groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("component"), F.count("*").alias("_nodes"))
+    roots = join_counted(roots, "root", materialise(names, "hnsw-names"), "_root", "_nodes").select(F.col("node").alias("_r"), "component")
+    links = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("_l")).agg(F.sum("n").alias("_n"))
     every = merged.join(roots, F.col("node") == F.col("_r"), "left").join(links, F.col("node") == F.col("_l"), "left")
-    every = every.select(F.col("v").alias("_v"), (F.col("weight") - 1 + F.coalesce("_n", F.lit(0))).alias("_links"), F.coalesce("component", "first").alias("_component"))
-    linked = slim.filter("ok").join(every, F.col("v") == F.col("_v")).select("id", F.col("_links").alias("n_links"), F.col("_component").alias("component"))
+    every = every.select(F.col("v").alias("_v"), "weight", (F.col("weight") - 1 + F.coalesce("_n", F.lit(0))).alias("_links"), F.coalesce("component", "first").alias("_component"))
+    every = materialise(every, "hnsw-vectors")
+    linked = join_counted(slim.filter("ok"), "v", every, "_v", "weight").select("id", F.col("_links").alias("n_links"), F.col("_component").alias("component"))
     alone = slim.filter(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(False)))
+    audit = found.filter("audited IS NOT NULL").agg(F.sum("audited").alias("audited"), F.min("recall").alias("recall"), F.avg("nearest").alias("nearest"), F.max("ef").alias("beam"))
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(False))
+    return linked.unionByName(alone).withColumn("kept", kept).crossJoin(F.broadcast(audit))  # one row
 
 
 def op7_hnsw(spark, sf_dir: str) -> DataFrame:
-    return embedding_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+    found = embedding_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept", F.round("recall", 6).alias("audit_recall"), F.col("audited").alias("audited_queries"), F.col("beam").alias("widest_beam"))
