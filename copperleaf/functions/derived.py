@@ -13,8 +13,9 @@ def guarded(top: Column, bottom: Column, otherwise: Column | None = None) -> Col
 
 
 def with_features(ads: DataFrame) -> DataFrame:
-    """Longevity, engagement, weighted engagement and their velocities per day."""
-    days = F.datediff("last_seen", "first_seen").cast("long")
+    """Longevity (the days that a source counts itself, else from first to last seen), engagement, weighted engagement
+    and their velocities per day."""
+    days = F.coalesce(F.col("active_days"), F.datediff("last_seen", "first_seen")).cast("long")
     total = F.col("likes") + F.col("comments") + F.col("shares") + F.col("reactions") + F.col("views")
     weighted = (5.0 * F.col("shares") + 3.0 * F.col("comments") + F.col("likes") + F.col("reactions")) + 0.1 * F.col("views")
     known = ads.withColumns({"longevity_days": days, "total_engagement": total, "weighted_engagement": weighted})
@@ -38,12 +39,12 @@ def bound(text: Column) -> Column:
 
 
 def bucket_bounds(text: Column) -> tuple[Column, Column]:
-    """Lower and upper end of '1000-2000', '<1000', '≤1000', '1000+', '>1000' or '1000'."""
+    """Lower and upper end of '1000-2000', '<1000', '≤1000', '1000+', '>1000', '≥1000' or '1000'; no separators count."""
     clean = F.regexp_replace(text, r"[,\s]", "")
     pair = clean.rlike(r"^\d+-\d+$")
     first, second = (F.split_part(clean, F.lit("-"), F.lit(i)).try_cast("bigint") for i in (1, 2))
     digits = F.regexp_replace(clean, r"[^0-9]", "").try_cast("bigint")
-    upper, lower = clean.rlike(r"^[<≤]\d+$"), clean.rlike(r"^(>\d+|\d+\+)$")
+    upper, lower = clean.rlike(r"^[<≤]+\d+$"), clean.rlike(r"^([>≥]+\d+|\d+\++)$")
     single = clean.rlike(r"^\d+$")
     low = F.when(pair, first).when(upper, F.lit(0).cast("long")).when(lower | single, digits)
     return low, F.when(pair, second).when(upper | single, digits)

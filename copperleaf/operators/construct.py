@@ -6,24 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from copperleaf.functions.text import stripped
 from copperleaf.operators.ranking import order_statistics
 
-# Average click rates by vertical, in percent.
-BENCHMARK_CTR = {
-    "ecommerce": 1.24, "technology": 1.04, "finance": 0.56, "health": 0.83, "education": 0.73, "real_estate": 0.99,
-    "retail": 1.59, "travel": 0.90, "food": 1.20, "beauty": 1.16, "automotive": 0.80,
+# Average click rate in percent and competitiveness of each vertical, and the limits of a warning.
+BENCHMARKS = {
+    "ecommerce": (1.24, 0.6), "technology": (1.04, 0.7), "finance": (0.56, 0.9), "health": (0.83, 0.7), "education": (0.73, 0.5), "real_estate": (0.99, 0.7),
+    "retail": (1.59, 0.6), "travel": (0.90, 0.5), "food": (1.20, 0.4), "beauty": (1.16, 0.5), "automotive": (0.80, 0.8),
 }
+COMPETITIVE, MANY_HIGH, EASY_CTR, FEW_HIGH = 0.8, 30, 1.2, 10
 
 
 def tier_counts() -> list[Column]:
     return [F.count_if(F.col("tier") == t).alias(t) for t in ("high", "medium", "low")]
 
 
+def or_unknown(key: str) -> Column:
+    return F.coalesce(F.nullif(F.col(key), F.lit("")), F.lit("unknown")).alias(key)
+
+
 def group_stats(scored: DataFrame, key: str) -> DataFrame:
-    """Per group: rows, mean, upper median and tier counts."""
-    stats = scored.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), *tier_counts())
-    median = order_statistics(scored, "score", [key], {"upper_median": F.floor(F.col("total") / 2)}).withColumnRenamed(key, "_k")
-    return stats.join(median, stats[key].eqNullSafe(median["_k"]), "left").drop("_k")
+    """Per group: rows, mean, upper median and tier counts. An empty key is ``unknown``."""
+    known = scored.select(or_unknown(key), "score", "tier")
+    stats = known.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), *tier_counts())
+    median = order_statistics(known, "score", [key], {"upper_median": F.floor(F.col("total") / 2)}).withColumnRenamed(key, "_k")
+    return stats.join(median, stats[key] == median["_k"], "left").drop("_k")
 
 
 def modal(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
@@ -32,13 +39,26 @@ def modal(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     return counts.groupBy(key).agg(F.min_by(value, F.struct(-F.col("_c"), F.col(value))).alias(name))
 
 
-def advertiser_clusters(scored: DataFrame, least: int = 3) -> DataFrame:
-    """Advertisers with ``least`` ads or more; a cluster's id list is its content, one row for each."""
-    named = scored.withColumn("advertiser", F.trim("advertiser_name")).filter("advertiser <> ''")
-    groups = named.groupBy("advertiser").agg(
-        F.count("*").alias("n"), F.min("score").alias("lowest"), F.max("score").alias("highest"), F.round(F.avg("score"), 4).alias("mean_score"), *tier_counts(), F.array_join(F.array_sort(F.collect_list("ad_id")), ",").alias("ad_ids")
-    )
-    return groups.filter(F.col("n") >= least).join(modal(named, "advertiser", "platform", "platform"), "advertiser")
+def clusters(scored: DataFrame, key: str, modes: list[str], least: int) -> DataFrame:
+    """Groups of ``key`` with ``least`` ads or more: size, scores, tiers, and the most frequent value of each of ``modes``.
+
+    The members are rows of their own (``members``), since a group may hold any number of ads.
+    """
+    groups = scored.groupBy(key).agg(F.count("*").alias("n"), F.min("score").alias("lowest"), F.max("score").alias("highest"), F.round(F.avg("score"), 4).alias("mean_score"), *tier_counts())
+    groups = groups.filter(F.col("n") >= least)
+    for m in modes:
+        groups = groups.join(modal(scored, key, m, f"modal_{m}"), key)
+    return groups
+
+
+def members(scored: DataFrame, key: str, least: int) -> DataFrame:
+    """(key, ad_id) of the groups with ``least`` ads or more."""
+    large = scored.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    return scored.select(key, "ad_id").join(large, F.col(key) == F.col("_k"), "left_semi")
+
+
+def advertisers(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("advertiser", stripped(F.col("advertiser_name"))).filter("advertiser <> ''")
 
 
 def top_per_group(df: DataFrame, key: str, value: str, tie: str, n: int) -> DataFrame:
@@ -47,18 +67,26 @@ def top_per_group(df: DataFrame, key: str, value: str, tie: str, n: int) -> Data
     return df.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
 
 
-def backfill(ads: DataFrame, days: int = 30) -> DataFrame:
-    """How many ads each advertiser has, and a first day where it is missing. The counts are joined
-    back, so an advertiser with many ads does not gather in one task."""
-    counts = ads.groupBy(F.col("advertiser_id").alias("_a")).agg(F.count("*").alias("advertiser_ad_count"))
-    return ads.join(counts, F.col("advertiser_id").eqNullSafe(F.col("_a"))).drop("_a").withColumn("first_seen", F.coalesce("first_seen", F.date_sub("last_seen", days)))
-
-
-def calibration(scored: DataFrame) -> DataFrame:
-    bench = scored.sparkSession.createDataFrame(list(BENCHMARK_CTR.items()), "_v string, benchmark_ctr double")
-    share = F.round(100.0 * F.col("_high") / F.col("n"), 2).alias("high_pct")
-    stats = scored.groupBy("vertical").agg(F.count("*").alias("n"), F.count_if(F.col("tier") == "high").alias("_high"))
-    return stats.join(F.broadcast(bench), F.col("vertical") == F.col("_v"), "left").select("vertical", "n", share, "benchmark_ctr", (F.col("n") < 50).alias("sparse"))  # 11 rows
+def backfill(ads: DataFrame, hidden: tuple[str, ...] = ("spend",), source: str = "adflex") -> DataFrame:
+    """How many ads each advertiser has (0 without an advertiser), a first day from the active days where it is missing and they are
+    not 0, and null for the fields that ``source`` cannot know. The counts are joined back, so an advertiser with many ads does
+    not gather in one task."""
+    named = F.col("advertiser_id").isNotNull() & ~F.col("advertiser_id").cast("string").isin("")
+    counts = ads.filter(named).groupBy(F.col("advertiser_id").alias("_a")).agg(F.count("*").alias("_n"))
+    first = F.coalesce("first_seen", F.when(F.col("active_days") != 0, F.date_sub("last_seen", F.col("active_days").cast("int"))))
+    known = ads.join(counts, F.col("advertiser_id") == F.col("_a"), "left").withColumns({"advertiser_ad_count": F.coalesce("_n", F.lit(0).cast("long")), "first_seen": first})
+    return known.withColumns({c: F.when(~F.col("source").eqNullSafe(F.lit(source)), F.col(c)) for c in hidden}).drop("_a", "_n")
+
+
+def calibration(scored: DataFrame, sparse: int = 50) -> DataFrame:
+    """Per vertical: rows, share of high tier in percent, the benchmark's click rate and how competitive that makes it, and a
+    warning where a competitive vertical has few high ads, or an easy one many, or there are few ads at all."""
+    bench = scored.sparkSession.createDataFrame([(k, *v) for k, v in BENCHMARKS.items()], "_v string, benchmark_ctr double, competitiveness double")
+    share = 100.0 * F.col("_high") / F.col("n")
+    stats = scored.select(or_unknown("vertical"), "tier").groupBy("vertical").agg(F.count("*").alias("n"), F.count_if(F.col("tier") == "high").alias("_high"))
+    warning = F.when((F.col("competitiveness") >= COMPETITIVE) & (share > MANY_HIGH), "competitive_but_many_high").when((F.col("benchmark_ctr") >= EASY_CTR) & (share < FEW_HIGH), "easy_but_few_high")
+    known = stats.join(F.broadcast(bench), F.col("vertical") == F.col("_v"), "left")  # 11 rows
+    return known.select("vertical", "n", F.round(share, 2).alias("high_pct"), "benchmark_ctr", "competitiveness", warning.alias("warning"), ((F.col("n") < sparse) & (F.col("vertical") != "unknown")).alias("sparse"))
 
 
 def signal_means(scored: DataFrame, signals: dict[str, str]) -> DataFrame:

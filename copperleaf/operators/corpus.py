@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from copperleaf.functions.text import stripped
+from copperleaf.operators.ranking import running
+
 
 def first_of_each(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """Rows that no other row precedes with the same key. Only key and order are shuffled, the
-    smallest per key is found on the map side, and the rows come back by their own order column."""
-    firsts = df.select(key.alias("_key"), F.col(order).alias("_order")).groupBy("_key").agg(F.min("_order").alias("_first"))
-    return df.join(firsts.select("_first"), F.col(order) == F.col("_first"), "left_semi")
+    """One row of each key, the smallest by ``order`` and then by a hash of its columns. Which one is found on the map
+    side from key, order and hash alone; the rows are then shuffled once, by their key."""
+    keyed = df.withColumns({"_key": key, "_place": F.struct(F.col(order).alias("order"), F.sha2(F.to_json(F.struct(*df.columns)), 256).alias("hash"))})
+    firsts = keyed.groupBy(F.col("_key").alias("_k")).agg(F.min("_place").alias("_first"))
+    kept = keyed.join(firsts, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_place") == F.col("_first")), "left_semi")
+    return kept.dropDuplicates(["_key"]).select(*df.columns)
 
 
 def held_out(df: DataFrame, key: Column, held: DataFrame, held_key: Column) -> DataFrame:
@@ -25,25 +29,27 @@ def chats(turns: DataFrame) -> DataFrame:
 
 
 def chat_checks(chat: DataFrame, floor: int = 200, reply_floor: int = 50) -> DataFrame:
-    """has_reply: the first reply comes after the first question; long_enough: by its length."""
+    """has_reply: the first reply comes after the first question; valid: both are there, and no reply is short; long_enough:
+    by the first reply's length."""
     roles = F.transform("messages", lambda m: m["role"])
     user, reply = F.array_position(roles, "user"), F.array_position(roles, "assistant")
     said = F.filter("messages", lambda m: m["role"] == "assistant")
     first = F.get(said, F.lit(0))["text"]
-    valid = F.forall(said, lambda m: F.length(F.trim(F.coalesce(m["text"], F.lit("")))) >= reply_floor)
-    ok = (user > 0) & (reply > user)
-    return chat.select("conv_id", F.size("messages").cast("long").alias("n_messages"), ok.alias("has_reply"), (ok & valid).alias("valid"), (F.coalesce(F.length(first), F.lit(0)) >= floor).alias("long_enough"))
+    valid = F.forall(said, lambda m: F.length(stripped(m["text"])) >= reply_floor)
+    there = F.size("messages") > 0
+    ok = there & (user > 0) & (reply > user)
+    valid = there & (user > 0) & (reply > 0) & valid
+    return chat.select("conv_id", F.size("messages").cast("long").alias("n_messages"), ok.alias("has_reply"), valid.alias("valid"), (F.coalesce(F.length(first), F.lit(0)) >= floor).alias("long_enough"))
 
 
 def stratified_split(df: DataFrame, stratum: str, order: str, val: float = 0.1, test: float = 0.1) -> DataFrame:
     """train, val or test by place in the stratum; a stratum too small for a train part is all train."""
-    w = W.partitionBy(stratum)
-    n = F.count("*").over(w)
+    placed = running(df, [stratum], [F.col(order)], {"_before": F.lit(1)})
+    n, place = F.col("_before_total"), F.col("_before") + 1
     n_val, n_test = (F.greatest(F.lit(1), F.bround(n * r).cast("long")) for r in (val, test))
-    place = F.row_number().over(w.orderBy(order))
     train = n - n_val - n_test
     part = F.when((train < 1) | (place <= train), "train").when(place <= train + n_val, "val").otherwise("test")
-    return df.withColumn("split", part)
+    return placed.withColumn("split", part).drop("_before", "_before_total")
 
 
 def bucket_of(key: Column, n: int = 3) -> Column:
@@ -66,8 +72,8 @@ def latest(df: DataFrame, key: str, order: list[str], values: list[str]) -> Data
 
 def allocate(plan: DataFrame, group: str, order: list[str], cost: str, budget: int) -> DataFrame:
     """Items of each group in order while what was spent before is below the budget."""
-    spent = F.coalesce(F.sum(cost).over(W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return plan.withColumn("spent_before", spent).filter(F.col("spent_before") < budget)
+    spent = running(plan, [group], [F.col(c) for c in order], {"spent_before": cost})
+    return spent.drop("spent_before_total").filter(F.col("spent_before") < budget)
 
 
 def capacities(used: DataFrame, targets: dict[str, float], goal: int) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Ranks and order statistics that scale: no window over all rows, no collected arrays.
+"""Ranks, running sums and order statistics that scale: no window over all rows, no collected arrays.
 
-Everything starts from ``positions``: equal values are merged on the map side, the distinct ones are dealt out by
-range, and each range's offset is the sum of the ranges before it. So even a rank over the whole table, or
-over one platform that holds most of it, is spread over tasks.
+Ranks start from ``positions``: equal values are merged on the map side, the distinct ones are dealt out by
+range, and each range's offset is the sum of the ranges before it. ``running`` does the same for rows in
+an order. So even a rank over the whole table, or over one platform that holds most of it, is spread over tasks.
 """
 
 from __future__ import annotations
@@ -13,33 +13,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from copperleaf.cluster import materialise
+from copperleaf.cluster import BROADCAST_ROWS, join_counted, materialise
 
 
 def _same(a: DataFrame, b: DataFrame, keys: dict[str, str]) -> Column:
     return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[v]) for k, v in keys.items()])
 
 
+def running(df: DataFrame, by: list[str], order: list[Column | str], sums: dict[str, Column | str]) -> DataFrame:
+    """``df`` with, for each name of ``sums``, the sum over the rows of its group that stand before it, and the
+    group's whole sum as <name>_total. Rows are dealt out by (by, order), which should leave no ties."""
+    cells = {f"_s{i}": c if isinstance(c, Column) else F.col(c) for i, c in enumerate(sums.values())}
+    placed = df.withColumns(cells).repartitionByRange(*by, *order) if by or order else df.withColumns(cells)
+    placed = materialise(placed.withColumn("_p", F.spark_partition_id()), "running")
+    parts = placed.groupBy(*by, "_p").agg(*[F.sum(c).alias(c) for c in cells])
+    group = W.partitionBy(*by)
+    before = group.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(
+        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_p").alias("_q"),
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_o{c}") for c in cells], *[F.sum(c).over(group).alias(f"_t{c}") for c in cells],
+    )
+    here = placed["_p"] == parts["_q"]
+    joined = placed.join(parts, here & _same(placed, parts, {c: f"_by_{c}" for c in by}) if by else here)
+    inside = W.partitionBy(*by, "_p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    made = [(F.col(f"_o{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(name) for c, name in zip(cells, sums, strict=True)]
+    return joined.select(*df.columns, *made, *[F.col(f"_t{c}").alias(f"{name}_total") for c, name in zip(cells, sums, strict=True)])
+
+
 def positions(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(by, value, n, before, total): for each distinct value how many rows have it, how many a
     smaller one, and how many rows the group has. Nulls take no place."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    placed = materialise(counts.repartitionByRange(*by, value).withColumn("_p", F.spark_partition_id()), "positions")
-    sums = placed.groupBy(*by, "_p").agg(F.sum("n").alias("_n"))
-    group = W.partitionBy(*by)
-    sums = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(group.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"), F.sum("_n").over(group).alias("total"))
-    joined = placed.join(sums, (F.col("_p") == F.col("_q")) & _same(placed, sums, {c: f"_by_{c}" for c in by}) if by else F.col("_p") == F.col("_q"))
-    inside = F.sum("n").over(W.partitionBy(*by, "_p").orderBy(value).rowsBetween(W.unboundedPreceding, -1))
-    return joined.select(*by, value, "n", (F.col("_offset") + F.coalesce(inside, F.lit(0))).alias("before"), "total")
-
-
-def with_positions(df: DataFrame, value: str, by: list[str], names: dict[str, Column]) -> DataFrame:
-    """``df`` with columns computed from n, before and total of its row; null where the value is."""
-    at = positions(df, value, by).select(*[F.col(c).alias(f"_at_{c}") for c in by], F.col(value).alias("_at_value"), F.struct(*[c.alias(k) for k, c in names.items()]).alias("_at"))
-    keys = _same(df, at, {c: f"_at_{c}" for c in by}) & (df[value] == at["_at_value"]) if by else df[value] == at["_at_value"]
-    return df.join(at, keys, "left").select(*[df[c] for c in df.columns if c not in names], *[F.col("_at")[k].alias(k) for k in names])
-
-
+    return running(counts, by, [F.col(value)], {"before": "n"}).withColumnRenamed("before_total", "total")
 
 
 def average_rank() -> Column:
@@ -51,8 +56,53 @@ def percentile() -> Column:
     return F.when(F.col("total") == 1, 0.5).otherwise(F.round((F.col("before") + (F.col("n") - 1) / 2) / (F.col("total") - 1), 6))
 
 
+def with_positions(df: DataFrame, specs: dict[str, tuple[str, list[str]]], made: Column | None = None) -> DataFrame:
+    """``df`` with a column for each of ``specs``, name: (value, by): computed from n, before and total of the
+    row's value among those of its group, the percentile unless ``made`` says otherwise; null where the value is.
+
+    All values go through one pass as doubles. The table of distinct values is broadcast where it is of a
+    checked size; else its hot values are, and the rows of the others are shuffled by value.
+    """
+    made = percentile() if made is None else made
+    cells = [F.struct(F.lit(i).alias("spec"), F.to_json(F.struct(*by)).alias("key") if by else F.lit("").alias("key"), F.col(v).cast("double").alias("value")) for i, (v, by) in enumerate(specs.values())]
+    at = materialise(positions(df.select(F.explode(F.array(*cells)).alias("c")).select("c.*"), "value", ["spec", "key"]), "positions")
+    small = at.count() <= BROADCAST_ROWS
+    columns = df.columns
+    for i, (name, (value, by)) in enumerate(specs.items()):
+        found = F.to_json(F.struct((F.to_json(F.struct(*by)) if by else F.lit("")).alias("k"), F.col(value).cast("double").alias("v")))
+        lookup = at.filter(F.col("spec") == i).select(F.to_json(F.struct(F.col("key").alias("k"), F.col("value").alias("v"))).alias("_at"), F.col("n").alias("_rows"), made.alias("_made"))
+        keyed = df.withColumn("_value", found)
+        if small:
+            ranked = keyed.join(F.broadcast(lookup), F.col("_value") == F.col("_at"), "left")
+        else:
+            keyed = materialise(keyed, "ranked-rows")
+            some = join_counted(keyed.filter(F.col(value).isNotNull()), "_value", materialise(lookup, "lookup"), "_at", "_rows")
+            ranked = some.unionByName(keyed.filter(F.col(value).isNull()), allowMissingColumns=True)
+        columns = [c for c in columns if c != name]
+        df = ranked.select(*columns, F.col("_made").alias(name))
+        columns = df.columns
+    return df
+
+
 def order_statistics(df: DataFrame, value: str, by: list[str], wanted: dict[str, Column]) -> DataFrame:
     """One row per group: the value at each wanted index (from 0; a Column of total)."""
     at = positions(df, value, by)
     picked = [F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col(value))).alias(name) for name, k in wanted.items()]
     return at.groupBy(*by).agg(*picked) if by else at.agg(*picked)
+
+
+def quantiles(df: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """One row per group: linear quantiles of the values that are there, as a median takes them."""
+    wanted, parts = {}, {}
+    for name, q in shares.items():
+        at = (F.col("total") - 1).cast("double") * q
+        wanted |= {f"_lo_{name}": F.floor(at), f"_hi_{name}": F.ceil(at), }
+        parts[name] = q
+    found = order_statistics(df, value, by, wanted)
+    total = df.filter(F.col(value).isNotNull()).groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.count("*").alias("_n"))
+    joined = found.join(total, _same(found, total, {c: f"_by_{c}" for c in by})) if by else found.crossJoin(F.broadcast(total))  # one row
+    def between(name: str, q: float) -> Column:
+        at = (F.col("_n") - 1).cast("double") * q
+        return (F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (at - F.floor(at))).alias(name)
+
+    return joined.select(*by, *[between(n, q) for n, q in parts.items()])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from copperleaf.cluster import materialise
-from copperleaf.operators.ranking import order_statistics, percentile, with_positions
+from copperleaf.operators.ranking import order_statistics, with_positions
 from copperleaf.sources.ads import WEAK_PLATFORMS
 
 # Caps of the survival curve, signal weights, vote and tier thresholds.
@@ -68,14 +71,12 @@ def score_v3(ads: DataFrame) -> DataFrame:
     some = F.col("weighted_engagement") > 0
     raw = survivability(ads).withColumns({"_vol": F.when(some, F.log1p("weighted_engagement")).otherwise(0.0), "_vel": F.when(some, F.col("weighted_velocity")).otherwise(0.0)})
     raw = materialise(raw, "signals")
-    ranked = with_positions(raw, "survivability", [], {"survivability_pct": percentile()})
-    for value, name in (("_vol", "volume_pct"), ("_vel", "velocity_pct")):
-        ranked = with_positions(ranked, value, ["platform"], {name: percentile()})
+    ranked = with_positions(raw, {"survivability_pct": ("survivability", []), "volume_pct": ("_vol", ["platform"]), "velocity_pct": ("_vel", ["platform"])})
     strong = ranked.withColumns({n: F.when(~weak(), F.col(n)) for n in ("volume_pct", "velocity_pct")})
     return strong.withColumn("score", weighted_mean({"survivability_pct": 0.5, "volume_pct": 0.25, "velocity_pct": 0.25})).drop("_vol", "_vel")
 
 
-def score_v1(ads: DataFrame) -> DataFrame:
+def score_v1(ads: DataFrame, weights: dict[str, float] = WEIGHTS_V1) -> DataFrame:
     """Linear score: zero engagement counts as missing; longevity and early death by rank over all ads."""
     some = F.col("weighted_engagement") > 0
     days = F.col("longevity_days")
@@ -84,16 +85,20 @@ def score_v1(ads: DataFrame) -> DataFrame:
         "_early": F.when(days.isNotNull(), F.when(days < EARLY_DAYS, 0.0).otherwise(1.0)),
     })
     raw = materialise(raw, "signals")
-    ranked = with_positions(raw, "_lon", [], {"longevity_pct": percentile()})
-    ranked = with_positions(ranked, "_early", [], {"early_death_pct": percentile()})
-    for value, name in (("_vol", "volume_pct"), ("_vel", "velocity_pct")):
-        ranked = with_positions(ranked, value, ["platform"], {name: percentile()})
+    ranked = with_positions(raw, {"longevity_pct": ("_lon", []), "early_death_pct": ("_early", []), "volume_pct": ("_vol", ["platform"]), "velocity_pct": ("_vel", ["platform"])})
     strong = ranked.withColumns({n: F.when(~weak(), F.col(n)) for n in ("volume_pct", "velocity_pct")})
-    return strong.withColumn("score", weighted_mean(WEIGHTS_V1)).drop("_lon", "_vol", "_vel", "_early")
+    return strong.withColumn("score", weighted_mean(weights)).drop("_lon", "_vol", "_vel", "_early")
+
+
+def vote_features(ads: DataFrame) -> DataFrame:
+    """``ads`` with survivability and, for ads with any engagement, its ranks in the platform; no engagement is missing, not 0."""
+    some = F.col("weighted_engagement") > 0
+    raw = survivability(ads).withColumns({"_vol": F.when(some, F.col("weighted_engagement")), "_vel": F.when(some, F.col("weighted_velocity"))})
+    return with_positions(materialise(raw, "signals"), {"volume_pct": ("_vol", ["platform"]), "velocity_pct": ("_vel", ["platform"])}).drop("_vol", "_vel")
 
 
 def votes(df: DataFrame) -> DataFrame:
-    """Eight label functions on survivability, volume_pct, velocity_pct and longevity_days: 1, 0, or -1 to abstain."""
+    """Eight label functions on the columns of ``vote_features``: 1, 0, or -1 to abstain."""
     def vote(when: Column, label: int, hidden: Column | None = None) -> Column:
         return F.when(when & ~(hidden if hidden is not None else F.lit(False)), label).otherwise(-1)
 
@@ -112,12 +117,38 @@ def majority(df: DataFrame) -> DataFrame:
     return df.withColumn("p_high", (high + 1) / (high + low + 2))
 
 
+VOTES = [f"vote{i}" for i in range(1, 9)]
+
+
+def label_model(df: DataFrame, epochs: int = 100, prior: float = 0.5) -> DataFrame:
+    """``df`` with p_high, the posterior of a model in which votes depend on the label alone, fitted by EM.
+
+    Votes are counted by pattern, of which there are at most 3 ** 8, so the fit is small whatever the input; only a label
+    function's accuracy where it votes is learned. Starts from the majority; rows without votes get ``prior``, which both labels share.
+    """
+    patterns = df.groupBy(*VOTES).agg(F.count("*").alias("n")).collect()  # at most 6,561 rows
+    seen = np.array([[r[v] for v in VOTES] for r in patterns]).reshape(-1, len(VOTES))
+    n = np.array([r["n"] for r in patterns], float)
+    high, low = (seen == 1).sum(axis=1), (seen == 0).sum(axis=1)
+    p = (high + 1) / (high + low + 2)
+    for _ in range(epochs):
+        right = ((seen == 1) * (p * n)[:, None] + (seen == 0) * ((1 - p) * n)[:, None]).sum(axis=0)
+        accuracy = np.clip((right + 1) / (((seen >= 0) * n[:, None]).sum(axis=0) + 2), 0.05, 0.95)
+        odds = np.log(accuracy / (1 - accuracy))
+        p = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + ((seen == 1) * odds - (seen == 0) * odds).sum(axis=1))))
+    known = df.sparkSession.createDataFrame([(*map(int, s), float(x)) for s, x in zip(seen, p, strict=True)], ", ".join(f"_{v} int" for v in VOTES) + ", p_high double")
+    same = reduce(lambda a, b: a & b, [F.col(v) == F.col(f"_{v}") for v in VOTES])
+    return df.drop("p_high").join(F.broadcast(known), same).drop(*[f"_{v}" for v in VOTES])
+
+
 def tier_cutoffs(scored: DataFrame) -> DataFrame:
     """One row: the scores at index int(n * q) that a tier starts at."""
     return order_statistics(scored, "score", [], {name: F.floor(F.col("total").cast("double") * q) for name, q in TIERS.items()})
 
 
 def with_tier(scored: DataFrame) -> DataFrame:
+    """``scored``, written once, with the tier of its score; a table that later steps read several times."""
+    scored = materialise(scored, "scored")
     cut = F.broadcast(tier_cutoffs(scored).withColumnsRenamed({n: f"_{n}" for n in TIERS}))  # one row
     tier = F.when(F.col("score") >= F.col("_high"), "high").when(F.col("score") >= F.col("_medium"), "medium").otherwise("low")
     return scored.crossJoin(cut).withColumn("tier", tier).drop("_high", "_medium")

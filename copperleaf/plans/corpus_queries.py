@@ -10,9 +10,11 @@ from copperleaf.plans.registry import query
 from copperleaf.sources.ads import ADS_SQL, TEXT_ADS_SQL, ads, table, text_ads
 
 T = f"WITH {TEXT_ADS_SQL}"
-STRIP = lambda x: f"regexp_replace({x}, '^[ \\t-\\r]+|[ \\t-\\r]+$', '', 'g')"
-NORM = lambda x: f"regexp_replace(lower({STRIP(x)}), '[ \\t-\\r]+', ' ', 'g')"
-WORDS = lambda x: f"list_filter(regexp_split_to_array({x}, '[ \\t-\\r]+'), lambda w: w <> '')"
+STRIP = lambda x: f"regexp_replace(coalesce({x}, ''), '^{text.WHITE}+|{text.WHITE}+\\z', '', 'g')"
+NORM = lambda x: f"regexp_replace(lower({STRIP(x)}), '{text.WHITE}+', ' ', 'g')"
+WORDS = lambda x: f"list_filter(regexp_split_to_array(coalesce({x}, ''), '{text.WHITE}+'), lambda w: w <> '')"
+PLAIN = lambda x: f"trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'))"
+JOINED = lambda *xs: "concat_ws(chr(10), " + ", ".join(f"nullif({STRIP(x)}, '')" for x in xs) + ")"
 
 
 def sql_text(s: str) -> str:
@@ -24,14 +26,14 @@ def scripture_sql(x: str) -> str:
     return f"CASE WHEN len(regexp_extract_all({x}, '{text.DIACRITICS}')) >= 4 THEN 'diacritized_arabic' {cases} END"
 
 
-WHOLE = "headline || chr(10) || body"
+WHOLE = JOINED("headline", "body")
 
 
 @query("content_filters", f"""{T} SELECT ad_id, CASE WHEN coalesce(language, '') NOT IN ('en', '') THEN 'language' WHEN safety_label IN ('adult_sexual', 'profanity', 'shock_misleading', 'substance_drugs') AND safety_confidence >= 0.9 THEN 'safety'
   WHEN training_quality <> 0 AND training_quality < 3 THEN 'quality' WHEN vertical IN ('gambling_betting', 'pharmaceuticals', 'cannabis_cbd', 'political_advocacy', 'religious_faith') THEN 'vertical'
   WHEN {scripture_sql(WHOLE)} IS NOT NULL THEN 'scripture' END AS reason FROM tads""")
 def content_filters(spark, d):
-    reason = text.unsafe_reason(F.col("language"), F.col("safety_label"), F.col("safety_confidence"), F.col("training_quality"), F.col("vertical"), F.concat_ws("\n", "headline", "body"))
+    reason = text.unsafe_reason(F.col("language"), F.col("safety_label"), F.col("safety_confidence"), F.col("training_quality"), F.col("vertical"), text.joined_copy(F.col("headline"), F.col("body")))
     return text_ads(spark, d).select("ad_id", reason.alias("reason"))
 
 
@@ -47,7 +49,7 @@ def copy_length_filter(spark, d):
 
 
 @query("clean_headlines", f"""{T}, h AS (SELECT ad_id, {STRIP('headline')} AS h, {STRIP('body')} AS b FROM tads)
-  SELECT ad_id, h = '' OR NOT (regexp_matches(h, '{text.URL}') OR len(regexp_extract_all(h, '#\\w+')) >= 2 OR (len({WORDS('h')}) > 40 AND b = '') OR (b <> '' AND lower(b) = lower(h))) AS clean FROM h""")
+  SELECT ad_id, h = '' OR NOT (regexp_matches(h, '{text.URL}') OR len(regexp_extract_all(h, '{text.HASHTAG}')) >= 2 OR (len({WORDS('h')}) > 40 AND b = '') OR (b <> '' AND lower(b) = lower(h))) AS clean FROM h""")
 def clean_headlines(spark, d):
     return text_ads(spark, d).select("ad_id", text.is_clean_headline(F.col("headline"), F.col("body"), F.lit(None).cast("string")).alias("clean"))
 
@@ -56,7 +58,7 @@ BAIT = ", ".join(f"'{w}'" for w in text.BAIT_WORDS)
 
 
 @query("headline_score", f"""{T}, h AS (SELECT ad_id, headline AS h, len({WORDS('headline')}) AS n, list_intersect([{BAIT}], {WORDS("lower(headline || ' ' || body)")}) AS bait FROM tads)
-  SELECT ad_id, CASE WHEN h = '' THEN 0 ELSE round(CASE WHEN n > 0 THEN greatest(-1, -((n - 15) * (n - 15)) / 200.0::DOUBLE) ELSE 0 END + CASE WHEN regexp_matches(h, '[0-9]') THEN 0.3 ELSE 0 END
+  SELECT ad_id, CASE WHEN h = '' THEN 0 ELSE round(CASE WHEN n > 0 THEN greatest(-1, -((n - 15) * (n - 15)) / 200.0::DOUBLE) ELSE 0 END + CASE WHEN regexp_matches(h, '\\p{{Nd}}') THEN 0.3 ELSE 0 END
   + CASE WHEN contains(h, '?') THEN 0.2 ELSE 0 END + 0.05::DOUBLE * len(bait), 6) END AS score FROM h""")
 def headline_score(spark, d):
     return text_ads(spark, d).select("ad_id", F.round(text.headline_score(F.col("headline"), F.col("body")), 6).alias("score"))
@@ -64,7 +66,7 @@ def headline_score(spark, d):
 
 @query("scripture_reasons", f"{T} SELECT ad_id, {scripture_sql(WHOLE)} AS reason FROM tads")
 def scripture_reasons(spark, d):
-    return text_ads(spark, d).select("ad_id", text.scripture_reason(F.concat_ws("\n", "headline", "body")).alias("reason"))
+    return text_ads(spark, d).select("ad_id", text.scripture_reason(text.joined_copy(F.col("headline"), F.col("body"))).alias("reason"))
 
 
 @query("register_bucket", "SELECT CAST(doc_id AS VARCHAR) AS ad_id, CAST(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 2) AS BIGINT) % 3 AS INT) AS bucket FROM documents")
@@ -84,9 +86,9 @@ def heldout_contamination(spark, d):
     return corpus.held_out(table(spark, d, "documents").select("doc_id", "text"), text.text_key(F.col("text")), held, text.text_key(F.col("text"))).select("doc_id")
 
 
-@query("chat_structure", """WITH c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS m FROM conversations GROUP BY conv_id), p AS (
+@query("chat_structure", f"""WITH c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn, role, text) AS m FROM conversations GROUP BY conv_id), p AS (
   SELECT *, coalesce(list_position(list_transform(m, lambda x: x.role), 'user'), 0) AS u, coalesce(list_position(list_transform(m, lambda x: x.role), 'assistant'), 0) AS a, list_filter(m, lambda x: x.role = 'assistant') AS r FROM c
-) SELECT conv_id, CAST(len(m) AS BIGINT) AS n_messages, u > 0 AND a > u AS has_reply, u > 0 AND a > u AND len(list_filter(r, lambda x: length(trim(x.text)) < 50)) = 0 AS valid, coalesce(length(r[1].text), 0) >= 200 AS long_enough FROM p""")
+) SELECT conv_id, CAST(len(m) AS BIGINT) AS n_messages, u > 0 AND a > u AS has_reply, u > 0 AND a > 0 AND len(list_filter(r, lambda x: length({STRIP('x.text')}) < 50)) = 0 AS valid, coalesce(length(r[1].text), 0) >= 200 AS long_enough FROM p""")
 def chat_structure(spark, d):
     return corpus.chat_checks(corpus.chats(table(spark, d, "conversations")))
 
@@ -98,10 +100,10 @@ def stratified_split(spark, d):
     return corpus.stratified_split(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", "source", "split")
 
 
-@query("model_text", f"""{T} SELECT ad_id, CASE WHEN {STRIP('headline')} = '' AND {STRIP('body')} = '' THEN '' ELSE '[platform=other] [vertical=' || vertical || ']' || chr(10)
-  || concat_ws(chr(10), nullif({STRIP('headline')}, ''), nullif({STRIP('body')}, '')) END AS text FROM tads""")
+@query("model_text", f"""{T} SELECT ad_id, CASE WHEN {WHOLE} = '' THEN '' ELSE '[platform=' || CASE language WHEN 'en' THEN 'facebook' ELSE 'unknown' END || '] [vertical=' || lower(vertical) || ']' || chr(10) || {WHOLE} END AS text FROM tads""")
 def model_text(spark, d):
-    return text_ads(spark, d).select("ad_id", text.build_text(F.lit("other"), F.col("vertical"), F.col("headline"), F.col("body")).alias("text"))
+    platform = F.when(F.col("language") == "en", " Facebook\n").when(F.col("language") == "de", " ")
+    return text_ads(spark, d).select("ad_id", text.build_text(platform, F.upper("vertical"), F.col("headline"), F.col("body")).alias("text"))
 
 
 @query("sample_weights", f"{T} SELECT ad_id, CASE WHEN training_quality <= 1 THEN 0.0 WHEN training_quality = 2 THEN 0.5 ELSE 1.0 END::DOUBLE AS weight FROM tads WHERE training_quality > 1")
@@ -116,19 +118,28 @@ def language_distribution(spark, d):
     return docs.groupBy("lang").agg(F.count("*").alias("n")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("_all")))).select("lang", "n", F.round(100.0 * F.col("n") / F.col("_all"), 4).alias("percent"))  # one row
 
 
-@query("ingestion_coverage", f"""{T}, w AS (SELECT ad_id, headline, body, list_distinct(list_filter(regexp_extract_all(lower(headline), '([a-z][a-z''-]+)'), lambda x: length(x) >= 4)) AS a,
-  list_distinct(list_filter(regexp_extract_all(lower(body), '([a-z][a-z''-]+)'), lambda x: length(x) >= 4)) AS b FROM tads)
-  SELECT ad_id, round(CASE WHEN len(a) < 5 THEN 1.0 ELSE len(list_intersect(a, b))::DOUBLE / len(a) END, 6) AS coverage,
-  CASE WHEN length({STRIP('headline')}) >= 15 AND len(string_split({NORM('headline')}, ' ')) >= 6 THEN contains({NORM('body')}, array_to_string(string_split({NORM('headline')}, ' ')[1:6], ' ')) END AS verbatim FROM w""")
+SIGN = lambda x: f"CASE WHEN len(string_split({PLAIN(x)}, ' ')) >= 6 THEN array_to_string(string_split({PLAIN(x)}, ' ')[1:6], ' ') END"
+LETTERS = lambda x: f"list_distinct(list_filter(regexp_extract_all(lower({x}), '([a-z][a-z''-]+)'), lambda x: length(x) >= 4))"
+
+
+@query("ingestion_coverage", f"""{T}, w AS (SELECT ad_id, headline, split_part(body, chr(10), 1) AS opening, substr(body, length(split_part(body, chr(10), 1)) + 2) AS response FROM tads
+), c AS (SELECT *, {LETTERS("headline || ' ' || opening")} AS a, {LETTERS('response')} AS b FROM w
+), v AS (SELECT *, CASE WHEN len(a) < 5 THEN 1.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / len(a) END AS share FROM c)
+  SELECT ad_id, round(share, 6) AS coverage, share >= 0.6::DOUBLE AS covered, (length(headline) < 15 AND length(opening) < 15) OR (length(headline) >= 15 AND coalesce(contains({PLAIN('response')}, {SIGN('headline')}), false))
+    OR (length(opening) >= 15 AND coalesce(contains({PLAIN('response')}, {SIGN('opening')}), false)) AS verbatim FROM v""")
 def ingestion_coverage(spark, d):
-    share = text.coverage(text.content_words(F.col("headline")), text.content_words(F.col("body")))
-    return text_ads(spark, d).select("ad_id", F.round(share, 6).alias("coverage"), text.normal_form(F.col("body")).contains(text.signature(F.col("headline"))).alias("verbatim"))
+    """The first line as headline, the second as body, the rest as the response that should reproduce them."""
+    opening = F.substring_index("body", "\n", 1)
+    ads_ = text_ads(spark, d).select("ad_id", "headline", opening.alias("opening"), F.substring("body", F.length(opening) + 2, F.length("body")).alias("response"))
+    share = text.coverage(text.content_words(F.concat_ws(" ", "headline", "opening")), text.content_words(F.col("response")))
+    return ads_.select("ad_id", F.round(share, 6).alias("coverage"), (share >= 0.6).alias("covered"), text.quotes_one_of(F.col("response"), F.col("headline"), F.col("opening")).alias("verbatim"))
 
 
-@query("style_specifics", """SELECT conv_id, turn, regexp_matches(text, '\\b\\d+(?:\\.\\d+)?\\s*%') AS percent, regexp_matches(text, '\\$\\s*\\d') AS dollar FROM conversations""")
+@query("style_specifics", """SELECT conv_id, turn, regexp_matches(text, '\\b\\d+(?:\\.\\d+)?\\s*%') AS percent, regexp_matches(text, '\\$\\s*\\d') AS dollar,
+  regexp_matches(text, '(?i)\\b\\d{1,3}(?:,\\d{3})+\\s+(?:likes|shares|comments|views|impressions|clicks)\\b') AS engagement_count FROM conversations WHERE role = 'assistant'""")
 def style_specifics(spark, d):
     found = text.specifics(F.col("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_contains(found, "percent").alias("percent"), F.array_contains(found, "dollar").alias("dollar"))
+    return table(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", *[F.array_contains(found, n).alias(n) for n in text.SPECIFICS])
 
 
 @query("advertisers_without_large_orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
@@ -164,12 +175,12 @@ def provider_capacity(spark, d):
     return corpus.capacities(used, {"gpt": 0.5, "claude": 0.3, "gemini": 0.2}, 10000)
 
 
-@query("impression_buckets", f"""WITH {ADS_SQL}, b AS (SELECT ad_id, views, CASE WHEN views < 1000 THEN '<1000' WHEN views > 1000000 THEN '1000000+' ELSE CAST(views // 1000 * 1000 AS VARCHAR) || '-' || CAST(views // 1000 * 1000 + 999 AS VARCHAR) END AS bucket FROM ads)
-  SELECT ad_id, CASE WHEN views < 1000 THEN 0 WHEN views > 1000000 THEN 1000000 ELSE views // 1000 * 1000 END AS low, CASE WHEN views < 1000 THEN 1000 WHEN views > 1000000 THEN NULL ELSE views // 1000 * 1000 + 999 END AS high FROM b""")
+@query("impression_buckets", f"""WITH {ADS_SQL}, b AS (SELECT ad_id, views, views // 1000 * 1000 AS floor FROM ads)
+  SELECT ad_id, CASE WHEN views < 1000 THEN 0 WHEN views > 1000000 THEN 1000000 ELSE floor END AS low, CASE WHEN views < 1000 THEN 1000 WHEN views > 200000 THEN NULL ELSE floor + 999 END AS high FROM b""")
 def impression_buckets(spark, d):
     v = F.col("views")
     lower = F.expr("views div 1000") * 1000
-    shown = F.when(v < 1000, "<1,000").when(v > 1000000, "1,000,000+").otherwise(F.concat(lower.cast("string"), F.lit("-"), (lower + 999).cast("string")))
+    shown = F.when(v < 1000, "<1,000").when(v > 1000000, "1,000,000+").when(v > 200000, F.concat(F.lit("≥ "), lower.cast("string"))).otherwise(F.concat(lower.cast("string"), F.lit(" - "), (lower + 999).cast("string")))
     low, high = derived.bucket_bounds(F.col("bucket"))
     return ads(spark, d).select("ad_id", shown.alias("bucket")).select("ad_id", low.alias("low"), high.alias("high"))
 

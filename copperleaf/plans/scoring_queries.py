@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from copperleaf.cluster import materialise
 from copperleaf.functions.derived import with_features
 from copperleaf.operators import construct, ranking, scoring
 from copperleaf.plans.registry import query
@@ -70,8 +71,7 @@ def ads_derived_columns(spark, d):
 
 @query("percentile_rank_by_platform", f"WITH {ADS_SQL} SELECT ad_id, platform, {pct_sql('weighted_velocity', 'platform')} AS velocity_pct, {pct_sql('spend')} AS spend_pct FROM feat")
 def percentile_rank_by_platform(spark, d):
-    ranked = ranking.with_positions(features(spark, d), "weighted_velocity", ["platform"], {"velocity_pct": ranking.percentile()})
-    return ranking.with_positions(ranked, "spend", [], {"spend_pct": ranking.percentile()}).select("ad_id", "platform", "velocity_pct", "spend_pct")
+    return ranking.with_positions(features(spark, d), {"velocity_pct": ("weighted_velocity", ["platform"]), "spend_pct": ("spend", [])}).select("ad_id", "platform", "velocity_pct", "spend_pct")
 
 
 @query("km_survivability", f"WITH {KM_SQL} SELECT ad_id, round(survivability, 9) AS survivability FROM surv")
@@ -94,7 +94,14 @@ def score_v1(spark, d):
     return scoring.score_v1(features(spark, d)).select("ad_id", "longevity_pct", "early_death_pct", "volume_pct", "velocity_pct", "score")
 
 
-VOTES_SQL = f"""WITH {V3_SQL}, v AS (
+V2_SQL = f"""{KM_SQL}, raw AS (
+  SELECT *, CASE WHEN weighted_engagement > 0 THEN weighted_engagement END AS vol, CASE WHEN weighted_engagement > 0 THEN weighted_velocity END AS vel FROM surv
+), pct AS (
+  SELECT *, {pct_sql("vol", "platform")} AS vp, {pct_sql("vel", "platform")} AS ep FROM raw
+), strong AS (
+  SELECT *, CASE WHEN platform IN ('reddit', 'other') THEN NULL ELSE vp END AS volume_pct, CASE WHEN platform IN ('reddit', 'other') THEN NULL ELSE ep END AS velocity_pct FROM pct
+)"""
+VOTES_SQL = f"""WITH {V2_SQL}, v AS (
   SELECT ad_id, CASE WHEN survivability > 0.8::DOUBLE THEN 1 ELSE -1 END AS vote1, CASE WHEN survivability < 0.2::DOUBLE THEN 0 ELSE -1 END AS vote2,
     CASE WHEN volume_pct > 0.8::DOUBLE THEN 1 ELSE -1 END AS vote3, CASE WHEN volume_pct < 0.2::DOUBLE THEN 0 ELSE -1 END AS vote4,
     CASE WHEN velocity_pct > 0.8::DOUBLE THEN 1 ELSE -1 END AS vote5, CASE WHEN velocity_pct < 0.2::DOUBLE THEN 0 ELSE -1 END AS vote6,
@@ -105,7 +112,14 @@ SELECT * EXCLUDE (a), (coalesce(list_sum(a), 0) + 1)::DOUBLE / (len(a) + 2) AS p
 
 @query("label_votes", VOTES_SQL)
 def label_votes(spark, d):
-    return scoring.majority(scoring.votes(scoring.score_v3(features(spark, d)))).select("ad_id", *[f"vote{i}" for i in range(1, 9)], "p_high")
+    return scoring.majority(scoring.votes(scoring.vote_features(features(spark, d)))).select("ad_id", *scoring.VOTES, "p_high")
+
+
+@query("score_v2")
+def score_v2(spark, d):
+    """The label model's posterior, fitted by EM over vote patterns: tested by properties, since SQL cannot iterate so."""
+    fitted = scoring.label_model(scoring.votes(scoring.vote_features(features(spark, d))))
+    return scoring.with_tier(fitted.select("ad_id", "platform", F.round("p_high", 6).alias("score"), F.round("p_high", 4).alias("p_high"), F.round(1 - F.col("p_high"), 4).alias("p_low")))
 
 
 @query("tier_cutoffs", f"WITH {V3_SQL} SELECT high, medium FROM cut")
@@ -119,11 +133,12 @@ def tier_summary(spark, d):
 
 
 @query("score_distribution", f"""WITH {V3_SQL} SELECT min(score) AS lowest, {", ".join(f"max(CASE WHEN i = floor(n * {q}::DOUBLE) THEN score END) AS p{int(q * 100)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9))}, max(score) AS highest
-  FROM (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, count(*) OVER ()::DOUBLE AS n FROM scored)""")
+  , round(avg(score), 6) AS mean FROM (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, count(*) OVER ()::DOUBLE AS n FROM scored)""")
 def score_distribution(spark, d):
     n = F.col("total").cast("double")
     wanted = {"lowest": F.lit(0)} | {f"p{int(q * 100)}": F.floor(n * q) for q in (0.1, 0.25, 0.5, 0.75, 0.9)} | {"highest": F.col("total") - 1}
-    return ranking.order_statistics(scoring.score_v3(features(spark, d)), "score", [], wanted)
+    rows = materialise(scoring.score_v3(features(spark, d)).select("score"), "scores")
+    return ranking.order_statistics(rows, "score", [], wanted).crossJoin(F.broadcast(rows.agg(F.round(F.avg("score"), 6).alias("mean"))))  # one row
 
 
 @query("per_vertical_stats", f"""WITH {V3_SQL} SELECT vertical, count(*) AS n, round(avg(score), 4) AS mean_score, max(CASE WHEN i = k // 2 THEN score END) AS upper_median,
@@ -133,13 +148,27 @@ def per_vertical_stats(spark, d):
     return construct.group_stats(scored(spark, d), "vertical")
 
 
-@query("advertiser_clusters", f"""WITH {V3_SQL} SELECT trim(advertiser_name) AS advertiser, count(*) AS n, min(score) AS lowest, max(score) AS highest, round(avg(score), 4) AS mean_score,
-  CAST(count_if(tier = 'high') AS BIGINT) AS high, CAST(count_if(tier = 'medium') AS BIGINT) AS medium, CAST(count_if(tier = 'low') AS BIGINT) AS low, string_agg(ad_id, ',' ORDER BY ad_id) AS ad_ids,
-  (SELECT p FROM (SELECT platform AS p, count(*) AS c FROM tiered t2 WHERE trim(t2.advertiser_name) = trim(tiered.advertiser_name) GROUP BY 1) ORDER BY c DESC, p LIMIT 1) AS platform
-  FROM tiered WHERE trim(advertiser_name) <> '' GROUP BY trim(advertiser_name) HAVING count(*) >= 3""".replace("(SELECT p FROM (SELECT platform AS p, count(*) AS c FROM tiered t2 WHERE trim(t2.advertiser_name) = trim(tiered.advertiser_name) GROUP BY 1) ORDER BY c DESC, p LIMIT 1) AS platform", "min(platform_mode) AS platform").replace("FROM tiered WHERE", """FROM (SELECT tiered.*, first_value(platform) OVER (PARTITION BY trim(advertiser_name) ORDER BY pc DESC, platform) AS platform_mode
-    FROM (SELECT *, count(*) OVER (PARTITION BY trim(advertiser_name), platform) AS pc FROM tiered) tiered) WHERE"""))
+def clusters_sql(key: str, modes: list[str], least: int) -> str:
+    """SQL of construct.clusters over tiered, whose column ``key`` is not empty."""
+    made = ", ".join(f"first({m} ORDER BY c_{m} DESC, {m}) AS modal_{m}" for m in modes)
+    counts = ", ".join(f"count(*) OVER (PARTITION BY {key}, {m}) AS c_{m}" for m in modes)
+    return f"""SELECT {key}, count(*) AS n, min(score) AS lowest, max(score) AS highest, round(avg(score), 4) AS mean_score, CAST(count_if(tier = 'high') AS BIGINT) AS high, CAST(count_if(tier = 'medium') AS BIGINT) AS medium,
+      CAST(count_if(tier = 'low') AS BIGINT) AS low, {made} FROM (SELECT *, {counts} FROM named) GROUP BY {key} HAVING count(*) >= {least}"""
+
+
+@query("advertiser_clusters", f"WITH {V3_SQL}, named AS (SELECT *, trim(advertiser_name) AS advertiser FROM tiered WHERE trim(advertiser_name) <> '') {clusters_sql('advertiser', ['platform', 'vertical'], 3)}")
 def advertiser_clusters(spark, d):
-    return construct.advertiser_clusters(scored(spark, d))
+    return construct.clusters(construct.advertisers(scored(spark, d)), "advertiser", ["platform", "vertical"], 3)
+
+
+@query("advertiser_members", f"WITH {V3_SQL}, named AS (SELECT *, trim(advertiser_name) AS advertiser FROM tiered WHERE trim(advertiser_name) <> '') SELECT advertiser, ad_id FROM (SELECT *, count(*) OVER (PARTITION BY advertiser) AS n FROM named) WHERE n >= 3")
+def advertiser_members(spark, d):
+    return construct.members(construct.advertisers(features(spark, d)), "advertiser", 3)
+
+
+@query("vertical_clusters", f"WITH {V3_SQL}, named AS (SELECT * FROM tiered WHERE trim(vertical) <> '') {clusters_sql('vertical', ['platform'], 30)}")
+def vertical_clusters(spark, d):
+    return construct.clusters(scored(spark, d).filter(F.trim("vertical") != ""), "vertical", ["platform"], 30)
 
 
 @query("vertical_topn", f"WITH {V3_SQL} SELECT vertical, ad_id, score FROM (SELECT *, row_number() OVER (PARTITION BY vertical ORDER BY score DESC, ad_id) AS place FROM scored) WHERE place <= 50")
@@ -147,16 +176,23 @@ def vertical_topn(spark, d):
     return construct.top_per_group(scoring.score_v3(features(spark, d)), "vertical", "score", "ad_id", 50).select("vertical", "ad_id", "score")
 
 
-@query("backfilled_output", f"""WITH {ADS_SQL} SELECT ad_id, count(*) OVER (PARTITION BY advertiser_id) AS advertiser_ad_count, coalesce(first_seen, last_seen - 30) AS first_seen FROM ads""")
+@query("backfilled_output", f"""WITH {ADS_SQL} SELECT ad_id, CASE WHEN advertiser_id IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY advertiser_id) END AS advertiser_ad_count,
+  coalesce(first_seen, CASE WHEN active_days <> 0 THEN last_seen - CAST(active_days AS INT) END) AS first_seen, CASE WHEN source <> 'adflex' THEN spend END AS spend FROM ads""")
 def backfilled_output(spark, d):
-    return construct.backfill(ads(spark, d)).select("ad_id", "advertiser_ad_count", "first_seen")
+    return construct.backfill(ads(spark, d)).select("ad_id", "advertiser_ad_count", "first_seen", "spend")
+
+
+@query("backfill_summary", f"""WITH {ADS_SQL} SELECT CAST(count_if(advertiser_id IS NOT NULL) AS BIGINT) AS advertiser_ad_count_nonzero, CAST(count_if(first_seen IS NOT NULL OR (last_seen IS NOT NULL AND active_days <> 0)) AS BIGINT) AS first_seen_derived FROM ads""")
+def backfill_summary(spark, d):
+    return construct.backfill(ads(spark, d)).agg(F.count_if(F.col("advertiser_ad_count") > 0).alias("advertiser_ad_count_nonzero"), F.count_if(F.col("first_seen").isNotNull()).alias("first_seen_derived"))
 
 
-BENCH_SQL = ", ".join(f"('{v}', {c}::DOUBLE)" for v, c in construct.BENCHMARK_CTR.items())
+BENCH_SQL = ", ".join(f"('{v}', {c}::DOUBLE, {k}::DOUBLE)" for v, (c, k) in construct.BENCHMARKS.items())
 
 
-@query("benchmark_calibration", f"""WITH {V3_SQL} SELECT vertical, count(*) AS n, round(100.0::DOUBLE * count_if(tier = 'high') / count(*), 2) AS high_pct, max(ctr) AS benchmark_ctr, count(*) < 50 AS sparse
-  FROM tiered LEFT JOIN (SELECT * FROM (VALUES {BENCH_SQL}) b(v, ctr)) ON v = vertical GROUP BY vertical""")
+@query("benchmark_calibration", f"""WITH {V3_SQL}, g AS (SELECT coalesce(nullif(vertical, ''), 'unknown') AS vertical, count(*) AS n, 100.0::DOUBLE * count_if(tier = 'high') / count(*) AS p FROM tiered GROUP BY 1)
+  SELECT vertical, n, round(p, 2) AS high_pct, ctr AS benchmark_ctr, k AS competitiveness, CASE WHEN k >= 0.8 AND p > 30 THEN 'competitive_but_many_high' WHEN ctr >= 1.2 AND p < 10 THEN 'easy_but_few_high' END AS warning, n < 50 AND vertical <> 'unknown' AS sparse
+  FROM g LEFT JOIN (SELECT * FROM (VALUES {BENCH_SQL}) b(v, ctr, k)) ON v = vertical""")
 def benchmark_calibration(spark, d):
     return construct.calibration(scored(spark, d))
 

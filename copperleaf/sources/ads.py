@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numeric ads: an order, its customer as advertiser, its line items as engagement."""
+    """Numeric ads: an order, its customer as advertiser, its line items as engagement. Orders of status P stand
+    for a source that has no first day but counts active days itself."""
     items = table(spark, sf_dir, "lineitem")
     seen = items.groupBy("l_orderkey").agg(
         F.sum("l_quantity").cast("long").alias("likes"),
@@ -34,10 +35,12 @@ def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     for priority, name in PLATFORMS.items():
         platform = F.when(F.col("o_orderpriority") == priority, name).otherwise(platform)
     joined = table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).join(seen, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    counted = F.col("o_orderstatus") == "P"
     counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("likes", "comments", "shares", "reactions", "views")]
     return joined.select(
         F.col("o_orderkey").cast("string").alias("ad_id"), platform.alias("platform"), F.lower("c_mktsegment").alias("vertical"), F.col("o_custkey").alias("advertiser_id"), F.col("c_name").alias("advertiser_name"),
-        F.col("o_orderdate").cast("date").alias("first_seen"), "last_seen", *counts, F.col("o_totalprice").alias("spend"),
+        F.when(counted, "adflex").otherwise("meta_library").alias("source"), F.when(~counted, F.col("o_orderdate").cast("date")).alias("first_seen"), "last_seen",
+        F.when(counted, 30 * F.coalesce("reactions", F.lit(0))).cast("long").alias("active_days"), *counts, F.col("o_totalprice").alias("spend"),
     )
 
 
@@ -49,11 +52,12 @@ seen AS (
 ), ads AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS ad_id,
     CASE o_orderpriority WHEN '1-URGENT' THEN 'facebook' WHEN '2-HIGH' THEN 'tiktok' WHEN '3-MEDIUM' THEN 'twitter' WHEN '4-NOT SPECIFIED' THEN 'pinterest' ELSE 'reddit' END AS platform,
-    lower(c_mktsegment) AS vertical, o_custkey AS advertiser_id, c_name AS advertiser_name, CAST(o_orderdate AS DATE) AS first_seen, last_seen,
+    lower(c_mktsegment) AS vertical, o_custkey AS advertiser_id, c_name AS advertiser_name, CASE WHEN o_orderstatus = 'P' THEN 'adflex' ELSE 'meta_library' END AS source,
+    CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END AS first_seen, last_seen, CASE WHEN o_orderstatus = 'P' THEN 30 * coalesce(reactions, 0) END AS active_days,
     coalesce(likes, 0) AS likes, coalesce(comments, 0) AS comments, coalesce(shares, 0) AS shares, coalesce(reactions, 0) AS reactions, coalesce(views, 0) AS views, o_totalprice AS spend
   FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN seen ON o_orderkey = l_orderkey
 ), der AS (
-  SELECT *, CAST(last_seen - first_seen AS BIGINT) AS longevity_days, likes + comments + shares + reactions + views AS total_engagement,
+  SELECT *, coalesce(active_days, CAST(last_seen - first_seen AS BIGINT)) AS longevity_days, likes + comments + shares + reactions + views AS total_engagement,
     (5.0 * shares + 3.0 * comments + likes + reactions)::DOUBLE + 0.1::DOUBLE * views AS weighted_engagement
   FROM ads
 ), feat AS (
