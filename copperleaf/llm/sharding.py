@@ -10,8 +10,9 @@ shard in it by an equi-join on that prefix.
 Equal hashes cannot be split by bits: they belong to rows with one id and size. Such a bucket is cut into pages
 of as many rows as fit. A single document over the limit is a page of its own, larger than the limit.
 
-Defined results: a null or empty text has 0 bytes; null ids hash like the empty id; an empty table gives an
-empty table; columns other than id and text are never read.
+Defined results: a null or empty text has 0 bytes; null ids hash like the empty id; of a text of any length only its
+bytes are counted; repeated rows are all placed; an empty table gives an empty table; columns other than id and text are
+never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from copperleaf.cluster import materialise
 from copperleaf.llm.mixing import _hash60
 
 BITS, STEP, DEEPEST = 60, 14, 56
+#: Rows that are alike and are made again in one task.
+PIECE = 1_000_000
 
 
 def _prefix(bits: int):
@@ -62,9 +65,14 @@ def extendible_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     out = materialise(placed.select("id", "bytes", "h", depth.alias("depth"), held.alias("shard_bytes")), "placed")
     fits = out.filter("depth IS NOT NULL").withColumn("page", F.lit(0).cast("long"))
     per_page = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("bytes"))).cast("long")
-    row = F.row_number().over(W.partitionBy("h").orderBy("id"))
-    rest = out.filter("depth IS NULL").withColumn("page", F.floor((row - 1) / per_page).cast("long"))
-    rest = rest.withColumn("depth", F.lit(DEEPEST)).withColumn("shard_bytes", F.sum("bytes").over(W.partitionBy("h", "page")))
+    # rows of one hash that have one id and size are alike: they are counted, not gathered, and made again in their places
+    alike = out.filter("depth IS NULL").groupBy("h", "id", "bytes").agg(F.count("*").alias("n"))
+    first = F.coalesce(F.sum("n").over(W.partitionBy("h").orderBy("id", "bytes").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    pieces = alike.withColumn("first", first).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {PIECE}"))))
+    rest = pieces.repartition("h", "id", "piece").select("h", "id", "bytes", F.explode(F.expr(f"sequence(first + piece * {PIECE}, first + least(n, (piece + 1) * {PIECE}) - 1)")).alias("row"))
+    rest = rest.withColumn("page", F.floor(F.col("row") / per_page).cast("long")).drop("row").withColumn("depth", F.lit(DEEPEST))
+    held = rest.groupBy(F.col("h").alias("_h"), F.col("page").alias("_page")).agg(F.sum("bytes").alias("shard_bytes"))
+    rest = rest.join(held, (F.col("h") == F.col("_h")) & (F.col("page") == F.col("_page"))).drop("_h", "_page")
     bits = F.substring(F.lpad(F.bin("h"), BITS, "0"), F.lit(1), F.col("depth"))
     return fits.unionByName(rest).select("id", "bytes", bits.alias("shard"), F.col("depth").cast("int").alias("depth"), "page", "shard_bytes")
 
