@@ -56,7 +56,8 @@ def test_run_equals_the_plain_version(spark):
 
 
 def test_stages_keep_the_columns_of_documents_and_pass_odd_rows(spark, tmp_path):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"kept": F.lit("x"), "score": F.lit(1), "size": F.lit(2.0), "carried": F.lit(None).cast("string")})
+    helpers = "kept score size id key _id _key _gone _rejected_id _rejected_key _copy_id _copy_hash _row _rows _mix_id _mix_k _mix_key _mix_copies _mix_rows place fp root copy component _text _label _doc".split()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.lit(1) for c in helpers} | {"carried": F.lit(None).cast("string"), "tags": F.create_map(F.lit("a"), F.lit(1)), "made": F.parse_json(F.lit("[1]"))})
     null = docs.limit(1).select(*[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes])
     for rows in (docs.limit(60).unionByName(docs.limit(5)).unionByName(null).unionByName(null), docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES[:-1]:
