@@ -1 +1 @@
-
+"""Incremental ingestion as Structured Streaming."""
