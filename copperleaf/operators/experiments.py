@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,3 +81,17 @@ def ad_name_parts(name):
 
     there, at = F.instr(name, "__") > 0, F.instr(name, "__")
     return F.when(there, stripped(F.substring(name, F.lit(1), at - 1))), F.when(there, stripped(F.substring(name, at + 2, F.length(name))))
+
+
+def ctr_intervals(rows: DataFrame, times: int = 1000, seed: int = 42) -> DataFrame:
+    """``rows`` of cells with low and high, the 95 % interval of binomial resamples of their clicks; NaN for a cell that was never shown."""
+
+    def drawn(clicks: pd.Series, shown: pd.Series) -> pd.DataFrame:
+        out = []
+        for k, n in zip(clicks, shown, strict=True):
+            ctrs = np.random.default_rng(seed).binomial(int(n), k / n, times) / n if n > 0 else np.full(1, np.nan)
+            out.append(np.quantile(ctrs, [0.025, 0.975]))
+        return pd.DataFrame(out, columns=["low", "high"])
+
+    bounds = F.pandas_udf(drawn, "low double, high double")(F.col("clicks").cast("long"), F.col("impressions").cast("long"))
+    return rows.withColumn("_b", bounds).select(*rows.columns, "_b.low", "_b.high")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from copperleaf.cluster import materialise
-from copperleaf.operators import experiments, judging, statistics
+from copperleaf.operators import calibration, corpus, experiments, inputs, judging, predictor, statistics
 from copperleaf.plans.registry import query
 from copperleaf.plans.scoring_queries import V3_SQL, scored
+from copperleaf.sources.ads import table, text_ads
 from copperleaf.sources.evaluations import BRIEFS_SQL, JUDGMENTS_SQL, PREDICTIONS_SQL, VARIANTS_SQL, briefs, judgments, predictions, variants
 
 WILSON_SQL = """{zero} AS accuracy, CASE WHEN {n} > 0 THEN round(greatest(0, ({k}::DOUBLE / {n} + 3.841459281296::DOUBLE / (2 * {n}) - 1.959964::DOUBLE * sqrt({k}::DOUBLE / {n} * (1 - {k}::DOUBLE / {n}) / {n} + 3.841459281296::DOUBLE / (4.0::DOUBLE * {n} * {n}))) / (1 + 3.841459281296::DOUBLE / {n})), 6) ELSE 0 END AS low,
@@ -306,6 +307,14 @@ def masked_loss(spark, d):
     return rounded(statistics.masked_loss(predictions(spark, d), heads, F.when(F.col("vertical") == "de", 0.5).otherwise(1.0)), "loss")
 
 
+@query("isotonic_calibration")
+def isotonic_calibration(spark, d):
+    """Calibrated predictions of both heads, by curves that were written and read again."""
+    rows = predictions(spark, d)
+    curves = calibration.loads(calibration.dumps(calibration.fit(rows, HEADS)))
+    return calibration.calibrated(rows, HEADS, curves).select("doc_id", "quality_calibrated", "toxic_calibrated")
+
+
 SUMMARY_SQL = lambda c: f"count({c}) AS {c}_n, round(avg({c}), 6) AS {c}_mean, round(median({c}), 6) AS {c}_median, " + ", ".join(f"round(max({c}) FILTER (i_{c} = CAST(floor((k_{c} - 1) * {q}::DOUBLE + 0.5) AS BIGINT)), 6) AS {c}_p{int(q * 100)}" for q in (0.25, 0.75, 0.9))
 PLACE_SQL = lambda c: f"CASE WHEN {c} IS NOT NULL THEN row_number() OVER (PARTITION BY platform, {c} IS NULL ORDER BY {c}) - 1 END AS i_{c}, count({c}) OVER (PARTITION BY platform) AS k_{c}"
 
@@ -315,3 +324,109 @@ def head_summary(spark, d):
     """Weak platforms have no volume head: their numbers are null."""
     made = statistics.summary(scored(spark, d), ["score", "volume_pct"], ["platform"], {"p25": 0.25, "p75": 0.75, "p90": 0.9})
     return rounded(made, *[c for c in made.columns if c.split("_")[-1] in ("mean", "median", "p25", "p75", "p90")])
+
+
+# -- inputs of evaluation and construction
+
+
+def chat_records(spark, d):
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    platform = F.when(F.col("conv_id") % 3 == 0, "facebook").when(F.col("conv_id") % 3 == 1, "reddit")
+    meta = F.struct(F.col("conv_id").cast("string").alias("example_id"), platform.alias("platform"))
+    return turns.select(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"), meta.alias("metadata"))
+
+
+FIRST = lambda role, name: f"coalesce(first(text ORDER BY turn, text) FILTER (role = '{role}'), '') AS {name}"
+CHATS_SQL = f"br AS (SELECT CAST(conv_id AS VARCHAR) AS example_id, CASE conv_id % 3 WHEN 0 THEN 'facebook' WHEN 1 THEN 'reddit' ELSE 'unknown' END AS platform, {FIRST('system', 'system')}, {FIRST('user', 'user')}, {FIRST('assistant', 'reference')} FROM conversations GROUP BY conv_id)"
+
+
+@query("chat_briefs", f"WITH {CHATS_SQL} SELECT example_id, 'copywriting' AS task_format, platform, 'unknown' AS vertical, md5(system) AS system, md5(user) AS user, md5(reference) AS reference FROM br")
+def chat_briefs(spark, d):
+    return inputs.briefs(chat_records(spark, d)).select("example_id", "task_format", "platform", "vertical", *[F.md5(c).alias(c) for c in ("system", "user", "reference")])
+
+
+@query("gathered_generations", f"""WITH {CHATS_SQL}, g AS (SELECT 'GOLD' AS config, example_id, reference AS text FROM br UNION ALL SELECT 'other', CAST(doc_id AS VARCHAR), CASE WHEN lang = 'de' THEN '' ELSE 'said' END FROM documents), m AS (SELECT g.*, br.example_id IS NOT NULL AS there FROM g LEFT JOIN br ON g.example_id = br.example_id)
+  SELECT config, CAST(count_if(there AND trim(text) <> '') AS BIGINT) AS kept, CAST(count_if(there AND trim(text) = '') AS BIGINT) AS blank, CAST(count_if(NOT there) AS BIGINT) AS no_brief FROM m GROUP BY config""")
+def gathered_generations(spark, d):
+    """The real ads as a configuration beside another, whose German texts could not be cleaned."""
+    known = inputs.briefs(chat_records(spark, d))
+    ident = F.col("doc_id").cast("string").alias("example_id")
+    docs = table(spark, d, "documents")
+    raw = inputs.gold_inferences(known).select("config", "example_id", "assistant_text").unionByName(docs.select(F.lit("other").alias("config"), ident, F.lit("said").alias("assistant_text")))
+    clean = docs.filter("lang = 'de'").select(F.lit("other").alias("config"), ident, F.lit("<EXTRACTION_FAILED>").alias("assistant_text_clean"))
+    return inputs.generations(raw, clean, known)[1]
+
+
+@query("learned_rows", f"WITH {V3_SQL} SELECT ad_id, round(score, 6) AS composite, CASE WHEN platform NOT IN ('reddit', 'other') THEN 0.25::DOUBLE END AS engagement_volume, 'true,true,' || CASE WHEN platform = 'reddit' THEN 'false,false' ELSE 'true,true' END AS mask FROM scored")
+def learned_rows(spark, d):
+    rows = scored(spark, d).select("ad_id", "platform", F.col("score").alias("composite"), F.lit(0.5).alias("survivability"), F.lit(0.25).alias("engagement_volume"), F.lit(0.25).alias("engagement_velocity"), F.lit("x").alias("text"))
+    made = inputs.targets(inputs.learned_rows(rows))
+    return made.select("ad_id", F.round("composite", 6).alias("composite"), "engagement_volume", F.array_join(F.transform("mask", lambda m: m.cast("string")), ",").alias("mask"))
+
+
+@query("ground_truth", "SELECT CAST(c_custkey AS VARCHAR) AS ad_id, CASE WHEN c_nationkey < 5 THEN c_acctbal ELSE c_acctbal + 5 END AS spend_mid, CASE WHEN c_nationkey > 20 THEN 100.0::DOUBLE END AS impression_mid FROM customer WHERE c_nationkey <> 3")
+def ground_truth(spark, d):
+    n, b = F.col("c_nationkey"), F.col("c_acctbal")
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("ad_id"), F.lit("facebook").alias("platform"), b.alias("spend_lower"), F.when(n >= 5, b + 10).alias("spend_upper"), F.lit(None).cast("long").alias("impression_lower"), F.when(n > 20, 100).alias("impression_upper"), F.when(n != 3, F.lit("2024-01-01").cast("date")).alias("first_seen"), F.lit("2024-01-02").cast("date").alias("last_seen"))
+    return inputs.ground_truth(rows).select("ad_id", "spend_mid", "impression_mid")
+
+
+@query("dataset_statistics", """WITH n AS (SELECT doc_id, source, lang, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents), s AS (SELECT *, greatest(1, CAST(round_even(n * 0.1::DOUBLE, 0) AS BIGINT)) AS v FROM n), t AS (SELECT lang, source, CASE WHEN n - 2 * v < 1 OR p <= n - 2 * v THEN 'train' WHEN p <= n - v THEN 'val' ELSE 'test' END AS split FROM s)
+  SELECT split, 'total' AS kind, '' AS value, count(*) AS n FROM t GROUP BY ALL UNION ALL SELECT split, 'format', source, count(*) FROM t GROUP BY ALL UNION ALL SELECT split, 'platform', lang, count(*) FROM t GROUP BY ALL""")
+def dataset_statistics(spark, d):
+    rows = corpus.stratified_split(table(spark, d, "documents").select("doc_id", F.col("source").alias("task_format"), F.col("lang").alias("platform")), "task_format", "doc_id")
+    return inputs.dataset_statistics(rows)
+
+
+@query("review_rows", "SELECT conv_id, n, d.lang AS ad_lang, l.quality AS prompt FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) c LEFT JOIN documents d ON d.doc_id = c.conv_id * 2 LEFT JOIN labels l ON l.doc_id = c.conv_id")
+def review_rows(spark, d):
+    rows = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("example_id"), (F.col("conv_id") * 2).alias("ad_id")).agg(F.count("*").alias("n"))
+    made = inputs.reviewed(rows, table(spark, d, "documents").select(F.col("doc_id").alias("ad_id"), "lang"), table(spark, d, "labels").select(F.col("doc_id").alias("example_id"), F.col("quality").alias("prompt")))
+    return made.select(F.col("example_id").alias("conv_id"), "n", "ad_lang", "prompt")
+
+
+@query("unlabelled_ads", "SELECT CAST(doc_id AS VARCHAR) AS ad_id, coalesce(source, '') AS headline FROM documents WHERE lang <> 'es' AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def unlabelled_ads(spark, d):
+    """Bare records and wrapped ones; Spanish ones are cut off and cannot be read."""
+    ad = F.struct(F.col("doc_id").cast("string").alias("ad_id"), F.struct(F.col("source").alias("headline")).alias("ad_copy"))
+    line = F.when(F.col("lang") == "en", F.to_json(F.struct(ad.alias("ad")))).when(F.col("lang") == "es", F.substring(F.to_json(ad), 1, 9)).otherwise(F.to_json(ad))
+    return inputs.unlabelled(table(spark, d, "documents").select(line.alias("json")), table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("ad_id")))
+
+
+@query("ad_facts")
+def ad_facts(spark, d):
+    return text_ads(spark, d).select("ad_id", inputs.ad_facts(F.nullif(F.col("vertical"), F.lit("src0")), F.col("headline"), F.col("body")).alias("facts"))
+
+
+SWEEPS = [
+    {"platform": "p", "name": "words", "keywords": ["a", "b"], "orderings": ["new", "top"], "geos": "eu"}, {"platform": "p", "name": "sites", "domains": ["x.com"], "geos": [7]}, {"platform": "p", "name": "nations", "filter_type": "nation", "top_n": 3, "geos": "nowhere"},
+    {"platform": "p", "name": "both", "filter_types": ["nation", "region"], "orderings": ["new"]}, {"platform": "p", "name": "days", "range_filter": "days", "tiers": [[1, 9], [10, 99]]}, {"platform": "p", "name": "plain", "orderings": ["new", "top"]}, {"platform": "p", "name": "later", "dynamic": True},
+]
+
+
+@query("sweep_queries", """WITH c AS (SELECT 'nation' AS key, CAST(n_nationkey AS VARCHAR) AS code, n_nationkey AS i FROM nation UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR), r_regionkey FROM region)
+  SELECT 'words' AS sweep, 'text' AS filter, v AS value, o AS ordering, g AS geo FROM (SELECT unnest(['a', 'b']) AS v), (SELECT unnest(['new', 'top']) AS o), (SELECT unnest([1, 2]) AS g) UNION ALL SELECT 'sites', 'url_chain', 'x.com', 'popularity', 7 UNION ALL SELECT 'nations', key, code, 'popularity', NULL FROM c WHERE key = 'nation' AND i < 3
+  UNION ALL SELECT 'both', key, code, 'new', NULL FROM c UNION ALL SELECT 'days', 'days', unnest(['1-9', '10-99']), 'popularity', NULL UNION ALL SELECT 'plain', NULL, NULL, unnest(['new', 'top']), NULL""")
+def sweep_queries(spark, d):
+    """All shapes of a crawl plan, over the codes that the components of a filter page list."""
+    def listed(t, key, name):
+        return table(spark, d, t).agg(F.array_sort(F.collect_list(F.struct(F.col(key).cast("int").alias("o"), F.col(key).cast("string").alias("key"), F.col(name).alias("label")))).alias("i")).select(F.transform("i", lambda x: F.struct(x["key"].alias("key"), x["label"].alias("label"))).alias("items"))
+
+    none = F.lit(None).cast("long")
+    parts = [listed("nation", "n_nationkey", "n_name").withColumns({"key": F.lit("nation"), "component": F.lit("SelectMany")}), listed("region", "r_regionkey", "r_name").withColumns({"key": F.lit("region"), "component": F.lit("StringSingle")})]
+    components = parts[0].unionByName(parts[1]).withColumns({"platform": F.lit("p"), "low": none, "high": none})
+    return inputs.sweep_queries(spark, SWEEPS, {"eu": [1, 2]}, inputs.filter_codes(components)).drop("platform")
+
+
+@query("predicted_scores")
+def predicted_scores(spark, d):
+    """Two heads learned from labelled documents, scored for all."""
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("_l"), "quality", "toxic")
+    rows = table(spark, d, "documents").join(labels, F.col("doc_id") == F.col("_l"), "left")
+    models = predictor.fit(rows, "text", {"quality": ("quality", F.lit(True)), "toxic": ("toxic", F.col("lang") == "en")})
+    return predictor.predict(rows.select("doc_id", "text"), "text", models).drop("text")
+
+
+@query("ctr_intervals")
+def ctr_intervals(spark, d):
+    return experiments.ctr_intervals(experiments.cells(campaign(spark, d), ["cell"]))
