@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from copperleaf.functions.text import stripped
+from copperleaf.functions.text import copy_length, stripped
 from copperleaf.operators.ranking import order_statistics
 
 # Average click rate in percent and competitiveness of each vertical, and the limits of a warning.
@@ -93,3 +93,12 @@ def signal_means(scored: DataFrame, signals: dict[str, str]) -> DataFrame:
     made = F.explode(F.array(*[F.struct(F.lit(k).alias("signal"), F.col(c).alias("v")) for k, c in signals.items()]))
     rows = scored.select("tier", made.alias("s")).filter("s.v IS NOT NULL")
     return rows.groupBy("tier", "s.signal").agg(F.round(F.avg("s.v"), 4).alias("mean_signal"), F.count("*").alias("n"))
+
+
+def eligible(ads: DataFrame, *fields: Column, floor: float = 0.7, least: int = 60, confidence: float = 0.5, cap: int = 0) -> DataFrame:
+    """Ads with a score of ``floor`` or more, ``least`` characters of copy, and, where ``confidence`` is above 0, a vertical that is at least so sure;
+    where ``cap`` is above 0, the best of each vertical."""
+    rows = ads.filter((F.col("score") >= floor) & (copy_length(*fields) >= least))
+    if confidence > 0:
+        rows = rows.filter(F.col("business_vertical_confidence") >= confidence)
+    return top_per_group(rows, "vertical", "score", "ad_id", cap) if cap > 0 else rows

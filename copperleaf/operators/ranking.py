@@ -56,6 +56,12 @@ def percentile() -> Column:
     return F.when(F.col("total") == 1, 0.5).otherwise(F.round((F.col("before") + (F.col("n") - 1) / 2) / (F.col("total") - 1), 6))
 
 
+def _number(column: str) -> Column:
+    """As a double; negative zero is zero, since what is joined by text must be equal as text."""
+    x = F.col(column).cast("double")
+    return F.when(x == 0, 0.0).otherwise(x)
+
+
 def with_positions(df: DataFrame, specs: dict[str, tuple[str, list[str]]], made: Column | None = None) -> DataFrame:
     """``df`` with a column for each of ``specs``, name: (value, by): computed from n, before and total of the
     row's value among those of its group, the percentile unless ``made`` says otherwise; null where the value is.
@@ -64,13 +70,12 @@ def with_positions(df: DataFrame, specs: dict[str, tuple[str, list[str]]], made:
     checked size; else its hot values are, and the rows of the others are shuffled by value.
     """
     made = percentile() if made is None else made
-    cells = [F.struct(F.lit(i).alias("spec"), F.to_json(F.struct(*by)).alias("key") if by else F.lit("").alias("key"), F.col(v).cast("double").alias("value")) for i, (v, by) in enumerate(specs.values())]
+    cells = [F.struct(F.lit(i).alias("spec"), F.to_json(F.struct(*by)).alias("key") if by else F.lit("").alias("key"), _number(v).alias("value")) for i, (v, by) in enumerate(specs.values())]
     at = materialise(positions(df.select(F.explode(F.array(*cells)).alias("c")).select("c.*"), "value", ["spec", "key"]), "positions")
     small = at.count() <= BROADCAST_ROWS
-    columns = df.columns
     for i, (name, (value, by)) in enumerate(specs.items()):
-        found = F.to_json(F.struct((F.to_json(F.struct(*by)) if by else F.lit("")).alias("k"), F.col(value).cast("double").alias("v")))
-        lookup = at.filter(F.col("spec") == i).select(F.to_json(F.struct(F.col("key").alias("k"), F.col("value").alias("v"))).alias("_at"), F.col("n").alias("_rows"), made.alias("_made"))
+        found = F.struct((F.to_json(F.struct(*by)) if by else F.lit("")).alias("key"), _number(value).alias("value"))
+        lookup = at.filter(F.col("spec") == i).select(F.struct("key", "value").alias("_at"), F.col("n").alias("_rows"), made.alias("_made"))
         keyed = df.withColumn("_value", found)
         if small:
             ranked = keyed.join(F.broadcast(lookup), F.col("_value") == F.col("_at"), "left")
@@ -78,9 +83,7 @@ def with_positions(df: DataFrame, specs: dict[str, tuple[str, list[str]]], made:
             keyed = materialise(keyed, "ranked-rows")
             some = join_counted(keyed.filter(F.col(value).isNotNull()), "_value", materialise(lookup, "lookup"), "_at", "_rows")
             ranked = some.unionByName(keyed.filter(F.col(value).isNull()), allowMissingColumns=True)
-        columns = [c for c in columns if c != name]
-        df = ranked.select(*columns, F.col("_made").alias(name))
-        columns = df.columns
+        df = ranked.select(*[c for c in df.columns if c != name], F.col("_made").alias(name))
     return df
 
 
@@ -93,16 +96,16 @@ def order_statistics(df: DataFrame, value: str, by: list[str], wanted: dict[str,
 
 def quantiles(df: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
     """One row per group: linear quantiles of the values that are there, as a median takes them."""
-    wanted, parts = {}, {}
+    wanted = {}
     for name, q in shares.items():
         at = (F.col("total") - 1).cast("double") * q
-        wanted |= {f"_lo_{name}": F.floor(at), f"_hi_{name}": F.ceil(at), }
-        parts[name] = q
+        wanted |= {f"_lo_{name}": F.floor(at), f"_hi_{name}": F.ceil(at)}
     found = order_statistics(df, value, by, wanted)
     total = df.filter(F.col(value).isNotNull()).groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.count("*").alias("_n"))
     joined = found.join(total, _same(found, total, {c: f"_by_{c}" for c in by})) if by else found.crossJoin(F.broadcast(total))  # one row
+
     def between(name: str, q: float) -> Column:
         at = (F.col("_n") - 1).cast("double") * q
         return (F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (at - F.floor(at))).alias(name)
 
-    return joined.select(*by, *[between(n, q) for n, q in parts.items()])
+    return joined.select(*by, *[between(n, q) for n, q in shares.items()])

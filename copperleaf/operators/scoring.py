@@ -124,7 +124,7 @@ def label_model(df: DataFrame, epochs: int = 100, prior: float = 0.5) -> DataFra
     """``df`` with p_high, the posterior of a model in which votes depend on the label alone, fitted by EM.
 
     Votes are counted by pattern, of which there are at most 3 ** 8, so the fit is small whatever the input; only a label
-    function's accuracy where it votes is learned. Starts from the majority; rows without votes get ``prior``, which both labels share.
+    function's accuracy where it votes is learned, and none is held for worse than chance, else labels could change places. Starts from the majority; rows without votes get ``prior``, which both labels share.
     """
     patterns = df.groupBy(*VOTES).agg(F.count("*").alias("n")).collect()  # at most 6,561 rows
     seen = np.array([[r[v] for v in VOTES] for r in patterns]).reshape(-1, len(VOTES))
@@ -133,7 +133,7 @@ def label_model(df: DataFrame, epochs: int = 100, prior: float = 0.5) -> DataFra
     p = (high + 1) / (high + low + 2)
     for _ in range(epochs):
         right = ((seen == 1) * (p * n)[:, None] + (seen == 0) * ((1 - p) * n)[:, None]).sum(axis=0)
-        accuracy = np.clip((right + 1) / (((seen >= 0) * n[:, None]).sum(axis=0) + 2), 0.05, 0.95)
+        accuracy = np.clip((right + 1) / (((seen >= 0) * n[:, None]).sum(axis=0) + 2), 0.55, 0.95)
         odds = np.log(accuracy / (1 - accuracy))
         p = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + ((seen == 1) * odds - (seen == 0) * odds).sum(axis=1))))
     known = df.sparkSession.createDataFrame([(*map(int, s), float(x)) for s, x in zip(seen, p, strict=True)], ", ".join(f"_{v} int" for v in VOTES) + ", p_high double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from copperleaf.cluster import materialise
 from copperleaf.functions import copy, text
 from copperleaf.functions.derived import any_date, bound, log_midpoint
-from copperleaf.operators import classify, examples, similarity
+from copperleaf.operators import classify, construct, examples, similarity
 from copperleaf.plans.corpus_queries import JOINED, PLAIN, STRIP, T
 from copperleaf.plans.registry import query
 from copperleaf.plans.scoring_queries import V3_SQL, scored
@@ -258,3 +258,19 @@ def metric_summary(spark, d):
 
     rows = materialise(reference_metrics(spark, d).withColumn("config", F.lit("all")), "metrics")
     return summary(rows, [c for c in rows.columns if c not in ("conv_id", "config")], ["config"])
+
+
+@query("text_divergence")
+def text_divergence(spark, d):
+    """How near the vectors of even labels are to those of odd ones."""
+    from copperleaf.operators.divergence import divergence
+
+    return divergence(vectors(spark, d).withColumn("side", F.col("label") % 2 == 0), "vector", "side", clusters=16)
+
+
+@query("eligible_ads", f"""{T}, e AS (SELECT ad_id, vertical, length({STRIP('headline')}) + length({STRIP('body')}) AS n, (doc_id * 7919 % 1000) / 1000.0::DOUBLE AS score, CASE WHEN training_quality = 0 THEN 0.4::DOUBLE ELSE 0.9 END AS confidence FROM tads)
+  SELECT ad_id, vertical, score FROM (SELECT *, row_number() OVER (PARTITION BY vertical ORDER BY score DESC, ad_id) AS p FROM e WHERE score >= 0.7::DOUBLE AND n >= 60 AND confidence >= 0.5::DOUBLE) WHERE p <= 20""")
+def eligible_ads(spark, d):
+    """Ads with a score, enough copy and a vertical that is sure enough, the best 20 of each vertical (the reference's cap)."""
+    rows = text_ads(spark, d).withColumns({"score": (F.col("doc_id") * 7919 % 1000) / 1000.0, "business_vertical_confidence": F.when(F.col("training_quality") == 0, 0.4).otherwise(0.9)})
+    return construct.eligible(rows, F.col("headline"), F.col("body"), floor=0.7, cap=20).select("ad_id", "vertical", "score")

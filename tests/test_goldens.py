@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from copperleaf.cluster import fresh, join_counted, materialise, shared_dir
 from copperleaf.functions import copy, derived, text
-from copperleaf.operators import calibration, construct, corpus, examples, ranking, scoring, selection, similarity
+from copperleaf.operators import calibration, construct, corpus, divergence, examples, inputs, predictor, ranking, scoring, selection, similarity
 from copperleaf.sources import files, parsers
 from copperleaf.streaming import ingest
 
@@ -119,7 +119,7 @@ def test_ads_still_seen_are_no_deaths(spark):
 
 def test_votes_and_the_label_model(spark):
     old = dt.date(2023, 1, 1)
-    rows = [(f"w{i}", "facebook", 1 + i % 2, old, 1 + i % 2) for i in range(15)] + [(f"s{i}", "facebook", 200 + i, old, 3000 + i) for i in range(15)] + [("quiet", "facebook", 30, old, 0)]
+    rows = [(f"w{i}", "facebook", 1 + i % 2, old, 1 + i % 2) for i in range(15)] + [(f"s{i}", "facebook", 200 + i, old, 3000 + i) for i in range(15)] + [("quiet", "facebook", 30, old, 0), ("now", "facebook", 60, DAY, 500)]
     voted = scoring.votes(scoring.vote_features(ads(spark, rows)))
     quiet = voted.filter("ad_id = 'quiet'").first()
     assert [quiet[v] for v in ("vote3", "vote4", "vote5", "vote6")] == [-1] * 4  # no engagement is no vote
@@ -253,7 +253,7 @@ def test_cascade(spark):
         (1, "natural", chat(("user", "q"), ("assistant", good)), ["a", "b"]), (2, "natural", chat(("user", "q"), ("assistant", good)), ["b", "a", "a"]), (3, "natural", chat(("user", "q"), ("assistant", good)), []),
         (4, "natural", chat(("assistant", good), ("user", "q")), ["c"]), (5, "natural", chat(("user", "<foo>"), ("assistant", good)), ["d"]), (6, "natural", chat(("user", "q"), ("assistant", "short")), ["e"]),
         (7, "backtranslation", chat(("user", "q"), ("assistant", "CTA: buy\n" + good + " you could also try x")), ["f"]), (8, "context_distilled", chat(("user", "q"), ("assistant", good + " 5% off")), ["g"]),
-        (9, "backtranslation", chat(("user", "q"), ("assistant", "the cat and the dog is in the house with you and me for this and that, so it is")), ["h"]), (10, "natural", chat(("user", "q"), ("assistant", "der Hund und die Katze nicht das ist " * 9)), ["i"]),
+        (9, "backtranslation", chat(("user", "q"), ("assistant", "the cat and the dog is in the house with you and me for this and that, and so it is with all of it")), ["h"]), (10, "natural", chat(("user", "q"), ("assistant", "der Hund und die Katze nicht das ist " * 9)), ["i"]),
         (11, "natural", chat(("user", "q"), ("assistant", f"<thinking>x</thinking><assistant_response>{good}</assistant_response>")), ["j"]),
     ]
     df = spark.createDataFrame(rows, "example_id long, style string, messages array<struct<role:string,text:string>>, source_ids array<string>")
@@ -339,7 +339,7 @@ def test_files(spark, tmp_path):
     for judge, name in (("j1", "a"), ("j2", "b%2Fc")):
         (tmp_path / "tree" / judge).mkdir(parents=True)
         (tmp_path / "tree" / judge / f"{name}.json").write_text('{"v": 1}')
-    assert sorted(map(tuple, files.read_tree(spark, str(tmp_path / "tree"), "v long", ["judge", "id"]).select("judge", "id", "v").collect())) == [("j1", "a", 1), ("j2", "b/c", 1)]
+    assert sorted(map(tuple, files.read_tree(spark, str(tmp_path / "tree"), "v long", ["judge", "id"]).select("judge", "id", "v").collect())) == [("j1", "a", 1), ("j2", "b%2Fc", 1)]
     built = []
     build = lambda: built.append(1) or spark.createDataFrame([("p", "t"), ("q", "u")], "platform string, text string")
     for keys in (["p"], ["p", "q"], ["p", "z"]):
@@ -372,3 +372,43 @@ def test_isotonic_curves(spark):
     assert calibration.calibrated(df, heads, curves).filter("abs(few_calibrated - p) > 1e-9").count() == 0
     with pytest.raises(ValueError):
         calibration.loads('{"h": {"x": [0, 1], "y": [1, 0]}}')
+
+
+# -- inputs, predictor, divergence
+
+
+def test_briefs_of_both_shapes(spark):
+    chat = "messages array<struct<role:string,content:string>>"
+    old = spark.createDataFrame([("e1", "copywriting", "meta", None, ["high"], [("user", "q"), ("assistant", "a"), ("assistant", "b")])], f"example_id string, task_format string, platform string, vertical string, source_tiers array<string>, {chat}")
+    assert inputs.briefs(old).first() == ("e1", "copywriting", "meta", "unknown", ["high"], "", "q", "a")
+    new = spark.createDataFrame([([("system", "s")], ("e2", "")), (None, None)], f"{chat}, metadata struct<example_id:string,platform:string>")
+    assert [tuple(r) for r in inputs.briefs(new).collect()] == [("e2", "copywriting", "unknown", "unknown", [], "s", "", ""), ("", "copywriting", "unknown", "unknown", [], "", "", "")]
+    assert inputs.gold_inferences(inputs.briefs(old), "GOLD_v2").first()["assistant_text"] == "a"
+
+
+def test_plans_and_facts(spark):
+    assert inputs.resolve_geos("eu", {"eu": [1, 2]}) == [1, 2] and inputs.resolve_geos("no", {}) == [None] and inputs.resolve_geos([3], {}) == [3] and inputs.resolve_geos(None, {}) == [None]
+    assert one(spark, inputs.call_budget(F.lit(1050), F.lit(100))) == 10
+    facts = inputs.ad_facts(F.lit(""), F.lit(" Buy "), F.lit("der Hund und die Katze nicht das ist"), F.lit(None).cast("string"))
+    assert one(spark, facts) == "This ad ran for (unknown advertiser).\n\nThe ad copy reads:\n\nBuy"
+    assert one(spark, inputs.ad_facts(F.lit("X"), F.lit(""))).endswith("(no usable ad copy fields)")
+
+
+def test_predictor_learns_words_and_leaves_empty_text_in_the_middle(spark):
+    df = spark.createDataFrame([(i, "good fine great" if i % 2 else "bad poor awful", float(i % 2), 1.0) for i in range(40)] + [(90, "", 1.0, 1.0), (91, None, None, 1.0), (92, "bad poor", 1.0, 0.0)], "i long, t string, y double, w double").withColumn("_text", F.lit("x"))
+    models = predictor.fit(df.drop("_text"), "t", {"h": ("y", F.lit(True))}, weight="w")
+    got = {r["i"]: r["h"] for r in predictor.predict(df.select("i", "t"), "t", models).collect()}
+    assert got[90] == got[91] == 0.5 and got[1] > 0.8 and got[0] < 0.2 and all(0 <= x <= 1 for x in got.values())
+    assert len(predictor.weights(models["h"], spark)) == 1 << 12
+
+
+def test_divergence(spark):
+    rng = random.Random(2)
+    rows = [(i % 2 == 0, [rng.gauss(0, 1), rng.gauss(0, 1)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "side boolean, v array<double>")
+    same = divergence.divergence(df, "v", "side", clusters=5).first()
+    far = divergence.divergence(df.withColumn("v", F.when(F.col("side"), F.col("v")).otherwise(F.transform("v", lambda x: x + 50))), "v", "side", clusters=5).first()
+    assert same["score"] > 0.8 and far["score"] < 0.1 and same["low"] <= same["score"] + 0.1 and (same["n_p"], same["n_q"]) == (100, 100)
+    import numpy as np
+
+    assert divergence.frontier_area(np.array([1.0, 2.0]), np.array([1.0, 2.0])) == pytest.approx(1.0)

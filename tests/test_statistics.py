@@ -68,7 +68,7 @@ def test_wilson_and_accuracy(spark):
 def test_chi2(spark):
     two = frame(spark, [("a", "x", 10), ("a", "y", 20), ("b", "x", 30), ("b", "y", 5)], "r string, c string, n long")
     got = statistics.chi2(two, "r", "c", "n").first()
-    assert got["dof"] == 1 and got["chi2"] == pytest.approx(16.5846, abs=1e-3)  # by Yates
+    assert got["dof"] == 1 and got["chi2"] == pytest.approx(65 * (abs(10 * 5 - 20 * 30) - 65 / 2) ** 2 / (30 * 35 * 40 * 25))  # by Yates
     even = frame(spark, [(p, t) for p in "ab" for t in ("high", "low") for _ in range(20)], "platform string, tier string")
     assert statistics.homogeneity(even).first()["chi2"] == pytest.approx(0.0)
     few = statistics.homogeneity(even.filter("platform = 'a'")).first()
