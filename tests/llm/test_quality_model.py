@@ -38,6 +38,52 @@ def test_updates_follow_the_plain_formula():
     assert np.allclose(q.ftrl(rows, 10, 1), [weight(i) for i in range(10)])
 
 
+def test_features_and_training_equal_the_plain_version(spark):
+    import math
+    from collections import Counter
+
+    import xxhash
+    from itertools import groupby
+
+    mask, bits = 2**64 - 1, 14
+    place = lambda h: ((h * q.SHAPE_SALT) & mask) >> (64 - bits)
+    kind = lambda c: "0" if c.isdigit() else ("a" if c == c.lower() else "A") if c.isalpha() else c
+
+    def plain(text):
+        w = (text or "").split()
+        own = [xxhash.xxh64_intdigest(x) for x in w]
+        shape = [xxhash.xxh64_intdigest("".join(k for k, _ in groupby(map(kind, x))), 1) for x in w]
+        pair = lambda h: [((a * q.PAIR_SALT) & mask) ^ b for a, b in zip(h, h[1:])]
+        said = {place(h) for h in own + pair(own)}
+        kinds = Counter(place(h) for h in shape + [(h + (a == b)) & mask for h, a, b in zip(pair(shape), own, own[1:])])
+        out, size = Counter({1 << bits: 1.0}), math.sqrt(sum(n * n for n in kinds.values()))
+        for i in said:
+            out[i] += 1 / math.sqrt(len(said))
+        for i, n in kinds.items():
+            out[i] += n / size
+        return out
+
+    texts = ["The cat sat", "a1 b22 A1 a1 a1", "", None, "x", "Don't, don't!", "ééé Été 12-3"]
+    for t in texts:
+        at, x = q.features(t, bits)
+        got = Counter()
+        for i, v in zip(at, x):
+            got[int(i)] += float(v)
+        want = plain(t)
+        assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, quality int")
+    used = docs.filter(~q.in_held_out(F.col("doc_id"))).withColumn("o", F.xxhash64(F.lit("sample"), "doc_id")).orderBy("o", "doc_id").collect()
+    want = q.ftrl([(*q.features(r["text"], bits), float(r["doc_id"] % 2)) for r in used], (1 << bits) + 1, 3)
+    one = q.train(docs, labels, bits=bits, shards=1, epochs=3)
+    assert np.allclose(one, want)
+    # empty groups take no part in the average, and groups count by their rows
+    many = q.train(docs, labels, bits=bits, shards=50, epochs=3)
+    assert abs(many).max() > 0.2 * abs(want).max()
+    few = q.train(docs, labels, bits=bits, shards=1, epochs=3, max_bytes=0)
+    assert abs(few[: 1 << bits]).max() < abs(want).max()
+
+
 def test_odd_rows_and_empty_tables(spark):
     docs = spark.createDataFrame(
         [(1, "good text here"), (2, None), (3, ""), (None, "good text here"), (1, "good text here"), (4, "bad " * 200000)], "doc_id long, text string"

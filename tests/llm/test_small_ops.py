@@ -154,3 +154,11 @@ def test_conversations_without_reply_give_no_pair(spark):
     show = lambda text: f"<|im_start|>assistant\n{text}<|im_end|>\n"
     assert (r["pair"], r["n_prompt_turns"], r["chosen"], r["rejected"]) == (2, 1, show("b\nc"), show("b"))
     assert preferences.cut_reply_pairs(df.limit(0)).count() == 0
+
+
+def test_long_conversations(spark):
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"turn {i}") for i in range(2000)] + [(2, 0, "user", "x"), (2, 1, "assistant", "y " * 200000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("pair", "side", "part", "_last")})
+    got = {r["pair"]: r for r in preferences.format_preferences(preferences.cut_reply_pairs(df)).collect()}
+    assert got[1]["n_prompt_turns"] == 2000 and got[1]["same"] and got[1]["prompt"].count("<|im_start|>") == 2000
+    assert got[2]["same"] and len(got[2]["prompt"]) > 400000
