@@ -24,10 +24,13 @@ def cleaned_copy(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", copy.clean_copy(F.expr(WRAPPED.replace("||", "||").replace("chr(10)", "'\\n'"))).alias("clean"))
 
 
-@query("unwrapped_answers", f"SELECT conv_id, turn, {STRIP('text')} AS plain FROM conversations WHERE text NOT LIKE '%\"%'")
+QUOTED = lambda x: f"CASE WHEN length({x}) >= 2 AND starts_with({x}, '\"') AND ends_with({x}, '\"') THEN {STRIP(f'substr({x}, 2, length({x}) - 2)')} ELSE {x} END"
+
+
+@query("unwrapped_answers", f"SELECT conv_id, turn, CASE WHEN turn = 1 THEN s ELSE {QUOTED('s')} END AS plain FROM (SELECT conv_id, turn, {STRIP('text')} AS s FROM conversations)")
 def unwrapped_answers(spark, d):
     fenced = F.when(F.col("turn") == 0, F.concat(F.lit("```text\n"), "text", F.lit("\n```"))).when(F.col("turn") == 1, F.concat(F.lit(' "'), "text", F.lit('" '))).otherwise(F.col("text"))
-    return table(spark, d, "conversations").filter(~F.col("text").contains('"')).select("conv_id", "turn", copy.unwrapped(fenced).alias("plain"))
+    return table(spark, d, "conversations").select("conv_id", "turn", copy.unwrapped(fenced).alias("plain"))
 
 
 @query("bundle_parts", f"SELECT conv_id, turn, {STRIP('text')} AS prompt, 'x' AS response FROM conversations")

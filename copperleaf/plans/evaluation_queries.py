@@ -315,7 +315,7 @@ def isotonic_calibration(spark, d):
     return calibration.calibrated(rows, HEADS, curves).select("doc_id", "quality_calibrated", "toxic_calibrated")
 
 
-SUMMARY_SQL = lambda c: f"count({c}) AS {c}_n, round(avg({c}), 6) AS {c}_mean, round(median({c}), 6) AS {c}_median, " + ", ".join(f"round(max({c}) FILTER (i_{c} = CAST(floor((k_{c} - 1) * {q}::DOUBLE + 0.5) AS BIGINT)), 6) AS {c}_p{int(q * 100)}" for q in (0.25, 0.75, 0.9))
+SUMMARY_SQL = lambda c: f"count({c}) AS {c}_n, round(avg({c}), 6) AS {c}_mean, round(median({c}), 9) AS {c}_median, " + ", ".join(f"round(max({c}) FILTER (i_{c} = CAST(floor((k_{c} - 1) * {q}::DOUBLE + 0.5) AS BIGINT)), 6) AS {c}_p{int(q * 100)}" for q in (0.25, 0.75, 0.9))
 PLACE_SQL = lambda c: f"CASE WHEN {c} IS NOT NULL THEN row_number() OVER (PARTITION BY platform, {c} IS NULL ORDER BY {c}) - 1 END AS i_{c}, count({c}) OVER (PARTITION BY platform) AS k_{c}"
 
 
@@ -323,7 +323,8 @@ PLACE_SQL = lambda c: f"CASE WHEN {c} IS NOT NULL THEN row_number() OVER (PARTIT
 def head_summary(spark, d):
     """Weak platforms have no volume head: their numbers are null."""
     made = statistics.summary(scored(spark, d), ["score", "volume_pct"], ["platform"], {"p25": 0.25, "p75": 0.75, "p90": 0.9})
-    return rounded(made, *[c for c in made.columns if c.split("_")[-1] in ("mean", "median", "p25", "p75", "p90")])
+    made = rounded(made, *[c for c in made.columns if c.endswith("_median")], digits=9)  # the middle of two scores of six digits has seven
+    return rounded(made, *[c for c in made.columns if c.split("_")[-1] in ("mean", "p25", "p75", "p90")])
 
 
 # -- inputs of evaluation and construction
