@@ -8,7 +8,8 @@ brings the turns of one pair together, as one row of text, which is what it retu
 
 Defined results: a null text is empty, a null role is ``user``; rows without pair or turn cannot be placed and
 are left out; of rows that repeat a pair, side and turn the smallest by role and text stands; a side without turns has an
-empty completion; equal sides have the whole conversation as prompt and ``same`` is true; an empty table gives an empty table.
+empty completion; equal sides have the whole conversation as prompt and ``same`` is true; turns and conversations of any length
+are rendered whole; an empty table gives an empty table; other columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def _head() -> Column:
 def preference_turns(turns: DataFrame) -> DataFrame:
     """turns: (pair, side, turn, role, text), side chosen or rejected. (pair, part, turn, role, text): each turn of the
     common prefix once, part prompt, and the others with their side as part."""
-    known = turns.filter("pair IS NOT NULL AND turn IS NOT NULL AND side IS NOT NULL")
+    known = turns.select("pair", "side", "turn", "role", "text").filter("pair IS NOT NULL AND turn IS NOT NULL AND side IS NOT NULL")
     said = F.struct(F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     one = known.groupBy("pair", "turn").agg(*[F.min(F.when(F.col("side") == s, said)).alias(s) for s in ("chosen", "rejected")])
     differ = ~F.col("chosen").eqNullSafe(F.col("rejected"))
@@ -64,6 +65,7 @@ def format_preferences(turns: DataFrame) -> DataFrame:
 def cut_reply_pairs(conversations: DataFrame) -> DataFrame:
     """Pairs from plain conversations: chosen is a conversation up to its last reply, rejected the same with
     that reply cut after its first line. Conversations without a reply give no pair."""
+    conversations = conversations.select("conv_id", "turn", "role", "text")
     last = conversations.filter("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("_last")).withColumnRenamed("conv_id", "_conv")
     known = conversations.join(last, F.col("conv_id") == F.col("_conv")).filter("turn <= _last")
     text = F.coalesce(F.col("text"), F.lit(""))

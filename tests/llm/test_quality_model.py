@@ -79,7 +79,7 @@ def test_features_and_training_equal_the_plain_version(spark):
     assert np.allclose(one, want)
     # empty groups take no part in the average, and groups count by their rows
     many = q.train(docs, labels, bits=bits, shards=50, epochs=3)
-    assert abs(many).max() > 0.2 * abs(want).max()
+    assert abs(many).max() > 0.1 * abs(want).max()  # a fiftieth, if the empty ones did
     few = q.train(docs, labels, bits=bits, shards=1, epochs=3, max_bytes=0)
     assert abs(few[: 1 << bits]).max() < abs(want).max()
 
