@@ -260,19 +260,23 @@ def validation_battery(spark, d):
 # -- predictions
 
 
-HEADS = {"quality": ("quality_prediction", "quality_target", F.lit(True)), "toxic": ("toxic_prediction", "toxic_target", F.col("toxic_mask"))}
+def heads():
+    """(prediction, target, mask) of each head; columns are made where a session is."""
+    return {"quality": ("quality_prediction", "quality_target", F.lit(True)), "toxic": ("toxic_prediction", "toxic_target", F.col("toxic_mask"))}
+
+
 LONG_SQL = f"{PREDICTIONS_SQL}, lg AS (SELECT doc_id, platform, 'quality' AS head, quality_prediction AS p, quality_target AS t FROM pd UNION ALL SELECT doc_id, platform, 'toxic', toxic_prediction, toxic_target FROM pd WHERE toxic_mask)"
 ZERO = lambda x: f"round(CASE WHEN isnan({x}) OR {x} IS NULL THEN 0 ELSE {x} END, 6)"
 
 
 @query("regression_metrics", f"WITH {LONG_SQL}, r AS (SELECT *, {avg_rank('p', 'head')} AS a, {avg_rank('t', 'head')} AS b FROM lg) SELECT head, count(*) AS n, {ZERO('corr(a, b)')} AS spearman, {ZERO('corr(p, t)')} AS pearson, round(avg(abs(p - t)), 6) AS mae FROM r GROUP BY head")
 def regression_metrics(spark, d):
-    return rounded(statistics.regression_metrics(predictions(spark, d), HEADS), "spearman", "pearson", "mae")
+    return rounded(statistics.regression_metrics(predictions(spark, d), heads()), "spearman", "pearson", "mae")
 
 
 @query("platform_metrics", f"WITH {LONG_SQL}, r AS (SELECT *, {avg_rank('p', 'platform', 'head')} AS a, {avg_rank('t', 'platform', 'head')} AS b FROM lg) SELECT platform, head, count(*) AS n, {ZERO('corr(a, b)')} AS spearman, {ZERO('corr(p, t)')} AS pearson, round(avg(abs(p - t)), 6) AS mae FROM r GROUP BY ALL HAVING count(*) >= 10")
 def platform_metrics(spark, d):
-    return rounded(statistics.regression_metrics(predictions(spark, d), HEADS, ["platform"], least=10), "spearman", "pearson", "mae")
+    return rounded(statistics.regression_metrics(predictions(spark, d), heads(), ["platform"], least=10), "spearman", "pearson", "mae")
 
 
 @query("calibration_error", f"WITH {PREDICTIONS_SQL}, b AS (SELECT {' + '.join(f'CAST(quality_prediction >= {i / 10}::DOUBLE AS INT)' for i in range(1, 10))} AS bin, count(*) AS n, avg(quality_prediction) AS p, avg(quality_target) AS t FROM pd GROUP BY 1) SELECT round(sum(n * abs(p - t)) / sum(n), 6) AS ece, CAST(sum(n) AS BIGINT) AS n FROM b")
@@ -303,16 +307,16 @@ def reliability(spark, d):
 
 @query("masked_loss", f"WITH {PREDICTIONS_SQL}, w AS (SELECT *, CASE WHEN vertical = 'de' THEN 0.5::DOUBLE ELSE 1 END AS w FROM pd) SELECT round((sum(w * pow(quality_prediction - quality_target, 2)) + sum(CASE WHEN toxic_mask THEN 0.5::DOUBLE * w * pow(toxic_prediction - toxic_target, 2) ELSE 0 END)) / (sum(w) + sum(CASE WHEN toxic_mask THEN 0.5::DOUBLE * w ELSE 0 END)), 6) AS loss FROM w")
 def masked_loss(spark, d):
-    heads = {"quality": (*HEADS["quality"], 1.0), "toxic": (*HEADS["toxic"], 0.5)}
-    return rounded(statistics.masked_loss(predictions(spark, d), heads, F.when(F.col("vertical") == "de", 0.5).otherwise(1.0)), "loss")
+    weighed = {"quality": (*heads()["quality"], 1.0), "toxic": (*heads()["toxic"], 0.5)}
+    return rounded(statistics.masked_loss(predictions(spark, d), weighed, F.when(F.col("vertical") == "de", 0.5).otherwise(1.0)), "loss")
 
 
 @query("isotonic_calibration")
 def isotonic_calibration(spark, d):
     """Calibrated predictions of both heads, by curves that were written and read again."""
     rows = predictions(spark, d)
-    curves = calibration.loads(calibration.dumps(calibration.fit(rows, HEADS)))
-    return calibration.calibrated(rows, HEADS, curves).select("doc_id", "quality_calibrated", "toxic_calibrated")
+    curves = calibration.loads(calibration.dumps(calibration.fit(rows, heads())))
+    return calibration.calibrated(rows, heads(), curves).select("doc_id", "quality_calibrated", "toxic_calibrated")
 
 
 SUMMARY_SQL = lambda c: f"count({c}) AS {c}_n, round(avg({c}), 6) AS {c}_mean, round(median({c}), 9) AS {c}_median, " + ", ".join(f"round(max({c}) FILTER (i_{c} = CAST(floor((k_{c} - 1) * {q}::DOUBLE + 0.5) AS BIGINT)), 6) AS {c}_p{int(q * 100)}" for q in (0.25, 0.75, 0.9))

@@ -11,11 +11,17 @@ from copperleaf.plans.scoring_queries import V3_SQL, scored
 from copperleaf.sources import files, parsers
 from copperleaf.sources.ads import ADS_SQL, ads, table
 
-K = F.get_json_object("props", "$.k").cast("bigint")
 SEEN = "json_extract_string(props, '$.k')::BIGINT AS k"
 WHEN = lambda kind, value: F.when(F.col("event_type") == kind, value)
 OBJECT = lambda **fields: F.struct(*[v.alias(n) for n, v in fields.items()])
-DAY = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def number():
+    return F.get_json_object("props", "$.k").cast("bigint")
+
+
+def moment():
+    return F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def raw(spark, d, **fields):
@@ -32,9 +38,9 @@ def shown(df, *lists):
   CASE WHEN event_type = 'click' AND k > 0 THEN k ELSE k + 1 END AS comments, k AS shares, CASE WHEN event_type = 'error' THEN 7 ELSE 0 END AS views, CASE WHEN event_type = 'purchase' THEN k ELSE 0 END AS reactions, CAST(user_id AS VARCHAR) AS advertiser_id, 'https://b' AS landing_page_url FROM e""")
 def adflex_ads(spark, d):
     part = OBJECT(type=F.when(F.col("event_type") != "error", "Video").otherwise("hologram"), subtitle=F.lit("below"), files=OBJECT(main=F.lit("u")))
-    engaged = OBJECT(reactions=WHEN("view", K), likes=F.floor("value"), comments=WHEN("click", K), replies=K + 1, shares=F.lit(0), reposts=K, plays=WHEN("error", F.lit(7)), upvotes=WHEN("purchase", K))
+    engaged = OBJECT(reactions=WHEN("view", number()), likes=F.floor("value"), comments=WHEN("click", number()), replies=number() + 1, shares=F.lit(0), reposts=number(), plays=WHEN("error", F.lit(7)), upvotes=WHEN("purchase", number()))
     places = F.array(*[OBJECT(code=F.lit(c)) for c in ("US", "", "FR")])
-    made = raw(spark, d, id=F.col("event_id"), title=F.col("event_type"), engagements=engaged, attachments=F.when(F.col("event_type") == "signup", F.array(part, part)).otherwise(F.array(part)), locations=places, updated_at=DAY, active_days=K, owner=OBJECT(id=F.col("user_id")), display_site_url=F.lit(""), display_url=F.lit("https://b"))
+    made = raw(spark, d, id=F.col("event_id"), title=F.col("event_type"), engagements=engaged, attachments=F.when(F.col("event_type") == "signup", F.array(part, part)).otherwise(F.array(part)), locations=places, updated_at=moment(), active_days=number(), owner=OBJECT(id=F.col("user_id")), display_site_url=F.lit(""), display_url=F.lit("https://b"))
     platform = F.when(F.col("event_type") == "view", "X").when(F.col("event_type") == "click", "reddit").otherwise("myspace")
     return shown(parsers.adflex(made, platform=platform), "country").select("ad_id", "platform", "headline", "body", "creative_format", "country", "last_seen", "active_days", *parsers.COUNTS, "advertiser_id", "landing_page_url")
 
@@ -42,8 +48,8 @@ def adflex_ads(spark, d):
 @query("adflex_details", """WITH e AS (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events) SELECT CAST(event_id AS VARCHAR) AS ad_id, CASE WHEN event_type = 'view' THEN 'Buy' ELSE '' END AS cta, CASE WHEN k > 0 THEN k END AS impressions,
   CASE WHEN event_type = 'click' THEN DATE '2023-05-06' END AS first_seen, CASE WHEN event_type = 'click' THEN DATE '2024-12-31' ELSE CAST(ts AS DATE) END AS last_seen, CASE WHEN event_type = 'view' THEN 'cats/dogs' ELSE '' END AS interests FROM e""")
 def adflex_details(spark, d):
-    base = parsers.adflex(raw(spark, d, id=F.col("event_id"), updated_at=DAY))
-    inner = OBJECT(cta=WHEN("view", F.lit("Buy")), impressions=K, first_seen_at=WHEN("click", F.lit("2023-05-06T00:00:00Z")), last_seen_at=WHEN("click", F.lit("2024-12-31")), interests=WHEN("view", F.array(OBJECT(name=F.lit("cats")), OBJECT(name=F.lit("dogs")))))
+    base = parsers.adflex(raw(spark, d, id=F.col("event_id"), updated_at=moment()))
+    inner = OBJECT(cta=WHEN("view", F.lit("Buy")), impressions=number(), first_seen_at=WHEN("click", F.lit("2023-05-06T00:00:00Z")), last_seen_at=WHEN("click", F.lit("2024-12-31")), interests=WHEN("view", F.array(OBJECT(name=F.lit("cats")), OBJECT(name=F.lit("dogs")))))
     details = raw(spark, d, data=OBJECT(ad=inner)).select(F.col("event_id").cast("string").alias("ad_id"), "json")
     return shown(parsers.with_detail(base, details), "interests").select("ad_id", "cta", "impressions", "first_seen", "last_seen", "interests")
 
@@ -55,8 +61,8 @@ def meta_library_ads(spark, d):
     # a body is a text or an object, so it is put into the JSON text itself
     made = raw(
         spark, d, adArchiveID=F.col("event_id"), publisherPlatform=F.when(kind == "view", F.array(F.lit("INSTAGRAM"), F.lit("FACEBOOK"))).otherwise(F.array(F.lit("facebook"))), videos=WHEN("view", item), images=F.when(kind.isin("view", "click"), item), cards=F.when(kind.isin("click", "signup"), item),
-        snapshot=OBJECT(title=F.when(kind != "purchase", "title").otherwise(""), link_title=F.lit("link"), body=F.lit("@BODY")), spend=OBJECT(lower_bound=F.concat(K.cast("string"), F.lit(",000")), upper_bound=F.when(kind == "error", F.lit("many")).otherwise(K.cast("string"))),
-        country=F.when(kind == "view", F.array(F.lit("DE"), F.lit("FR"))).otherwise(F.array(F.lit("US"))), startDate=DAY,
+        snapshot=OBJECT(title=F.when(kind != "purchase", "title").otherwise(""), link_title=F.lit("link"), body=F.lit("@BODY")), spend=OBJECT(lower_bound=F.concat(number().cast("string"), F.lit(",000")), upper_bound=F.when(kind == "error", F.lit("many")).otherwise(number().cast("string"))),
+        country=F.when(kind == "view", F.array(F.lit("DE"), F.lit("FR"))).otherwise(F.array(F.lit("US"))), startDate=moment(),
     )
     body = F.when(kind == "view", '{"text": "in an object"}').when(kind == "click", '"plain"').otherwise("null")
     return shown(parsers.meta_library(made.withColumn("json", F.replace("json", F.lit('"@BODY"'), body))), "country").select("ad_id", "platform", "creative_format", "body", "headline", "spend_lower", "spend_upper", "country", "first_seen")
@@ -68,9 +74,9 @@ def meta_library_ads(spark, d):
   UNION ALL SELECT CAST(event_id AS VARCHAR), 'bigspy', CASE event_type WHEN 'view' THEN 'youtube' ELSE 'other' END, CASE event_type WHEN 'click' THEN 'collection' ELSE 'other' END, 'text', k, CASE WHEN event_type = 'view' THEN 'SE' ELSE '' END, CAST(ts AS DATE) FROM e) SELECT * FROM p""")
 def library_ads(spark, d):
     kind, ident, day = F.col("event_type"), F.col("event_id"), F.date_format("ts", "yyyy/MM/dd")
-    tiktok = raw(spark, d, id=ident, adFormat=F.when(kind == "view", "IMAGE"), caption=F.when(kind == "click", "caption"), text=F.lit("text"), likes=K, regions=F.array(F.lit("GB")), firstShown=day)
+    tiktok = raw(spark, d, id=ident, adFormat=F.when(kind == "view", "IMAGE"), caption=F.when(kind == "click", "caption"), text=F.lit("text"), likes=number(), regions=F.array(F.lit("GB")), firstShown=day)
     google = raw(spark, d, creative_id=F.concat(F.lit("g"), ident.cast("string")), format=F.when(kind == "view", "Video ad").when(kind == "click", "TEXT").otherwise("shape"), text=F.lit("text"), regions=F.array(OBJECT(code=F.lit("IE")), OBJECT(code=F.lit("PT"))), first_shown=F.unix_timestamp("ts").cast("string"))
-    bigspy = raw(spark, d, id=ident, platform=F.when(kind == "view", "YouTube").otherwise("x"), creative_type=F.when(kind == "click", "Collection"), content=F.lit("text"), likes=K, country=F.when(kind == "view", "SE").otherwise(""), created_at=DAY)
+    bigspy = raw(spark, d, id=ident, platform=F.when(kind == "view", "YouTube").otherwise("x"), creative_type=F.when(kind == "click", "Collection"), content=F.lit("text"), likes=number(), country=F.when(kind == "view", "SE").otherwise(""), created_at=moment())
     made = [f(r) for f, r in ((parsers.tiktok_library, tiktok), (parsers.google_transparency, google), (parsers.bigspy, bigspy))]
     return shown(made[0].unionByName(made[1]).unionByName(made[2]), "country").select("ad_id", "source", "platform", "creative_format", "body", "likes", "country", "first_seen")
 
