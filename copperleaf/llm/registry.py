@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from copperleaf.llm.bpe import op9_bpe
+from copperleaf.llm.fill_in_middle import OP11_SQL, op11_fill_in_middle
 from copperleaf.llm.hnsw import op7_hnsw
 from copperleaf.llm.line_rules import OP4_SQL, op4_line_frequency
 from copperleaf.llm.mixing import OP8_SQL, op8_mixing
@@ -26,6 +27,7 @@ def queries() -> dict:
         "op8_mixing": op8_mixing,
         "op9_bpe": op9_bpe,
         "op10_preferences": op10_preferences,
+        "op11_fill_in_middle": op11_fill_in_middle,
     }
 
 
@@ -36,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_extendible_hashing": OP6_SQL,
         "op8_mixing": OP8_SQL,
         "op10_preferences": OP10_SQL,
+        "op11_fill_in_middle": OP11_SQL,
     }
