@@ -6,6 +6,7 @@ from copperleaf.llm.bpe import op9_bpe
 from copperleaf.llm.fill_in_middle import OP11_SQL, op11_fill_in_middle
 from copperleaf.llm.hnsw import op7_hnsw
 from copperleaf.llm.importance import OP13_SQL, op13_importance
+from copperleaf.llm.licenses import OP12_SQL, op12_licenses
 from copperleaf.llm.line_rules import OP4_SQL, op4_line_frequency
 from copperleaf.llm.mixing import OP8_SQL, op8_mixing
 from copperleaf.llm.preferences import OP10_SQL, op10_preferences
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op9_bpe": op9_bpe,
         "op10_preferences": op10_preferences,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_licenses": op12_licenses,
         "op13_importance": op13_importance,
     }
 
@@ -41,5 +43,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_mixing": OP8_SQL,
         "op10_preferences": OP10_SQL,
         "op11_fill_in_middle": OP11_SQL,
+        "op12_licenses": OP12_SQL,
         "op13_importance": OP13_SQL,
     }
