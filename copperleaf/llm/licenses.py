@@ -159,13 +159,13 @@ def _literal(row: tuple) -> str:
 
 
 OP12_SQL = (
-    "WITH t(template, label, base, least, length, at, gram) AS (VALUES " + ", ".join(map(_literal, template_rows())) + r"""
+    "WITH t(template, label, base, least, length, spot, gram) AS (VALUES " + ", ".join(map(_literal, template_rows())) + r"""
 ), d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), g AS (
   SELECT r, i - 1 AS pos, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
 ), h AS (
-  SELECT r, template, label, base, least, length, pos - at AS diagonal, list(DISTINCT at) AS ats FROM g JOIN t USING (gram) GROUP BY ALL
+  SELECT r, template, label, base, least, length, pos - spot AS diagonal, list(DISTINCT spot) AS ats FROM g JOIN t USING (gram) GROUP BY ALL
 ), v AS (
   SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > length * 0.25::DOUBLE, true) OR base AS fresh FROM h
   WHERE len(ats) >= CASE WHEN base THEN length - 2 ELSE least(greatest(2.0::DOUBLE, length * 0.1::DOUBLE), length - 2) END
