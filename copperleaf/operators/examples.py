@@ -9,13 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from copperleaf.cluster import materialise
 from copperleaf.functions import text as T
+from copperleaf.operators.near_duplicates import near_duplicates
 from copperleaf.operators.selection import source_set_dedup
 
 # The styles that have limits of their own, and the shortest response of each.
 BACKTRANSLATION, DISTILLED = "backtranslation", "context_distilled"
 FLOORS, FLOOR, LANGUAGE_FLOOR = {BACKTRANSLATION: 80}, 200, 50
-STAGES = ["artifact_leak", "structural", "min_length", "language", "rubric", "format_specific", "style_b_specificity", "source_ad_duplicate"]
+STAGES = ["artifact_leak", "structural", "min_length", "language", "rubric", "format_specific", "style_b_specificity", "duplicate", "prompt_duplicate", "source_ad_duplicate"]
+#: Cosines above which a later response, and a later prompt, is a duplicate.
+RESPONSE_LIKE, PROMPT_LIKE = 0.80, 0.85
 
 
 def first_said(role: str, messages: Column | str = "messages") -> Column:
@@ -45,8 +49,17 @@ def format_reasons(style: Column, response: Column) -> Column:
     return F.when(style == BACKTRANSLATION, some).otherwise(F.array().cast("array<string>"))
 
 
-def judged(examples: DataFrame, language: Column | None = None, rubric: Column | None = None) -> DataFrame:
-    """``examples``, repaired, with the stage that rejects it (null: kept) and its reasons.
+def _twice(left: DataFrame, response_like: float, prompt_like: float) -> DataFrame:
+    """(_id, _twice): the examples whose response, and of the others those whose prompt, is like that of an earlier kept one."""
+    said = materialise(left.select("example_id", first_said("assistant").alias("response"), first_said("user").alias("prompt")), "cascade-texts")
+    responses = materialise(near_duplicates(said, "example_id", "response", response_like).select(F.col("example_id").alias("_id"), F.lit("duplicate").alias("_twice")), "like-responses")
+    others = said.join(responses, F.col("example_id") == F.col("_id"), "left_anti")
+    prompts = near_duplicates(others, "example_id", "prompt", prompt_like).select(F.col("example_id").alias("_id"), F.lit("prompt_duplicate").alias("_twice"))
+    return materialise(responses.unionByName(prompts), "like-examples")
+
+
+def judged(examples: DataFrame, language: Column | None = None, rubric: Column | None = None, response_like: float = RESPONSE_LIKE, prompt_like: float = PROMPT_LIKE) -> DataFrame:
+    """``examples``, repaired, with the stage that rejects it (null: kept) and its reasons. Ids are unique; their order is that of the examples.
 
     language: of the response, told by frequent words unless given; rubric: an array of missing sections, none unless given.
     """
@@ -71,10 +84,13 @@ def judged(examples: DataFrame, language: Column | None = None, rubric: Column |
     for name, (fails, why) in reversed(list(zip(STAGES, checks, strict=False))):
         stage, reasons = F.when(fails, name).otherwise(stage), F.when(fails, why).otherwise(reasons)
     rows = rows.withColumns({"stage": stage, "reasons": reasons})
-    left = source_set_dedup(rows.filter("stage IS NULL"), "source_ids", "example_id")
+    left = rows.filter("stage IS NULL")
+    left = left.join(_twice(left, response_like, prompt_like), F.col("example_id") == F.col("_id"), "left").drop("_id")
+    alike = left.filter("_twice IS NOT NULL").withColumns({"stage": F.col("_twice"), "reasons": F.array("_twice")}).drop("_twice")
+    left = source_set_dedup(left.filter("_twice IS NULL").drop("_twice"), "source_ids", "example_id")
     twice = F.col("first").isNotNull()
     left = left.withColumns({"stage": F.when(twice, STAGES[-1]), "reasons": F.when(twice, F.array(F.concat(F.lit("source_ad_duplicate:first="), F.col("first").cast("string")))).otherwise(F.array().cast("array<string>"))})
-    return rows.filter("stage IS NOT NULL").unionByName(left.drop("first"))
+    return rows.filter("stage IS NOT NULL").unionByName(alike).unionByName(left.drop("first"))
 
 
 def stage_counts(rows: DataFrame) -> DataFrame:

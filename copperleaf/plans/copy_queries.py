@@ -8,6 +8,7 @@ from copperleaf.cluster import materialise
 from copperleaf.functions import copy, text
 from copperleaf.functions.derived import any_date, bound, log_midpoint
 from copperleaf.operators import classify, construct, examples, similarity
+from copperleaf.operators.near_duplicates import STOP_WORDS, near_duplicates
 from copperleaf.plans.corpus_queries import JOINED, PLAIN, STRIP, T
 from copperleaf.plans.registry import query
 from copperleaf.plans.scoring_queries import V3_SQL, scored
@@ -170,13 +171,36 @@ def chat_examples(spark, d):
     return chats.select(F.col("conv_id").alias("example_id"), style.alias("style"), F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("messages"), ids.alias("source_ids"))
 
 
-CASCADE_SQL = f"""WITH t AS (SELECT conv_id, turn, role, {SAID} AS text FROM conversations), r AS (
+def near_sql(name: str, source: str, threshold: float) -> str:
+    """Parts of a recursive WITH: <name>_fallen (key), of a table of key and text, by all pairs and one text after the other."""
+    words = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    return f"""{name}_s AS (SELECT * FROM {source} WHERE trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) <> ''
+), {name}_c AS (SELECT key, term, count(*) AS tf FROM (SELECT key, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM {name}_s) WHERE term NOT IN ({words}) GROUP BY ALL
+), {name}_v AS (SELECT term, ln((1 + (SELECT count(*) FROM {name}_s))::DOUBLE / (1 + count(*))::DOUBLE) + 1 AS idf FROM {name}_c GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 10000
+), {name}_w AS (SELECT key, term, w / sqrt(sum(w * w) OVER (PARTITION BY key)) AS w FROM (SELECT key, term, tf * idf AS w FROM {name}_c JOIN {name}_v USING (term))
+), {name}_l AS (SELECT key, list(earlier) AS earlier FROM (SELECT a.key, b.key AS earlier FROM {name}_w a JOIN {name}_w b ON a.term = b.term AND b.key < a.key GROUP BY ALL HAVING round(sum(a.w * b.w), 9) > {threshold}::DOUBLE) GROUP BY key
+), {name}_o AS (SELECT key, coalesce(earlier, []) AS earlier, row_number() OVER (ORDER BY key) AS i FROM {name}_s LEFT JOIN {name}_l USING (key)
+), {name}_g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS key, false AS fell
+  UNION ALL SELECT o.i, CASE WHEN list_has_any(g.kept, o.earlier) THEN g.kept ELSE list_append(g.kept, o.key) END, o.key, list_has_any(g.kept, o.earlier) FROM {name}_g g JOIN {name}_o o ON o.i = g.i + 1
+), {name}_fallen AS (SELECT key FROM {name}_g WHERE fell)"""
+
+
+@query("near_duplicate_texts", f"WITH RECURSIVE {near_sql('d', '(SELECT doc_id AS key, text FROM documents)', 0.80)} SELECT key AS doc_id FROM d_fallen")
+def near_duplicate_texts(spark, d):
+    """Documents that are more than 0.80 like an earlier kept one."""
+    return near_duplicates(table(spark, d, "documents"), "doc_id", "text", 0.80)
+
+
+CASCADE_SQL = f"""WITH RECURSIVE t AS (SELECT conv_id, turn, role, {SAID} AS text FROM conversations), r AS (
   SELECT conv_id, turn, role, {STRIP("regexp_replace(CASE WHEN regexp_matches(text, '(?is)<assistant_response[^>]*>(.*?)</assistant_response>') THEN regexp_extract(text, '(?is)<assistant_response[^>]*>(.*?)</assistant_response>', 1) ELSE text END, '(?is)<thinking[^>]*>.*?</thinking>', '', 'g')")} AS text FROM t
 ), c AS (SELECT conv_id, min(CASE WHEN role = 'user' THEN turn END) AS u, min(CASE WHEN role = 'assistant' THEN turn END) AS a, max(CASE WHEN contains(text, '<foo a>') THEN 1 ELSE 0 END) AS residue FROM r GROUP BY conv_id
 ), x AS (SELECT c.*, coalesce(r.text, '') AS reply, conv_id % 3 AS style FROM c LEFT JOIN (SELECT conv_id AS k, turn AS w, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS i FROM r WHERE role = 'assistant') r ON r.k = c.conv_id AND r.w = c.a AND r.i = 1
 ), s AS (SELECT *, CASE WHEN residue = 1 THEN 'artifact_leak' WHEN NOT coalesce(u < a, false) THEN 'structural' WHEN length(reply) < CASE WHEN style = 0 THEN 80 ELSE 200 END THEN 'min_length'
     WHEN style = 0 AND (regexp_matches(reply, '(?im)^\\s*headline\\s*:') OR contains(lower(reply), 'you could also try')) THEN 'format_specific' WHEN style = 1 AND (regexp_matches(reply, '\\b\\d+\\s*%') OR regexp_matches(reply, '\\$\\s*\\d')) THEN 'style_b_specificity' END AS stage FROM x
-), k AS (SELECT *, CASE WHEN conv_id % 11 <> 0 THEN list_sort(list_distinct([conv_id % 40, conv_id % 5])) END AS ids FROM s), f AS (SELECT *, CASE WHEN stage IS NULL AND ids IS NOT NULL AND conv_id <> min(conv_id) OVER (PARTITION BY ids, stage IS NULL) THEN 'source_ad_duplicate' ELSE stage END AS final FROM k)"""
+), p AS (SELECT s.*, coalesce(q.text, '') AS prompt FROM s LEFT JOIN (SELECT conv_id AS k, turn AS w, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS i FROM r WHERE role = 'user') q ON q.k = s.conv_id AND q.w = s.u AND q.i = 1
+), {near_sql("dr", "(SELECT conv_id AS key, reply AS text FROM p WHERE stage IS NULL)", 0.80)}, {near_sql("dp", "(SELECT conv_id AS key, prompt AS text FROM p WHERE stage IS NULL AND conv_id NOT IN (SELECT key FROM dr_fallen))", 0.85)
+}, y AS (SELECT * REPLACE (coalesce(stage, CASE WHEN conv_id IN (SELECT key FROM dr_fallen) THEN 'duplicate' WHEN conv_id IN (SELECT key FROM dp_fallen) THEN 'prompt_duplicate' END) AS stage) FROM p
+), k AS (SELECT *, CASE WHEN conv_id % 11 <> 0 THEN list_sort(list_distinct([conv_id % 40, conv_id % 5])) END AS ids FROM y), f AS (SELECT *, CASE WHEN stage IS NULL AND ids IS NOT NULL AND conv_id <> min(conv_id) OVER (PARTITION BY ids, stage IS NULL) THEN 'source_ad_duplicate' ELSE stage END AS final FROM k)"""
 
 
 @query("filter_cascade", CASCADE_SQL + " SELECT conv_id AS example_id, final AS stage FROM f")
