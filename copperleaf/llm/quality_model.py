@@ -55,7 +55,7 @@ def _word(word: str) -> tuple[int, int]:
 
 
 def features(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of the text's features; the last place, ``2 ** bits``, is the bias."""
+    """Places and values of the text's features, each place once; the last place, ``2 ** bits``, is the bias."""
     pairs = [_word(w) for w in (text or "").split()]
     bias = 1 << bits
     if not pairs:
@@ -67,8 +67,13 @@ def features(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     shapes = np.concatenate([shape, ((shape[:-1] * salt) ^ shape[1:]) + same.astype(np.uint64)])
     at = np.unique((words * np.uint64(SHAPE_SALT)) >> shift).astype(np.int64)
     kinds, count = np.unique((shapes * np.uint64(SHAPE_SALT)) >> shift, return_counts=True)
-    share = count / np.sqrt(np.dot(count, count))
-    return np.r_[at, kinds.astype(np.int64), bias], np.r_[np.full(len(at), 1 / math.sqrt(len(at))), share, 1.0]
+    kinds, share = kinds.astype(np.int64), count / np.sqrt(np.dot(count, count))
+    said = np.full(len(at), 1 / math.sqrt(len(at)))
+    # a word and a shape may fall on one place: its value is their sum
+    where = np.minimum(np.searchsorted(at, kinds), len(at) - 1)
+    both = at[where] == kinds
+    said[where[both]] += share[both]
+    return np.r_[at, kinds[~both], bias], np.r_[said, share[~both], 1.0]
 
 
 def _sigmoid(x: float) -> float:

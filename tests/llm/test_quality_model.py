@@ -1,6 +1,11 @@
+import math
 import zlib
+from collections import Counter
+from itertools import groupby
 
 import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from copperleaf.llm import quality_model as q
@@ -38,50 +43,78 @@ def test_updates_follow_the_plain_formula():
     assert np.allclose(q.ftrl(rows, 10, 1), [weight(i) for i in range(10)])
 
 
-def test_features_and_training_equal_the_plain_version(spark):
-    import math
-    from collections import Counter
-
-    import xxhash
-    from itertools import groupby
-
-    mask, bits = 2**64 - 1, 14
+def plain_features(text, bits):
+    mask = 2**64 - 1
     place = lambda h: ((h * q.SHAPE_SALT) & mask) >> (64 - bits)
     kind = lambda c: "0" if c.isdigit() else ("a" if c == c.lower() else "A") if c.isalpha() else c
-
-    def plain(text):
-        w = (text or "").split()
-        own = [xxhash.xxh64_intdigest(x) for x in w]
-        shape = [xxhash.xxh64_intdigest("".join(k for k, _ in groupby(map(kind, x))), 1) for x in w]
-        pair = lambda h: [((a * q.PAIR_SALT) & mask) ^ b for a, b in zip(h, h[1:])]
-        said = {place(h) for h in own + pair(own)}
-        kinds = Counter(place(h) for h in shape + [(h + (a == b)) & mask for h, a, b in zip(pair(shape), own, own[1:])])
-        out, size = Counter({1 << bits: 1.0}), math.sqrt(sum(n * n for n in kinds.values()))
-        for i in said:
-            out[i] += 1 / math.sqrt(len(said))
-        for i, n in kinds.items():
-            out[i] += n / size
-        return out
-
-    texts = ["The cat sat", "a1 b22 A1 a1 a1", "", None, "x", "Don't, don't!", "ééé Été 12-3"]
-    for t in texts:
+    w = (text or "").split()
+    own = [xxhash.xxh64_intdigest(x) for x in w]
+    shape = [xxhash.xxh64_intdigest("".join(k for k, _ in groupby(map(kind, x))), 1) for x in w]
+    pair = lambda h: [((a * q.PAIR_SALT) & mask) ^ b for a, b in zip(h, h[1:])]
+    said = {place(h) for h in own + pair(own)}
+    kinds = Counter(place(h) for h in shape + [(h + (a == b)) & mask for h, a, b in zip(pair(shape), own, own[1:])])
+    out, size = Counter({1 << bits: 1.0}), math.sqrt(sum(n * n for n in kinds.values()))
+    for i in said:
+        out[i] += 1 / math.sqrt(len(said))
+    for i, n in kinds.items():
+        out[i] += n / size
+    return out
+
+
+def plain_weight(z, n):
+    if abs(z) <= q.L1:
+        return 0.0
+    return -(z - math.copysign(q.L1, z)) / ((q.BETA + math.sqrt(n)) / q.ALPHA + q.L2)
+
+
+def plain_ftrl(rows, epochs):
+    z, n = Counter(), Counter()
+    for _ in range(epochs):
+        for x, y in rows:
+            w = {i: plain_weight(z[i], n[i]) for i in x}
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w[i] * v for i, v in x.items())))))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / q.ALPHA * w[i]
+                n[i] += g * g
+    return {i: plain_weight(z[i], n[i]) for i in z}
+
+
+TEXTS = ["The cat sat", "a1 b22 A1 a1 a1", "", None, "x", "Don't, don't!", "ééé Été 12-3"]
+
+
+@pytest.mark.parametrize("bits", [4, 14])
+def test_features_equal_the_plain_version_each_place_once(bits):
+    for t in [*TEXTS, " ".join(f"w{i} W{i}! {i}" for i in range(60))]:
         at, x = q.features(t, bits)
-        got = Counter()
-        for i, v in zip(at, x):
-            got[int(i)] += float(v)
-        want = plain(t)
-        assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-12 for i in want)
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+        want = plain_features(t, bits)
+        assert len(set(at.tolist())) == len(at) and set(at.tolist()) == set(want)
+        assert all(abs(v - want[i]) < 1e-12 for i, v in zip(at.tolist(), x))
+
+
+@pytest.mark.parametrize(("bits", "shards"), [(5, 1), (5, 3), (14, 3), (14, 50)])
+def test_scores_equal_a_plain_version_with_repeated_places_and_groups(spark, bits, shards):
+    texts = TEXTS + [f"{'Good' if i % 2 else 'bad!!'} text {i} " * (i % 4 + 1) + f"No. {i * i} x{i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, quality int")
-    used = docs.filter(~q.in_held_out(F.col("doc_id"))).withColumn("o", F.xxhash64(F.lit("sample"), "doc_id")).orderBy("o", "doc_id").collect()
-    want = q.ftrl([(*q.features(r["text"], bits), float(r["doc_id"] % 2)) for r in used], (1 << bits) + 1, 3)
-    one = q.train(docs, labels, bits=bits, shards=1, epochs=3)
-    assert np.allclose(one, want)
-    # empty groups take no part in the average, and groups count by their rows
-    many = q.train(docs, labels, bits=bits, shards=50, epochs=3)
-    assert abs(many).max() > 0.1 * abs(want).max()  # a fiftieth, if the empty ones did
-    few = q.train(docs, labels, bits=bits, shards=1, epochs=3, max_bytes=0)
-    assert abs(few[: 1 << bits]).max() < abs(want).max()
+    shard = F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards))
+    used = docs.filter(~q.in_held_out(F.col("doc_id"))).select("doc_id", "text", shard.alias("s"), F.xxhash64(F.lit("sample"), "doc_id").alias("o")).orderBy("o", "doc_id").collect()
+    want = Counter()
+    for s in {r["s"] for r in used}:
+        own = [(plain_features(r["text"], bits), r["doc_id"] % 2) for r in used if r["s"] == s]
+        for i, w in plain_ftrl(own, 3).items():
+            want[i] += w * len(own) / len(used)
+    got = {r["doc_id"]: r["p"] for r in q.score(docs, q.train(docs, labels, bits=bits, shards=shards, epochs=3), out="p").collect()}
+    for i, t in enumerate(texts):
+        p = 1 / (1 + math.exp(-sum(want[k] * v for k, v in plain_features(t, bits).items())))
+        assert abs(got[i] - p) < 1e-9, (i, t)
+
+
+def test_no_bytes_of_text_train_less(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(TEXTS))], "doc_id long, quality int")
+    full, few = (q.train(docs, labels, bits=14, shards=1, epochs=3, **o) for o in ({}, {"max_bytes": 0}))
+    assert abs(few[: 1 << 14]).max() < abs(full).max()
 
 
 def test_odd_rows_and_empty_tables(spark):
