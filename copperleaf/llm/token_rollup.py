@@ -7,10 +7,13 @@ so of several writers of a batch one commits, and replays never count twice. Tot
 
 ``compact`` replaces batches by their sum in steps that may each be the last: the sum is written to a new
 folder, a numbered manifest that names it and the ids in it is moved into place, and only then are old folders
-deleted. A reader goes by the highest manifest, which lists every id that was ever folded in, so ids stay committed.
+deleted. A reader goes by the highest manifest, which lists every id that was ever folded in, so ids stay committed. The batches are
+listed once and just those are summed and named, so a batch that commits meanwhile stays a batch; of several that compact at once one
+switches, and deletes only what older manifests named; a sum of one that died before its switch is left behind.
 
 A tokenizer's version is its name and the start of the SHA-256 of its file. Counts are made in Arrow batches, a
-document at a time, with the tokenizer loaded once for each worker.
+document at a time, with the tokenizer loaded once for each worker. Long runs of white space are cut out and encoded on their own,
+since the pattern's lookahead takes a step of the machine's stack for each sign; the pieces are the same.
 
 Defined results: null source, language or version is a key of its own; null texts and counts are 0 tokens; texts of any
 length are counted whole; repeated rows count as often as they are there; an empty batch commits and changes nothing;
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -107,15 +111,24 @@ class Rollup:
         found = self._names(f"{self.path}/manifests")
         if not found:
             return 0, None, set()
+        return int(found[-1]), *self._read_manifest(found[-1])
+
+    def _read_manifest(self, name: str) -> tuple[str, set[str]]:
         # ids of batches, which are as many as commits and not as documents
-        lines = [r["value"] for r in self.spark.read.text(f"{self.path}/manifests/{found[-1]}").collect()]
-        base = next(x[5:] for x in lines if x.startswith("base="))
-        return int(found[-1]), base, {unquote(x[3:]) for x in lines if x.startswith("id=")}
+        lines = [r["value"] for r in self.spark.read.text(f"{self.path}/manifests/{name}").collect()]
+        return next(x[5:] for x in lines if x.startswith("base=")), {unquote(x[3:]) for x in lines if x.startswith("id=")}
+
+    def _state(self) -> tuple[int, str | None, set[str], list[str]]:
+        """The highest manifest, and the ids of the batches beside its sum, all of one moment."""
+        while True:
+            number, base, folded = self._manifest()
+            beside = sorted(b for b in map(unquote, self._names(f"{self.path}/batches")) if b not in folded)
+            if self._names(f"{self.path}/manifests")[-1:] == ([f"{number:012d}"] if number else []):
+                return number, base, folded, beside
 
     def batches(self) -> list[str]:
         """Ids of the committed batches that are not folded into a sum."""
-        folded = self._manifest()[2]
-        return sorted(b for b in map(unquote, self._names(f"{self.path}/batches")) if b not in folded)
+        return self._state()[3]
 
     def committed(self, batch_id: str) -> bool:
         fs, p = self._fs(self._place(batch_id))
@@ -131,21 +144,27 @@ class Rollup:
         _summed(batch).write.parquet(made)
         return self._move(made, self._place(batch_id))
 
-    def totals(self) -> DataFrame:
-        base = self._manifest()[1]
-        paths = [self._place(b) for b in self.batches()] + ([f"{self.path}/sums/{base}"] if base else [])
+    def _sum_of(self, base: str | None, ids: list[str]) -> DataFrame:
+        paths = [self._place(b) for b in ids] + ([f"{self.path}/sums/{base}"] if base else [])
         return _summed(self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA))
 
+    def totals(self) -> DataFrame:
+        _, base, _, ids = self._state()
+        return self._sum_of(base, ids)
+
     def compact(self) -> bool:
-        """Fold the committed batches into one sum; False if another call did so meanwhile."""
-        number, _, folded = self._manifest()
-        base = self._write_sum()
-        return self._switch(number + 1, base, folded | set(self.batches())) and self._sweep()
+        """Fold the batches that are committed now into one sum; False if another call did so meanwhile."""
+        number, base, folded, ids = self._state()
+        made = self._write_sum(base, ids)
+        if not self._switch(number + 1, made, folded | set(ids)):
+            self._delete(f"{self.path}/sums/{made}")
+            return False
+        return self._sweep()
 
-    def _write_sum(self) -> str:
-        base = uuid.uuid4().hex
-        self.totals().write.parquet(f"{self.path}/sums/{base}")
-        return base
+    def _write_sum(self, base: str | None, ids: list[str]) -> str:
+        made = uuid.uuid4().hex
+        self._sum_of(base, ids).write.parquet(f"{self.path}/sums/{made}")
+        return made
 
     def _switch(self, number: int, base: str, ids: set[str]) -> bool:
         made = f"{self.path}/writing/{uuid.uuid4().hex}"
@@ -154,15 +173,15 @@ class Rollup:
         return self._move(made, f"{self.path}/manifests/{number:012d}")
 
     def _sweep(self) -> bool:
-        """Delete what the highest manifest has made needless; after a death the next call does it."""
+        """Delete what the highest manifest has made needless, as far as a manifest ever named it; after a death the next call does it."""
         _, base, folded = self._manifest()
         for b in map(unquote, self._names(f"{self.path}/batches")):
             if b in folded:
                 self._delete(self._place(b))
-        for s in self._names(f"{self.path}/sums"):
-            if s != base:
-                self._delete(f"{self.path}/sums/{s}")
         for m in self._names(f"{self.path}/manifests")[:-1]:
+            old = self._read_manifest(m)[0]
+            if old != base:
+                self._delete(f"{self.path}/sums/{old}")
             self._delete(f"{self.path}/manifests/{m}")
         return True
 
@@ -170,12 +189,30 @@ class Rollup:
 # -- counting
 
 
-@lru_cache(maxsize=4)
+#: White space as the tokenizer's patterns have it, in runs that are cut out; the end of a pattern that makes them pieces of their own.
+RUN = 4096
+WHITE_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN)
+RUN_RULE = r"|\s+(?!\S)|\s+"
+
+
+@lru_cache(maxsize=8)
 def _encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
+def count_tokens(text: str, ranks: bytes, pattern: str) -> int:
+    """As many as ``encode_ordinary`` gives. A run of white space before a sign is one piece without its last sign, and one at the end is a piece:
+    that is what the pattern's rule for it says, if it has that rule, and nothing else of the pattern looks ahead."""
+    encoding, total, start = _encoding(ranks, pattern), 0, 0
+    if pattern.endswith(RUN_RULE):
+        for run in WHITE_RUN.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            total += len(encoding.encode_ordinary(text[start : run.start()])) + len(_encoding(ranks, r"\s+").encode_ordinary(text[run.start() : end]))
+            start = end
+    return total + len(encoding.encode_ordinary(text[start:]))
+
+
 def version_of(path: str) -> str:
     with open(path, "rb") as f:
         return f"{path.rpartition('/')[2]}@{hashlib.sha256(f.read()).hexdigest()[:12]}"
@@ -195,12 +232,12 @@ def with_token_counts(rows: DataFrame, texts: list[str], paths: dict[str, str],
     made = [f"{t}_{n}" for t in texts for n in paths]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {n: _encoding(x, pattern) for n, x in shared.value.items()}
+        known = shared.value
         for batch in batches:
             counts = []
             for t in texts:
                 column = batch.column(batch.schema.get_field_index(t))
-                counts += [pa.array([len(e.encode_ordinary(x.as_py())) if x.is_valid else None for x in column], pa.int64()) for e in known.values()]
+                counts += [pa.array([count_tokens(x.as_py(), ranks, pattern) if x.is_valid else None for x in column], pa.int64()) for ranks in known.values()]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in carried], *counts], names=[*carried, *made])
 
     return rows.mapInArrow(task, rows.select(*carried, *[F.lit(None).cast("long").alias(c) for c in made]).schema)

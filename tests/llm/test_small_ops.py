@@ -28,6 +28,67 @@ def test_rollup_commits_once_and_keeps_odd_keys(spark):
     assert set(map(tuple, store.totals().collect())) == want | {("a", "en", "v2", 1, 5)}
 
 
+def test_a_commit_during_a_compaction_stays(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a", "en", 5), (2, "b", "fr", 7)], DOC)
+    path = scratch_path(spark, "rollup")
+    store, real = tr.Rollup(spark, path), tr.Rollup._write_sum
+    store.commit("first", tr.inserts(docs.limit(1), "v1", F.col("n")))
+
+    def meanwhile(self, *args):
+        tr.Rollup(spark, path).commit("late", tr.inserts(docs, "v2", F.col("n")))
+        return real(self, *args)
+
+    with monkeypatch.context() as m:
+        m.setattr(tr.Rollup, "_write_sum", meanwhile)
+        assert store.compact()
+    assert store.batches() == ["late"] and store.committed("late") and store.committed("first")
+    assert store.totals().agg(F.sum("n_tokens")).first()[0] == 5 + 12
+    assert store.compact() and store.batches() == [] and store.totals().agg(F.sum("n_tokens")).first()[0] == 17
+
+
+def test_of_two_compactions_one_switches_and_no_sum_is_lost(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a", "en", 5), (2, "b", "fr", 7)], DOC)
+    path = scratch_path(spark, "rollup")
+    store, real, inner = tr.Rollup(spark, path), tr.Rollup._switch, []
+    for b in ("x", "y"):
+        store.commit(b, tr.inserts(docs, "v1", F.col("n")))
+
+    def second(self, *args):
+        if not inner:
+            inner.append(None)
+            inner[0] = tr.Rollup(spark, path).compact()
+        return real(self, *args)
+
+    with monkeypatch.context() as m:
+        m.setattr(tr.Rollup, "_switch", second)
+        assert not store.compact()
+    assert inner == [True] and store.totals().agg(F.sum("n_tokens")).first()[0] == 24 and len(store._names(f"{path}/sums")) == 1
+
+
+def test_long_white_space_is_counted_as_the_library_does(monkeypatch):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    pattern, count = public_tokenizers.PATTERN, lambda t: tr.count_tokens(t, ranks, public_tokenizers.PATTERN)
+    library = lambda t: len(tr._encoding(ranks, pattern).encode_ordinary(t))
+    spaces = [" ", "\n", "\t", " \n", "\u3000 ", "\xa0", "\x85\n", "\u2028"]
+    for n in (1, 2, 4095, 4096, 4097, 30_000):
+        for white in spaces:
+            run = (white * n)[:n]
+            for t in (run, f"a{run}", f"{run}a", f"a{run}b", f"don't{run}'s{run}12{run}!{run}", f"x {run}\x1cé{run}\x1f"):
+                assert count(t) == library(t), (n, white)
+    monkeypatch.setattr(tr, "WHITE_RUN", tr.re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}"))
+    import random
+
+    r = random.Random(3)
+    for _ in range(3000):
+        t = "".join(r.choice(["a", "B", "1", "!", "'s", " ", "  ", "\n", "\t", "\u3000", "\x1c", "é", "'"]) for _ in range(r.randrange(30)))
+        assert count(t) == library(t), repr(t)
+    monkeypatch.undo()
+    assert count(" " * 1_000_000 + "a") > 1 and count("a" + "\n" * 1_000_000) > 1 and count("a" * 1_000_000) > 1
+
+
 class Dead(Exception):
     pass
 
