@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copperleaf.cluster import broadcast_if_small, join_counted, materialise, scratch_path
+from copperleaf.cluster import BROADCAST_ROWS, HOT_SHARE, join_counted, materialise, scratch_path
 
 # The header fields of the two versions of ARC, and the terms of WARC 1.1.
 ARC_FIELDS = {
@@ -47,7 +47,10 @@ ARC_NAMES = {
 WARC_VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_END = "\r\n\r\n"
-PAGE_FIELD = "X-Page-Id"
+#: Of our own archives; what other servers send under names like it says nothing.
+PAGE_FIELD = "X-Copperleaf-Page-Id"
+#: Archives whose records one task sorts before it writes them.
+SORTED = 4
 #: Bytes of records that a reader hands on at once.
 BATCH_BYTES = 8 << 20
 #: Spark's text writer as archives need it; the fast level costs some bytes and saves half of the time.
@@ -75,6 +78,15 @@ def arc_record(version: int, url: str, date: str, block: bytes, name: str, statu
     return head.encode() + b"\n" + block
 
 
+#: A page may have any address; a version block also says what fields the lines have.
+VERSION_BLOCK = re.compile(rb"(\d{1,9}) \d+ [^\n]*\nURL IP-address Archive-date ")
+
+
+def page_number(value: str | None) -> int | None:
+    """A page id, or None for whatever else a field of that name holds."""
+    return int(value) if value and re.fullmatch(r"-?[0-9]{1,18}", value) else None
+
+
 def _exactly(stream: io.BufferedIOBase, n: int, what: str) -> bytes:
     got = stream.read(n)
     if len(got) < n:
@@ -94,8 +106,9 @@ def parse_arc(data: bytes | io.BufferedIOBase) -> Iterator[dict]:
         line = raw.decode("utf-8", "replace").rstrip("\r\n").split(" ")
         body = _exactly(stream, int(line[-1]), "record")
         place += 1
-        if line[0].startswith("filedesc://"):
-            version, name, place = int(body.split(b" ", 1)[0]), line[0], 0
+        block_of = VERSION_BLOCK.match(body) if line[0].startswith("filedesc://") else None
+        if block_of:
+            version, name, place = int(block_of[1]), line[0], 0
             if version not in ARC_FIELDS:
                 raise ValueError(f"ARC version {version}")
             yield dict(zip(ARC_FIELDS[1], [*line[:4], line[-1]], strict=True)) | {"version": version, "block": body, "archive": name, "place": 0}
@@ -228,7 +241,10 @@ def write_arc(
 
     records = heads.unionByName(dealt).mapInArrow(task, "archive long, part int, id long, record binary").withColumn("record", F.col("record").cast("string"))
     # sorted last: so the writer finds its order by archive there, and leaves the records of one as they stand
-    ordered = records.repartition("archive").sortWithinPartitions("archive", "part", "id", "record").select("archive", "record")
+    # a task sorts the session's share of the bytes, and no more than those of a few archives
+    tasks = int(-(-size // (SORTED * archive_bytes)))
+    dealt_out = records.repartition(tasks, "archive") if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else records.repartition("archive")
+    ordered = dealt_out.sortWithinPartitions("archive", "part", "id", "record").select("archive", "record")
     ordered.write.options(**GZIP).option("lineSep", "\n").partitionBy("archive").text(path)
 
 
@@ -243,7 +259,7 @@ def read_arc(spark, path: str) -> DataFrame:
         head, payload = split_http(r["block"])
         page, digest = http_field(head, PAGE_FIELD) if http else None, sha1_base32(payload)
         kind = "warcinfo" if r["place"] == 0 else "response" if http else "resource"
-        return kind, int(page) if page else None, r["url"], r["ip"], r["date"], r["mime"], r["version"], head, payload, digest, record_id(r["archive"], r["place"], r["url"], r["date"], digest)
+        return kind, page_number(page), r["url"], r["ip"], r["date"], r["mime"], r["version"], head, payload, digest, record_id(r["archive"], r["place"], r["url"], r["date"], digest)
 
     kinds = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.string()]
     return _read(_files(spark, path), parse_arc, ARC_ROWS, kinds, row, lambda r: len(r["block"]))
@@ -258,19 +274,31 @@ def convert(spark, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
     records = read_arc(spark, arc_path)
     slim = materialise(records.filter("kind = 'response'").select("digest", "page_id", "record_id", F.octet_length("payload").alias("bytes")), "arc-ids")
     held = slim.filter(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max(F.struct("page_id", "record_id")).alias("m"), F.count("*").alias("n"))
-    held = materialise(held.filter("n > 1").select(F.col("digest").alias("_digest"), F.col("m.record_id").alias("_holder")), "arc-originals")
+    held = materialise(held.filter("n > 1").select(F.col("digest").alias("_digest"), F.col("m.record_id").alias("_holder"), "n"), "arc-originals")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [warc_record(r, r["holder"]) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
-    joined = records.join(broadcast_if_small(held), F.col("digest") == F.col("_digest"), "left")
+    joined = _with_holders(records, held)
     holder = F.when((F.col("kind") == "response") & (F.col("record_id") != F.col("_holder")), F.col("_holder"))
     rows = joined.select(*[x.split()[0] for x in ARC_ROWS.split(", ")], holder.alias("holder"))
     rows.mapInArrow(task, "record binary").select(F.col("record").cast("string")).write.options(**GZIP).option("lineSep", RECORD_END).text(warc_path)
 
 
+def _with_holders(records: DataFrame, held: DataFrame) -> DataFrame:
+    """``records`` with the holder of their payload, if another has it too. The holders are broadcast if they are few; else just those of the
+    commonest payloads are, of which there are at most 1 / HOT_SHARE, and the other records are shuffled by their digest."""
+    same = F.col("digest") == F.col("_digest")
+    if held.count() <= BROADCAST_ROWS:
+        return records.join(F.broadcast(held), same, "left")
+    least = HOT_SHARE * (held.agg(F.sum("n")).first()[0] or 0)
+    hot = records.join(F.broadcast(held.filter(F.col("n") > least)), same, "left")
+    rest = hot.filter("_digest IS NULL").drop(*held.columns).join(held.filter(F.col("n") <= least), same, "left")
+    return hot.filter("_digest IS NOT NULL").unionByName(rest)
+
+
 WARC_ROWS = "page_id long, record_id string, record_type string, url string, date string, content_type string, payload_bytes long, payload_digest string, refers_to_id string"
 
 
@@ -283,7 +311,7 @@ def read_warc(spark, path: str, with_payload: bool = False) -> DataFrame:
             raise ValueError(f"block digest of {f['WARC-Record-ID']}")
         payload = None if f["WARC-Type"] == "revisit" else split_http(block)[1] if f["WARC-Type"] == "response" else block
         page, digest = f.get(PAGE_FIELD), f.get("WARC-Payload-Digest")
-        made = (int(page) if page else None, f["WARC-Record-ID"], f["WARC-Type"], f.get("WARC-Target-URI"), f["WARC-Date"], f["Content-Type"], None if payload is None else len(payload), digest and digest.removeprefix("sha1:"), f.get("WARC-Refers-To"))
+        made = (page_number(page), f["WARC-Record-ID"], f["WARC-Type"], f.get("WARC-Target-URI"), f["WARC-Date"], f["Content-Type"], None if payload is None else len(payload), digest and digest.removeprefix("sha1:"), f.get("WARC-Refers-To"))
         return (*made, payload) if with_payload else made
 
     kinds = [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string(), pa.string(), *[pa.binary()] * with_payload]

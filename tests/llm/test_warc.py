@@ -67,3 +67,27 @@ def test_other_records_keep_their_type(spark):
     again = scratch_path(spark, "warc")
     warc.convert(spark, arc, again)
     assert {r["record_id"] for r in warc.read_warc(spark, again).collect()} == {r["record_id"] for r in rows.collect()}
+
+
+def test_pages_of_any_address_and_foreign_page_ids(spark):
+    pages = [(1, "filedesc://copperleaf-000000.arc.gz", "<p>x</p>"), (2, "filedesc://x 1", None), (3, "http://a", "1 0 me\nURL IP-address Archive-date x"), (4, "filedesc://b", "1 0 me\nURL IP-address Archive-date x")]
+    got = sorted(map(tuple, warc.through_archives(spark, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()))
+    same = warc.sha1_base32(pages[2][2].encode())
+    assert [(r[0], r[3], r[4]) for r in got] == [(1, "response", None), (2, "response", None), (3, "revisit", 4), (4, "response", None)] and got[2][2] == got[3][2] == same
+    foreign = b"HTTP/1.1 200 OK\r\nX-Page-Id: abc\r\n" + warc.PAGE_FIELD.encode() + b": 12x\r\n\r\nbody"
+    data = warc.version_block(1, "old.arc", "20240101000000") + b"\n" + warc.arc_record(1, "http://a", "20240101000000", foreign, "old.arc") + b"\n"
+    arc, out = warc.scratch_path(spark, "arc"), warc.scratch_path(spark, "warc")
+    spark.createDataFrame([(data.decode(),)], "value string").coalesce(1).write.option("lineSep", "\n").text(arc)
+    warc.convert(spark, arc, out)
+    rows = [r for r in warc.read_warc(spark, out).collect() if r["record_type"] == "response"]
+    assert [(r["page_id"], r["payload_bytes"]) for r in rows] == [(None, 4)]
+    assert [warc.page_number(x) for x in (None, "", "7", "-7", "٣", "1" * 30, "0x1", " 7")] == [None, None, 7, -7, None, None, None, None]
+
+
+def test_repeated_payloads_beyond_the_broadcast(spark, monkeypatch):
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("http://a").alias("url"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("p"), (F.col("id") % 1400).cast("string"))).alias("html"))
+    want = sorted(map(tuple, warc.through_archives(spark, pages).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(warc, "HOT_SHARE", 0.1)
+    monkeypatch.setattr(warc, "SORTED", 0.001)
+    assert sorted(map(tuple, warc.through_archives(spark, pages).collect())) == want
