@@ -22,10 +22,14 @@ TRAILING_META = (
     r"(?is)\n\s*(?:\*{0,3}\s*(?:why\s+this\s+works|rationale|analysis|notes?|why|reasoning|explanation)\s*[:.]?\s*\*{0,3}"
     r"|\*{0,3}\s*(?:strategy|approach|angle|audience)\s*[:.]\s*\*{0,3}).*\z"
 )
-EXTRACTION_FAILED, NO_COPY = "<EXTRACTION_FAILED>", "[no ad copy found]"
+EXTRACTION_FAILED, NO_COPY = "<EXTRACTION_FAILED>", "[Model produced no usable ad copy.]"
 PLATFORM_ALIASES = {"meta": "facebook", "x": "twitter"}
 PROVIDER_WORDS = {"claude": ["claude", "anthropic"], "gpt": ["gpt", "openai", "o1", "o3"], "gemini": ["gemini", "google"]}
 CAMPAIGN_ORDER = ["title", "headline", "headlines", "long_headline", "primary_text", "text", "body", "description", "descriptions", "caption", "cta_label", "cta"]
+CAMPAIGN_HIDDEN = [
+    "platform", "final_url", "destination_url", "url", "asset_brief", "asset_image_url", "asset_url", "image_url", "video_brief", "image_brief", "display_name", "account", "handle", "username",
+    "business_name", "path1", "path2", "meta", "requirements_check", "craft", "predicted_score", "predicted_scores", "violations", "brand", "brand_assets", "score", "scores",
+]
 RUN_ID, CONFIG_NAME = r"^\d{4}-\d{2}-\d{2}-[a-z0-9][a-z0-9-]*$", r"^[A-Za-z0-9_]+(@[A-Za-z0-9_-]+)?$"
 
 
@@ -102,10 +106,13 @@ def provider(model: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    """Of an address with or without a scheme; empty where there is none."""
-    raw = stripped(url)
+    """Of an address with or without a scheme, in lower case and without user and port; empty where there is none. What stands behind the
+    host may be of any form, as in the addresses of ads."""
+    raw = F.translate(stripped(url), "\t\r\n", "")
     full = F.when(raw.contains("://"), raw).otherwise(F.concat(F.lit("https://"), raw))
-    return F.lower(F.coalesce(F.try_parse_url(full, F.lit("HOST")), F.lit("")))
+    place = F.regexp_replace(F.regexp_extract(full, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), r"^.*@", "")
+    bare = F.when(place.startswith("["), F.regexp_extract(place, r"^\[([^\]]*)\]", 1)).otherwise(F.split_part(place, F.lit(":"), F.lit(1)))
+    return F.lower(F.coalesce(bare, F.lit("")))
 
 
 def on_domain(url: Column, fragment: Column) -> Column:
@@ -129,11 +136,11 @@ def variant_parts(config: Column) -> tuple[Column, Column]:
     return F.split_part(fine, F.lit("@"), F.lit(1)), F.nullif(F.split_part(fine, F.lit("@"), F.lit(2)), F.lit(""))
 
 
-def campaign_copy(campaign: Column, hidden: list[str]) -> Column:
-    """campaign: a map of texts and JSON lists of texts. Its copy: the known keys in reading order, then the others by name, without
+def campaign_copy(campaign: Column, hidden: list[str] = CAMPAIGN_HIDDEN) -> Column:
+    """campaign: a map of texts and JSON lists of texts. Its copy: the known keys in reading order, then the others as the map has them, without
     the hidden ones; blank texts left out, a blank line between."""
     known = F.array(*map(F.lit, CAMPAIGN_ORDER))
-    rest = F.array_sort(F.filter(F.map_keys(campaign), lambda k: ~F.array_contains(known, k)))
+    rest = F.filter(F.map_keys(campaign), lambda k: ~F.array_contains(known, k))
     keys = F.filter(F.concat(known, rest), lambda k: ~k.isin(*hidden) & F.map_contains_key(campaign, k))
     texts = F.flatten(F.transform(keys, lambda k: F.coalesce(F.from_json(F.when(F.element_at(campaign, k).startswith("["), F.element_at(campaign, k)), "array<string>"), F.array(F.element_at(campaign, k)))))
     return F.array_join(F.filter(F.transform(texts, stripped), lambda x: x != ""), "\n\n")

@@ -25,12 +25,38 @@ def with_features(ads: DataFrame) -> DataFrame:
     })
 
 
+# Times as ISO 8601 has them behind a date, and the dates themselves: with hyphens, without, and by weeks.
+_HOURS = r"([01]\d|2[0-3])(:[0-5]\d(:[0-5]\d([.,]\d+)?)?|[0-5]\d([0-5]\d([.,]\d+)?)?)?"
+_TIME = rf"(?:.{_HOURS}([+-]{_HOURS})?)?"
+#: Seconds of the years 1 to 9999.
+FIRST_SECOND, LAST_SECOND = -62135596800, 253402300799
+
+
+def _week_date(text: Column) -> Column:
+    year, week = F.substring(text, 1, 4).try_cast("int"), F.regexp_extract(text, r"W(\d{2})", 1).try_cast("int")
+    day = F.coalesce(F.regexp_extract(text, r"W\d{2}-?([1-7])", 1).try_cast("int"), F.lit(1))
+    first = F.date_trunc("week", F.make_date(year, F.lit(1), F.lit(4))).cast("date")
+    return F.when((year > 0) & week.between(1, F.weekofyear(F.make_date(year, F.lit(12), F.lit(28)))), F.date_add(first, (week - 1) * 7 + day - 1))
+
+
 def any_date(text: Column) -> Column:
-    """ISO date or time, then y/m/d, d-m-y and m/d/y, then seconds since 1970; else null."""
-    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$"), F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")).cast("date"))
-    tried = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(form)).cast("date")) for shape, form in ((r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"), (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"), (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"))]
-    epoch = F.when(text.rlike(r"^\d+(\.\d+)?$"), F.timestamp_seconds(F.floor(text.try_cast("double"))).cast("date"))
-    return F.coalesce(iso, *tried, epoch)
+    """An ISO date, with or without hyphens or by weeks and with or without a time, of which the date stands as it is; then y/m/d, d-m-y and m/d/y, whose
+    days and months may have one digit; then seconds since 1970, as far as the years 1 to 9999 go; else null."""
+    zoned = F.replace(text, F.lit("Z"), F.lit("+00:00"))
+
+    def plain(x: Column, form: str) -> Column:
+        made = F.try_to_timestamp(x, F.lit(form)).cast("date")
+        return F.when(F.year(made) > 0, made)
+
+    tried = [
+        F.when(zoned.rlike(rf"(?s)\A\d{{4}}-\d\d-\d\d{_TIME}\z"), plain(F.substring(zoned, 1, 10), "yyyy-MM-dd")), F.when(zoned.rlike(rf"(?s)\A\d{{8}}{_TIME}\z"), plain(F.substring(zoned, 1, 8), "yyyyMMdd")),
+        F.when(zoned.rlike(rf"(?s)\A\d{{4}}(-W\d\d(-[1-7])?|W\d\d[1-7]?){_TIME}\z"), _week_date(F.substring(zoned, 1, 10))),
+    ]
+    shapes = {r"\d{4}-\d{1,2}-\d{1,2}": "yyyy-M-d", r"\d{4}/\d{1,2}/\d{1,2}": "yyyy/M/d", r"\d{1,2}-\d{1,2}-\d{4}": "d-M-yyyy", r"\d{1,2}/\d{1,2}/\d{4}": "M/d/yyyy"}
+    tried += [F.when(text.rlike(rf"\A{shape}\z"), plain(text, form)) for shape, form in shapes.items()]
+    seconds = F.when(F.trim(text).rlike(r"\A[+-]?0*\d{1,12}(\.\d+)?\z"), F.floor(F.trim(text).try_cast("double")))
+    days = F.floor(F.when(seconds.between(FIRST_SECOND, LAST_SECOND), seconds) / 86400)
+    return F.coalesce(*tried, F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int")))
 
 
 def bound(text: Column) -> Column:

@@ -99,7 +99,9 @@ def _settle(undecided: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def near_duplicates(texts: DataFrame, key: str, text: str, threshold: float, max_features: int = 10_000, stop_words: list[str] = STOP_WORDS, heads: int = 64) -> DataFrame:
-    """(key): the texts that fall. ``key`` is unique and gives the order; rows without one take no part."""
+    """(key): the texts that fall. ``key`` is unique and gives the order; rows without one take no part. No cosine is above 1."""
+    if threshold >= 1:
+        return texts.select(key).filter(F.lit(False))
     known = texts.filter(F.col(key).isNotNull())
     vectors = materialise(tfidf_vectors(known, key, text, max_features, stop_words).withColumn("same", F.md5(F.to_json("vector"))), "vectors")
     firsts = vectors.groupBy("same").agg(F.min("key").alias("first"))

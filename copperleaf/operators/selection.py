@@ -168,16 +168,24 @@ def plan_status(plan: DataFrame, progress: DataFrame, key: str = "key") -> DataF
     return joined.groupBy("platform").agg(F.count_if(finished).alias("done"), F.count_if(~finished & (pages > 0)).alias("in_progress"), F.count_if(~finished & (pages == 0)).alias("not_started"), F.sum(pages).alias("pages"))
 
 
-def page_budget(plan: DataFrame, budget: int, shares: dict[str, float]) -> DataFrame:
-    """plan: (platform, sweep, query, pages_fetched). How many pages each query gets: a platform's share of the budget, equal parts for its sweeps, and
-    in a sweep the queries that were fetched least first, a page each, until the part is spent."""
+def page_budget(plan: DataFrame, budget: int, shares: dict[str, float], most: int = 10) -> DataFrame:
+    """plan: (platform, sweep, query, place, pages_fetched, done), place the order of the queries. How many pages each query gets now.
+
+    A platform's share of the budget is dealt in equal parts to its sweeps that have queries left, and a sweep's part in equal slices to its
+    queries, at most ``most`` pages each and no more than a query lacks of them; untouched queries come first, and none
+    begins once the part is spent. What divisions leave over is not handed out, and no slice is below one page.
+    """
     share = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[F.col("platform")]
-    sweeps = plan.groupBy(F.col("platform").alias("_p")).agg(F.count_distinct("sweep").alias("_n"))
-    known = plan.join(sweeps, F.col("platform") == F.col("_p")).withColumn("part", F.greatest(F.lit(1), F.floor(F.floor(F.lit(budget).cast("double") * share) / F.col("_n"))))
-    placed = running(known.drop("_p", "_n"), ["platform", "sweep"], [F.col("pages_fetched"), F.col("query")], {"before": F.lit(1)})
-    n, part = F.col("before_total"), F.col("part")
-    each = F.floor(part / n) + F.when(F.col("before") < part % n, 1).otherwise(0)
-    return placed.select("platform", "sweep", "query", each.cast("long").alias("pages")).filter("pages > 0")
+    left = plan.filter(~F.coalesce("done", F.lit(False)) & share.isNotNull()).withColumn("share", F.floor(F.lit(budget).cast("double") * share))
+    sizes = left.groupBy("platform", "sweep").agg(F.count("*").alias("_n"))
+    sweeps = sizes.groupBy(F.col("platform").alias("_p")).agg(F.count("*").alias("_sweeps"), F.collect_list(F.struct("sweep", "_n")).alias("_sizes"))
+    parts = sweeps.select("_p", "_sweeps", F.explode("_sizes").alias("s")).select("_p", "_sweeps", F.col("s.sweep").alias("_s"), F.col("s._n").alias("_n"))
+    known = left.join(F.broadcast(parts), (F.col("platform") == F.col("_p")) & F.col("sweep").eqNullSafe(F.col("_s")))
+    part = F.greatest(F.lit(1), F.floor(F.col("share") / F.col("_sweeps")))
+    each = F.least(F.greatest(F.lit(1), F.floor(part / F.col("_n"))), F.lit(most) - F.coalesce("pages_fetched", F.lit(0)), F.lit(most))
+    asked = known.withColumns({"part": part, "pages": each, "touched": F.coalesce("pages_fetched", F.lit(0)) > 0}).filter("pages > 0")
+    placed = running(asked.select("platform", "sweep", "query", "place", "part", "pages", "touched"), ["platform", "sweep"], [F.col("touched"), F.col("place")], {"before": F.col("pages")})
+    return placed.filter(F.col("before") < F.col("part")).select("platform", "sweep", "query", F.col("pages").cast("long"))
 
 
 def assessment(calls: DataFrame, by: list[str]) -> DataFrame:

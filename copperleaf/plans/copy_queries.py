@@ -41,7 +41,7 @@ def bundle_parts(spark, d):
 
 
 @query("resolved_texts", """WITH c AS (SELECT doc_id, CASE WHEN toxic = 1 THEN '<EXTRACTION_FAILED>' ELSE 'clean ' || CAST(quality AS VARCHAR) END AS clean FROM labels)
-  SELECT d.doc_id, md5(CASE WHEN clean = '<EXTRACTION_FAILED>' THEN '' ELSE coalesce(clean, text, '') END) AS resolved, c.doc_id IS NOT NULL AS used_clean, CASE WHEN clean = '<EXTRACTION_FAILED>' THEN '[no ad copy found]' WHEN clean IS NOT NULL THEN clean ELSE 'raw' END AS judged,
+  SELECT d.doc_id, md5(CASE WHEN clean = '<EXTRACTION_FAILED>' THEN '' ELSE coalesce(clean, text, '') END) AS resolved, c.doc_id IS NOT NULL AS used_clean, CASE WHEN clean = '<EXTRACTION_FAILED>' THEN '[Model produced no usable ad copy.]' WHEN clean IS NOT NULL THEN clean ELSE 'raw' END AS judged,
   coalesce(clean <> '<EXTRACTION_FAILED>', false) AS valid, sha256(coalesce(text, '')) AS cache_key FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id""")
 def resolved_texts(spark, d):
     """The cleaned text where there is one, and none in place of one that could not be made."""
@@ -140,10 +140,10 @@ def label_batch(spark, d):
 @query("campaign_texts", "SELECT CAST(doc_id AS VARCHAR) AS ad_id, coalesce(lang, '') || chr(10) || chr(10) || 'one' || chr(10) || chr(10) || 'two' || CASE WHEN source IS NULL THEN '' ELSE chr(10) || chr(10) || source END AS text FROM documents")
 def campaign_texts(spark, d):
     campaign = F.map_filter(F.create_map(F.lit("zz"), F.col("source"), F.lit("meta"), F.lit("hidden"), F.lit("body"), F.lit('["one", " ", "two"]'), F.lit("headline"), F.concat(F.lit(" "), F.coalesce("lang", F.lit("")))), lambda k, v: v.isNotNull())
-    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("ad_id"), copy.campaign_copy(campaign, ["meta", "score"]).alias("text"))
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("ad_id"), copy.campaign_copy(campaign).alias("text"))
 
 
-@query("parsed_values", f"""WITH {ADS_SQL} SELECT ad_id, first_seen AS iso, first_seen AS slashes, first_seen AS day_first, first_seen AS month_first, first_seen AS seconds, CAST(NULL AS DATE) AS junk, views AS grouped, CAST(NULL AS BIGINT) AS words,
+@query("parsed_values", f"""WITH {ADS_SQL} SELECT ad_id, first_seen AS iso, first_seen AS slashes, first_seen AS day_first, first_seen AS month_first, first_seen AS seconds, first_seen AS compact, first_seen AS one_digit, first_seen AS with_time, CAST(NULL AS DATE) AS junk, CAST(NULL AS DATE) AS trailing, CAST(NULL AS DATE) AS many_digits, views AS grouped, CAST(NULL AS BIGINT) AS words,
   round(CASE WHEN views + likes > 0 THEN ln(1 + (views + likes) / 2.0::DOUBLE) END, 6) AS middle, round(CASE WHEN likes > 0 THEN ln(1 + likes::DOUBLE) END, 6) AS one_bound FROM ads""")
 def parsed_values(spark, d):
     """Dates in every form, numbers with separators, logarithms of the middle of a range."""
@@ -151,6 +151,7 @@ def parsed_values(spark, d):
     none = F.lit(None).cast("long")
     return ads(spark, d).select(
         "ad_id", form("yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"), form("yyyy/MM/dd").alias("slashes"), form("dd-MM-yyyy").alias("day_first"), form("MM/dd/yyyy").alias("month_first"), any_date(F.unix_timestamp(F.col("first_seen").cast("timestamp")).cast("string")).alias("seconds"), any_date(F.lit("soon")).alias("junk"),
+        form("yyyyMMdd").alias("compact"), form("M/d/yyyy").alias("one_digit"), form("yyyy-MM-dd' 'HH:mm'+05:30'").alias("with_time"), any_date(F.concat(F.col("first_seen").cast("string"), F.lit(" anything"))).alias("trailing"), any_date(F.repeat(F.lit("9"), F.lit(25))).alias("many_digits"),
         bound(F.format_number("views", 0)).alias("grouped"), bound(F.lit("many")).alias("words"), F.round(log_midpoint(F.col("views"), F.col("likes")), 6).alias("middle"), F.round(log_midpoint(none, F.col("likes")), 6).alias("one_bound"),
     )
 

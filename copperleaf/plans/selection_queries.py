@@ -154,13 +154,16 @@ def plan_status(spark, d):
     return selection.plan_status(table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.lower("c_mktsegment").alias("platform")), progress(spark, d))
 
 
-@query("page_budget", """WITH p AS (SELECT CASE user_id % 2 WHEN 0 THEN 'facebook' ELSE 'tiktok' END AS platform, event_type AS sweep, user_id AS query, count(*) AS f FROM events GROUP BY ALL), s AS (SELECT *, CASE platform WHEN 'facebook' THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END AS share FROM p),
-  n AS (SELECT platform, count(DISTINCT sweep) AS k FROM p GROUP BY 1), x AS (SELECT s.*, greatest(1, floor(floor(1000 * share) / k)) AS part, row_number() OVER (PARTITION BY s.platform, sweep ORDER BY f, query) - 1 AS i, count(*) OVER (PARTITION BY s.platform, sweep) AS c FROM s JOIN n ON n.platform = s.platform)
-  SELECT platform, sweep, query, CAST(floor(part / c) + CASE WHEN i < part % c THEN 1 ELSE 0 END AS BIGINT) AS pages FROM x WHERE floor(part / c) + CASE WHEN i < part % c THEN 1 ELSE 0 END > 0""")
+@query("page_budget", """WITH p AS (SELECT CASE user_id % 2 WHEN 0 THEN 'facebook' ELSE 'tiktok' END AS platform, event_type AS sweep, user_id AS query, min(event_id) AS place, CASE WHEN user_id % 3 = 0 THEN 0 ELSE count(*) % 12 END AS f FROM events GROUP BY 1, 2, user_id), s AS (SELECT *, CASE platform WHEN 'facebook' THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END AS share FROM p WHERE query % 7 <> 0),
+  n AS (SELECT *, count(*) OVER (PARTITION BY platform, sweep) AS c FROM s), k AS (SELECT platform, count(DISTINCT sweep) AS k FROM s GROUP BY 1), x AS (SELECT n.*, greatest(1, floor(floor(1000 * share) / k)) AS part FROM n JOIN k USING (platform)),
+  y AS (SELECT *, least(greatest(1, floor(part / c)), 10, 10 - f) AS pages FROM x), z AS (SELECT *, coalesce(sum(pages) OVER (PARTITION BY platform, sweep ORDER BY f > 0, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM y WHERE pages > 0)
+  SELECT platform, sweep, query, CAST(pages AS BIGINT) AS pages FROM z WHERE before < part""")
 def page_budget(spark, d):
+    """Queries in the order of their first event; a third is untouched, a seventh is done."""
     platform = F.when(F.col("user_id") % 2 == 0, "facebook").otherwise("tiktok")
-    plan = table(spark, d, "events").groupBy(platform.alias("platform"), F.col("event_type").alias("sweep"), F.col("user_id").alias("query")).agg(F.count("*").alias("pages_fetched"))
-    return selection.page_budget(plan, 1000, {"facebook": 0.7, "tiktok": 0.3})
+    plan = table(spark, d, "events").groupBy(platform.alias("platform"), F.col("event_type").alias("sweep"), F.col("user_id").alias("query")).agg(F.min("event_id").alias("place"), F.count("*").alias("n"))
+    fetched = F.when(F.col("query") % 3 == 0, 0).otherwise(F.col("n") % 12)
+    return selection.page_budget(plan.withColumns({"pages_fetched": fetched, "done": F.col("query") % 7 == 0}), 1000, {"facebook": 0.7, "tiktok": 0.3})
 
 
 @query("collection_assessment", "SELECT event_type AS platform, count(*) AS calls, CAST(sum(event_id % 18) AS BIGINT) AS raw, CAST(sum(event_id % 18 // 2) AS BIGINT) AS \"unique\", round(1 - sum(event_id % 18 // 2)::DOUBLE / sum(event_id % 18), 6) AS dedup_rate, round(sum(event_id % 18 // 2)::DOUBLE / count(*), 6) AS unique_per_call FROM events GROUP BY 1")
@@ -218,16 +221,16 @@ def stream_counters(spark, d):
 
 @query("stream_patches", "SELECT d.doc_id, coalesce(v.value, d.lang) AS lang FROM documents d LEFT JOIN (SELECT user_id, event_type AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS p FROM events) WHERE p = 1) v ON v.user_id = d.doc_id")
 def stream_patches(spark, d):
-    """Patches of ads in the order of events, in two deliveries."""
+    """Patches of ads in the order of events, in two deliveries, each by a stream that starts anew."""
     came, out, state = ingest.scratch(spark)
+    log = f"{out}-patches"
     table(spark, d, "documents").select(F.col("doc_id").alias("ad_id"), "lang").write.parquet(out)
     patches = table(spark, d, "events").select(F.col("user_id").alias("ad_id"), F.col("event_type").alias("lang"), F.col("event_id").alias("ts"))
     middle = patches.agg(F.percentile_approx("ts", 0.5)).first()[0]
-    base = out
     for part in (F.col("ts") <= middle, F.col("ts") > middle):
         ingest.write_batches(patches.filter(part), came)
-        base = ingest.apply_patches(ingest.pages(spark, came, "ad_id long, lang string, ts long"), base, state)
-    return spark.read.parquet(base).select(F.col("ad_id").alias("doc_id"), "lang")
+        ingest.append_patches(ingest.pages(spark, came, "ad_id long, lang string, ts long"), log, state)
+    return ingest.patched(spark.read.parquet(out), log).select(F.col("ad_id").alias("doc_id"), "lang")
 
 
 @query("paging_state", "WITH c AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS page, * FROM events), l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY page DESC) AS p FROM c) SELECT key, page AS pages_fetched, CASE WHEN event_type <> 'error' THEN event_id END AS last_hit, event_type = 'purchase' OR event_type = 'error' OR floor(value) % 9 = 0 AS done FROM l WHERE p = 1")

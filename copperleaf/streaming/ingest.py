@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from copperleaf.cluster import scratch_path
 from copperleaf.sources.files import update_records
@@ -49,21 +50,26 @@ def windowed_counts(stream: DataFrame, time: str, width: str, late: str, by: lis
     return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *by, "n")
 
 
-def apply_patches(stream: DataFrame, base: str, checkpoint: str, key: str = "ad_id", order: str = "ts") -> str:
-    """Patches as they arrive, each batch merged into a new generation of the table in ``base``; of a key's patches in one batch the last
-    stands. Returns the folder of the last generation."""
-    spark = stream.sparkSession
-    last = {"path": base}
-
-    def merge(rows: DataFrame, i: int) -> None:
-        others = [c for c in rows.columns if c not in (key, order)]
-        patch = rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("p")).select(key, *[F.col("p")[c].alias(c) for c in others])
-        path = f"{checkpoint}-generations/{i:09d}"
-        update_records(spark.read.parquet(last["path"]), patch, key).drop("touched").write.mode("overwrite").parquet(path)
-        last["path"] = path
-
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return last["path"]
+def append_patches(stream: DataFrame, log: str, checkpoint: str) -> None:
+    """Add the patches that are there now to a log, each batch in a folder by its number, which a rerun of the batch writes again; so a stream
+    that dies and starts anew loses none and adds none twice. The table itself is not written."""
+    put = lambda rows, i: rows.write.mode("overwrite").parquet(f"{log}/batch={i:09d}")
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def patched(base: DataFrame, log: str, key: str = "ad_id", order: str = "ts") -> DataFrame:
+    """``base`` with the patches of a log. Of each key and column the last value that is not null stands, by batch and then ``order``, however the
+    patches were cut into batches; maps are merged entry by entry."""
+    patches = base.sparkSession.read.parquet(log)
+    at = F.struct("batch", order)
+    columns = [c for c in patches.columns if c not in (key, order, "batch")]
+    maps = [c for c in columns if isinstance(patches.schema[c].dataType, T.MapType)]
+    last = patches.groupBy(key).agg(F.max(at).alias("_at"), *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in columns if c not in maps]).drop("_at")
+    for c in maps:
+        entries = patches.select(F.col(key).alias("_k"), at.alias("_at"), F.explode(c).alias("_name", "_value")).groupBy("_k", "_name").agg(F.max_by("_value", "_at").alias("_value"))
+        merged = entries.groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("_name", "_value"))).alias(c))
+        last = last.join(merged, F.col(key) == F.col("_k"), "left").drop("_k")
+    return update_records(base, last, key).drop("touched")
 
 
 def paging_state(calls: DataFrame) -> DataFrame:

@@ -257,11 +257,13 @@ def test_cascade(spark):
         (11, "natural", chat(("user", "q"), ("assistant", f"<thinking>x</thinking><assistant_response>{good}</assistant_response>")), ["j"]),
     ]
     df = spark.createDataFrame(rows, "example_id long, style string, messages array<struct<role:string,text:string>>, source_ids array<string>")
-    judged = materialise(examples.judged(df), "judged")
+    judged = materialise(examples.judged(df, response_like=1.0, prompt_like=1.0), "judged")
     got = {r["example_id"]: (r["stage"], list(r["reasons"])) for r in judged.collect()}
     assert {i: s for i, (s, _) in got.items()} == {1: None, 2: "source_ad_duplicate", 3: None, 4: "structural", 5: "artifact_leak", 6: "min_length", 7: "format_specific", 8: "style_b_specificity", 9: None, 10: "language", 11: None}
     assert got[7][1] == ["schema_leak:cta", "ad_centrality:you could also try"] and got[5][1] == ["artifact_leak:user:<foo>"] and got[2][1] == ["source_ad_duplicate:first=1"]
     assert dict(map(tuple, examples.stage_counts(judged).collect()))["format_specific"] == 2
+    alike = {r["example_id"]: r["stage"] for r in examples.judged(df).collect()}
+    assert alike == {i: s for i, (s, _) in got.items()} | {i: "duplicate" for i in (2, 3, 9, 11)}
     assert judged.filter("repaired").count() >= 1 and examples.judged(df.limit(0)).count() == 0
 
 
