@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from copperleaf.operators import construct, selection
+from copperleaf.operators import construct, selection, source_selection
 from copperleaf.operators.ranking import running
 from copperleaf.plans.registry import query
 from copperleaf.plans.scoring_queries import V3_SQL, scored
 from copperleaf.sources import files
-from copperleaf.sources.ads import ADS_SQL, ads, table
+from copperleaf.sources.ads import ADS_SQL, TEXT_ADS_SQL, ads, table, text_ads
 from copperleaf.streaming import ingest
 
 UNIT = lambda *parts: "CAST('0x' || substr(sha256(" + " || ':' || ".join(parts) + "), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496"
@@ -254,3 +255,49 @@ def stream_windows(spark, d):
 @query("file_counts", "SELECT count(*) AS n FROM events")
 def file_counts(spark, d):
     return files.file_counts(table(spark, d, "events")).agg(F.sum("n").alias("n"))
+
+
+# -- source selection
+
+
+@query("greedy_pairs", """WITH RECURSIVE p AS (SELECT c_custkey AS place, 'a' || CAST(c_custkey * 7 % 600 AS VARCHAR) AS a, 'a' || CAST(c_custkey * 11 % 600 AS VARCHAR) AS b FROM customer), k AS (SELECT DISTINCT 'a' || CAST(c_custkey % 590 AS VARCHAR) AS ad FROM customer),
+  u AS (SELECT 'a' || CAST(n_nationkey * 9 AS VARCHAR) AS ad FROM nation), s AS (SELECT DISTINCT least(a, b) AS lo, greatest(a, b) AS hi FROM p WHERE place % 17 = 0), q AS (SELECT *, a NOT IN (SELECT ad FROM u) AND b NOT IN (SELECT ad FROM u) AS fresh FROM p
+  WHERE a IN (SELECT ad FROM k) AND b IN (SELECT ad FROM k) AND NOT EXISTS (SELECT 1 FROM s WHERE lo = least(a, b) AND hi = greatest(a, b))), w AS (SELECT row_number() OVER (ORDER BY NOT strict, place) AS i, * FROM (SELECT place, a, b, true AS strict FROM q WHERE fresh UNION ALL SELECT place, a, b, false FROM q)),
+  g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS closed, CAST(0 AS BIGINT) AS n, false AS hit UNION ALL SELECT w.i, CASE WHEN x THEN g.closed || [w.a, w.b] ELSE g.closed END, g.n + CAST(x AS BIGINT), x FROM g JOIN (SELECT *, true AS yes FROM w) w ON w.i = g.i + 1, LATERAL (SELECT g.n < 150 AND NOT list_contains(g.closed, w.a) AND NOT list_contains(g.closed, w.b) AS x))
+  SELECT g.n - 1 AS batch, w.strict, w.b || ' ' || w.a AS ad_ids FROM g JOIN w USING (i) WHERE hit""")
+def greedy_pairs(spark, d):
+    """Pairs of customers' numbers in the order of customers; some ads are not known, some were used, and some pairs were."""
+    named = lambda c: F.concat(F.lit("a"), c.cast("string"))
+    rows = table(spark, d, "customer")
+    pairs = rows.select(F.col("c_custkey").alias("place"), named(F.col("c_custkey") * 7 % 600).alias("high_ad_id"), named(F.col("c_custkey") * 11 % 600).alias("low_ad_id"))
+    used_sets = pairs.filter("place % 17 = 0").select(F.array("low_ad_id", "high_ad_id").alias("ids"))
+    made = source_selection.pair_batches(pairs, rows.select(named(F.col("c_custkey") % 590).alias("ad_id")), 150, table(spark, d, "nation").select(named(F.col("n_nationkey") * 9).alias("ad_id")), used_sets, low_first=True)
+    return made.select("batch", "strict", F.array_join("ad_ids", " ").alias("ad_ids"))
+
+
+@query("fresh_combinations", """WITH m AS (SELECT c_nationkey AS place, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS i, c_custkey AS id FROM customer), p AS (SELECT * FROM m WHERE i <= 6),
+  c AS (SELECT a.place, 3 AS k, [a.i, b.i, c.i] AS spots, [a.id, b.id, c.id] AS ids FROM p a JOIN p b ON a.place = b.place AND a.i < b.i JOIN p c ON c.place = b.place AND b.i < c.i UNION ALL SELECT a.place, 2, [a.i, b.i], [a.id, b.id] FROM p a JOIN p b ON a.place = b.place AND a.i < b.i),
+  f AS (SELECT * FROM c WHERE NOT (k = 3 AND (list_sum(ids) % 4 <> 1 OR place % 5 = 0))), o AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY k DESC, spots) AS n FROM f)
+  SELECT d.place, array_to_string(o.ids, ' ') AS ad_ids FROM (SELECT DISTINCT place FROM p) d LEFT JOIN o ON o.place = d.place AND o.n = 1""")
+def fresh_combinations(spark, d):
+    """For each nation three of its six best customers whose numbers were not used together, else two."""
+    rank = F.row_number().over(W.partitionBy("place").orderBy(F.col("c_acctbal").desc(), "id"))
+    ranked = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("place"), "c_acctbal", F.col("c_custkey").alias("id")).withColumn("rank", rank).filter("rank <= 6")
+    pools = ranked.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("m")).select("place", F.transform("m", lambda x: x["id"].cast("string")).alias("ids"))
+    one, two, three = (ranked.select(F.col("place").alias(f"p{i}"), F.col("rank").alias(f"r{i}"), F.col("id").alias(f"i{i}")) for i in (1, 2, 3))
+    triples = one.join(two, F.expr("p1 = p2 AND r1 < r2")).join(three, F.expr("p2 = p3 AND r2 < r3"))
+    used = triples.filter("(i1 + i2 + i3) % 4 <> 1 OR p1 % 5 = 0").select(F.array(*[F.col(c).cast("string") for c in ("i3", "i1", "i2")]).alias("ids"))
+    return source_selection.fresh_combinations(pools, used, 2, 3).select("place", F.array_join("ad_ids", " ").alias("ad_ids"))
+
+
+@query("prepared_bundles", f"""WITH {TEXT_ADS_SQL}, b AS (SELECT doc_id, ad_id, headline, row_number() OVER (ORDER BY doc_id) - 1 AS prompt_index, CAST('0x' || substr(sha256(ad_id), 1, 2) AS BIGINT) % 3 AS r FROM tads WHERE training_quality = 4)
+  SELECT ad_id, prompt_index, 42 + 12 * 1000 + prompt_index AS seed, ['conversational', 'structured', 'imperative'][r + 1] AS register,
+    md5('# Training-example generation — task: copywriting' || chr(10) || chr(10) || 'Write one pair.' || chr(10) || chr(10) || '## Style rules' || chr(10) || 'Keep every word.' || chr(10) || chr(10) || CASE r WHEN 0 THEN 'Chat.' || chr(10) || chr(10) WHEN 1 THEN 'List.' || chr(10) || chr(10) ELSE '' END
+    || '## Source ad (the gold target — preserve its copy in the response)' || chr(10) || CASE WHEN headline = '' THEN '(none provided)' ELSE headline END || chr(10) || chr(10) || '## Output format' || chr(10) || 'Return these tags in order. No text before, between, or after.' || chr(10) || chr(10)
+    || '<user_prompt>[the brief]</user_prompt>' || chr(10) || chr(10) || '<assistant_response>[the response]</assistant_response>' || chr(10)) AS prompt FROM b""")
+def prepared_bundles(spark, d):
+    """A prompt for each good ad, numbered on from ten examples that were made and two that are pending."""
+    good = text_ads(spark, d).filter("training_quality = 4")
+    batches = source_selection.assigned_styles(good.select(F.col("doc_id").alias("place"), F.array("ad_id").alias("ad_ids"), "ad_id", F.col("headline").alias("ad_text")), ["backtranslation"], F.lit(0.0))
+    made = source_selection.prepared_bundles(batches, 42, 10, 2, ["conversational", "structured", "imperative"], {"conversational": "Chat.", "structured": "List."}, {"backtranslation": "Keep every word."}, "copywriting", "Write one pair.")
+    return made.select("ad_id", "prompt_index", "seed", "register", F.md5("prompt").alias("prompt"))
