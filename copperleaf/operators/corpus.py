@@ -5,17 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from copperleaf.cluster import broadcast_if_small, fresh, join_counted, materialise
 from copperleaf.functions.text import stripped
 from copperleaf.operators.ranking import running
 
 
+def _row_marks(df: DataFrame) -> list[Column]:
+    """96 bits of a row's columns; maps, which have no hash, as JSON."""
+    cells = [F.to_json(c) if "map<" in kind else F.col(c) for c, kind in df.dtypes]
+    cells = [x for c in cells for x in (c.isNull(), c)]
+    return [F.xxhash64(*cells), F.hash(*cells)]
+
+
 def first_of_each(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """One row of each key, the smallest by ``order`` and then by a hash of its columns. Which one is found on the map
-    side from key, order and hash alone; the rows are then shuffled once, by their key."""
-    keyed = df.withColumns({"_key": key, "_place": F.struct(F.col(order).alias("order"), F.sha2(F.to_json(F.struct(*df.columns)), 256).alias("hash"))})
-    firsts = keyed.groupBy(F.col("_key").alias("_k")).agg(F.min("_place").alias("_first"))
-    kept = keyed.join(firsts, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_place") == F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*df.columns)
+    """One row of each key, the smallest by ``order`` and then by a hash of its columns; rows without a key are of one.
+
+    All is decided on a written table of key digest, order and hash. The rows themselves stay where they are: those to leave out are known by order
+    and hash, and only rows that are there twice in all columns are shuffled.
+    """
+    digest = F.when(key.isNotNull(), F.sha2(key.cast("string"), 256)).otherwise("")
+    place = F.struct(F.col(order).alias("order"), *[c.alias(f"mark{i}") for i, c in enumerate(_row_marks(df))])
+    slim = materialise(df.select(digest.alias("key"), place.alias("place")), "keys")
+    groups = slim.groupBy(F.col("key").alias("_key")).agg(F.min("place").alias("_first"), F.count("*").alias("_rows")).filter("_rows > 1")
+    met = join_counted(slim, "key", materialise(groups, "repeated-keys"), "_key", "_rows")
+    later = met.filter(F.col("place") != F.col("_first")).select("place").distinct().withColumn("twice", F.lit(False))
+    same = met.filter(F.col("place") == F.col("_first")).groupBy("place").agg(F.count("*").alias("n")).filter("n > 1").select("place", F.lit(True).alias("twice"))
+    (at,) = fresh(df, "_place")
+    known = broadcast_if_small(materialise(later.unionByName(same), "repeated-rows").withColumnRenamed("place", at))
+    here = place.eqNullSafe(F.col(at))
+    copies = df.join(known.filter("twice"), here, "left_semi")
+    (one,) = fresh(df, "_one")
+    once = copies.withColumn(one, place).dropDuplicates([one]).drop(one)
+    return df.join(known, here, "left_anti").unionByName(once)
 
 
 def held_out(df: DataFrame, key: Column, held: DataFrame, held_key: Column) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from copperleaf.cluster import BROADCAST_ROWS, join_counted, materialise
+from copperleaf.cluster import BROADCAST_ROWS, fresh, join_counted, materialise
 
 
 def _same(a: DataFrame, b: DataFrame, keys: dict[str, str]) -> Column:
@@ -23,21 +23,24 @@ def _same(a: DataFrame, b: DataFrame, keys: dict[str, str]) -> Column:
 def running(df: DataFrame, by: list[str], order: list[Column | str], sums: dict[str, Column | str]) -> DataFrame:
     """``df`` with, for each name of ``sums``, the sum over the rows of its group that stand before it, and the
     group's whole sum as <name>_total. Rows are dealt out by (by, order), which should leave no ties."""
-    cells = {f"_s{i}": c if isinstance(c, Column) else F.col(c) for i, c in enumerate(sums.values())}
-    placed = df.withColumns(cells).repartitionByRange(*by, *order) if by or order else df.withColumns(cells)
-    placed = materialise(placed.withColumn("_p", F.spark_partition_id()), "running")
-    parts = placed.groupBy(*by, "_p").agg(*[F.sum(c).alias(c) for c in cells])
+    names = fresh(df, "_p", "_q", *[f"_{k}{i}" for i in range(len(sums)) for k in "sot"], *[f"_by{i}" for i in range(len(by))])
+    here, there, values, groups = names[0], names[1], names[2 : 2 + 3 * len(sums)], names[2 + 3 * len(sums) :]
+    cells, offsets, totals = values[0::3], values[1::3], values[2::3]
+    summed = df.withColumns({s: c if isinstance(c, Column) else F.col(c) for s, c in zip(cells, sums.values(), strict=True)})
+    placed = summed.repartitionByRange(*by, *order) if by or order else summed
+    placed = materialise(placed.withColumn(here, F.spark_partition_id()), "running")
+    parts = placed.groupBy(*by, here).agg(*[F.sum(c).alias(c) for c in cells])
     group = W.partitionBy(*by)
-    before = group.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    before = group.orderBy(here).rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select(
-        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_p").alias("_q"),
-        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_o{c}") for c in cells], *[F.sum(c).over(group).alias(f"_t{c}") for c in cells],
+        *[F.col(c).alias(g) for c, g in zip(by, groups, strict=True)], F.col(here).alias(there),
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(o) for c, o in zip(cells, offsets, strict=True)], *[F.sum(c).over(group).alias(t) for c, t in zip(cells, totals, strict=True)],
     )
-    here = placed["_p"] == parts["_q"]
-    joined = placed.join(parts, here & _same(placed, parts, {c: f"_by_{c}" for c in by}) if by else here)
-    inside = W.partitionBy(*by, "_p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    made = [(F.col(f"_o{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(name) for c, name in zip(cells, sums, strict=True)]
-    return joined.select(*df.columns, *made, *[F.col(f"_t{c}").alias(f"{name}_total") for c, name in zip(cells, sums, strict=True)])
+    same = placed[here] == parts[there]
+    joined = placed.join(parts, same & _same(placed, parts, dict(zip(by, groups, strict=True))) if by else same)
+    inside = W.partitionBy(*by, here).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    made = [(F.col(o) + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(name) for c, o, name in zip(cells, offsets, sums, strict=True)]
+    return joined.select(*df.columns, *made, *[F.col(t).alias(f"{name}_total") for t, name in zip(totals, sums, strict=True)])
 
 
 def positions(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -74,16 +77,17 @@ def with_positions(df: DataFrame, specs: dict[str, tuple[str, list[str]]], made:
     at = materialise(positions(df.select(F.explode(F.array(*cells)).alias("c")).select("c.*"), "value", ["spec", "key"]), "positions")
     small = at.count() <= BROADCAST_ROWS
     for i, (name, (value, by)) in enumerate(specs.items()):
+        own, there, rows, made_of = fresh(df, "_value", "_at", "_rows", "_made")
         found = F.struct((F.to_json(F.struct(*by)) if by else F.lit("")).alias("key"), _number(value).alias("value"))
-        lookup = at.filter(F.col("spec") == i).select(F.struct("key", "value").alias("_at"), F.col("n").alias("_rows"), made.alias("_made"))
-        keyed = df.withColumn("_value", found)
+        lookup = at.filter(F.col("spec") == i).select(F.struct("key", "value").alias(there), F.col("n").alias(rows), made.alias(made_of))
+        keyed = df.withColumn(own, found)
         if small:
-            ranked = keyed.join(F.broadcast(lookup), F.col("_value") == F.col("_at"), "left")
+            ranked = keyed.join(F.broadcast(lookup), F.col(own) == F.col(there), "left")
         else:
             keyed = materialise(keyed, "ranked-rows")
-            some = join_counted(keyed.filter(F.col(value).isNotNull()), "_value", materialise(lookup, "lookup"), "_at", "_rows")
+            some = join_counted(keyed.filter(F.col(value).isNotNull()), own, materialise(lookup, "lookup"), there, rows)
             ranked = some.unionByName(keyed.filter(F.col(value).isNull()), allowMissingColumns=True)
-        df = ranked.select(*[c for c in df.columns if c != name], F.col("_made").alias(name))
+        df = ranked.select(*[c for c in df.columns if c != name], F.col(made_of).alias(name))
     return df
 
 

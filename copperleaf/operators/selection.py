@@ -51,8 +51,11 @@ def last_rows(df: DataFrame, order: str, n: int) -> DataFrame:
 
 
 def weighted_choice(df: DataFrame, options: list[tuple[str, float]], u: Column, name: str) -> DataFrame:
-    """``df`` with one option for each row: the first whose weight, added to those before, reaches u of the total. Weights of 0 and less never win."""
+    """``df`` with one option for each row: the first whose weight, added to those before, reaches u of the total. Weights of 0 and less never win; null
+    where no weight is above 0."""
     positive = [(o, w) for o, w in options if w > 0]
+    if not positive:
+        return df.withColumn(name, F.lit(None).cast("string"))
     total, passed, made = sum(w for _, w in positive), 0.0, F.lit(positive[-1][0])
     for option, weight in reversed(positive):
         passed += weight

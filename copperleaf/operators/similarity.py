@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from copperleaf.cluster import materialise
+from copperleaf.cluster import broadcast_if_small, materialise
 from copperleaf.functions.text import text_key
 
 WORD = re.compile(r"\w+")
-#: Queries that are held by every task at once.
-BLOCK = 4096
+#: Rows of a block of golds, and of the pool.
+GOLDS, POOL = 4096, 32768
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
@@ -144,40 +144,43 @@ def nearest_references(gold: DataFrame, pool: DataFrame, k: int = 5) -> DataFram
     """(gold_id, ref_id, near, place): the k rows of the gold's platform that are nearest by cosine, of the whole pool where the platform has fewer
     than k; a row with the gold's own text key never counts. gold and pool: (id, platform, key, vector).
 
-    The golds are a stated query set: they pass over the pool in blocks of a fixed size, each task keeps k for a gold, and the best are chosen
-    from those.
+    Golds and pool are dealt to blocks of their platform, GOLDS and POOL rows each, and every block of golds meets every block of its pool in a task of
+    its own, which keeps k for a gold; the best are chosen from those. Nothing passes the driver but two counts, and no task holds more than two blocks.
     """
-    sizes = pool.groupBy(F.col("platform").alias("_p")).agg(F.count("*").alias("_n"))
-    known = materialise(gold.join(sizes, F.col("platform") == F.col("_p"), "left").select("id", "key", "vector", F.when(F.col("_n") >= k, F.col("platform")).alias("platform")), "gold")
-    blocks = max(1, -(-known.count() // BLOCK))
-    rows = known.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    parts = []
-    for b in range(blocks):
-        held = rows.filter(F.col("_b") == b).toPandas()  # some BLOCK rows
-        if not len(held):
-            continue
-        shared = pool.sparkSession.sparkContext.broadcast((held["id"].to_numpy(), held["key"].tolist(), held["platform"].tolist(), _units(np.stack(held["vector"].to_numpy()))))
-
-        def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, keys, platforms, x = shared.value
-            best: list[list[tuple[float, int]]] = [[] for _ in ids]
-            for batch in batches:
-                pool_ids, pool_platforms, pool_keys = (batch.column(i).to_pylist() for i in range(3))
-                if not pool_ids:
-                    continue
-                near = x @ _units(np.array(batch.column(3).to_pylist(), np.float64)).T
-                same = np.array(pool_platforms, object)
-                own = np.array(pool_keys, object)
-                for i in range(len(ids)):
-                    ok = np.flatnonzero((own != keys[i]) & ((same == platforms[i]) if platforms[i] is not None else True))
-                    top = ok[np.argsort(-near[i, ok], kind="stable")[:k]]
-                    best[i] = sorted([*best[i], *((float(near[i, j]), pool_ids[j]) for j in top)], key=lambda p: (-p[0], p[1]))[:k]
-            flat = [(int(g), r, s) for g, some in zip(ids, best, strict=True) for s, r in some]
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in flat], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["gold_id", "ref_id", "near"])
-
-        parts.append(pool.select("id", "platform", "key", "vector").mapInArrow(task, "gold_id long, ref_id long, near double"))
-    found = reduce(lambda a, b: a.unionByName(b), parts) if parts else pool.sparkSession.createDataFrame([], "gold_id long, ref_id long, near double")
-    place = F.row_number().over(W.partitionBy("gold_id").orderBy(F.col("near").desc(), "ref_id"))  # k rows of each task
+    some = pool.filter("platform IS NOT NULL").groupBy("platform").agg(F.count("*").alias("n"))
+    some = materialise(some.filter(F.col("n") >= k).unionByName(pool.select(F.lit(None).cast("string").alias("platform"), F.lit(1).alias("one")).groupBy("platform").agg(F.count("*").alias("n"))), "pool-sizes")
+    some = some.withColumnsRenamed({"platform": "_p", "n": "_n"})
+    own = F.col("platform").eqNullSafe(F.col("_p"))
+    placed = gold.join(broadcast_if_small(some.filter("_p IS NOT NULL")), own, "left").select("id", "key", "vector", F.col("_p").alias("platform"))
+    placed = materialise(placed, "gold")
+    asked = placed.groupBy(F.col("platform").alias("_g")).agg(F.count("*").alias("_m"))
+    blocks = materialise(some.join(asked, F.col("_p").eqNullSafe(F.col("_g"))).select("_p", F.ceil(F.col("_n") / POOL).cast("int").alias("_np"), F.ceil(F.col("_m") / GOLDS).cast("int").alias("_nq")), "blocks")
+    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    known = broadcast_if_small(blocks)
+    # the whole pool only where a gold's platform has too few rows
+    whole = pool.select("id", "key", "vector", F.lit(None).cast("string").alias("platform"))
+    rows = pool.filter("platform IS NOT NULL").select(*whole.columns)
+    rows = rows.unionByName(whole) if blocks.filter("_p IS NULL").count() else rows
+    left = placed.join(known, own).withColumn("p", every("_np")).select(F.coalesce("platform", F.lit("")).alias("platform"), F.col("platform").isNull().alias("all"), "p", at("_nq").alias("q"), "id", "key", "vector")
+    right = rows.join(known, own).withColumn("q", every("_nq")).select(F.coalesce("platform", F.lit("")).alias("platform"), F.col("platform").isNull().alias("all"), at("_np").alias("p"), "q", "id", "key", "vector")
+
+    def meet(golds: pa.Table, block: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if len(golds) and len(block):
+            ids, keys = np.array(block["id"].to_pylist(), object), np.array(block["key"].to_pylist(), object)
+            units = _units(np.array(block["vector"].to_pylist(), np.float64))
+            order = np.argsort(np.array(block["id"].to_pylist()), kind="stable")
+            ids, keys, units = ids[order], keys[order], units[order]
+            for g, key, x in zip(golds["id"].to_pylist(), golds["key"].to_pylist(), _units(np.array(golds["vector"].to_pylist(), np.float64)), strict=True):
+                ok = np.flatnonzero(keys != key)
+                near = units[ok] @ x
+                out += [(g, ids[ok[j]], float(near[j])) for j in np.argsort(-near, kind="stable")[:k]]
+        return pa.table([pa.array([f[i] for f in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["gold_id", "ref_id", "near"])
+
+    cell = ["platform", "all", "p", "q"]
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(meet, "gold_id long, ref_id long, near double")
+    place = F.row_number().over(W.partitionBy("gold_id").orderBy(F.col("near").desc(), "ref_id"))  # k rows of each block
     return found.withColumn("place", place).filter(F.col("place") <= k)
 
 

@@ -7,8 +7,12 @@ each row is weighed where it lies and the sums are added on the map side.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -241,26 +245,65 @@ def _beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
 # -- resampling
 
 
-def _uniform(*parts: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / float(1 << 53)
-
-
-def poisson_weight(u: Column, most: int = 9) -> Column:
-    """How often a resample of as many rows draws a row, from a uniform number; beyond ``most`` lies one in ten million."""
-    total, term, out = 0.0, 0.36787944117144233, F.lit(0)
-    for k in range(most):
-        total += term
-        out = out + F.when(u >= total, 1).otherwise(0)
-        term /= k + 1
-    return out
+#: Resample weights past this many drawings of a row are one in ten million; groups whose sums a task holds at once.
+MOST_DRAWN, HELD_GROUPS = 9, 500
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(MOST_DRAWN)])
+
+
+def resample_weights(rows: np.ndarray, times: int, seed: int) -> np.ndarray:
+    """How often each resample draws each row, as Poisson weights from a hash of row, repetition and seed: the same wherever a row lies."""
+    with np.errstate(over="ignore"):
+        x = rows.astype(np.uint64)[:, None] + (np.arange(1, times + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))[None, :] * np.uint64(0xD1342543DE82EF95)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return np.searchsorted(POISSON, (x >> np.uint64(11)).astype(np.float64) / float(1 << 53), side="right").astype(np.float64)
+
+
+def resampled_sums(rows: DataFrame, by: list[str], row: str, values: list[str], times: int, seed: int) -> DataFrame:
+    """(by, i, n, values): for each group and repetition the sum of weights and of each weighted value.
+
+    A task holds an array of sums for each group that it meets, of at most HELD_GROUPS groups at a time, and hands on one row for each: what is shuffled
+    grows with tasks and groups and not with the rows.
+    """
+    key = F.to_json(F.struct(*by)) if by else F.lit("")
+    slim = rows.select(key.alias("key"), F.xxhash64(row).alias("row"), *values)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def made() -> pa.RecordBatch:
+            sums = [pa.array([h[j].tolist() for h in held.values()], pa.list_(pa.float64())) for j in range(1 + len(values))]
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *sums], names=["key", "n", *values])
+
+        for batch in batches:
+            keys, ids = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy()
+            cells = np.stack([np.ones(len(ids)), *[batch.column(2 + j).to_numpy(zero_copy_only=False) for j in range(len(values))]])
+            for k in dict.fromkeys(keys):
+                at = np.flatnonzero(keys == k)
+                for part in np.array_split(at, -(-len(at) // 1024)):
+                    if k not in held:
+                        if len(held) >= HELD_GROUPS:
+                            yield made()
+                            held.clear()
+                        held[k] = np.zeros((1 + len(values), times))
+                    held[k] += cells[:, part] @ resample_weights(ids[part], times, seed)
+        if held:
+            yield made()
+
+    arrays = slim.mapInArrow(task, "key string, " + ", ".join(f"{c} array<double>" for c in ["n", *values]))
+    zipped = arrays.select("key", F.posexplode(F.arrays_zip("n", *values)).alias("i", "s")).groupBy("key", "i").agg(*[F.sum(f"s.{c}").alias(c) for c in ["n", *values]])
+    if not by:
+        return zipped.drop("key")
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    return zipped.withColumn("key", F.from_json("key", kinds)).select(*[F.col("key")[c].alias(c) for c in by], "i", "n", *values)
 
 
 def bootstrap_means(df: DataFrame, value: Column, row: Column, by: list[str], times: int = 1000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """(by, n, mean, low, high): the mean and the interval of its resamples. Every row is drawn anew for each repetition, and
-    what is summed on the map side is a row for each group and repetition."""
+    """(by, n, mean, low, high): the mean and the interval of its resamples."""
     rows = df.select(*by, value.cast("double").alias("_v"), row.alias("_row")).filter("_v IS NOT NULL")
-    drawn = rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("_w", poisson_weight(_uniform(F.lit(seed), F.col("_i"), F.col("_row"))))
-    means = drawn.groupBy(*by, "_i").agg((F.sum(F.col("_w") * F.col("_v")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
+    sums = resampled_sums(rows, by, "_row", ["_v"], times, seed)
+    means = sums.select(*by, (F.col("_v") / F.nullif(F.col("n"), F.lit(0.0))).alias("_m"))
     bounds = quantiles(materialise(means, "resamples"), "_m", by, {"low": alpha / 2, "high": 1 - alpha / 2})
     plain = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
     return _beside(plain, bounds, by) if by else plain.crossJoin(F.broadcast(bounds))  # one row
@@ -271,9 +314,8 @@ def bootstrap_spearman(df: DataFrame, x: str, y: str, row: Column, times: int =
     those of all rows: ranking each resample anew moves the interval by less than its own sampling error."""
     known = materialise(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"), row.alias("_row")), "pairs")
     ranked = materialise(with_positions(known, {"a": ("x", []), "b": ("y", [])}, average_rank()), "ranked")
-    drawn = ranked.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("w", poisson_weight(_uniform(F.lit(seed), F.col("_i"), F.col("_row"))))
-    w = F.col("w").cast("double")
-    s = drawn.groupBy("_i").agg(*[F.sum(w * e).alias(n) for n, e in {"n": F.lit(1.0), "a": F.col("a"), "b": F.col("b"), "ab": F.col("a") * F.col("b"), "aa": F.col("a") * F.col("a"), "bb": F.col("b") * F.col("b")}.items()])
+    cells = {"a": F.col("a"), "b": F.col("b"), "ab": F.col("a") * F.col("b"), "aa": F.col("a") * F.col("a"), "bb": F.col("b") * F.col("b")}
+    s = resampled_sums(ranked.select("_row", *[c.cast("double").alias(n) for n, c in cells.items()]), [], "_row", list(cells), times, seed)
     n = F.col("n")
     spread = (F.col("aa") - F.col("a") * F.col("a") / n) * (F.col("bb") - F.col("b") * F.col("b") / n)
     r = F.when(spread > 0, (F.col("ab") - F.col("a") * F.col("b") / n) / F.sqrt(spread)).otherwise(0.0)

@@ -272,9 +272,9 @@ def reference_corpus(spark, d):
 
 @query("reference_metrics")
 def reference_metrics(spark, d):
-    """Each reply against the one before it as gold, and against the whole conversation's others."""
+    """The second reply of each conversation against the first as gold, and against all others but itself."""
     said = table(spark, d, "conversations").filter("role = 'assistant'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("m"))
-    pairs = said.filter(F.size("m") >= 2).select("conv_id", F.get("m", F.lit(1))["text"].alias("text"), F.get("m", F.lit(0))["text"].alias("gold"), F.transform("m", lambda x: x["text"]).alias("others"))
+    pairs = said.filter(F.size("m") >= 2).select("conv_id", F.get("m", F.lit(1))["text"].alias("text"), F.get("m", F.lit(0))["text"].alias("gold"), F.transform(F.filter("m", lambda x, i: i != 1), lambda x: x["text"]).alias("others"))
     made = similarity.with_reference_metrics(pairs, "text", "gold", "others")
     return made.select("conv_id", *[F.round(c, 6).alias(c) for c in made.columns if c.endswith(("_gold", "_multi", "excess"))])
 

@@ -13,8 +13,13 @@ from copperleaf.cluster import scratch_path
 from copperleaf.sources.files import update_records
 
 
+#: State beside the heap, on the executors' disks and in the checkpoint, so that it may outgrow memory.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def pages(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
-    """A stream of the rows of JSON files that are put into a folder."""
+    """A stream of the rows of JSON files that are put into a folder. Streams of this session keep their state in RocksDB."""
+    spark.conf.set(*STATE_STORE)
     reader = spark.readStream.schema(schema)
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(path)
 

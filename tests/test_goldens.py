@@ -414,3 +414,42 @@ def test_divergence(spark):
     import numpy as np
 
     assert divergence.frontier_area(np.array([1.0, 2.0]), np.array([1.0, 2.0])) == pytest.approx(1.0)
+
+
+def test_nearest_references_in_blocks_equal_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(similarity, "GOLDS", 7)
+    monkeypatch.setattr(similarity, "POOL", 40)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 6))
+    x[5] = 0
+    platform = [["a", "b", None, "few"][i % 3 if i > 3 else 3] for i in range(300)]
+    rows = spark.createDataFrame([(i, platform[i], f"k{i % 290}", v.tolist()) for i, v in enumerate(x)], "id long, platform string, key string, vector array<double>").repartition(5)
+    got = similarity.nearest_references(rows.filter("id % 9 = 0 OR id < 4"), rows, 5).collect()
+    unit = x / np.where(np.linalg.norm(x, axis=1, keepdims=True) > 0, np.linalg.norm(x, axis=1, keepdims=True), 1)
+    for g in [i for i in range(300) if i % 9 == 0 or i < 4]:
+        own = [j for j in range(300) if platform[j] == platform[g]] if platform[g] in ("a", "b") else range(300)
+        want = sorted((-round(float(unit[g] @ unit[j]), 12), j) for j in own if j % 290 != g % 290)[:5]
+        mine = sorted((r["place"], r["ref_id"], r["near"]) for r in got if r["gold_id"] == g)
+        assert [m[1] for m in mine] == [j for _, j in want] and np.allclose([m[2] for m in mine], [-n for n, _ in want]), g
+
+
+def test_columns_with_the_names_of_helpers_and_no_weights(spark):
+    helpers = ["_p", "_q", "_s0", "_o0", "_t0", "_by0", "_value", "_at", "_rows", "_made", "_key", "_place"]
+    df = spark.createDataFrame([(i, i % 3, float(i % 5)) for i in range(30)], "i long, g long, v double").withColumns({h: F.lit("mine") for h in helpers})
+    ranked = ranking.with_positions(df, {"r": ("v", ["g"])})
+    assert ranked.columns == [*df.columns, "r"] and ranked.filter(" AND ".join(f"{h} = 'mine'" for h in helpers)).count() == 30
+    summed = ranking.running(df, ["g"], [F.col("i")], {"before": F.lit(1)})
+    assert {r["i"]: (r["before"], r["before_total"]) for r in summed.collect()} == {i: (i // 3, 10) for i in range(30)} and set(summed.columns) >= set(helpers)
+    once = corpus.first_of_each(df, F.col("g"), "i")
+    assert sorted(r["i"] for r in once.collect()) == [0, 1, 2] and once.columns == df.columns
+    for weights in ([], [("a", 0.0), ("b", -1.0)]):
+        assert {r["o"] for r in selection.weighted_choice(df, weights, F.lit(0.5), "o").collect()} == {None}
+
+
+def test_first_of_each_with_copies_nulls_and_maps(spark):
+    rows = [(1, "x", {"a": "1"}), (1, "x", {"a": "1"}), (1, "x", {"a": "0"}), (2, "x", None), (3, None, None), (3, None, None), (None, "y", {}), (4, "y", None), (5, "z", {"b": None})]
+    df = spark.createDataFrame(rows, "i long, t string, m map<string,string>").repartition(3)
+    got = corpus.first_of_each(df, F.col("t"), "i").collect()
+    assert sorted(((r["i"] or 0), r["t"] or "") for r in got) == [(0, "y"), (1, "x"), (3, ""), (5, "z")]

@@ -1,5 +1,6 @@
 """Statistics and judgments beside values worked out by hand or known from tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,23 @@ def test_ab_tests(spark):
     assert (cell, brief) == ("cell", "b__c") and tuple(spark.range(1).select(*experiments.ad_name_parts(F.lit("plain"))).first()) == (None, None)
     z = experiments.contrast(frame(spark, [("x", 0, 0), ("y", 10, 100)], "c string, clicks long, impressions long"), "c", "x", "y").first()["z"]
     assert z != z
+
+
+def test_one_pass_of_resamples_equals_the_weights_row_by_row(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, ["a", "b", None][i % 3], float(v)) for i, v in enumerate(rng.normal(5, 2, 900))]
+    df = spark.createDataFrame(rows, "i long, g string, v double")
+    marks = dict(map(tuple, df.select("i", F.xxhash64("i")).collect()))
+    monkeypatch.setattr(statistics, "HELD_GROUPS", 2)
+    got = {(r["g"], r["i"]): (r["n"], r["v"]) for r in statistics.resampled_sums(df.repartition(5), ["g"], "i", ["v"], 40, 7).collect()}
+    for g in ("a", "b", None):
+        own = [r for r in rows if r[1] == g]
+        w = statistics.resample_weights(np.array([marks[r[0]] for r in own]), 40, 7)
+        for k in range(40):
+            assert np.allclose(got[g, k], (w[:, k].sum(), w[:, k] @ np.array([r[2] for r in own])))
+    w = statistics.resample_weights(np.arange(20_000), 50, 1)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.03
+    ci = statistics.bootstrap_means(df, F.col("v"), F.col("i"), []).first()
+    values = np.array([r[2] for r in rows])
+    plain = np.quantile(rng.choice(values, (4000, len(values))).mean(axis=1), [0.025, 0.975])
+    assert abs(ci["low"] - plain[0]) < 0.03 and abs(ci["high"] - plain[1]) < 0.03 and ci["n"] == 900
