@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from copperleaf.cluster import materialise
 from copperleaf.functions import copy, text
 from copperleaf.functions.derived import any_date, bound, log_midpoint
-from copperleaf.operators import classify, construct, examples, similarity
+from copperleaf.operators import classify, construct, examples, grounding, language, similarity
+from copperleaf.operators.experiments import ab_tests
 from copperleaf.operators.near_duplicates import STOP_WORDS, near_duplicates
 from copperleaf.plans.corpus_queries import JOINED, PLAIN, STRIP, T
 from copperleaf.plans.registry import query
@@ -128,6 +129,18 @@ def language_detection(spark, d):
     return table(spark, d, "documents").select("doc_id", copy.language(F.col("text")).alias("language"))
 
 
+@query("learned_language", """WITH s AS (SELECT doc_id, lang, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}]+', ' ', 'g')) || ' ' AS flat FROM documents), c AS (SELECT doc_id, lang, regexp_extract_all(flat, '(?s).') AS g FROM s WHERE length(flat) >= 3),
+  r AS (SELECT doc_id, lang, x, count(*) AS n FROM (SELECT doc_id, lang, unnest(g || [g[i] || g[i + 1] FOR i IN range(1, len(g))] || [g[i] || g[i + 1] || g[i + 2] FOR i IN range(1, len(g) - 1)]) AS x FROM c) WHERE x <> ' ' GROUP BY ALL),
+  l AS (SELECT lang, x, sum(n) AS n FROM r WHERE lang IS NOT NULL GROUP BY ALL), k AS (SELECT DISTINCT x FROM (SELECT x, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS p FROM l) WHERE p <= 2000), t AS (SELECT lang, sum(n) AS total FROM l JOIN k USING (x) GROUP BY lang),
+  m AS (SELECT k.x, t.lang, ln((coalesce(l.n, 0) + 1) / (t.total + (SELECT count(*) FROM k))::DOUBLE) AS share FROM k CROSS JOIN t LEFT JOIN l ON l.x = k.x AND l.lang = t.lang),
+  z AS (SELECT doc_id, m.lang, sum(n * share) AS s FROM r JOIN m USING (x) GROUP BY ALL), b AS (SELECT doc_id, lang AS language, row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 6) DESC, lang DESC) AS p FROM z)
+  SELECT d.doc_id, coalesce(b.language, '') AS language FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND p = 1""")
+def learned_language(spark, d):
+    """The language of each document, by what all labelled documents teach."""
+    docs = table(spark, d, "documents")
+    return language.with_language(docs, "doc_id", "text", language.language_model(docs, "text", "lang"))
+
+
 @query("label_batch", "SELECT CAST(doc_id AS VARCHAR) AS ad_id, 'v' || CAST(quality AS VARCHAR) AS vertical, toxic / 2.0::DOUBLE AS confidence, quality * 4 AS training_quality FROM labels WHERE NOT (toxic = 1 AND quality = 1)")
 def label_batch(spark, d):
     """Lines of a batch's output: an answer that is JSON text inside JSON; bad toxic ones are cut off and cannot be read."""
@@ -279,6 +292,15 @@ def reference_metrics(spark, d):
     return made.select("conv_id", *[F.round(c, 6).alias(c) for c in made.columns if c.endswith(("_gold", "_multi", "excess"))])
 
 
+@query("ab_grounding")
+def ab_grounding(spark, d):
+    """Headlines of three documents each as variants of a test: how often the winner is more like the winners of other tests than a loser is."""
+    ads_ = text_ads(spark, d).select(F.expr("doc_id div 3").cast("string").alias("test_id"), (F.col("doc_id") % 3).cast("string").alias("variant"), (F.length("body") + 200).alias("impressions"), (F.length("headline") % 97).alias("clicks"), "headline")
+    keyed = ads_.select(F.col("test_id").alias("_t"), F.col("variant").alias("_v"), F.col("headline").alias("text"))
+    tests = ab_tests(ads_.drop("headline")).join(keyed, (F.col("test_id") == F.col("_t")) & (F.col("variant") == F.col("_v"))).drop("_t", "_v")
+    return grounding.grounded_accuracy(materialise(tests, "ab-texts"))
+
+
 @query("metric_summary")
 def metric_summary(spark, d):
     """Mean and median of each score; scores that are not there stay null."""

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from copperleaf.cluster import materialise
 from copperleaf.operators import construct, selection, source_selection
 from copperleaf.operators.ranking import running
 from copperleaf.plans.registry import query
 from copperleaf.plans.scoring_queries import V3_SQL, scored
 from copperleaf.sources import files
 from copperleaf.sources.ads import ADS_SQL, TEXT_ADS_SQL, ads, table, text_ads
-from copperleaf.streaming import ingest
+from copperleaf.streaming import ingest, sweep
 
 UNIT = lambda *parts: "CAST('0x' || substr(sha256(" + " || ':' || ".join(parts) + "), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496"
 TEXT = lambda c: f"CAST({c} AS VARCHAR)"
@@ -234,6 +235,27 @@ def stream_patches(spark, d):
     return ingest.patched(spark.read.parquet(out), log).select(F.col("ad_id").alias("doc_id"), "lang")
 
 
+@query("swept_queries", """WITH c AS (SELECT CAST(user_id AS VARCHAR) AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS page, CASE WHEN event_type <> 'error' THEN CAST(event_id AS VARCHAR) END AS hit, event_type = 'purchase' OR event_type = 'error' OR floor(value) % 9 = 0 AS ends, event_id, floor(value) % 9 = 0 AS empty FROM events),
+  e AS (SELECT key, coalesce(min(page) FILTER (ends), max(page)) AS last FROM c GROUP BY key)
+  SELECT 'query' AS kind, c.key, CAST(page AS INT) AS pages_fetched, hit AS last_hit, ends AS done, CASE WHEN NOT ends THEN CAST(page + 1 AS INT) END AS next_page FROM c JOIN e ON c.key = e.key AND page = last
+  UNION ALL SELECT DISTINCT 'ad', 'ad' || CAST(event_id % 997 AS VARCHAR), NULL, NULL, NULL, NULL FROM c WHERE NOT empty""")
+def swept_queries(spark, d):
+    """A call for each event, in three deliveries, each by a stream that starts anew: where each query stands, and each ad once."""
+    came, out, state = ingest.scratch(spark)
+    e = running(table(spark, d, "events"), ["user_id"], [F.col("event_id")], {"before": F.lit(1)})
+    hit, empty = F.when(F.col("event_type") != "error", F.col("event_id").cast("string")), F.floor("value") % 9 == 0
+    ads_ = F.when(empty, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("ad"), (F.col("event_id") % 997).cast("string"))))
+    calls = e.select(F.col("user_id").cast("string").alias("query"), (F.col("before") + 1).cast("int").alias("page"), hit.alias("last_hit"), (F.col("event_type") != "purchase").alias("has_next"), ads_.alias("ads"), "event_id")
+    first, third = calls.agg(F.percentile_approx("event_id", [0.3, 0.7])).first()[0]
+    for part in (F.col("event_id") <= first, (F.col("event_id") > first) & (F.col("event_id") <= third), F.col("event_id") > third):
+        ingest.write_batches(calls.filter(part).drop("event_id"), came)
+        sweep.run_sweep(ingest.pages(spark, came, sweep.CALL), out, state)
+    rows = materialise(spark.read.parquet(out), "swept")
+    none = {c: F.lit(None).cast(k) for c, k in (("pages_fetched", "int"), ("last_hit", "string"), ("done", "boolean"), ("next_page", "int"))}
+    ads_seen = sweep.first_seen(rows).select(F.lit("ad").alias("kind"), F.col("ad_id").alias("key"), *[c.alias(n) for n, c in none.items()])
+    return sweep.standing(rows).select(F.lit("query").alias("kind"), F.col("query").alias("key"), *none).unionByName(ads_seen)
+
+
 @query("paging_state", "WITH c AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS page, * FROM events), l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY page DESC) AS p FROM c) SELECT key, page AS pages_fetched, CASE WHEN event_type <> 'error' THEN event_id END AS last_hit, event_type = 'purchase' OR event_type = 'error' OR floor(value) % 9 = 0 AS done FROM l WHERE p = 1")
 def paging_state(spark, d):
     """A call for each event; an error has no cursor, a purchase no next page, and some pages are empty."""
