@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from copperleaf.cluster import materialise
 from copperleaf.functions import copy, text
+from copperleaf.functions.article import article_text
 from copperleaf.functions.derived import any_date, bound, log_midpoint
 from copperleaf.operators import classify, construct, examples, grounding, language, similarity
 from copperleaf.operators.experiments import ab_tests
@@ -124,6 +125,13 @@ def page_texts(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(said).alias("n"), F.substring(said, 1, 12000).alias("text"))
 
 
+@query("article_texts")
+def article_texts(spark, d):
+    """The article in each page, by a reader of its tags and a choice of its blocks; up to 12,000 characters of it."""
+    said = table(spark, d, "pages").select("page_id", article_text(F.col("html")).alias("said"))
+    return said.select("page_id", F.length("said").alias("n"), F.substring("said", 1, 12000).alias("text"))
+
+
 @query("language_detection")
 def language_detection(spark, d):
     return table(spark, d, "documents").select("doc_id", copy.language(F.col("text")).alias("language"))
