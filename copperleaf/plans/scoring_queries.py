@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from copperleaf.cluster import materialise
 from copperleaf.functions.derived import with_features
-from copperleaf.operators import construct, ranking, scoring
+from copperleaf.operators import construct, label_model, ranking, scoring
 from copperleaf.plans.registry import query
 from copperleaf.sources.ads import ADS_SQL, ads
 
@@ -122,6 +122,13 @@ def score_v2(spark, d):
     return scoring.with_tier(fitted.select("ad_id", "platform", F.round("p_high", 6).alias("score"), F.round("p_high", 4).alias("p_high"), F.round(1 - F.col("p_high"), 4).alias("p_low")))
 
 
+@query("score_v2_overlaps")
+def score_v2_overlaps(spark, d):
+    """The posterior of the label model that is fitted to the overlaps of the votes: tested against a plain version, since SQL cannot iterate so."""
+    fitted = label_model.with_labels(scoring.votes(scoring.vote_features(features(spark, d))), scoring.VOTES)
+    return scoring.with_tier(fitted.select("ad_id", "platform", F.round("p_high", 6).alias("score"), F.round("p_high", 4).alias("p_high"), F.round(1 - F.col("p_high"), 4).alias("p_low")))
+
+
 @query("tier_cutoffs", f"WITH {V3_SQL} SELECT high, medium FROM cut")
 def tier_cutoffs(spark, d):
     return scoring.tier_cutoffs(scoring.score_v3(features(spark, d)))
