@@ -8,7 +8,7 @@ from copperleaf.cluster import materialise
 from copperleaf.functions import copy, text
 from copperleaf.functions.article import article_text
 from copperleaf.functions.derived import any_date, bound, log_midpoint
-from copperleaf.operators import classify, construct, examples, grounding, language, similarity
+from copperleaf.operators import classify, construct, examples, grounding, language, records, similarity
 from copperleaf.operators.experiments import ab_tests
 from copperleaf.operators.near_duplicates import STOP_WORDS, near_duplicates
 from copperleaf.plans.corpus_queries import JOINED, PLAIN, STRIP, T
@@ -332,3 +332,27 @@ def eligible_ads(spark, d):
     """Ads with a score, enough copy and a vertical that is sure enough, the best 20 of each vertical (the reference's cap)."""
     rows = text_ads(spark, d).withColumns({"score": (F.col("doc_id") * 7919 % 1000) / 1000.0, "business_vertical_confidence": F.when(F.col("training_quality") == 0, 0.4).otherwise(0.9)})
     return construct.eligible(rows, F.col("headline"), F.col("body"), floor=0.7, cap=20).select("ad_id", "vertical", "score")
+
+
+# -- records
+
+
+@query("rendered_records", """SELECT conv_id AS example_id, md5(string_agg('<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text)) AS rendered, count(*) AS turns FROM conversations GROUP BY conv_id""")
+def rendered_records(spark, d):
+    """Each conversation as a record of a dataset, as a chat template writes it."""
+    none = F.lit(None).cast("string")
+    chats = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    rows = chats.select(F.col("conv_id").alias("example_id"), F.lit("copywriting").alias("task_format"), F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("messages"), none.alias("platform"), none.alias("vertical"), F.array().cast("array<string>").alias("source_tiers"), none.alias("construction_model"))
+    return records.dataset_records(rows).select("example_id", F.md5(records.rendered("messages")).alias("rendered"), F.size("messages").cast("long").alias("turns"))
+
+
+@query("divergence_summary", """WITH m AS (SELECT event_type AS config, user_id % 20 AS platform, CASE WHEN event_id % 97 = 0 THEN 'nan'::DOUBLE ELSE value::DOUBLE END AS mauve, value::DOUBLE - 1 AS ci_low, value::DOUBLE + 1 AS ci_high, event_id % 7 AS n_gen FROM events), g AS (SELECT config, platform, count(*) AS n, bool_or(isnan(mauve)) AS bad,
+  avg(mauve) FILTER (NOT isnan(mauve)) AS mean, median(mauve) FILTER (NOT isnan(mauve)) AS middle, min(mauve) FILTER (NOT isnan(mauve)) AS low, max(mauve) FILTER (NOT isnan(mauve)) AS high, avg(ci_low) AS ci_low_mean, avg(ci_high) AS ci_high_mean, CAST(sum(n_gen) AS BIGINT) AS n_gen_total FROM m GROUP BY ALL)
+  SELECT config, platform, n, CASE WHEN bad THEN 'nan'::DOUBLE ELSE round(mean, 6) END AS mauve_mean, CASE WHEN bad THEN 'nan'::DOUBLE ELSE round(middle, 6) END AS mauve_median, coalesce(round(low, 6), CASE WHEN bad THEN 'nan'::DOUBLE END) AS mauve_min, coalesce(round(high, 6), CASE WHEN bad THEN 'nan'::DOUBLE END) AS mauve_max,
+  round(ci_low_mean, 6) AS ci_low_mean, round(ci_high_mean, 6) AS ci_high_mean, n_gen_total FROM g""")
+def divergence_summary(spark, d):
+    """Values of events by type and a part of the users; some are no numbers."""
+    value = F.col("value").cast("double")
+    rows = table(spark, d, "events").select(F.col("event_type").alias("config"), (F.col("user_id") % 20).alias("platform"), F.when(F.col("event_id") % 97 == 0, float("nan")).otherwise(value).alias("mauve"), (value - 1).alias("ci_low"), (value + 1).alias("ci_high"), (F.col("event_id") % 7).alias("n_gen"))
+    made = records.divergence_summary(rows, ["config", "platform"])
+    return made.withColumns({c: F.round(c, 6) for c in made.columns if c.startswith(("mauve_", "ci_"))})
