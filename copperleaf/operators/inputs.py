@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copperleaf.functions.copy import language, resolved
-from copperleaf.functions.text import known_or, stripped
+from copperleaf.functions.text import known_or, once, stripped
 from copperleaf.sources.ads import WEAK_PLATFORMS
 
 # The heads of a learned score, those that weak platforms do not have, and the shortest text whose language is told.
@@ -83,10 +83,10 @@ def ground_truth(ads: DataFrame) -> DataFrame:
 def ad_facts(advertiser: Column, *fields: Column) -> Column:
     """The source ad as prose without labels; fields that are long enough to be told another language than English are left out."""
     english = lambda f: (F.length(f) < LANGUAGE_LEAST) | language(f).isin("", "en")
-    parts = F.array_compact(F.array(*[F.when((F.coalesce(f, F.lit("")) != "") & english(f), stripped(f)) for f in fields]))
-    parts = F.when(F.size(parts) == 0, F.array(F.lit("(no usable ad copy fields)"))).otherwise(parts)
+    part = lambda f: once(F.coalesce(f, F.lit("")), lambda x: F.when((x != "") & english(x), stripped(x)))
+    said = once(F.array_compact(F.array(*map(part, fields))), lambda p: F.when(F.size(p) == 0, "(no usable ad copy fields)").otherwise(F.array_join(p, "\n\n")))
     name = F.coalesce(F.nullif(advertiser, F.lit("")), F.lit("(unknown advertiser)"))
-    return F.concat(F.lit("This ad ran for "), name, F.lit(".\n\nThe ad copy reads:\n\n"), F.array_join(parts, "\n\n"))
+    return F.concat(F.lit("This ad ran for "), name, F.lit(".\n\nThe ad copy reads:\n\n"), said)
 
 
 def dataset_statistics(rows: DataFrame) -> DataFrame:
