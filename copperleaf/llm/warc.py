@@ -52,7 +52,7 @@ PAGE_FIELD = "X-Copperleaf-Page-Id"
 #: Archives whose records one task sorts before it writes them.
 SORTED = 4
 #: Bytes of records that a reader hands on at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Spark's text writer as archives need it; the fast level costs some bytes and saves half of the time.
 GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 
@@ -168,6 +168,12 @@ def warc_record(rec: dict, revisit_of: str | None) -> bytes:
     return "\r\n".join([WARC_VERSION, *(f"{k}: {v}" for k, v in fields), "", ""]).encode() + block
 
 
+def revisit_parts(rec: dict) -> tuple[bytes, bytes]:
+    """A response as a revisit, up to the id that it refers to and from there on. No field before that one holds a line end."""
+    before, after = warc_record(rec, "?").split(b"\r\nWARC-Refers-To: ?", 1)
+    return before + b"\r\nWARC-Refers-To: ", after
+
+
 def parse_warc(data: bytes | io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields, block) of each record, by declared lengths."""
     stream = io.BytesIO(data) if isinstance(data, bytes) else data
@@ -255,36 +261,48 @@ def read_arc(spark, path: str) -> DataFrame:
     """A row for each record of the ARC files in a folder: a response, a resource, or the warcinfo of a version block."""
 
     def row(r: dict) -> tuple:
-        http = r["block"].startswith(b"HTTP/")
-        head, payload = split_http(r["block"])
-        page, digest = http_field(head, PAGE_FIELD) if http else None, sha1_base32(payload)
-        kind = "warcinfo" if r["place"] == 0 else "response" if http else "resource"
-        return kind, page_number(page), r["url"], r["ip"], r["date"], r["mime"], r["version"], head, payload, digest, record_id(r["archive"], r["place"], r["url"], r["date"], digest)
+        r = _arc_fields(r)
+        return tuple(r[x.split()[0]] for x in ARC_ROWS.split(", "))
 
     kinds = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.string()]
     return _read(_files(spark, path), parse_arc, ARC_ROWS, kinds, row, lambda r: len(r["block"]))
 
 
+def _arc_fields(r: dict) -> dict:
+    """What a row of ARC_ROWS has, of a record as it is parsed."""
+    http = r["block"].startswith(b"HTTP/")
+    head, payload = split_http(r["block"])
+    digest = sha1_base32(payload)
+    kind = "warcinfo" if r["place"] == 0 else "response" if http else "resource"
+    page = page_number(http_field(head, PAGE_FIELD)) if http else None
+    return r | {"kind": kind, "page_id": page, "head": head, "payload": payload, "digest": digest, "record_id": record_id(r["archive"], r["place"], r["url"], r["date"], digest)}
+
+
 def convert(spark, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
     """ARC files to gzipped WARC files; of the responses with equal payloads one with the largest page id holds the bytes.
 
-    Which one that is, is found on (digest, ids) alone, summed on the map side. The payloads are not shuffled as long as there are
+    A task parses an archive and makes both forms of a response, whole and as a revisit; the join takes one, so that records pass through
+    one Python process and not two. Which record holds the bytes is found on (digest, ids) alone, summed on the map side. The payloads are not shuffled as long as there are
     no more repeated payloads than are broadcast; beyond that, each file's records are shuffled by their digest.
     """
-    records = read_arc(spark, arc_path)
-    slim = materialise(records.filter("kind = 'response'").select("digest", "page_id", "record_id", F.octet_length("payload").alias("bytes")), "arc-ids")
+    files = _files(spark, arc_path)
+    ids = "kind string, digest string, page_id long, record_id string, bytes long"
+    sized = lambda r: (r["kind"], r["digest"], r["page_id"], r["record_id"], len(r["payload"]))
+    known = _read(files, parse_arc, ids, [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()], lambda r: sized(_arc_fields(r)), lambda r: 256)
+    slim = materialise(known.filter("kind = 'response'").drop("kind"), "arc-ids")
     held = slim.filter(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max(F.struct("page_id", "record_id")).alias("m"), F.count("*").alias("n"))
     held = materialise(held.filter("n > 1").select(F.col("digest").alias("_digest"), F.col("m.record_id").alias("_holder"), "n"), "arc-originals")
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [warc_record(r, r["holder"]) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
+    def both(r: dict) -> tuple:
+        r = _arc_fields(r)
+        parts = revisit_parts(r) if r["kind"] == "response" else (None, None)
+        return r["kind"], r["digest"], r["record_id"], warc_record(r, None), *parts
 
-    joined = _with_holders(records, held)
-    holder = F.when((F.col("kind") == "response") & (F.col("record_id") != F.col("_holder")), F.col("_holder"))
-    rows = joined.select(*[x.split()[0] for x in ARC_ROWS.split(", ")], holder.alias("holder"))
-    rows.mapInArrow(task, "record binary").select(F.col("record").cast("string")).write.options(**GZIP).option("lineSep", RECORD_END).text(warc_path)
+    rows = "kind string, digest string, record_id string, record binary, before binary, after binary"
+    records = _read(files, parse_arc, rows, [*[pa.string()] * 3, *[pa.binary()] * 3], both, lambda r: len(r["block"]) + 1024)
+    revisits = (F.col("kind") == "response") & (F.col("record_id") != F.col("_holder"))
+    record = F.when(revisits, F.concat("before", F.col("_holder").cast("binary"), "after")).otherwise(F.col("record"))
+    _with_holders(records, held).select(record.cast("string").alias("record")).write.options(**GZIP).option("lineSep", RECORD_END).text(warc_path)
 
 
 def _with_holders(records: DataFrame, held: DataFrame) -> DataFrame:
