@@ -54,3 +54,25 @@ def test_without_labels_and_texts(spark):
     assert model.count() == 0 and language.with_language(none, "id", "text", model).collect() == []
     one = spark.createDataFrame([(1, "en", "words")], "id long, lang string, text string")
     assert language.with_language(one, "id", "text", model).first()["language"] == ""
+
+
+def test_pieces_tables_and_signs_beyond_the_plane(spark, monkeypatch):
+    texts = ["a\U00010400b 日本 x", "ab" * 40, "", "  ", "é", None, "日本語日本語", "the end"]
+    want = Counter(("l" + str(i % 2), x) for i, t in enumerate(texts) for x in runs(t))
+    for signs, cells in ((1 << 20, 1 << 22), (5, 3)):
+        got = Counter()
+        pieces = [" " + re.sub(r"[\W\d_]+", " ", (t or "").lower()).strip() + " " for t in texts]
+        monkeypatch.setattr(language, "SIGNS", signs)
+        monkeypatch.setattr(language, "CELLS", cells)
+        for made, code, owner in language._runs([p if len(p) >= 3 else "" for p in pieces], 3):
+            for c, o in zip(code.tolist(), owner.tolist(), strict=True):
+                got["l" + str(o % 2), made[c]] += 1
+        assert got == want
+    rows = spark.createDataFrame([(f"l{i % 2}", t) for i, t in enumerate(texts)], "lang string, text string")
+    assert {(r["key"], r["run"]): r["n"] for r in language.run_counts(rows, "lang", "text").collect()} == want
+
+
+def test_runs_are_not_rows(spark):
+    docs = spark.createDataFrame([(1, "en", "words and words")], "id long, lang string, text string")
+    plan = language.with_language(docs, "id", "text", language.language_model(docs, "text", "lang"))._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
