@@ -20,12 +20,16 @@ HIGH, LOW, EARLY_DAYS, LONG_DAYS = 0.80, 0.20, 3, 90
 TIERS = {"high": 0.80, "medium": 0.30}
 
 
-def _curve(events: DataFrame, by: list[str]) -> DataFrame:
-    """(by, d, survivability, cohort): 1 minus the Kaplan-Meier curve at each duration.
+#: The columns of an ad that its hybrid score is made of.
+V3_INPUTS = ("platform", "last_seen", "longevity_days", "weighted_engagement", "weighted_velocity")
+
+
+def _curve(counts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, d, survivability, cohort): 1 minus the Kaplan-Meier curve at each duration; counts: (platform, d, n, deaths).
 
     A curve has at most LONGEST + 1 durations, so its running product is a window of bounded size.
     """
-    at = events.groupBy(*by, "d").agg(F.count("*").alias("n"), F.sum("dead").alias("deaths"))
+    at = counts.groupBy(*by, "d").agg(F.sum("n").alias("n"), F.sum("deaths").alias("deaths"))
     over = W.partitionBy(*by).orderBy("d")
     risk = F.sum("n").over(over.rowsBetween(0, W.unboundedFollowing))
     steps = at.withColumn("_risk", risk).withColumn("cohort", F.sum("n").over(W.partitionBy(*by)))
@@ -36,14 +40,18 @@ def _curve(events: DataFrame, by: list[str]) -> DataFrame:
 
 
 def survivability(ads: DataFrame) -> DataFrame:
-    """``ads`` with the column survivability; null where longevity is null or not positive."""
+    """``ads``, written once, with the column survivability; null where longevity is null or not positive.
+
+    The curves come from counts by platform and duration, and are written, so that they are small tables to every later step."""
+    ads = materialise(ads, "ads")
     horizon = ads.agg(F.max("last_seen").alias("_horizon"))
     events = ads.filter("longevity_days > 0").crossJoin(F.broadcast(horizon)).select(  # one row
         "platform", F.least(F.col("longevity_days"), F.lit(LONGEST)).alias("d"), F.when(F.datediff("_horizon", "last_seen") <= CENSOR_DAYS, 0).otherwise(1).alias("dead")
     )
-    events = materialise(events, "durations")
-    own = _curve(events, ["platform"]).select(F.col("platform").alias("_p"), F.col("d").alias("_d"), F.when(F.col("cohort") >= MIN_COHORT, F.col("survivability")).alias("_own"))
-    every = _curve(events, []).select(F.col("d").alias("_e"), F.when(F.col("cohort") >= 2, F.col("survivability")).otherwise(0.5).alias("_every"))
+    counts = materialise(events.groupBy("platform", "d").agg(F.count("*").alias("n"), F.sum("dead").alias("deaths")), "durations")
+    own = _curve(counts, ["platform"]).select(F.col("platform").alias("_p"), F.col("d").alias("_d"), F.when(F.col("cohort") >= MIN_COHORT, F.col("survivability")).alias("_own"))
+    every = _curve(counts, []).select(F.col("d").alias("_e"), F.when(F.col("cohort") >= 2, F.col("survivability")).otherwise(0.5).alias("_every"))
+    own, every = materialise(own, "own-curves"), materialise(every, "every-curve")
     days = F.when(F.col("longevity_days") > 0, F.least(F.col("longevity_days"), F.lit(LONGEST)))
     joined = ads.withColumn("_days", days).join(own, (F.col("platform") == F.col("_p")) & (F.col("_days") == F.col("_d")), "left").join(every, F.col("_days") == F.col("_e"), "left")
     return joined.withColumn("survivability", F.coalesce("_own", "_every")).drop("_days", "_p", "_d", "_own", "_e", "_every")
@@ -70,7 +78,6 @@ def score_v3(ads: DataFrame) -> DataFrame:
     engagement is a real 0, and weak platforms are judged by survival alone."""
     some = F.col("weighted_engagement") > 0
     raw = survivability(ads).withColumns({"_vol": F.when(some, F.log1p("weighted_engagement")).otherwise(0.0), "_vel": F.when(some, F.col("weighted_velocity")).otherwise(0.0)})
-    raw = materialise(raw, "signals")
     ranked = with_positions(raw, {"survivability_pct": ("survivability", []), "volume_pct": ("_vol", ["platform"]), "velocity_pct": ("_vel", ["platform"])})
     strong = ranked.withColumns({n: F.when(~weak(), F.col(n)) for n in ("volume_pct", "velocity_pct")})
     return strong.withColumn("score", weighted_mean({"survivability_pct": 0.5, "volume_pct": 0.25, "velocity_pct": 0.25})).drop("_vol", "_vel")
@@ -94,7 +101,7 @@ def vote_features(ads: DataFrame) -> DataFrame:
     """``ads`` with survivability and, for ads with any engagement, its ranks in the platform; no engagement is missing, not 0."""
     some = F.col("weighted_engagement") > 0
     raw = survivability(ads).withColumns({"_vol": F.when(some, F.col("weighted_engagement")), "_vel": F.when(some, F.col("weighted_velocity"))})
-    return with_positions(materialise(raw, "signals"), {"volume_pct": ("_vol", ["platform"]), "velocity_pct": ("_vel", ["platform"])}).drop("_vol", "_vel")
+    return with_positions(raw, {"volume_pct": ("_vol", ["platform"]), "velocity_pct": ("_vel", ["platform"])}).drop("_vol", "_vel")
 
 
 def votes(df: DataFrame) -> DataFrame:
@@ -149,6 +156,6 @@ def tier_cutoffs(scored: DataFrame) -> DataFrame:
 def with_tier(scored: DataFrame) -> DataFrame:
     """``scored``, written once, with the tier of its score; a table that later steps read several times."""
     scored = materialise(scored, "scored")
-    cut = F.broadcast(tier_cutoffs(scored).withColumnsRenamed({n: f"_{n}" for n in TIERS}))  # one row
+    cut = F.broadcast(materialise(tier_cutoffs(scored).withColumnsRenamed({n: f"_{n}" for n in TIERS}), "cutoffs"))  # one row
     tier = F.when(F.col("score") >= F.col("_high"), "high").when(F.col("score") >= F.col("_medium"), "medium").otherwise("low")
     return scored.crossJoin(cut).withColumn("tier", tier).drop("_high", "_medium")

@@ -212,14 +212,14 @@ def avg_rank(v: str, *part: str) -> str:
 
 @query("spearman", f"WITH {V3_SQL}, r AS (SELECT {avg_rank('score')} AS a, {avg_rank('spend')} AS b FROM scored WHERE score IS NOT NULL AND spend IS NOT NULL) SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM r")
 def spearman(spark, d):
-    return rounded(statistics.spearman(scored(spark, d), "score", "spend"), "rho")
+    return rounded(statistics.spearman(scored(spark, d, "spend"), "score", "spend"), "rho")
 
 
 @query("kruskal_wallis", f"""WITH {V3_SQL}, k AS (SELECT tier, weighted_engagement AS v, {avg_rank('weighted_engagement')} AS r, count(*) OVER ()::DOUBLE AS n FROM tiered), g AS (SELECT sum(s) AS s, count(*) AS k FROM (SELECT sum(r) * sum(r) / count(*) AS s FROM k GROUP BY tier)), t AS (
   SELECT sum(c * c * c - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM k GROUP BY v)) SELECT round((12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - t / (n * n * n - n)), 6) AS h, CAST(g.k - 1 AS BIGINT) AS dof, CAST(n AS BIGINT) AS n,
   {", ".join(f"(SELECT count(*) FROM tiered WHERE tier = '{x}') AS n_{x}, (SELECT round(median(weighted_engagement), 4) FROM tiered WHERE tier = '{x}') AS median_{x}" for x in statistics.TIERS)} FROM (SELECT max(n) AS n FROM k), g, t""")
 def kruskal_wallis(spark, d):
-    return rounded(statistics.kruskal_wallis(scored(spark, d), "weighted_engagement"), "h")
+    return rounded(statistics.kruskal_wallis(scored(spark, d, "weighted_engagement"), "weighted_engagement"), "h")
 
 
 DELTAS = [("high", "low"), ("high", "medium"), ("medium", "low")]
@@ -227,26 +227,26 @@ DELTAS = [("high", "low"), ("high", "medium"), ("medium", "low")]
 
 @query("cliffs_delta", f"""WITH {V3_SQL} {" UNION ALL ".join(f"SELECT '{a}_vs_{b}' AS pair, round(sum(sign(x.weighted_engagement - y.weighted_engagement))::DOUBLE / count(*), 4) AS delta FROM tiered x, tiered y WHERE x.tier = '{a}' AND y.tier = '{b}'" for a, b in DELTAS)}""")
 def cliffs_delta(spark, d):
-    return rounded(statistics.cliffs_delta(scored(spark, d), "weighted_engagement", "tier", DELTAS), "delta", digits=4)
+    return rounded(statistics.cliffs_delta(scored(spark, d, "weighted_engagement"), "weighted_engagement", "tier", DELTAS), "delta", digits=4)
 
 
 @query("ranking_quality", f"""WITH {V3_SQL}, p AS (SELECT spend AS v, row_number() OVER (ORDER BY score DESC, ad_id) - 1 AS ps, row_number() OVER (ORDER BY spend DESC, ad_id) - 1 AS pv, count(*) OVER () AS n FROM scored), k AS (
   SELECT *, CAST(greatest(1, floor(n * q / 100)) AS BIGINT) AS k FROM (SELECT *, unnest([10, 20, 30]) AS q FROM p)) SELECT q AS k_percent, k, round(count_if(ps < k AND pv < k)::DOUBLE / k, 4) AS precision, round(sum(CASE WHEN ps < k THEN v / log2(ps + 2) END) / sum(CASE WHEN pv < k THEN v / log2(pv + 2) END), 4) AS ndcg FROM k GROUP BY q, k""")
 def ranking_quality(spark, d):
-    return statistics.ranking_quality(scored(spark, d), "score", "spend", "ad_id")
+    return statistics.ranking_quality(scored(spark, d, "ad_id", "spend"), "score", "spend", "ad_id")
 
 
 @query("tier_homogeneity", f"""WITH {V3_SQL}, c AS (SELECT platform, tier, count(*)::DOUBLE AS n FROM tiered GROUP BY ALL), l AS (SELECT * FROM c WHERE platform IN (SELECT platform FROM c GROUP BY platform HAVING sum(n) >= 30)), g AS (
   SELECT p.platform, t.tier, p.s AS rn, t.s AS cn, coalesce(l.n, 0) AS n FROM (SELECT platform, sum(n) AS s FROM l GROUP BY 1) p CROSS JOIN (SELECT tier, sum(n) AS s FROM l GROUP BY 1) t LEFT JOIN l ON l.platform = p.platform AND l.tier = t.tier), e AS (SELECT *, rn * cn / (SELECT sum(n) FROM l) AS e FROM g)
   SELECT round(sum((n - e) * (n - e) / e), 6) AS chi2, (count(DISTINCT platform) - 1) * (count(DISTINCT tier) - 1) AS dof, count(DISTINCT platform) AS platforms FROM e""")
 def tier_homogeneity(spark, d):
-    return rounded(statistics.homogeneity(scored(spark, d)), "chi2").withColumn("dof", F.col("dof").cast("long"))
+    return rounded(statistics.homogeneity(scored(spark, d, "platform")), "chi2").withColumn("dof", F.col("dof").cast("long"))
 
 
 @query("validation_battery")
 def validation_battery(spark, d):
     """Rank correlation with its interval and p-value, separation of the tiers, and ranking quality, a row each."""
-    rows = materialise(scored(spark, d).select("ad_id", "tier", "score", "spend"), "validation")
+    rows = scored(spark, d, "ad_id", "spend")
     rho = statistics.bootstrap_spearman(rows, "score", "spend", F.col("ad_id"))
     tiers = statistics.with_chi2_p(statistics.kruskal_wallis(rows, "spend"), "h")
     best = statistics.ranking_quality(rows, "score", "spend", "ad_id")
@@ -326,7 +326,7 @@ PLACE_SQL = lambda c: f"CASE WHEN {c} IS NOT NULL THEN row_number() OVER (PARTIT
 @query("head_summary", f"WITH {V3_SQL}, q AS (SELECT platform, score, volume_pct, {PLACE_SQL('score')}, {PLACE_SQL('volume_pct')} FROM scored) SELECT platform, count(*) AS n, {SUMMARY_SQL('score')}, {SUMMARY_SQL('volume_pct')} FROM q GROUP BY platform")
 def head_summary(spark, d):
     """Weak platforms have no volume head: their numbers are null."""
-    made = statistics.summary(scored(spark, d), ["score", "volume_pct"], ["platform"], {"p25": 0.25, "p75": 0.75, "p90": 0.9})
+    made = statistics.summary(scored(spark, d, "platform", "volume_pct"), ["score", "volume_pct"], ["platform"], {"p25": 0.25, "p75": 0.75, "p90": 0.9})
     made = rounded(made, *[c for c in made.columns if c.endswith("_median")], digits=9)  # the middle of two scores of six digits has seven
     return rounded(made, *[c for c in made.columns if c.split("_")[-1] in ("mean", "p25", "p75", "p90")])
 
@@ -364,7 +364,7 @@ def gathered_generations(spark, d):
 
 @query("learned_rows", f"WITH {V3_SQL} SELECT ad_id, round(score, 6) AS composite, CASE WHEN platform NOT IN ('reddit', 'other') THEN 0.25::DOUBLE END AS engagement_volume, 'true,true,' || CASE WHEN platform = 'reddit' THEN 'false,false' ELSE 'true,true' END AS mask FROM scored")
 def learned_rows(spark, d):
-    rows = scored(spark, d).select("ad_id", "platform", F.col("score").alias("composite"), F.lit(0.5).alias("survivability"), F.lit(0.25).alias("engagement_volume"), F.lit(0.25).alias("engagement_velocity"), F.lit("x").alias("text"))
+    rows = scored(spark, d, "ad_id", "platform").select("ad_id", "platform", F.col("score").alias("composite"), F.lit(0.5).alias("survivability"), F.lit(0.25).alias("engagement_volume"), F.lit(0.25).alias("engagement_velocity"), F.lit("x").alias("text"))
     made = inputs.targets(inputs.learned_rows(rows))
     return made.select("ad_id", F.round("composite", 6).alias("composite"), "engagement_volume", F.array_join(F.transform("mask", lambda m: m.cast("string")), ",").alias("mask"))
 

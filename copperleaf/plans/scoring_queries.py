@@ -60,8 +60,13 @@ def features(spark, d):
     return with_features(ads(spark, d))
 
 
-def scored(spark, d):
-    return scoring.with_tier(scoring.score_v3(features(spark, d)))
+def scored(spark, d, *columns):
+    """The scored ads with their score and tier, and ``columns``, all if none are named; no others are written or shuffled."""
+    rows = features(spark, d)
+    if not columns:
+        return scoring.with_tier(scoring.score_v3(rows))
+    made = scoring.score_v3(rows.select(*[c for c in rows.columns if c in (*columns, *scoring.V3_INPUTS)]))
+    return scoring.with_tier(made.select(*dict.fromkeys([*columns, "score"])))
 
 
 @query("ads_derived_columns", f"WITH {ADS_SQL} SELECT ad_id, longevity_days, total_engagement, weighted_engagement, weighted_velocity, velocity FROM feat")
@@ -110,22 +115,27 @@ VOTES_SQL = f"""WITH {V2_SQL}, v AS (
 SELECT * EXCLUDE (a), (coalesce(list_sum(a), 0) + 1)::DOUBLE / (len(a) + 2) AS p_high FROM c"""
 
 
+def votes(spark, d):
+    return scoring.votes(scoring.vote_features(features(spark, d).select("ad_id", *scoring.V3_INPUTS)))
+
+
 @query("label_votes", VOTES_SQL)
 def label_votes(spark, d):
-    return scoring.majority(scoring.votes(scoring.vote_features(features(spark, d)))).select("ad_id", *scoring.VOTES, "p_high")
+    return scoring.majority(votes(spark, d)).select("ad_id", *scoring.VOTES, "p_high")
 
 
 @query("score_v2")
 def score_v2(spark, d):
     """The label model's posterior, fitted by EM over vote patterns: tested by properties, since SQL cannot iterate so."""
-    fitted = scoring.label_model(scoring.votes(scoring.vote_features(features(spark, d))))
+    fitted = scoring.label_model(materialise(votes(spark, d).select("ad_id", "platform", *scoring.VOTES), "votes"))
     return scoring.with_tier(fitted.select("ad_id", "platform", F.round("p_high", 6).alias("score"), F.round("p_high", 4).alias("p_high"), F.round(1 - F.col("p_high"), 4).alias("p_low")))
 
 
 @query("score_v2_overlaps")
 def score_v2_overlaps(spark, d):
     """The posterior of the label model that is fitted to the overlaps of the votes: tested against a plain version, since SQL cannot iterate so."""
-    fitted = label_model.with_labels(scoring.votes(scoring.vote_features(features(spark, d))), scoring.VOTES)
+    voted = materialise(votes(spark, d).select("ad_id", "platform", *scoring.VOTES), "votes")  # counted, then given their posterior
+    fitted = label_model.with_labels(voted, scoring.VOTES)
     return scoring.with_tier(fitted.select("ad_id", "platform", F.round("p_high", 6).alias("score"), F.round("p_high", 4).alias("p_high"), F.round(1 - F.col("p_high"), 4).alias("p_low")))
 
 
@@ -136,7 +146,7 @@ def tier_cutoffs(spark, d):
 
 @query("tier_summary", f"WITH {V3_SQL} SELECT platform, tier, count(*) AS n, round(avg(score), 4) AS mean_score FROM tiered GROUP BY ALL")
 def tier_summary(spark, d):
-    return scored(spark, d).groupBy("platform", "tier").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"))
+    return scored(spark, d, "platform").groupBy("platform", "tier").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"))
 
 
 @query("score_distribution", f"""WITH {V3_SQL} SELECT min(score) AS lowest, {", ".join(f"max(CASE WHEN i = floor(n * {q}::DOUBLE) THEN score END) AS p{int(q * 100)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9))}, max(score) AS highest
@@ -152,7 +162,7 @@ def score_distribution(spark, d):
   CAST(count_if(tier = 'high') AS BIGINT) AS high, CAST(count_if(tier = 'medium') AS BIGINT) AS medium, CAST(count_if(tier = 'low') AS BIGINT) AS low
   FROM (SELECT *, row_number() OVER (PARTITION BY vertical ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY vertical) AS k FROM tiered) GROUP BY vertical""")
 def per_vertical_stats(spark, d):
-    return construct.group_stats(scored(spark, d), "vertical")
+    return construct.group_stats(scored(spark, d, "vertical"), "vertical")
 
 
 def clusters_sql(key: str, modes: list[str], least: int) -> str:
@@ -165,7 +175,7 @@ def clusters_sql(key: str, modes: list[str], least: int) -> str:
 
 @query("advertiser_clusters", f"WITH {V3_SQL}, named AS (SELECT *, trim(advertiser_name) AS advertiser FROM tiered WHERE trim(advertiser_name) <> '') {clusters_sql('advertiser', ['platform', 'vertical'], 3)}")
 def advertiser_clusters(spark, d):
-    return construct.clusters(construct.advertisers(scored(spark, d)), "advertiser", ["platform", "vertical"], 3)
+    return construct.clusters(construct.advertisers(scored(spark, d, "advertiser_name", "platform", "vertical")), "advertiser", ["platform", "vertical"], 3)
 
 
 @query("advertiser_members", f"WITH {V3_SQL}, named AS (SELECT *, trim(advertiser_name) AS advertiser FROM tiered WHERE trim(advertiser_name) <> '') SELECT advertiser, ad_id FROM (SELECT *, count(*) OVER (PARTITION BY advertiser) AS n FROM named) WHERE n >= 3")
@@ -175,7 +185,7 @@ def advertiser_members(spark, d):
 
 @query("vertical_clusters", f"WITH {V3_SQL}, named AS (SELECT * FROM tiered WHERE trim(vertical) <> '') {clusters_sql('vertical', ['platform'], 30)}")
 def vertical_clusters(spark, d):
-    return construct.clusters(scored(spark, d).filter(F.trim("vertical") != ""), "vertical", ["platform"], 30)
+    return construct.clusters(scored(spark, d, "platform", "vertical").filter(F.trim("vertical") != ""), "vertical", ["platform"], 30)
 
 
 @query("vertical_topn", f"WITH {V3_SQL} SELECT vertical, ad_id, score FROM (SELECT *, row_number() OVER (PARTITION BY vertical ORDER BY score DESC, ad_id) AS place FROM scored) WHERE place <= 50")
@@ -201,11 +211,11 @@ BENCH_SQL = ", ".join(f"('{v}', {c}::DOUBLE, {k}::DOUBLE)" for v, (c, k) in cons
   SELECT vertical, n, round(p, 2) AS high_pct, ctr AS benchmark_ctr, k AS competitiveness, CASE WHEN k >= 0.8 AND p > 30 THEN 'competitive_but_many_high' WHEN ctr >= 1.2 AND p < 10 THEN 'easy_but_few_high' END AS warning, n < 50 AND vertical <> 'unknown' AS sparse
   FROM g LEFT JOIN (SELECT * FROM (VALUES {BENCH_SQL}) b(v, ctr, k)) ON v = vertical""")
 def benchmark_calibration(spark, d):
-    return construct.calibration(scored(spark, d))
+    return construct.calibration(scored(spark, d, "vertical"))
 
 
 @query("signal_contributions", f"""WITH {V3_SQL}, s AS (
   SELECT tier, unnest(['survivability', 'volume', 'velocity']) AS signal, unnest([survivability_pct, volume_pct, velocity_pct]) AS v FROM tiered
 ) SELECT tier, signal, round(avg(v), 4) AS mean_signal, count(v) AS n FROM s WHERE v IS NOT NULL GROUP BY ALL""")
 def signal_contributions(spark, d):
-    return construct.signal_means(scored(spark, d), {"survivability": "survivability_pct", "volume": "volume_pct", "velocity": "velocity_pct"})
+    return construct.signal_means(scored(spark, d, "survivability_pct", "volume_pct", "velocity_pct"), {"survivability": "survivability_pct", "volume": "volume_pct", "velocity": "velocity_pct"})

@@ -26,7 +26,7 @@ def shuffled_sample(spark, d):
 
 @query("top_scores", f"WITH {V3_SQL} SELECT ad_id, score FROM scored ORDER BY score DESC, ad_id LIMIT 100")
 def top_scores(spark, d):
-    return selection.top(scored(spark, d).select("ad_id", "score"), "score", "ad_id", 100)
+    return selection.top(scored(spark, d, "ad_id").select("ad_id", "score"), "score", "ad_id", 100)
 
 
 @query("smoke_subset", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents) WHERE p <= 5")
@@ -123,7 +123,7 @@ def last_versions(spark, d):
 @query("enrich_candidates", f"WITH {V3_SQL} SELECT ad_id FROM tiered WHERE tier = 'high' AND CAST(ad_id AS BIGINT) NOT IN (SELECT event_id FROM events WHERE event_type = 'view') ORDER BY score DESC, ad_id LIMIT 40")
 def enrich_candidates(spark, d):
     done = table(spark, d, "events").filter("event_type = 'view'").select(F.col("event_id").cast("string").alias("id"))
-    return selection.enrich_candidates(scored(spark, d), done, 40, tier="high").select("ad_id")
+    return selection.enrich_candidates(scored(spark, d, "ad_id"), done, 40, tier="high").select("ad_id")
 
 
 STATUS = "CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'completed' WHEN 'signup' THEN 'ingested' WHEN 'purchase' THEN 'failed' ELSE 'expired' END"
@@ -176,7 +176,7 @@ def collection_assessment(spark, d):
 
 @query("capacity_report", f"WITH {V3_SQL} SELECT platform, vertical, count(*) AS n FROM scored WHERE score >= 0.7::DOUBLE GROUP BY ALL")
 def capacity_report(spark, d):
-    return scored(spark, d).filter("score >= 0.7").groupBy("platform", "vertical").agg(F.count("*").alias("n"))
+    return scored(spark, d, "platform", "vertical").filter("score >= 0.7").groupBy("platform", "vertical").agg(F.count("*").alias("n"))
 
 
 @query("group_score_stats", f"""WITH {V3_SQL}, g AS (SELECT CASE WHEN vertical = 'building' THEN 'unknown' ELSE vertical END AS vertical, score, tier FROM tiered) SELECT vertical, count(*) AS n, round(avg(score), 4) AS mean_score, max(CASE WHEN i = k // 2 THEN score END) AS upper_median,
@@ -184,7 +184,7 @@ def capacity_report(spark, d):
 def group_score_stats(spark, d):
     """A vertical that is empty or null is ``unknown``."""
     blank = F.when(F.col("vertical") == "building", F.when(F.col("platform") == "reddit", "")).otherwise(F.col("vertical"))
-    return construct.group_stats(scored(spark, d).withColumn("vertical", blank), "vertical")
+    return construct.group_stats(scored(spark, d, "platform", "vertical").withColumn("vertical", blank), "vertical")
 
 
 PERSONAS = [{"id": "founder", "formats": ["copy"], "scale": "small", "allowed": ["building"]}, {"id": "agency", "scale": "any", "weight": 0.0}, {"id": "buyer", "scale": "large", "blocked": ["machinery"], "weight": 2.0}, {"id": "owner", "scale": "small", "weight": 1.0}]

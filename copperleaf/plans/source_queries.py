@@ -149,7 +149,7 @@ def updated_records(spark, d):
 @query("flattened_scored", f"""WITH {V3_SQL} SELECT ad_id, platform AS ad_copy_headline, vertical AS ad_copy_body, '["' || platform || '"]' AS country, '' AS placements, survivability_pct AS signal_survivability, volume_pct AS signal_volume, score AS composite_score, tier FROM tiered""")
 def flattened_scored(spark, d):
     """Scored ads as the nested records that they are kept as, flattened to Parquet columns."""
-    rows = scored(spark, d).select(
+    rows = scored(spark, d, "ad_id", "platform", "vertical", "survivability_pct", "volume_pct").select(
         "ad_id", F.struct(F.col("platform").alias("headline"), F.col("vertical").alias("body")).alias("ad_copy"), F.array("platform").alias("country"), F.array().cast("array<string>").alias("placements"),
         F.create_map(F.lit("survivability"), F.col("survivability_pct"), F.lit("volume"), F.col("volume_pct")).alias("signal_scores"), F.col("score").alias("composite_score"), "tier", F.struct(F.lit(1).alias("x")).alias("raw_data"), F.create_map(F.lit("a"), F.lit(1)).alias("demographics"),
     )
