@@ -32,11 +32,16 @@ def correlation(x: str, y: str) -> Column:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
-    """(by, rho, n) over the rows that have both; average ranks, 0 where a side is constant, NaN for fewer than two rows."""
+    """(by, rho, n) over the rows that have both; average ranks, 0 where a side is constant, NaN for fewer than two rows. ``df`` is
+    read twice and so best a written table."""
     by = by or []
-    known = materialise(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y), "pairs")
+    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
     ranked = with_positions(known, {"_rx": (x, by), "_ry": (y, by)}, average_rank())
-    rho = F.when(F.count("*") < 2, float("nan")).otherwise(correlation("_rx", "_ry")).alias("rho")
+    return _correlated(ranked, "_rx", "_ry", by)
+
+
+def _correlated(ranked: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    rho = F.when(F.count("*") < 2, float("nan")).otherwise(correlation(x, y)).alias("rho")
     return ranked.groupBy(*by).agg(rho, F.count("*").alias("n"))
 
 
@@ -65,14 +70,20 @@ def kruskal_wallis(df: DataFrame, value: str, group: str = "tier", groups: tuple
 
 def cliffs_delta(df: DataFrame, value: str, group: str, pairs: list[tuple[str, str]]) -> DataFrame:
     """(pair, delta): of all pairs of a value of one group and one of the other, the share in which the first is greater less that in which
-    it is less; from sums of ranks, without making the pairs. 0 where a group is empty."""
-    cell = F.explode(F.array(*[F.struct(F.lit(f"{a}_vs_{b}").alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs]))
-    rows = df.filter(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), cell.alias("p")).filter("g = p.a OR g = p.b").select("p.pair", F.col("g") == F.col("p.a"), "v").toDF("pair", "is_a", "v")
-    ranked = with_positions(materialise(rows, "pairs"), {"r": ("v", ["pair"])}, average_rank())
-    sums = ranked.groupBy("pair").agg(F.count_if("is_a").cast("double").alias("na"), F.count_if(~F.col("is_a")).cast("double").alias("nb"), F.sum(F.when(F.col("is_a"), F.col("r")).otherwise(0.0)).alias("ra"))
-    u = F.col("ra") - F.col("na") * (F.col("na") + 1) / 2
+    it is less; from counts by distinct value, without making the pairs. 0 where a group is empty."""
+    names = {g: f"n{i}" for i, g in enumerate(dict.fromkeys(g for pair in pairs for g in pair))}
+    rows = df.filter(F.col(value).isNotNull() & F.col(group).isin(*names)).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    counts = rows.groupBy("v").agg(*[F.count_if(F.col("g") == g).alias(n) for g, n in names.items()])
+    at = running(counts, [], [F.col("v")], {f"{n}_before": n for n in names.values()})
+
+    def net(a: str, b: str) -> Column:  # the rows of b that are less than a value less those that are greater, for each row of a
+        less = F.col(f"{b}_before")
+        return F.sum(F.col(a).cast("double") * (less - (F.col(f"{b}_before_total") - less - F.col(b))))
+
+    cells = [F.struct(F.lit(f"{a}_vs_{b}").alias("pair"), F.sum(names[a]).cast("double").alias("na"), F.sum(names[b]).cast("double").alias("nb"), net(names[a], names[b]).alias("net")) for a, b in pairs]
+    sums = at.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*").filter("na + nb > 0")
     both = F.col("na") * F.col("nb")
-    return sums.select("pair", F.when(both > 0, 2 * u / both - 1).otherwise(0.0).alias("delta"))
+    return sums.select("pair", F.when(both > 0, F.col("net") / F.nullif(both, F.lit(0.0))).otherwise(0.0).alias("delta"))
 
 
 def ranking_quality(df: DataFrame, score: str, truth: str, tie: str, percents: tuple[int, ...] = (10, 20, 30)) -> DataFrame:
@@ -312,12 +323,12 @@ def bootstrap_means(df: DataFrame, value: Column, row: Column, by: list[str], ti
 def bootstrap_spearman(df: DataFrame, x: str, y: str, row: Column, times: int = 200, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """(rho, n, p_value, low, high): the rank correlation, and the interval over resamples of the ranked rows by weight. The ranks are
     those of all rows: ranking each resample anew moves the interval by less than its own sampling error."""
-    known = materialise(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"), row.alias("_row")), "pairs")
-    ranked = materialise(with_positions(known, {"a": ("x", []), "b": ("y", [])}, average_rank()), "ranked")
+    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"), row.alias("_row"))
+    ranked = materialise(with_positions(known, {"a": ("x", []), "b": ("y", [])}, average_rank()).select("_row", "a", "b"), "ranked")
     cells = {"a": F.col("a"), "b": F.col("b"), "ab": F.col("a") * F.col("b"), "aa": F.col("a") * F.col("a"), "bb": F.col("b") * F.col("b")}
     s = resampled_sums(ranked.select("_row", *[c.cast("double").alias(n) for n, c in cells.items()]), [], "_row", list(cells), times, seed)
     n = F.col("n")
     spread = (F.col("aa") - F.col("a") * F.col("a") / n) * (F.col("bb") - F.col("b") * F.col("b") / n)
     r = F.when(spread > 0, (F.col("ab") - F.col("a") * F.col("b") / n) / F.sqrt(spread)).otherwise(0.0)
     bounds = quantiles(materialise(s.select(r.alias("r")), "resamples"), "r", [], {"low": alpha / 2, "high": 1 - alpha / 2})
-    return with_p_value(spearman(known, "x", "y")).crossJoin(F.broadcast(bounds))  # one row
+    return with_p_value(_correlated(ranked, "a", "b", [])).crossJoin(F.broadcast(bounds))  # one row

@@ -1,6 +1,11 @@
 """What the scored ads and the statistics over them read, write and rank."""
 
-from copperleaf.operators import scoring
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from copperleaf.operators import scoring, statistics
 from copperleaf.plans import scoring_queries
 
 SF = "/root/testdata/sf0.001"
@@ -21,3 +26,23 @@ def test_named_columns_change_no_score(spark):
     whole = scoring_queries.scored(spark, SF)
     rows = lambda df: sorted(map(tuple, df.select("ad_id", "score", "tier").collect()))
     assert rows(whole) == rows(scoring_queries.scored(spark, SF, "ad_id"))
+
+
+def test_cliffs_delta_from_counts(spark, monkeypatch):
+    monkeypatch.setattr(statistics, "with_positions", None)  # no row is ranked
+    r = random.Random(5)
+    rows = [(r.choice(["a", "b", "c", None]), r.choice([None, -0.0, 0.0, 1.0, 2.5, 7.0])) for _ in range(300)]
+    pairs = [("a", "b"), ("b", "a"), ("a", "gone"), ("no", "gone"), ("c", "c")]
+    got = {x["pair"]: x["delta"] for x in statistics.cliffs_delta(spark.createDataFrame(rows, "g string, v double"), "v", "g", pairs).collect()}
+    of = lambda g: [v for k, v in rows if k == g and v is not None]
+    want = {f"{a}_vs_{b}": sum((x > y) - (x < y) for x in of(a) for y in of(b)) / max(1, len(of(a)) * len(of(b))) for a, b in pairs if of(a) or of(b)}
+    assert set(got) == set(want) and all(abs(got[p] - w) < 1e-12 for p, w in want.items())
+
+
+def test_rows_are_ranked_once_for_a_coefficient_with_its_interval(spark, monkeypatch):
+    real, calls = statistics.with_positions, []
+    monkeypatch.setattr(statistics, "with_positions", lambda *a, **k: calls.append(1) or real(*a, **k))
+    df = spark.createDataFrame([(i, float(i % 7), float(i * i % 11)) for i in range(60)] + [(60, None, 1.0)], "i int, x double, y double")
+    got = statistics.bootstrap_spearman(df, "x", "y", F.col("i"), times=20).first()
+    assert len(calls) == 1 and got["n"] == 60
+    assert got["rho"] == pytest.approx(statistics.spearman(df, "x", "y").first()["rho"]) and got["low"] <= got["high"]
