@@ -20,11 +20,13 @@ EPOCHS, RATE, PRECISION, SEED = 500, 0.01, 0.7, 42
 
 
 def overlaps(df: DataFrame, votes: list[str]) -> tuple[np.ndarray, int]:
-    """(O, n): shares of rows on which two indicators hold together; indicator 2 i + y is that vote i is y."""
+    """(O, n): shares of rows on which two indicators hold together; indicator 2 i + y is that vote i is y. Rows are counted by what they vote first, of
+    which there is little, so that the sums over all pairs of indicators are not made for each row."""
     cells = [(v, y) for v in votes for y in (0, 1)]
     pairs = [(i, j) for i in range(len(cells)) for j in range(i, len(cells))]
     is_ = lambda c: F.col(c[0]) == c[1]
-    row = df.agg(F.count("*").alias("n"), *[F.count_if(is_(cells[i]) & is_(cells[j])).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    known = df.select(*[F.when(F.col(v).isin(0, 1), F.col(v)).otherwise(-1).alias(v) for v in votes]).groupBy(*votes).agg(F.count("*").alias("_n"))
+    row = known.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), *[F.coalesce(F.sum(F.when(is_(cells[i]) & is_(cells[j]), F.col("_n"))), F.lit(0)).alias(f"c{i}_{j}") for i, j in pairs]).first()
     made = np.zeros((len(cells), len(cells)))
     for i, j in pairs:
         made[i, j] = made[j, i] = row[f"c{i}_{j}"] / max(1, row["n"])

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from copperleaf.operators import scoring, statistics
+from copperleaf.operators import label_model, scoring, statistics
 from copperleaf.plans import scoring_queries
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +46,12 @@ def test_rows_are_ranked_once_for_a_coefficient_with_its_interval(spark, monkeyp
     got = statistics.bootstrap_spearman(df, "x", "y", F.col("i"), times=20).first()
     assert len(calls) == 1 and got["n"] == 60
     assert got["rho"] == pytest.approx(statistics.spearman(df, "x", "y").first()["rho"]) and got["low"] <= got["high"]
+
+
+def test_overlaps_are_summed_over_patterns(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 0), (1, 1), (1, None), (7, 1), (-1, -1), (0, 0)], "a int, b int")
+    real, plans = type(df).first, []
+    monkeypatch.setattr(type(df), "first", lambda self: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or real(self))
+    made, n = label_model.overlaps(df, ["a", "b"])
+    assert n == 6 and (made * 6).round().astype(int).tolist() == [[1, 0, 1, 0], [0, 3, 1, 1], [1, 1, 2, 0], [0, 1, 0, 2]]
+    assert plans[0].count("Aggregate") == 2
