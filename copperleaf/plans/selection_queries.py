@@ -246,6 +246,7 @@ def swept_queries(spark, d):
     hit, empty = F.when(F.col("event_type") != "error", F.col("event_id").cast("string")), F.floor("value") % 9 == 0
     ads_ = F.when(empty, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("ad"), (F.col("event_id") % 997).cast("string"))))
     calls = e.select(F.col("user_id").cast("string").alias("query"), (F.col("before") + 1).cast("int").alias("page"), hit.alias("last_hit"), (F.col("event_type") != "purchase").alias("has_next"), ads_.alias("ads"), "event_id")
+    calls = materialise(calls, "calls")  # read four times
     first, third = calls.agg(F.percentile_approx("event_id", [0.3, 0.7])).first()[0]
     for part in (F.col("event_id") <= first, (F.col("event_id") > first) & (F.col("event_id") <= third), F.col("event_id") > third):
         ingest.write_batches(calls.filter(part).drop("event_id"), came)

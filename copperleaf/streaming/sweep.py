@@ -1,7 +1,8 @@
 """Pages of many queries as one stream: each query's cursor, pages and done flag as keyed state, and each ad once, the first time it is seen.
 
 A call is a row: (query, page, last_hit, has_next, ads). It becomes a row of the query and a row for each ad, and one stateful
-operator keeps both kinds of state, by (kind, key): for a query how far it is, for an ad that it was seen. State lives in RocksDB beside the heap; with a
+operator keeps both kinds of state: for a query how far it is, for an ad that it was seen. Keys are dealt out to BUCKETS by their hash, and a bucket keeps its
+keys in a map, so that Python is called once for a bucket and batch, not once for a key; of a batch it reads and writes only the keys that came. State lives in RocksDB beside the heap; with a
 time to live, ads that were not seen for so long count as new. A stream that dies between or within batches goes on from its checkpoint and writes the same rows.
 
 A query is done when there is no next page, no cursor or nothing on the page; later calls of it change nothing. A query that is not done and whose
@@ -12,7 +13,10 @@ checkpoint from elsewhere says.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,37 +26,59 @@ CALL = "query string, page int, last_hit string, has_next boolean, ads array<str
 ROW = "kind string, key string, query string, page int, calls long, pages_fetched int, last_hit string, done boolean, next_page int"
 
 
+COLUMNS = [c.split()[0] for c in ROW.split(", ")]
+#: Groups of keys of each kind. A task holds the calls of one of them in one batch, and of its ads the distinct ones.
+BUCKETS = 1024
+
+
 class _Sweep(StatefulProcessor):
     def __init__(self, keep_ms: int | None):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.query = handle.getValueState("query", "calls long, pages_fetched int, last_hit string, done boolean")
-        self.seen = handle.getValueState("seen", "page int", self.keep_ms)
+        self.queries = handle.getMapState("queries", "key string", "calls long, pages_fetched int, last_hit string, done boolean")
+        self.seen = handle.getMapState("seen", "key string", "page int", self.keep_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kind, name = key
-        came = pd.concat(list(rows))  # of one key in one batch: the calls of a query, or the pages that show an ad
-        if kind == "ad":
-            if not self.seen.exists():
-                first = came.sort_values(["query", "page"]).iloc[0]
-                self.seen.update((int(first["page"]),))
-                yield pd.DataFrame([("ad", name, first["query"], int(first["page"]), None, None, None, None, None)], columns=[c.split()[0] for c in ROW.split(", ")])
-            return
-        calls, pages, hit, done = self.query.get() if self.query.exists() else (0, 0, None, False)
-        for call in came.sort_values("page", na_position="first").itertuples():
-            if call.restored is not None and call.restored["pages_fetched"] is not None:
-                pages, hit, done = int(call.restored["pages_fetched"]), call.restored["last_hit"], bool(call.restored["done"])
-                calls += 1
-                continue
-            lost = pages > 0 and hit is None
-            if done or call.page != (1 if lost else pages + 1):
-                continue  # a call again, or of another page than was asked for
-            pages, hit, calls = int(call.page), call.last_hit, calls + 1
-            done = not call.has_next or hit is None or not call.n_ads
-        self.query.update((calls, pages, hit, done))
-        ask = None if done else 1 if hit is None else pages + 1
-        yield pd.DataFrame([("query", name, name, None, calls, pages, hit, done, ask)], columns=[c.split()[0] for c in ROW.split(", ")])
+        made = self._ads(rows) if key[0] == "ad" else self._calls(rows)
+        if made:
+            yield pd.DataFrame(made, columns=COLUMNS, dtype=object)
+
+    def _ads(self, rows: Iterator[pd.DataFrame]) -> list[tuple]:
+        first: dict[str, tuple] = {}
+        for came in rows:
+            came = came[["key", "query", "page"]].fillna({"page": np.inf}).sort_values(["query", "page"]).drop_duplicates("key")
+            for ad, *shown in came.itertuples(index=False, name=None):
+                if ad not in first or shown < first[ad]:
+                    first[ad] = shown
+        made = []
+        for ad, (query, page) in first.items():
+            if not self.seen.containsKey((ad,)):
+                page = None if page == np.inf else int(page)
+                self.seen.updateValue((ad,), (page,))
+                made.append(("ad", ad, query, page, None, None, None, None, None))
+        return made
+
+    def _calls(self, rows: Iterator[pd.DataFrame]) -> list[tuple]:
+        made = []
+        came = pd.concat(list(rows)).sort_values(["key", "page"], na_position="first")
+        fields = ["key", "page", "last_hit", "has_next", "n_ads", "restored_pages", "restored_hit", "restored_done"]
+        for name, its in groupby(came[fields].itertuples(index=False, name=None), key=itemgetter(0)):
+            calls, pages, hit, done = self.queries.getValue((name,)) or (0, 0, None, False)
+            for _, page, last_hit, has_next, n_ads, restored_pages, restored_hit, restored_done in its:
+                if not pd.isna(restored_pages):
+                    pages, hit, done = int(restored_pages), restored_hit, bool(restored_done)
+                    calls += 1
+                    continue
+                lost = pages > 0 and hit is None
+                if done or page != (1 if lost else pages + 1):
+                    continue  # a call again, or of another page than was asked for
+                pages, hit, calls = int(page), last_hit, calls + 1
+                done = not has_next or hit is None or not n_ads
+            self.queries.updateValue((name,), (calls, pages, hit, done))
+            ask = None if done else 1 if hit is None else pages + 1
+            made.append(("query", name, name, None, calls, pages, hit, done, ask))
+        return made
 
     def close(self) -> None:
         pass
@@ -64,10 +90,12 @@ def swept(calls: DataFrame, keep_ms: int | None = None) -> DataFrame:
     page = F.struct(F.lit("query").alias("kind"), F.col("query").alias("key"))
     ads = F.transform(F.coalesce("ads", F.array().cast("array<string>")), lambda a: F.struct(F.lit("ad").alias("kind"), a.alias("key")))
     each = F.explode(F.concat(F.array(page), F.filter(ads, lambda a: F.coalesce(a["key"], F.lit("")) != "")))
-    rows = calls.filter(F.col("query").isNotNull()).select(each.alias("e"), "query", "page", "last_hit", F.coalesce("has_next", F.lit(False)).alias("has_next"), F.coalesce(F.size("ads"), F.lit(0)).alias("n_ads"), "restored")
-    rows = rows.select("e.kind", "e.key", "query", "page", "last_hit", "has_next", F.greatest(F.lit(0), "n_ads").alias("n_ads"), "restored")
+    restored = [F.col(f"restored.{c}").alias(n) for c, n in (("pages_fetched", "restored_pages"), ("last_hit", "restored_hit"), ("done", "restored_done"))]
+    rows = calls.filter(F.col("query").isNotNull()).select(each.alias("e"), "query", "page", "last_hit", F.coalesce("has_next", F.lit(False)).alias("has_next"), F.coalesce(F.size("ads"), F.lit(0)).alias("n_ads"), *restored)
+    bucket = F.pmod(F.hash("e.key"), F.lit(BUCKETS)).alias("bucket")
+    rows = rows.select("e.kind", bucket, "e.key", "query", "page", "last_hit", "has_next", F.greatest(F.lit(0), "n_ads").alias("n_ads"), "restored_pages", "restored_hit", "restored_done")
     mode = "None" if keep_ms is None else "ProcessingTime"
-    return rows.groupBy("kind", "key").transformWithStateInPandas(_Sweep(keep_ms), outputStructType=ROW, outputMode="Append", timeMode=mode)
+    return rows.groupBy("kind", "bucket").transformWithStateInPandas(_Sweep(keep_ms), outputStructType=ROW, outputMode="Append", timeMode=mode)
 
 
 def run_sweep(calls: DataFrame, path: str, checkpoint: str, keep_ms: int | None = None) -> None:

@@ -76,3 +76,20 @@ def test_a_batch_that_dies_is_taken_once(spark, monkeypatch):
             sweep.run_sweep(ingest.pages(spark, came, sweep.CALL), out, state)
     sweep.run_sweep(ingest.pages(spark, came, sweep.CALL), out, state)
     assert stands(spark, out) == plain([c for b in batches[:3] for c in b])
+
+
+def test_python_is_called_for_buckets_not_for_keys(spark, monkeypatch, tmp_path):
+    came, out, state = ingest.scratch(spark)
+    calls = [(f"q{i}", 1 + i % 2, f"h{i}", i % 3 > 0, [f"ad{i}", "common"], None) for i in range(4000)]
+    ingest.write_batches(spark.createDataFrame(calls, sweep.CALL).coalesce(2), came)
+    real, log = sweep._Sweep.handleInputRows, str(tmp_path / "log")
+
+    def counted(self, key, rows, timer):
+        with open(log, "a") as f:
+            f.write(".")
+        yield from real(self, key, rows, timer)
+
+    monkeypatch.setattr(sweep, "_Sweep", type("_Counted", (sweep._Sweep,), {"handleInputRows": counted}))
+    sweep.run_sweep(ingest.pages(spark, came, sweep.CALL), out, state)
+    assert stands(spark, out) == plain(calls)
+    assert len((tmp_path / "log").read_text()) <= 2048  # 8,001 keys
