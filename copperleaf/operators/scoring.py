@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from copperleaf.cluster import materialise
-from copperleaf.operators.ranking import order_statistics, with_positions
+from copperleaf.operators.ranking import order_statistics, with_positions, with_sides
 from copperleaf.sources.ads import WEAK_PLATFORMS
 
 # Caps of the survival curve, signal weights, vote and tier thresholds.
@@ -98,10 +98,10 @@ def score_v1(ads: DataFrame, weights: dict[str, float] = WEIGHTS_V1) -> DataFram
 
 
 def vote_features(ads: DataFrame) -> DataFrame:
-    """``ads`` with survivability and, for ads with any engagement, its ranks in the platform; no engagement is missing, not 0."""
+    """``ads`` with survivability and, for ads with any engagement, whether its ranks in the platform are high or low; no engagement is missing, not 0."""
     some = F.col("weighted_engagement") > 0
     raw = survivability(ads).withColumns({"_vol": F.when(some, F.col("weighted_engagement")), "_vel": F.when(some, F.col("weighted_velocity"))})
-    return with_positions(raw, {"volume_pct": ("_vol", ["platform"]), "velocity_pct": ("_vel", ["platform"])}).drop("_vol", "_vel")
+    return with_sides(raw, {"volume": "_vol", "velocity": "_vel"}, ["platform"], LOW, HIGH).drop("_vol", "_vel")
 
 
 def votes(df: DataFrame) -> DataFrame:
@@ -109,10 +109,9 @@ def votes(df: DataFrame) -> DataFrame:
     def vote(when: Column, label: int, hidden: Column | None = None) -> Column:
         return F.when(when & ~(hidden if hidden is not None else F.lit(False)), label).otherwise(-1)
 
-    made, k = {}, 0
-    for name, hide in (("survivability", None), ("volume_pct", weak()), ("velocity_pct", weak())):
-        made |= {f"vote{k + 1}": vote(F.col(name) > HIGH, 1, hide), f"vote{k + 2}": vote(F.col(name) < LOW, 0, hide)}
-        k += 2
+    made = {"vote1": vote(F.col("survivability") > HIGH, 1), "vote2": vote(F.col("survivability") < LOW, 0)}
+    for k, name in ((3, "volume"), (5, "velocity")):
+        made |= {f"vote{k}": vote(F.col(f"{name}_high"), 1, weak()), f"vote{k + 1}": vote(F.col(f"{name}_low"), 0, weak())}
     made |= {"vote7": vote(F.col("longevity_days") < EARLY_DAYS, 0), "vote8": vote(F.col("longevity_days") > LONG_DAYS, 1)}
     return df.withColumns(made)
 
@@ -153,9 +152,10 @@ def tier_cutoffs(scored: DataFrame) -> DataFrame:
     return order_statistics(scored, "score", [], {name: F.floor(F.col("total").cast("double") * q) for name, q in TIERS.items()})
 
 
-def with_tier(scored: DataFrame) -> DataFrame:
-    """``scored``, written once, with the tier of its score; a table that later steps read several times."""
-    scored = materialise(scored, "scored")
+def with_tier(scored: DataFrame, written: bool = False) -> DataFrame:
+    """``scored``, written once, with the tier of its score; a table that later steps read several times. Not written again if it
+    is ``written``, so that each of its rows comes from one of a written table."""
+    scored = scored if written else materialise(scored, "scored")
     cut = F.broadcast(materialise(tier_cutoffs(scored).withColumnsRenamed({n: f"_{n}" for n in TIERS}), "cutoffs"))  # one row
     tier = F.when(F.col("score") >= F.col("_high"), "high").when(F.col("score") >= F.col("_medium"), "medium").otherwise("low")
     return scored.crossJoin(cut).withColumn("tier", tier).drop("_high", "_medium")

@@ -128,7 +128,7 @@ def label_votes(spark, d):
 def score_v2(spark, d):
     """The label model's posterior, fitted by EM over vote patterns: tested by properties, since SQL cannot iterate so."""
     fitted = scoring.label_model(materialise(votes(spark, d).select("ad_id", "platform", *scoring.VOTES), "votes"))
-    return scoring.with_tier(fitted.select("ad_id", "platform", F.round("p_high", 6).alias("score"), F.round("p_high", 4).alias("p_high"), F.round(1 - F.col("p_high"), 4).alias("p_low")))
+    return scoring.with_tier(fitted.select("ad_id", "platform", F.round("p_high", 6).alias("score"), F.round("p_high", 4).alias("p_high"), F.round(1 - F.col("p_high"), 4).alias("p_low")), written=True)
 
 
 @query("score_v2_overlaps")
@@ -136,7 +136,7 @@ def score_v2_overlaps(spark, d):
     """The posterior of the label model that is fitted to the overlaps of the votes: tested against a plain version, since SQL cannot iterate so."""
     voted = materialise(votes(spark, d).select("ad_id", "platform", *scoring.VOTES), "votes")  # counted, then given their posterior
     fitted = label_model.with_labels(voted, scoring.VOTES)
-    return scoring.with_tier(fitted.select("ad_id", "platform", F.round("p_high", 6).alias("score"), F.round("p_high", 4).alias("p_high"), F.round(1 - F.col("p_high"), 4).alias("p_low")))
+    return scoring.with_tier(fitted.select("ad_id", "platform", F.round("p_high", 6).alias("score"), F.round("p_high", 4).alias("p_high"), F.round(1 - F.col("p_high"), 4).alias("p_low")), written=True)
 
 
 @query("tier_cutoffs", f"WITH {V3_SQL} SELECT high, medium FROM cut")

@@ -55,3 +55,24 @@ def test_overlaps_are_summed_over_patterns(spark, monkeypatch):
     made, n = label_model.overlaps(df, ["a", "b"])
     assert n == 6 and (made * 6).round().astype(int).tolist() == [[1, 0, 1, 0], [0, 3, 1, 1], [1, 1, 2, 0], [0, 1, 0, 2]]
     assert plans[0].count("Aggregate") == 2
+
+
+def test_votes_rank_no_row(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "with_positions", None)
+    r = random.Random(9)
+    rows = [(r.choice(["facebook", "tiktok", "reddit", None]), r.choice([None, 0.0, *map(float, range(1, 12))]), r.choice([None, -0.0, 0.0, 0.5, 1.5, 2.5, 4.0])) for _ in range(400)]
+    rows = [(i, *x) for i, x in enumerate([*rows, ("alone", 3.0, 1.0)])]
+    df = spark.createDataFrame(rows, "id int, platform string, weighted_engagement double, weighted_velocity double")
+    df = df.withColumns({"last_seen": F.to_date(F.lit("2024-01-01")), "longevity_days": F.lit(10).cast("long")})
+    got = {x["id"]: [x[f"vote{k}"] for k in (3, 4, 5, 6)] for x in scoring.votes(scoring.vote_features(df)).collect()}
+    # beside them, each row's percentile as its rank says it
+    some = [(i, p, w, v) for i, p, w, v in rows if w and w > 0]
+    want = {i: [-1] * 4 for i, *_ in rows}
+    for k in (2, 3):
+        for row in some:
+            values = [x[k] for x in some if x[1] == row[1] and x[k] is not None]
+            if row[k] is None or len(values) == 1 or row[1] in (None, *scoring.WEAK_PLATFORMS):
+                continue  # alone, or of a platform whose engagement does not vote
+            pct = round((sum(v < row[k] for v in values) + (sum(v == row[k] for v in values) - 1) / 2) / (len(values) - 1), 6)
+            want[row[0]][2 * k - 4 : 2 * k - 2] = [1 if pct > 0.8 else -1, 0 if pct < 0.2 else -1]
+    assert got == want and {v for votes in want.values() for v in votes} == {-1, 0, 1}
