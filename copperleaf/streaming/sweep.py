@@ -47,7 +47,7 @@ class _Sweep(StatefulProcessor):
     def _ads(self, rows: Iterator[pd.DataFrame]) -> list[tuple]:
         first: dict[str, tuple] = {}
         for came in rows:
-            came = came[["key", "query", "page"]].fillna({"page": np.inf}).sort_values(["query", "page"]).drop_duplicates("key")
+            came = came[["key", "text", "page"]].fillna({"page": np.inf}).sort_values(["text", "page"]).drop_duplicates("key")
             for ad, *shown in came.itertuples(index=False, name=None):
                 if ad not in first or shown < first[ad]:
                     first[ad] = shown
@@ -62,19 +62,18 @@ class _Sweep(StatefulProcessor):
     def _calls(self, rows: Iterator[pd.DataFrame]) -> list[tuple]:
         made = []
         came = pd.concat(list(rows)).sort_values(["key", "page"], na_position="first")
-        fields = ["key", "page", "last_hit", "has_next", "n_ads", "restored_pages", "restored_hit", "restored_done"]
+        fields = ["key", "page", "text", "ends", "restored_pages"]
         for name, its in groupby(came[fields].itertuples(index=False, name=None), key=itemgetter(0)):
             calls, pages, hit, done = self.queries.getValue((name,)) or (0, 0, None, False)
-            for _, page, last_hit, has_next, n_ads, restored_pages, restored_hit, restored_done in its:
-                if not pd.isna(restored_pages):
-                    pages, hit, done = int(restored_pages), restored_hit, bool(restored_done)
+            for _, page, last_hit, ends, restored_pages in its:
+                if restored_pages == restored_pages:
+                    pages, hit, done = int(restored_pages), last_hit, bool(ends)
                     calls += 1
                     continue
                 lost = pages > 0 and hit is None
                 if done or page != (1 if lost else pages + 1):
                     continue  # a call again, or of another page than was asked for
-                pages, hit, calls = int(page), last_hit, calls + 1
-                done = not has_next or hit is None or not n_ads
+                pages, hit, done, calls = int(page), last_hit, bool(ends), calls + 1
             self.queries.updateValue((name,), (calls, pages, hit, done))
             ask = None if done else 1 if hit is None else pages + 1
             made.append(("query", name, name, None, calls, pages, hit, done, ask))
@@ -90,10 +89,12 @@ def swept(calls: DataFrame, keep_ms: int | None = None) -> DataFrame:
     page = F.struct(F.lit("query").alias("kind"), F.col("query").alias("key"))
     ads = F.transform(F.coalesce("ads", F.array().cast("array<string>")), lambda a: F.struct(F.lit("ad").alias("kind"), a.alias("key")))
     each = F.explode(F.concat(F.array(page), F.filter(ads, lambda a: F.coalesce(a["key"], F.lit("")) != "")))
-    restored = [F.col(f"restored.{c}").alias(n) for c, n in (("pages_fetched", "restored_pages"), ("last_hit", "restored_hit"), ("done", "restored_done"))]
-    rows = calls.filter(F.col("query").isNotNull()).select(each.alias("e"), "query", "page", "last_hit", F.coalesce("has_next", F.lit(False)).alias("has_next"), F.coalesce(F.size("ads"), F.lit(0)).alias("n_ads"), *restored)
-    bucket = F.pmod(F.hash("e.key"), F.lit(BUCKETS)).alias("bucket")
-    rows = rows.select("e.kind", bucket, "e.key", "query", "page", "last_hit", "has_next", F.greatest(F.lit(0), "n_ads").alias("n_ads"), "restored_pages", "restored_hit", "restored_done")
+    # few columns, since each costs Python time for each row: text is an ad's query or a call's cursor, and a restored call brings its own cursor and end
+    set_, pages = F.col("restored.pages_fetched").isNotNull(), F.col("restored.pages_fetched").cast("double")
+    ends = ~F.coalesce("has_next", F.lit(False)) | F.col("last_hit").isNull() | (F.coalesce(F.size("ads"), F.lit(0)) <= 0)
+    rows = calls.filter(F.col("query").isNotNull()).select(each.alias("e"), "query", "page", F.when(set_, F.col("restored.last_hit")).otherwise(F.col("last_hit")).alias("hit"), F.when(set_, F.coalesce("restored.done", F.lit(False))).otherwise(ends).alias("ends"), F.coalesce(pages, F.lit(float("nan"))).alias("restored_pages"))
+    text = F.when(F.col("e.kind") == "ad", F.col("query")).otherwise(F.col("hit")).alias("text")
+    rows = rows.select("e.kind", F.pmod(F.hash("e.key"), F.lit(BUCKETS)).alias("bucket"), "e.key", "page", text, "ends", "restored_pages")
     mode = "None" if keep_ms is None else "ProcessingTime"
     return rows.groupBy("kind", "bucket").transformWithStateInPandas(_Sweep(keep_ms), outputStructType=ROW, outputMode="Append", timeMode=mode)
 
