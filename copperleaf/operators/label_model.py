@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 EPOCHS, RATE, PRECISION, SEED = 500, 0.01, 0.7, 42
 
 
-def overlaps(df: DataFrame, votes: list[str]) -> tuple[np.ndarray, int]:
+def overlaps(df: DataFrame, votes: list[str], rows: str | None = None) -> tuple[np.ndarray, int]:
     """(O, n): shares of rows on which two indicators hold together; indicator 2 i + y is that vote i is y. Rows are counted by what they vote first, of
-    which there is little, so that the sums over all pairs of indicators are not made for each row."""
+    which there is little, so that the sums over all pairs of indicators are not made for each row. A row stands for as many as it says in ``rows``, if that is named."""
     cells = [(v, y) for v in votes for y in (0, 1)]
     pairs = [(i, j) for i in range(len(cells)) for j in range(i, len(cells))]
     is_ = lambda c: F.col(c[0]) == c[1]
-    known = df.select(*[F.when(F.col(v).isin(0, 1), F.col(v)).otherwise(-1).alias(v) for v in votes]).groupBy(*votes).agg(F.count("*").alias("_n"))
+    known = df.select(*([F.col(rows).alias("_rows")] if rows else []), *[F.when(F.col(v).isin(0, 1), F.col(v)).otherwise(-1).alias(v) for v in votes]).groupBy(*votes).agg((F.sum("_rows") if rows else F.count("*")).alias("_n"))
     row = known.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), *[F.coalesce(F.sum(F.when(is_(cells[i]) & is_(cells[j]), F.col("_n"))), F.lit(0)).alias(f"c{i}_{j}") for i, j in pairs]).first()
     made = np.zeros((len(cells), len(cells)))
     for i, j in pairs:
@@ -65,10 +65,10 @@ def majority(votes: list[str]) -> Column:
     return (count(1) + 1) / (count(0) + count(1) + 2)
 
 
-def with_labels(df: DataFrame, votes: list[str], out: str = "p_high", epochs: int = EPOCHS) -> DataFrame:
+def with_labels(df: DataFrame, votes: list[str], out: str = "p_high", epochs: int = EPOCHS, rows: str | None = None) -> DataFrame:
     """``df`` (votes 1, 0, or anything else to abstain) with the fitted probability of label 1; 0.5 for all where no function ever votes, and the
-    votes' majority where the fit is no number."""
-    o, n = overlaps(df, votes)
+    votes' majority where the fit is no number. ``rows`` as in ``overlaps``."""
+    o, n = overlaps(df, votes, rows)
     if not np.diag(o).any():
         return df.withColumn(out, F.lit(0.5))
     mu = fitted(o, n, epochs=epochs)

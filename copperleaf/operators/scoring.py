@@ -98,8 +98,9 @@ def score_v1(ads: DataFrame, weights: dict[str, float] = WEIGHTS_V1) -> DataFram
 
 
 def vote_features(ads: DataFrame) -> DataFrame:
-    """``ads`` with survivability and, for ads with any engagement, whether its ranks in the platform are high or low; no engagement is missing, not 0."""
-    some = F.col("weighted_engagement") > 0
+    """``ads`` with survivability and, for ads with any engagement, whether its ranks in the platform are high or low; no engagement is missing, not 0, and
+    weak platforms, whose engagement does not vote, are not ranked."""
+    some = (F.col("weighted_engagement") > 0) & ~weak()
     raw = survivability(ads).withColumns({"_vol": F.when(some, F.col("weighted_engagement")), "_vel": F.when(some, F.col("weighted_velocity"))})
     return with_sides(raw, {"volume": "_vol", "velocity": "_vel"}, ["platform"], LOW, HIGH).drop("_vol", "_vel")
 
@@ -126,15 +127,27 @@ def majority(df: DataFrame) -> DataFrame:
 VOTES = [f"vote{i}" for i in range(1, 9)]
 
 
-def label_model(df: DataFrame, epochs: int = 100, prior: float = 0.5) -> DataFrame:
+def patterns(voted: DataFrame) -> DataFrame:
+    """(pattern, the votes, n) of a table with ``pattern``: at most 3 ** 8 rows, written."""
+    digits = [(F.floor(F.col("pattern") / 3**i).cast("int") % 3 - 1).alias(v) for i, v in enumerate(VOTES)]
+    return materialise(voted.groupBy("pattern").agg(F.count("*").alias("n")).select("pattern", *digits, "n"), "patterns")
+
+
+def pattern() -> Column:
+    """The votes as one number, a digit to base 3 for each."""
+    return sum((F.col(v) + 1) * 3**i for i, v in enumerate(VOTES)).alias("pattern")
+
+
+def label_model(df: DataFrame, epochs: int = 100, prior: float = 0.5, rows: str | None = None) -> DataFrame:
     """``df`` with p_high, the posterior of a model in which votes depend on the label alone, fitted by EM.
 
     Votes are counted by pattern, of which there are at most 3 ** 8, so the fit is small whatever the input; only a label
     function's accuracy where it votes is learned, and none is held for worse than chance, else labels could change places. Starts from the majority; rows without votes get ``prior``, which both labels share.
+    A row stands for as many as it says in ``rows``, if that is named.
     """
-    patterns = df.groupBy(*VOTES).agg(F.count("*").alias("n")).collect()  # at most 6,561 rows
-    seen = np.array([[r[v] for v in VOTES] for r in patterns]).reshape(-1, len(VOTES))
-    n = np.array([r["n"] for r in patterns], float)
+    counted = df.groupBy(*VOTES).agg((F.sum(rows) if rows else F.count("*")).alias("n")).collect()  # at most 6,561 rows
+    seen = np.array([[r[v] for v in VOTES] for r in counted]).reshape(-1, len(VOTES))
+    n = np.array([r["n"] for r in counted], float)
     high, low = (seen == 1).sum(axis=1), (seen == 0).sum(axis=1)
     p = (high + 1) / (high + low + 2)
     for _ in range(epochs):
@@ -147,15 +160,15 @@ def label_model(df: DataFrame, epochs: int = 100, prior: float = 0.5) -> DataFra
     return df.drop("p_high").join(F.broadcast(known), same).drop(*[f"_{v}" for v in VOTES])
 
 
-def tier_cutoffs(scored: DataFrame) -> DataFrame:
-    """One row: the scores at index int(n * q) that a tier starts at."""
-    return order_statistics(scored, "score", [], {name: F.floor(F.col("total").cast("double") * q) for name, q in TIERS.items()})
+def tier_cutoffs(scored: DataFrame, rows: str | None = None) -> DataFrame:
+    """One row: the scores at index int(n * q) that a tier starts at. A row stands for as many as it says in ``rows``, if that is named."""
+    return order_statistics(scored, "score", [], {name: F.floor(F.col("total").cast("double") * q) for name, q in TIERS.items()}, rows)
 
 
-def with_tier(scored: DataFrame, written: bool = False) -> DataFrame:
+def with_tier(scored: DataFrame, written: bool = False, rows: str | None = None) -> DataFrame:
     """``scored``, written once, with the tier of its score; a table that later steps read several times. Not written again if it
-    is ``written``, so that each of its rows comes from one of a written table."""
+    is ``written``, so that each of its rows comes from one of a written table. ``rows`` as in ``tier_cutoffs``."""
     scored = scored if written else materialise(scored, "scored")
-    cut = F.broadcast(materialise(tier_cutoffs(scored).withColumnsRenamed({n: f"_{n}" for n in TIERS}), "cutoffs"))  # one row
+    cut = F.broadcast(materialise(tier_cutoffs(scored, rows).withColumnsRenamed({n: f"_{n}" for n in TIERS}), "cutoffs"))  # one row
     tier = F.when(F.col("score") >= F.col("_high"), "high").when(F.col("score") >= F.col("_medium"), "medium").otherwise("low")
     return scored.crossJoin(cut).withColumn("tier", tier).drop("_high", "_medium")

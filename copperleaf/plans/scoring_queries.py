@@ -124,19 +124,26 @@ def label_votes(spark, d):
     return scoring.majority(votes(spark, d)).select("ad_id", *scoring.VOTES, "p_high")
 
 
+def by_pattern(spark, d, model):
+    """Ads with score and tier by the posterior of ``model``, a function of patterns and their counts: all is computed for a pattern of votes, not for each
+    ad, and joined to its ads."""
+    voted = votes(spark, d).select("ad_id", "platform", scoring.pattern())
+    fitted = model(scoring.patterns(voted))
+    labels = materialise(fitted.select("pattern", "n", F.round("p_high", 6).alias("score"), F.round("p_high", 4).alias("p_high"), F.round(1 - F.col("p_high"), 4).alias("p_low")), "labels")
+    tiered = scoring.with_tier(labels, written=True, rows="n").drop("n")
+    return voted.join(F.broadcast(tiered), "pattern").drop("pattern")  # at most 3 ** 8 rows
+
+
 @query("score_v2")
 def score_v2(spark, d):
     """The label model's posterior, fitted by EM over vote patterns: tested by properties, since SQL cannot iterate so."""
-    fitted = scoring.label_model(materialise(votes(spark, d).select("ad_id", "platform", *scoring.VOTES), "votes"))
-    return scoring.with_tier(fitted.select("ad_id", "platform", F.round("p_high", 6).alias("score"), F.round("p_high", 4).alias("p_high"), F.round(1 - F.col("p_high"), 4).alias("p_low")), written=True)
+    return by_pattern(spark, d, lambda known: scoring.label_model(known, rows="n"))
 
 
 @query("score_v2_overlaps")
 def score_v2_overlaps(spark, d):
     """The posterior of the label model that is fitted to the overlaps of the votes: tested against a plain version, since SQL cannot iterate so."""
-    voted = materialise(votes(spark, d).select("ad_id", "platform", *scoring.VOTES), "votes")  # counted, then given their posterior
-    fitted = label_model.with_labels(voted, scoring.VOTES)
-    return scoring.with_tier(fitted.select("ad_id", "platform", F.round("p_high", 6).alias("score"), F.round("p_high", 4).alias("p_high"), F.round(1 - F.col("p_high"), 4).alias("p_low")), written=True)
+    return by_pattern(spark, d, lambda known: label_model.with_labels(known, scoring.VOTES, rows="n"))
 
 
 @query("tier_cutoffs", f"WITH {V3_SQL} SELECT high, medium FROM cut")

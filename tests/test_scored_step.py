@@ -76,3 +76,38 @@ def test_votes_rank_no_row(spark, monkeypatch):
             pct = round((sum(v < row[k] for v in values) + (sum(v == row[k] for v in values) - 1) / 2) / (len(values) - 1), 6)
             want[row[0]][2 * k - 4 : 2 * k - 2] = [1 if pct > 0.8 else -1, 0 if pct < 0.2 else -1]
     assert got == want and {v for votes in want.values() for v in votes} == {-1, 0, 1}
+
+
+def test_scores_and_tiers_are_made_for_patterns_of_votes(spark, monkeypatch):
+    real, written = scoring.materialise, {}
+    for module in (scoring, scoring_queries):
+        monkeypatch.setattr(module, "materialise", lambda df, name: written.setdefault(name, real(df, name)))
+    got = {"score_v2": sorted(map(tuple, scoring_queries.score_v2(spark, SF).collect()))}
+    written.clear()
+    got["score_v2_overlaps"] = sorted(map(tuple, scoring_queries.score_v2_overlaps(spark, SF).collect()))
+    assert "votes" not in written and "scored" not in written  # of the tables as long as the ads only these are written
+    known = written["patterns"].collect()
+    assert written["labels"].count() == len(known) < 200 and sum(r["n"] for r in known) == len(got["score_v2"]) == 1500
+    monkeypatch.undo()
+    # beside it, each ad on its own
+    voted = real(scoring_queries.votes(spark, SF).select("ad_id", "platform", *scoring.VOTES), "votes")
+    assert {tuple(r[v] for v in scoring.VOTES): r["n"] for r in known} == {tuple(r[v] for v in scoring.VOTES): r["count"] for r in voted.groupBy(*scoring.VOTES).count().collect()}
+    for name, fitted in (("score_v2", scoring.label_model(voted)), ("score_v2_overlaps", label_model.with_labels(voted, scoring.VOTES))):
+        plain = fitted.select("ad_id", "platform", F.round("p_high", 6).alias("score"), F.round("p_high", 4).alias("p_high"), F.round(1 - F.col("p_high"), 4).alias("p_low"))
+        assert got[name] == sorted(map(tuple, scoring.with_tier(plain).collect()))
+
+
+def test_a_row_stands_for_as_many_as_it_says(spark):
+    r = random.Random(3)
+    rows = [(i, r.choice([None, i / 40, i / 40]), r.choice([-1, 0, 1]), r.choice([-1, 0, 1]), r.randint(1, 9) * (i + 1)) for i in range(40)]
+    counted = spark.createDataFrame(rows, "i int, score double, a int, b int, n int")
+    each = spark.createDataFrame([x for x in rows for _ in range(x[4])], counted.schema)
+    assert scoring.tier_cutoffs(counted, "n").collect() == scoring.tier_cutoffs(each).collect() != scoring.tier_cutoffs(counted).collect()
+    (o, n), (wanted, m) = label_model.overlaps(counted, ["a", "b"], "n"), label_model.overlaps(each, ["a", "b"])
+    assert n == m == sum(x[4] for x in rows) and (o == wanted).all()
+
+
+def test_weak_platforms_are_not_ranked(spark):
+    df = spark.createDataFrame([(p, float(i), float(i)) for p in ("facebook", "reddit", "other") for i in range(1, 12)], "platform string, weighted_engagement double, weighted_velocity double")
+    made = scoring.vote_features(df.withColumns({"last_seen": F.to_date(F.lit("2024-01-01")), "longevity_days": F.lit(10).cast("long")})).groupBy("platform").agg(F.count("volume_high"), F.count("velocity_low")).collect()
+    assert sorted(map(tuple, made)) == [("facebook", 11, 11), ("other", 0, 0), ("reddit", 0, 0)]
